@@ -196,6 +196,22 @@ ORACLES = {
       l as (select run_id, seq, list(d) over ({_RUN} rows between unbounded preceding and current row) as ds from d)
       select run_id, seq, list_reduce(list_concat([5.0::double], ds),
         lambda w, d: least(12.0::double, greatest(3.0::double, w + d))) as window_seconds from l""",
+    "i3_adaptive_window_unreported": f"""with recursive {METRICS},
+      o as (select run_id, seq, row_number() over ({_RUN}) as i,
+        case when cpu_percent < 30 then 0 else throughput end::double as tp,
+        floor(rows_processed / 250)::bigint as rows from m),
+      r as (
+        select run_id, seq, i, 5.0::double as w, [case when tp > 0 then tp else rows / 5.0::double end] as xs
+        from o where i = 1
+        union all
+        select run_id, seq, i, case when len(xs) < 4 then w
+          when coalesce(list_stddev_pop(xs) / nullif(list_avg(xs), 0), 0) < 0.15 then greatest(3, w - 0.5)
+          when coalesce(list_stddev_pop(xs) / nullif(list_avg(xs), 0), 0) > 0.35 then least(12, w + 0.5)
+          else w end::double as w, xs
+        from (select o.run_id, o.seq, o.i, r.w, list_concat(r.xs,
+            [case when o.tp > 0 then o.tp else o.rows / greatest(0.5, r.w) end::double])[-8:] as xs
+          from r join o on o.run_id = r.run_id and o.i = r.i + 1))
+      select run_id, seq, w as window_seconds from r""",
     "i4_context_features": f"""with {_CONTEXT} select run_id, seq, {", ".join(
         f"round({c}, 6) as {c}" for c in _XS)} from x""",
     "i5_reward": f"""with {_CONTEXT}, {_REWARD} select run_id, seq, round(reward, 6) as reward from rw""",

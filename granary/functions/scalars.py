@@ -36,24 +36,49 @@ def sha1_10(c: Column | str) -> Column:
     return F.substring(F.sha1(as_col(c).cast("binary")), 1, 10)
 
 
+def _halves(x):
+    """Split a double into two with at most 26 significant bits each."""
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    return high, x - high
+
+
+def nearest_decimal(c: Column | str, digits: int) -> Column:
+    """Round a double to ``digits`` decimals by its exact binary value, ties to even.
+
+    This is what C and Python print; the JVM rounds the shortest decimal text
+    instead. The rounding error of ``x * 10^digits`` is itself exact in doubles.
+    """
+    x, scale = as_col(c).cast("double"), 10.0**digits
+    product = x * F.lit(scale)
+    (high, low), (scale_high, scale_low) = _halves(x), _halves(scale)
+    error = (
+        (high * scale_high - product) + high * scale_low + low * scale_high
+    ) + low * scale_low
+    below = F.floor(product).cast("double")
+    past_half = (product - below - 0.5) + error
+    up = (past_half > 0) | ((past_half == 0) & (F.pmod(below, F.lit(2.0)) == 1))
+    return (below + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+
+
 def human_bytes(c: Column | str) -> Column:
     """Byte count with the largest unit that keeps the number below 1024."""
     size = as_col(c).cast("double")
-    out = F.format_string("%.1f" + SIZE_UNITS[-1], F.bround(size / 1024.0 ** 4, 1))
-    for power in (3, 2, 1, 0):
-        text = F.format_string("%.1f" + SIZE_UNITS[power], F.bround(size / 1024.0**power, 1))
-        out = F.when(size < 1024.0 ** (power + 1), text).otherwise(out)
-    return F.when(size.isNotNull(), out)
+    last = len(SIZE_UNITS) - 1
+    value, unit = size / 1024.0**last, F.lit(SIZE_UNITS[last])
+    for power in range(last - 1, -1, -1):
+        fits = size < 1024.0 ** (power + 1)
+        value = F.when(fits, size / 1024.0**power).otherwise(value)
+        unit = F.when(fits, SIZE_UNITS[power]).otherwise(unit)
+    return F.concat(fixed_decimals(value, 1), unit)
 
 
 def file_size_text(c: Column | str) -> Column:
     """Three-tier file size: KB up to one MB, MB up to one GB, then GB; two decimals."""
     size = as_col(c).cast("double")
-    return (
-        F.when(size > 1024.0**3, F.format_string("%.2f GB", size / 1024.0**3))
-        .when(size > 1024.0**2, F.format_string("%.2f MB", size / 1024.0**2))
-        .when(size.isNotNull(), F.format_string("%.2f KB", size / 1024.0))
-    )
+    power = F.when(size > 1024.0**3, 3).when(size > 1024.0**2, 2).otherwise(1)
+    unit = F.get(F.array(F.lit(" KB"), F.lit(" MB"), F.lit(" GB")), power - 1)
+    return F.concat(fixed_decimals(size / F.pow(F.lit(1024.0), power), 2), unit)
 
 
 def normalized_name(c: Column | str) -> Column:
@@ -195,8 +220,11 @@ def canonical_value(c: Column | str) -> Column:
     return F.coalesce(to_number(c).cast("string"), c)
 
 
-def fixed_decimals(c: Column | str, digits: int = 4) -> Column:
-    return F.format_string(f"%.{digits}f", as_col(c).cast("double"))
+def fixed_decimals(c: Column | str, digits: int = 4, width: int = 0) -> Column:
+    """Number with a fixed count of decimals, padded on the left to ``width``."""
+    value = as_col(c).cast("double")
+    text = F.format_string(f"%{width or ''}.{digits}f", nearest_decimal(value, digits))
+    return F.when(value.isNotNull(), text)
 
 
 def thousands(c: Column | str, digits: int = 0) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions.scalars import (
     datetime_text,
     file_size_text,
+    fixed_decimals,
     hours_minutes,
     human_bytes,
     params_text,
@@ -21,7 +22,7 @@ def report_lines(best: DataFrame) -> DataFrame:
     text = F.coalesce(params_text("params"), F.lit("None"))
     return best.select(
         "model",
-        F.format_string("%-25s F1:%7.4f", "model", F.col("f1_score").cast("double")).alias("line"),
+        F.concat(F.format_string("%-25s F1:", "model"), fixed_decimals("f1_score", 4, 7)).alias("line"),
         F.concat(F.lit("  Params: "), text).alias("params_line"),
     )
 
