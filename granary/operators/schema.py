@@ -162,7 +162,7 @@ def dtype_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where(~F.col("a_dtype").eqNullSafe(F.col("b_dtype")))
 
 
-def _type_of_text(c: Column) -> Column:
+def _type_of_text(c: Column, integers_with_holes: str) -> Column:
     value = present(c)
     filled = F.count(value)
     missing = F.count(F.lit(1)) - filled
@@ -172,38 +172,43 @@ def _type_of_text(c: Column) -> Column:
     return (
         F.when(filled == 0, "float64")
         .when((ints == filled) & (missing == 0), "int64")
+        .when(ints == filled, integers_with_holes)
         .when(numbers == filled, "float64")
         .when((bools == filled) & (missing == 0), "bool")
         .otherwise("object")
     )
 
 
-def _type_of_field(field: T.StructField) -> Column:
+def _type_of_field(field: T.StructField, integers_with_holes: str) -> Column:
     c = quoted(field.name)
     holes = F.count(F.lit(1)) > F.count(c)
     if isinstance(field.dataType, T.StringType):
-        return _type_of_text(c)
+        return _type_of_text(c, integers_with_holes)
     if isinstance(field.dataType, T.BooleanType):
         return F.when(F.count(c) == 0, "float64").when(holes, "object").otherwise("bool")
     if isinstance(field.dataType, T.IntegralType):
-        return F.when(holes, "float64").otherwise("int64")
+        return F.when(holes, integers_with_holes).otherwise("int64")
     if isinstance(field.dataType, (T.FractionalType, T.DecimalType)):
         return F.first(F.lit("float64"))
     return F.first(F.lit("object"))
 
 
-def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def infer_types(
+    df: DataFrame, sample_rows: int | None = None, nullable_integers: bool = False
+) -> DataFrame:
     """``(name, dtype)`` of every column, from one aggregation over all columns.
 
     Text columns are judged by their values: integers, numbers, booleans, else
-    ``object``; integers with holes count as ``float64``. ``sample_rows`` limits
-    the look to the first rows, as a sampling option.
+    ``object``; integers with holes count as ``float64`` unless
+    ``nullable_integers`` keeps them apart. ``sample_rows`` limits the look to
+    the first rows, as a sampling option.
     """
+    holed = "int64" if nullable_integers else "float64"
     rows = df.limit(sample_rows) if sample_rows else df
     profile = rows.agg(
         F.array(
             *[
-                F.struct(F.lit(f.name).alias("name"), _type_of_field(f).alias("dtype"))
+                F.struct(F.lit(f.name).alias("name"), _type_of_field(f, holed).alias("dtype"))
                 for f in df.schema.fields
             ]
         ).alias("types")
@@ -222,12 +227,17 @@ def numeric_profile(types: DataFrame, label: str = LABEL) -> DataFrame:
     return types.where(F.col("dtype").isin("int64", "float64") & (F.col("name") != label))
 
 
-def cast_by_profile(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Raw text columns cast by an inferred profile; missing tokens become NULL."""
+def cast_by_profile(
+    df: DataFrame, types: dict[str, str], skip: set[str] = frozenset(), raw: bool = True
+) -> DataFrame:
+    """Text columns cast by an inferred profile; in ``raw`` text, missing tokens become NULL."""
     out = []
     for c in df.columns:
+        if c in skip:
+            out.append(quoted(c))
+            continue
         kind = types.get(c, "object")
-        value = present(quoted(c))
+        value = present(quoted(c)) if raw else quoted(c)
         if kind == "int64":
             value = value.try_cast("bigint")
         elif kind == "float64":

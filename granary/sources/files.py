@@ -24,7 +24,8 @@ def _any_case_glob(ext: str) -> str:
 def discover_files(spark: SparkSession, root: str | list[str], ext: str = ".csv") -> DataFrame:
     """``(path, name, size, modified)`` of all files below ``root``, any case of the extension.
 
-    Only file listings are read, no contents. Raises when nothing matches.
+    Only file listings are read, no contents. Files of zero bytes are not listed.
+    Raises when nothing matches.
     """
     files = (
         spark.read.format("binaryFile")

@@ -95,7 +95,7 @@ def scan_csv(
 
 
 def typed(df: DataFrame, types: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Text columns cast by their inferred types; source, position and label stay as they are.
+    """Scanned text columns cast by their inferred types; source, position and label stay.
 
     Types are decided over all rows in one pass, not per chunk.
     """
@@ -103,19 +103,9 @@ def typed(df: DataFrame, types: dict[str, str] | None = None, keep: tuple[str, .
     texts = [c for c in df.columns if c not in fixed]
     if types is None:
         block = df.select(*[quoted(c) for c in texts])
-        types = {r["name"]: r["dtype"] for r in infer_types(block).collect()}
-        # Integers with missing values come back as int64 with NULLs.
-    cast = cast_by_profile(df.select(*[quoted(c) for c in texts]), types)
-    by_name = {f.name: f.dataType for f in cast.schema.fields}
-    out = []
-    for c in df.columns:
-        if c in fixed:
-            out.append(quoted(c))
-        elif isinstance(by_name[c], T.StringType):
-            out.append(quoted(c))
-        else:
-            out.append(quoted(c).try_cast(by_name[c]).alias(c))
-    return df.select(*out)
+        found = infer_types(block, nullable_integers=True).collect()
+        types = {r["name"]: r["dtype"] for r in found}
+    return cast_by_profile(df, types, skip=fixed, raw=False)
 
 
 def sample_files(
