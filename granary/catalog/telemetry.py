@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.catalog.inputs import LEVEL, METRICS, metrics, r6
 from granary.operators import bandit as B
 from granary.operators import telemetry as I
+from granary.session import written
 
 WINDOW = 3600.0
 
@@ -96,20 +97,20 @@ def _acted(df):
     )
 
 
-def _statistics(spark, sf):
-    rewarded = I.reward(_acted(_context(spark, sf)))
-    return B.linucb_statistics(rewarded, "action", CONTEXT, "reward")
+def _statistics(context):
+    return B.linucb_statistics(I.reward(_acted(context)), "action", CONTEXT, "reward")
 
 
 def statistics(spark, sf):
-    cells = _statistics(spark, sf).select("action", "n", F.posexplode(F.concat("a", "b")))
+    cells = _statistics(_context(spark, sf)).select("action", "n", F.posexplode(F.concat("a", "b")))
     return cells.select(
         "action", "n", F.col("pos").cast("bigint").alias("cell"), F.round("col", 4).alias("value")
     )
 
 
 def scores(spark, sf):
-    scored = B.linucb_scores(_context(spark, sf), _statistics(spark, sf), CONTEXT)
+    context = written(_context(spark, sf), "context")  # for the statistics and the scores
+    scored = B.linucb_scores(context, _statistics(context), CONTEXT)
     return scored.select("run_id", "seq", "best_action", r6("best_score").alias("best_score"))
 
 

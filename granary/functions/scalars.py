@@ -267,10 +267,22 @@ def outer(x: Column, y: Column) -> Column:
     return F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: a * b)))
 
 
-def quadratic_form(x: Column, matrix: list[list[float]]) -> Column:
-    """``x' M x`` for a literal matrix."""
-    rows = F.array(*[dot(x, F.array(*[F.lit(float(v)) for v in row])) for row in matrix])
-    return dot(x, rows)
+def quadratic_form(x: Column | list[Column], matrix: list[list[float]]) -> Column:
+    """``x' M x`` for a literal matrix, as plain arithmetic; ``x`` is an array or its elements."""
+    parts = [F.get(x, F.lit(i)) for i in range(len(matrix))] if isinstance(x, Column) else x
+    return reduce(
+        lambda total, term: total + term,
+        [
+            parts[i] * parts[j] * F.lit(float(value))
+            for i, row in enumerate(matrix)
+            for j, value in enumerate(row)
+        ],
+    )
+
+
+def linear_form(x: list[Column], weights: list[float]) -> Column:
+    """``w' x`` for literal weights, as plain arithmetic."""
+    return reduce(lambda a, b: a + b, [c * F.lit(float(w)) for c, w in zip(x, weights)])
 
 
 def key_hash(key: Column | str, seed: int | Column) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.scalars import dot, quadratic_form
+from granary.functions.scalars import linear_form, quadratic_form
 
 # Number of context features, exploration weight, and the
 # actions as (change of workers, chunk factor).
@@ -52,14 +52,13 @@ def linucb_scores(
         r["action"]: (np.array(r["a"]).reshape(d, d), np.array(r["b"]))
         for r in statistics.where(F.col("action") < n_actions).collect()
     }
-    x = F.array(*[F.col(f).cast("double") for f in features])
+    x = [F.col(f).cast("double") for f in features]
     scores: list[Column] = []
     for i in range(n_actions):
         a, b = fitted.get(i, (np.eye(d), np.zeros(d)))
         inverse = np.linalg.inv(a)
-        theta = F.array(*[F.lit(float(v)) for v in inverse @ b])
         spread = F.sqrt(F.greatest(quadratic_form(x, inverse.tolist()), F.lit(0.0)))
-        scores.append(dot(theta, x) + F.lit(alpha) * spread)
+        scores.append(linear_form(x, (inverse @ b).tolist()) + F.lit(alpha) * spread)
     ranked = F.array(
         *[F.struct(s.alias("score"), F.lit(-i).alias("earlier")) for i, s in enumerate(scores)]
     )

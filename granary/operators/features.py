@@ -16,7 +16,7 @@ from granary.operators.clean import (
 )
 from granary.operators.schema import LABEL, numeric_columns
 from granary.plans.ranks import dense_index
-from granary.plans.small import join_same_keys, small_side
+from granary.plans.small import join_same_keys, small_rows, small_side
 
 
 def fit_standardizer(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -51,8 +51,17 @@ def standardize(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def fit_label_index(df: DataFrame, label: str = LABEL, out: str = "label_idx") -> DataFrame:
-    """Distinct labels in byte order, numbered from 0."""
-    return dense_index(df.select(F.col(label).cast("string").alias(label)), label, out)
+    """Distinct labels in byte order, numbered from 0.
+
+    A few labels are numbered on the driver after a size check; many stay distributed.
+    """
+    values = df.select(F.col(label).cast("string").alias(label)).where(F.col(label).isNotNull()).distinct()
+    rows = small_rows(values)
+    if rows is None:
+        return dense_index(values, label, out)
+    labels = sorted((r[label] for r in rows), key=lambda v: v.encode("utf-8"))
+    numbered = [(v, i) for i, v in enumerate(labels)]
+    return df.sparkSession.createDataFrame(numbered, f"`{label}` string, `{out}` bigint")
 
 
 def encode_labels(df: DataFrame, index: DataFrame, label: str = LABEL) -> DataFrame:
@@ -121,37 +130,40 @@ def build_training_matrix(
     return TrainingMatrix(assemble_features(encoded, cols), classes, list(cols))
 
 
-def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Long form per column: rows, distinct values, infinities, NaN, mean and std of the
-    finite values. Distinct values are counted as combined (column, value) pairs."""
-    values = df.select(
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(c).alias("name"), quoted(c).cast("double").alias("v")) for c in cols]
-            )
-        ).alias("p")
-    ).select("p.name", "p.v")
+def column_stats(df: DataFrame, cols: list[str], approximate: bool = False) -> DataFrame:
+    """Long form per column: values, infinities, NaN, mean and std of the finite values,
+    and distinct values.
+
+    Distinct values are counted exactly as combined (column, value) pairs, or
+    from sketches with ``approximate``, which keeps it to one pass without a
+    shuffle of values.
+    """
+
+    def summary(name: str):
+        value = quoted(name).cast("double")
+        infinite, nan = F.abs(value) == float("inf"), F.isnan(value)
+        finite = F.when(~(infinite | nan), value)
+        fields = [
+            F.lit(name).alias("name"),
+            F.count(value).alias("n"),
+            F.count_if(infinite).alias("n_inf"),
+            F.count_if(nan).alias("n_nan"),
+            F.avg(finite).alias("mean"),
+            F.stddev_pop(finite).alias("std"),
+        ]
+        if approximate:
+            fields.append(F.approx_count_distinct(value).alias("distinct_values"))
+        return F.struct(*fields)
+
+    stats = df.agg(F.array(*[summary(c) for c in cols]).alias("stats"))
+    long = stats.select(F.explode("stats").alias("s")).select("s.*")
+    if approximate:
+        return long
+    pairs = [F.struct(F.lit(c).alias("name"), quoted(c).cast("double").alias("v")) for c in cols]
+    values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.name", "p.v")
     per_value = values.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
     distinct = per_value.groupBy("name").agg(F.count("v").alias("distinct_values"))
-    infinite = lambda c: F.abs(quoted(c).cast("double")) == float("inf")
-    nan = lambda c: F.isnan(quoted(c).cast("double"))
-    finite = lambda c: F.when(~(infinite(c) | nan(c)), quoted(c).cast("double"))
-    stats = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("name"),
-                    F.count(quoted(c)).alias("n"),
-                    F.count_if(infinite(c)).alias("n_inf"),
-                    F.count_if(nan(c)).alias("n_nan"),
-                    F.avg(finite(c)).alias("mean"),
-                    F.stddev_pop(finite(c)).alias("std"),
-                )
-                for c in cols
-            ]
-        ).alias("stats")
-    )
-    return stats.select(F.explode("stats").alias("s")).select("s.*").join(distinct, "name")
+    return long.join(distinct, "name")
 
 
 __all__ = [

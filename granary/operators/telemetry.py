@@ -22,15 +22,12 @@ from granary.plans.slices import (
     add_parts,
     add_slices,
     before,
-    bucketize,
-    cut_points,
     part_window,
-    slice_count,
     throughout,
     upto,
     with_carry,
 )
-from granary.session import ensure_checkpoint_dir
+from granary.session import written
 
 RUN = "run_id"
 ORDER = ("ts", "seq")
@@ -79,29 +76,30 @@ def _order_key() -> Column:
 def rows_in_window(df: DataFrame, seconds: float = WINDOW_START, out: str = "window_rows") -> DataFrame:
     """Rows processed in the trailing window, both ends inclusive, in arrival order.
 
-    Samples near the end of a time slice are also sent to the slices their
-    window reaches into; the copies are dropped after the sum.
+    Every sample adds its rows when it arrives and takes them back when it leaves
+    the window, after the arrivals of that instant. The window's content is the
+    running sum of these changes: linear work, however many samples it spans.
     """
     span = int(round(seconds * MICROS))
-    timed = df.withColumn("__t", _micros()).withColumn("__from", F.col("__t").cast("double"))
-    points, _hot = cut_points(timed, "__from", slice_count(df))
-    reach = timed.withColumn("__to", F.col("__from") + F.lit(float(span)))
-    placed = bucketize(bucketize(reach, "__from", "__home", points), "__to", "__last", points)
-    copies = placed.withColumn(
-        "__slice",
-        F.explode(F.sequence(F.col("__home").cast("int"), F.col("__last").cast("int"))),
+    arrivals = df.withColumn("__t", _micros()).withColumn("__leaves", F.lit(0)).withColumn(
+        "__change", F.col("rows_processed").cast("bigint")
     )
-    in_slice = Window.partitionBy(RUN, "__slice")
-    trailing = in_slice.orderBy("__t").rangeBetween(-span, 0)
-    # Samples of the same instant that arrive later do not count yet.
-    later_peers = (
-        Window.partitionBy(RUN, "__slice", "__t").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    departures = df.select(
+        RUN,
+        (_micros() + F.lit(span)).alias("__t"),
+        F.lit(1).alias("__leaves"),
+        (-F.col("rows_processed")).cast("bigint").alias("__change"),
     )
-    total = F.sum("rows_processed").over(trailing) - F.coalesce(
-        F.sum("rows_processed").over(later_peers), F.lit(0)
+    changes = arrivals.unionByName(departures, allowMissingColumns=True)
+    parted = add_parts(changes, [RUN], ["__t"])
+    here = F.sum("__change").over(upto(part_window(["__t", "__leaves", "seq"])))
+    carried = with_carry(
+        parted.withColumn("__here", here),
+        {"__sum": F.sum("__change")},
+        {"__ahead": lambda w: F.coalesce(F.sum("__sum").over(before(w)), F.lit(0))},
     )
-    summed = copies.withColumn(out, total.cast("bigint"))
-    return summed.where(F.col("__slice") == F.col("__home")).select(*df.columns, out)
+    content = (F.col("__here") + F.col("__ahead")).alias(out)
+    return carried.where(F.col("__leaves") == 0).select(*df.columns, content)
 
 
 def throughput_sample(window_seconds: Column | float = WINDOW_START) -> Column:
@@ -213,17 +211,14 @@ def adaptive_window(df: DataFrame, out: str = "window_seconds") -> DataFrame:
 
     A sample without reported throughput depends on the width before it. Such
     widths are guessed and the walk repeated until no guess changes; the walk
-    has one solution, so the result is exact. Each round is written to the
-    checkpoint folder.
+    has one solution, so the result is exact. The steps of each round are
+    written to the shared folder, since the walk reads them several times.
     """
     depends = (F.col("throughput") <= 0) & (F.col("rows_processed") > 0)
-    work = df.select(RUN, *ORDER, "throughput", "rows_processed").withColumn(
-        "__before", F.lit(WINDOW_START)
-    )
+    inputs = ["throughput", "rows_processed"]
+    work = df.select(RUN, *ORDER, *inputs).withColumn("__before", F.lit(WINDOW_START))
     work, slices = add_slices(work, list(ORDER))
-    guessed = work.where(depends).limit(1).count() > 0
-    if guessed:
-        ensure_checkpoint_dir(df.sparkSession)
+    guessing = work.where(depends).limit(1).count() > 0
     while True:
         sampled = work.withColumn("__sample", throughput_sample(F.col("__before")).cast("double"))
         parted = add_parts(sampled, [RUN], slices=slices)
@@ -232,19 +227,17 @@ def adaptive_window(df: DataFrame, out: str = "window_seconds") -> DataFrame:
         step = (
             F.when(cv < STEADY_BELOW, -WINDOW_STEP).when(cv > UNSTEADY_ABOVE, WINDOW_STEP).otherwise(0.0)
         )
-        stepped = recent.select(
-            RUN, *slices, *ORDER, "throughput", "rows_processed",
-            F.col("__before").alias("__guess"), step.alias("__step"),
-        )
-        walked = _walk_all(stepped, slices).select(RUN, *ORDER, "__before", "__after")
-        if not guessed:
+        kept = [*inputs, F.col("__before").alias("__guess")] if guessing else []
+        steps = written(recent.select(RUN, *slices, *ORDER, *kept, step.alias("__step")), "steps")
+        walked = _walk_all(steps, slices)
+        if not guessing:
             break
-        checked = stepped.join(walked, [RUN, *ORDER]).checkpoint()
-        if checked.where(depends & (F.col("__guess") != F.col("__before"))).limit(1).count() == 0:
-            walked = checked
+        walked = written(steps.join(walked, [RUN, *slices, *ORDER, "__step"]), "widths")
+        if walked.where(depends & (F.col("__guess") != F.col("__before"))).limit(1).count() == 0:
             break
-        work = checked.select(RUN, *slices, *ORDER, "throughput", "rows_processed", "__before")
-    return df.join(walked.select(RUN, *ORDER, F.col("__after").alias(out)), [RUN, *ORDER])
+        work = walked.select(RUN, *slices, *ORDER, *inputs, "__before")
+    widths = walked.select(RUN, *ORDER, F.col("__after").alias(out))
+    return df.join(widths, [RUN, *ORDER])
 
 
 def context_features(

@@ -14,6 +14,7 @@ from granary.operators.features import TrainingMatrix, build_training_matrix
 from granary.operators.relations import pending_inputs
 from granary.operators.schema import LABEL, SOURCE
 from granary.operators.split import TRAIN, TRAIN_RATIO, random_split, ratio_split, split_summary
+from granary.session import written
 from granary.sinks.tables import (
     completed_files,
     read_manifest,
@@ -53,7 +54,8 @@ def consolidate_files(
         raw = scan_csv(spark, files=files, positions=True)
     else:
         raw = sample_files(spark, n=sample_rows, files=files, positions=True)
-    clean = _sanitize_features(typed(raw, types), narrow)
+    # Stored once: the split reads it twice, and the row positions stay what they are.
+    clean = written(_sanitize_features(typed(raw, types), narrow), "clean")
     if LABEL not in clean.columns:
         place = F.concat_ws(":", SOURCE, *[F.col(p).cast("string") for p in POSITION])
         keyed = clean.withColumn("__key", place)

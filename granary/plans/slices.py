@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 PART = "__part"
 MIN_SLICES = 8
 MAX_SLICES = 20_000
+# Share of the rows that is read to place the slice bounds, and how many values
+# per slice that must yield; otherwise all rows are read.
+BOUNDS_SHARE = 0.01
+VALUES_PER_SLICE = 100
 
 
 def slice_count(df: DataFrame) -> int:
@@ -46,12 +50,24 @@ def sortable_number(df: DataFrame, name: str) -> Column:
     return F.coalesce(number, F.lit(float("-inf")))
 
 
+def _quantiles(rows: DataFrame, number: str, n: int) -> tuple[list[float], int]:
+    shares = [i / n for i in range(1, n)]
+    found = rows.agg(
+        F.percentile_approx(number, shares, max(1000, 10 * n)).alias("q"), F.count(number).alias("rows")
+    ).first()
+    return found["q"] or [], found["rows"]
+
+
 def cut_points(df: DataFrame, number: str, n: int) -> tuple[list[float], list[float]]:
     """Approximate n-quantiles of a double column, and the values that fill several of them.
 
-    At most ``n`` numbers reach the driver. A hot value gets a slice of its own.
+    Only the balance of the slices depends on the quantiles, never a result, so
+    they are read from a sample when that holds enough values. At most ``n``
+    numbers reach the driver. A hot value gets a slice of its own.
     """
-    cuts = df.stat.approxQuantile(number, [i / n for i in range(1, n)], 1.0 / (4 * n))
+    cuts, seen = _quantiles(df.sample(BOUNDS_SHARE, seed=1), number, n)
+    if seen < VALUES_PER_SLICE * n:
+        cuts, _seen = _quantiles(df, number, n)
     cuts = [c for c in cuts if math.isfinite(c)]
     hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     return sorted(set(cuts) | {math.nextafter(h, math.inf) for h in hot}), hot

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,7 +46,8 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/granary/{tag}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Let ``DataFrame.checkpoint`` write below the shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and safe from lost executors."""
+    path = shared_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ which together with the checkpoint makes their output exactly-once.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,7 +117,9 @@ def stream_ratio_split(
     """The ratio split over a stream whose batches arrive in order; returns the query."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        split_batch(batch, batch_id, order, out, by, ratio)
+        kept = batch.persist(StorageLevel.DISK_ONLY)  # read for bounds, counts and rows
+        split_batch(kept, batch_id, order, out, by, ratio)
+        kept.unpersist()
 
     return (
         stream.writeStream.foreachBatch(split)
