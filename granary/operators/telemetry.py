@@ -8,16 +8,14 @@ within a run. A run may hold any share of all samples, so every window works on
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.scalars import (
-    coefficient_of_variation,
-    mean_of,
-    std_pop_of,
-)
+from granary.functions.scalars import coefficient_of_variation
 from granary.plans.slices import (
     add_parts,
     add_slices,
@@ -110,54 +108,72 @@ def throughput_sample(window_seconds: Column | float = WINDOW_START) -> Column:
     )
 
 
-def _last_values(parted: DataFrame, value: str, n: int, out: str) -> DataFrame:
-    """Add the last ``n`` values up to each row as an array, across slice borders."""
-    near = F.collect_list(value).over(_along().rowsBetween(1 - n, 0))
-
-    def newest(array: Column, k: int) -> Column:
-        return F.reverse(F.slice(F.reverse(array), 1, k))
+def _variation(parted: DataFrame, value: str, out: str = "__cv") -> DataFrame:
+    """Add the coefficient of variation of the last samples, NULL while they are too few.
 
+    The samples before a row come from its own slice by position; the first rows
+    of a slice take the missing ones from the tails of the slices before.
+    """
+    back = range(1, SAMPLES)
+    near = [F.lag(value, k).over(_along()).alias(f"__lag{k}") for k in back]
+    local = parted.select("*", F.row_number().over(_along()).alias("__place"), *near)
+    newest_first = F.array_compact(F.array(value, *[F.col(f"__lag{k}") for k in back[:-1]]))
     carried = with_carry(
-        parted.withColumn("__near", near),
-        {"__tail": F.max_by("__near", _order_key())},
-        # Every earlier slice holds at least one sample, so n-1 of them suffice.
+        local,
+        {"__tail": F.max_by(newest_first, _order_key())},
+        # Every earlier slice holds at least one sample, so that many slices suffice.
         {
-            "__prior": lambda w: newest(
-                F.flatten(F.collect_list("__tail").over(w.rowsBetween(1 - n, -1))), n - 1
+            "__prior": lambda w: F.flatten(
+                F.reverse(F.collect_list("__tail").over(w.rowsBetween(1 - SAMPLES, -1)))
             )
         },
     )
-    recent = newest(F.concat("__prior", "__near"), n)
-    return carried.withColumn(out, recent).drop("__near", "__prior")
+    values = [F.col(value)] + [
+        F.when(F.col("__place") > k, F.col(f"__lag{k}")).otherwise(
+            F.get("__prior", (F.lit(k) - F.col("__place")).cast("int"))
+        )
+        for k in back
+    ]
+    recent = carried.select(
+        *parted.columns, *[v.alias(f"__v{k}") for k, v in enumerate(values)]
+    )
+    columns = [F.col(f"__v{k}") for k in range(SAMPLES)]
 
+    def total(terms: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0.0)) for t in terms])
 
-def _variation(values: Column) -> Column:
-    ready = F.size(values) >= SAMPLES_NEEDED
-    return F.when(ready, coefficient_of_variation(mean_of(values), std_pop_of(values)))
+    number = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), 1).otherwise(0) for c in columns])
+    counted = recent.select("*", number.alias("__n")).select(
+        "*", (total(columns) / F.col("__n")).alias("__mean")
+    )
+    spread = total([(c - F.col("__mean")) * (c - F.col("__mean")) for c in columns])
+    cv = coefficient_of_variation(F.col("__mean"), F.sqrt(spread / F.col("__n")))
+    ready = F.when(F.col("__n") >= SAMPLES_NEEDED, cv)
+    return counted.select(*parted.columns, ready.alias(out))
 
 
 def throughput_cv(df: DataFrame, window_seconds: float = WINDOW_START, out: str = "cv") -> DataFrame:
     """Coefficient of variation of the last eight samples; NULL before the fourth."""
     sampled = df.withColumn("__sample", throughput_sample(window_seconds).cast("double"))
-    recent = _last_values(_parted(sampled), "__sample", SAMPLES, "__recent")
-    return recent.select(*df.columns, _variation(F.col("__recent")).alias(out))
+    return _variation(_parted(sampled), "__sample", out).select(*df.columns, out)
 
 
 def _walk(steps: np.ndarray, start: float) -> np.ndarray:
     """Window width after each step, kept within its bounds."""
-    out = np.empty(len(steps))
-    width = start
-    for i, step in enumerate(steps):
+    moves = np.flatnonzero(steps)
+    widths = np.empty(len(moves) + 1)
+    widths[0] = width = start
+    for i, step in enumerate(steps[moves].tolist(), 1):
         width = min(WINDOW_MAX, max(WINDOW_MIN, width + step))
-        out[i] = width
-    return out
+        widths[i] = width
+    return widths[np.cumsum(steps != 0)]
 
 
 def _slice_effect(pdf: pd.DataFrame) -> pd.DataFrame:
     """A slice's steps as one bounded shift: ``min(high, max(low, w + shift))``."""
-    pdf = pdf.sort_values(list(ORDER))
+    steps = pdf.sort_values(list(ORDER))["__step"].to_numpy()
     shift, low, high = 0.0, -np.inf, np.inf
-    for step in pdf["__step"].to_numpy():
+    for step in steps[steps != 0].tolist():
         shift += step
         low = min(WINDOW_MAX, max(WINDOW_MIN, low + step))
         high = min(WINDOW_MAX, max(WINDOW_MIN, high + step))
@@ -222,8 +238,8 @@ def adaptive_window(df: DataFrame, out: str = "window_seconds") -> DataFrame:
     while True:
         sampled = work.withColumn("__sample", throughput_sample(F.col("__before")).cast("double"))
         parted = add_parts(sampled, [RUN], slices=slices)
-        recent = _last_values(parted, "__sample", SAMPLES, "__recent")
-        cv = _variation(F.col("__recent"))
+        recent = _variation(parted, "__sample")
+        cv = F.col("__cv")
         step = (
             F.when(cv < STEADY_BELOW, -WINDOW_STEP).when(cv > UNSTEADY_ABOVE, WINDOW_STEP).otherwise(0.0)
         )
