@@ -142,6 +142,7 @@ QUERIES = {
     "f10_column_alignment": column_alignment,
     "f10_verdict": verdict,
     "f11_column_stats": column_stats,
+    "k3_write_matrix": matrix_artifact,
 }
 
 _SCALED = ", ".join(
@@ -199,3 +200,5 @@ ORACLES = {
         _COLUMN.format(c) for c in ("price", "l_quantity", "l_tax")
     ),
 }
+
+ORACLES["k3_write_matrix"] = ORACLES["a9_scan_dataset_artifact"]

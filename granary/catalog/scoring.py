@@ -166,6 +166,14 @@ def overview(spark, sf):
     return H.results_summary(trials(spark, sf), KEYS).withColumn("best_score", r6("best_score"))
 
 
+def models_by_name(spark, sf):
+    return best(spark, sf).orderBy("model", *KEYS)
+
+
+def models_by_score(spark, sf):
+    return comparison(spark, sf).orderBy(F.desc("f1_score"), "model", *KEYS)
+
+
 QUERIES = {
     "g2_logistic_regression": _fitted("Logistic Regression", {"C": 1.0, "max_iter": 50}),
     "g3_gaussian_nb": gaussian,
@@ -194,6 +202,9 @@ QUERIES = {
     "h7_score_vs_complexity": complexity,
     "h8_rank_configs": ranking,
     "h9_results_summary": overview,
+    "s3_models_by_name": models_by_name,
+    "s4_models_by_score": models_by_score,
+    "s5_first_best": best,
 }
 
 _PARAMS = "'C=' || p_c || ', max_iter=' || p_iter"
@@ -276,3 +287,7 @@ ORACLES = {
     "h9_results_summary": f"""with {TRIALS} select experiment_id, count(distinct model) as n_models,
       count(*) as n_combos, round(max(f1), 6) as best_score from trials group by 1""",
 }
+
+ORACLES["s3_models_by_name"] = ORACLES["g10_best_per_model"]
+ORACLES["s4_models_by_score"] = ORACLES["h2_compare_models"]
+ORACLES["s5_first_best"] = ORACLES["g10_best_per_model"]

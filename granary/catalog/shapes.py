@@ -152,6 +152,8 @@ QUERIES = {
     "b7_dtype_diff": type_differences,
     "b8_numeric_columns": numeric,
     "b9_schema_fingerprint": fingerprints,
+    "s1_sorted_columns": union_columns,
+    "s7_head_per_source": sample,
 }
 
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", " label "]
@@ -242,3 +244,6 @@ ORACLES = {
       substr(sha1('["' || string_agg(name, '","' order by pos) || '"]'), 1, 10) as fingerprint
       from h group by 1""",
 }
+
+ORACLES["s1_sorted_columns"] = ORACLES["b1_union_schema"]
+ORACLES["s7_head_per_source"] = ORACLES["a4_scan_sample"]

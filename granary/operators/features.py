@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import quoted
 from granary.operators.clean import (
     coerce_numeric,
-    impute_mean,
     null_out_infinities,
     replace_columns,
 )
@@ -91,6 +90,20 @@ class TrainingMatrix:
         )
 
 
+def scaled_values(values: list[Column], row) -> list[Column]:
+    """Values imputed by their mean and standardized, from ``rows``, ``n*``, ``m*``, ``v*``.
+
+    Filling with the mean keeps a column's mean, and its variance shrinks by the
+    share of filled values; so one pass over the raw values suffices.
+    """
+    out = []
+    for i, value in enumerate(values):
+        mean = row[f"m{i}"] or 0.0
+        std = ((row[f"v{i}"] or 0.0) * row[f"n{i}"] / max(row["rows"], 1)) ** 0.5
+        out.append((F.coalesce(value, F.lit(mean)) - F.lit(mean)) / F.lit(std or 1.0))
+    return out
+
+
 def build_training_matrix(
     df: DataFrame,
     cols: list[str] | None = None,
@@ -98,34 +111,32 @@ def build_training_matrix(
     keep: tuple[str, ...] = (),
     fit_where=None,
     sample_rows: int | None = None,
+    scale: bool = True,
 ) -> TrainingMatrix:
     """Numeric features cleaned (no clipping), mean-imputed and standardized, labels encoded.
 
     Two small fits (column means and spreads; labels), then one narrow projection
     with literals. ``fit_where`` restricts the rows that the fits see, which keeps
-    held-out rows from leaking into the scaling.
+    held-out rows from leaking into the scaling; ``scale=False`` leaves the
+    features unscaled, with NULL for missing values.
     """
     cols = cols or [c for c in numeric_columns(df, label, sample_rows) if c not in keep]
     base = df.select(
         *[quoted(c) for c in keep], F.col(label).cast("string").alias(label), *[quoted(c) for c in cols]
     )
     cleaned = base.transform(coerce_numeric, cols).transform(null_out_infinities, cols)
-    fit_rows = cleaned if fit_where is None else cleaned.where(fit_where)
-    # Mean imputation keeps a column's mean; its spread shrinks by the filled share.
-    row = fit_rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.var_pop(quoted(c)).alias(f"v{i}") for i, c in enumerate(cols)],
-    ).first()
-    new = {}
-    for i, c in enumerate(cols):
-        mean = row[f"m{i}"] or 0.0
-        std = ((row[f"v{i}"] or 0.0) * row[f"n{i}"] / max(row["rows"], 1)) ** 0.5
-        new[c] = (F.coalesce(quoted(c), F.lit(mean)) - F.lit(mean)) / F.lit(std or 1.0)
-    scaled = replace_columns(cleaned, new)
+    if scale:
+        fit_rows = cleaned if fit_where is None else cleaned.where(fit_where)
+        row = fit_rows.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+            *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+            *[F.var_pop(quoted(c)).alias(f"v{i}") for i, c in enumerate(cols)],
+        ).first()
+        scaled = scaled_values([quoted(c) for c in cols], row)
+        cleaned = replace_columns(cleaned, dict(zip(cols, scaled)))
     index = fit_label_index(base, label)
-    encoded = encode_labels(scaled, index, label)
+    encoded = encode_labels(cleaned, index, label)
     classes = [r[label] for r in index.orderBy("label_idx").collect()]
     return TrainingMatrix(assemble_features(encoded, cols), classes, list(cols))
 
@@ -165,15 +176,3 @@ def column_stats(df: DataFrame, cols: list[str], approximate: bool = False) -> D
     distinct = per_value.groupBy("name").agg(F.count("v").alias("distinct_values"))
     return long.join(distinct, "name")
 
-
-__all__ = [
-    "TrainingMatrix",
-    "assemble_features",
-    "build_training_matrix",
-    "column_stats",
-    "encode_labels",
-    "fit_label_index",
-    "fit_standardizer",
-    "impute_mean",
-    "standardize",
-]

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from granary.functions.scalars import quoted
 from granary.operators.clean import sanitize
-from granary.operators.features import TrainingMatrix, build_training_matrix
+from granary.operators.features import build_training_matrix
 from granary.operators.relations import pending_inputs
-from granary.operators.schema import LABEL, SOURCE
+from granary.operators.schema import LABEL, SOURCE, numeric_columns
 from granary.operators.split import TRAIN, TRAIN_RATIO, random_split, ratio_split, split_summary
 from granary.session import written
 from granary.sinks.tables import (
@@ -32,7 +32,7 @@ class ConsolidationResult:
     parts: str
     train: str
     test: str
-    matrix: str
+    matrix: str | None
     summary: DataFrame
 
 
@@ -47,15 +47,16 @@ def consolidate_files(
     """Rows of all files, cleaned and split per file and label in file order.
 
     The block of a row serves as its slice, so no order statistics are needed.
-    Column types are inferred over all rows unless ``types`` names them;
-    ``sample_rows`` takes only the first rows of each file.
+    Column types are inferred over all rows unless ``types`` names them; numbers
+    are doubles, so that the parts of several runs fit together. ``sample_rows``
+    takes only the first rows of each file.
     """
     if sample_rows is None:
         raw = scan_csv(spark, files=files, positions=True)
     else:
         raw = sample_files(spark, n=sample_rows, files=files, positions=True)
     # Stored once: the split reads it twice, and the row positions stay what they are.
-    clean = written(_sanitize_features(typed(raw, types), narrow), "clean")
+    clean = written(_sanitize_features(typed(raw, types, integers="float64"), narrow), "clean")
     if LABEL not in clean.columns:
         place = F.concat_ws(":", SOURCE, *[F.col(p).cast("string") for p in POSITION])
         keyed = clean.withColumn("__key", place)
@@ -108,8 +109,11 @@ def run_consolidation(
     rows_by_side = {r["split"]: r["count"] for r in counts}
     write_split(written.drop("source_key"), f"{base}/train", f"{base}/test")
     train = spark.read.parquet(f"{base}/train")
-    matrix = build_training_matrix(train.drop(SOURCE))
-    write_matrix(matrix, f"{base}/matrix")
+    matrix_path = None
+    features = numeric_columns(train.drop(SOURCE))
+    if LABEL in train.columns and features:  # otherwise there is no matrix to build
+        matrix_path = f"{base}/matrix"
+        write_matrix(build_training_matrix(train, cols=features), matrix_path)
     write_manifest(
         spark,
         manifest_path,
@@ -123,4 +127,4 @@ def run_consolidation(
         rows_written_train=rows_by_side.get(TRAIN, 0),
         rows_written_test=sum(n for side, n in rows_by_side.items() if side != TRAIN),
     )
-    return ConsolidationResult(parts, f"{base}/train", f"{base}/test", f"{base}/matrix", summary)
+    return ConsolidationResult(parts, f"{base}/train", f"{base}/test", matrix_path, summary)

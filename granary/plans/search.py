@@ -17,9 +17,9 @@ from granary.operators.evaluation import (
     param_grid,
     weighted_f1,
 )
-from granary.operators.features import build_training_matrix
+from granary.operators.features import build_training_matrix, scaled_values
 from granary.operators.relations import pending_trials
-from granary.operators.schema import LABEL
+from granary.operators.schema import LABEL, numeric_columns
 from granary.operators.split import (
     HOLDOUTS,
     SEED,
@@ -27,7 +27,7 @@ from granary.operators.split import (
     TREE_TEST_SHARE,
     repeated_stratified_holdout,
 )
-from granary.session import shared_dir
+from granary.session import shared_dir, written
 
 TRIAL_SCHEMA = (
     "model_idx bigint, model string, combo_idx bigint, params map<string,string>, "
@@ -36,16 +36,34 @@ TRIAL_SCHEMA = (
 
 
 def prepare_search_table(
-    df: DataFrame, key: str, k: int = HOLDOUTS, seed: int = SEED, features: list[str] | None = None
+    df: DataFrame,
+    key: str,
+    k: int = HOLDOUTS,
+    seed: int = SEED,
+    features: list[str] | None = None,
+    scaled: bool = True,
 ) -> DataFrame:
     """Matrix with holdout flags, written once: the fits read a compact table, and a
-    lost executor costs a re-read, not a recomputation."""
-    matrix = build_training_matrix(df, cols=features, keep=(key,)).data
+    lost executor costs a re-read, not a recomputation.
+
+    ``scaled=False`` keeps raw features with holes, to be scaled per holdout.
+    """
+    matrix = build_training_matrix(df, cols=features, keep=(key,), scale=scaled).data
     flagged = repeated_stratified_holdout(matrix, key, LABEL, k, TEST_SHARE, seed, "test_")
     flagged = repeated_stratified_holdout(flagged, key, LABEL, k, TREE_TEST_SHARE, seed, "tree_test_")
-    path = shared_dir(df.sparkSession, "search-table")
-    flagged.drop(LABEL).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return written(flagged.drop(LABEL), "search-table")
+
+
+def scale_on(table: DataFrame, fit_rows, width: int) -> DataFrame:
+    """Features imputed and standardized by the statistics of the rows ``fit_rows``."""
+    values = [F.get("features", F.lit(i)) for i in range(width)]
+    row = table.where(fit_rows).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)],
+        *[F.var_pop(v).alias(f"v{i}") for i, v in enumerate(values)],
+    ).first()
+    return table.withColumn("features", F.array(*scaled_values(values, row)))
 
 
 def _trial_path(results: str, model: str, combo_idx: int) -> str:
@@ -77,14 +95,25 @@ def holdout_sizes(table: DataFrame, k: int) -> dict[str, int]:
     return row.asDict()
 
 
-def run_trial(table: DataFrame, trial: dict, k: int, results: str, sizes: dict[str, int]) -> None:
-    """Fit and score one combination on every holdout, then write its scores as a unit."""
+def run_trial(
+    table: DataFrame,
+    trial: dict,
+    k: int,
+    results: str,
+    sizes: dict[str, int],
+    width: int | None = None,
+) -> None:
+    """Fit and score one combination on every holdout, then write its scores as a unit.
+
+    ``width`` asks for scaling by the train rows of each holdout.
+    """
     spark = table.sparkSession
     rows = []
     for i in range(k):
         flag = _flag(trial["model"], i)
-        train, test = table.where(~F.col(flag)), table.where(F.col(flag))
         try:
+            rows_of_fold = table if width is None else scale_on(table, ~F.col(flag), width)
+            train, test = rows_of_fold.where(~F.col(flag)), rows_of_fold.where(F.col(flag))
             scored = fit_predict(trial["model"], trial["params"], train, test, sizes[flag])
             scored = scored.withColumn(PREDICTION, F.col(PREDICTION).cast("bigint"))
             f1 = weighted_f1(scored, "label_idx", PREDICTION).first()["f1"]
@@ -106,17 +135,24 @@ def grid_search(
     results: str | None = None,
     parallelism: int = 4,
     features: list[str] | None = None,
-    table: DataFrame | None = None,
+    fit_on: str = "all",
 ) -> DataFrame:
     """Mean weighted F1 per trial: ``(model_idx, model, combo_idx, params, f1, holdouts)``.
 
+    ``fit_on="all"`` scales the features once by all rows; ``"train"`` scales
+    them per holdout by its train rows, so that nothing held out leaks in.
+
     Every fit is a distributed job; ``parallelism`` fits are submitted at a time,
     as Spark ML's own cross validator does. Trials already in ``results`` are
     skipped, so a search can be resumed.
     """
     spark = df.sparkSession
     results = results or shared_dir(spark, "trials")
-    table = prepare_search_table(df, key, k, features=features) if table is None else table
+    if fit_on not in ("all", "train"):
+        raise ValueError("fit_on is 'all' or 'train'")
+    names = features or [c for c in numeric_columns(df) if c != key]
+    table = prepare_search_table(df, key, k, features=names, scaled=fit_on == "all")
+    width = len(names) if fit_on == "train" else None
     experiments = spark.createDataFrame([(results,)], "results string")
     grid = param_grid(experiments, PARAM_GRIDS if grids is None else grids).drop("results")
     # The grid is a short fixed list of parameter combinations.
@@ -127,7 +163,7 @@ def grid_search(
         todo = grid.orderBy("model_idx", "combo_idx").collect()
     sizes = holdout_sizes(table, k)
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        jobs = [pool.submit(run_trial, table, row.asDict(), k, results, sizes) for row in todo]
+        jobs = [pool.submit(run_trial, table, row.asDict(), k, results, sizes, width) for row in todo]
         for job in jobs:
             job.result()
     return trial_scores(read_trials(spark, results))
@@ -137,7 +173,7 @@ def trial_scores(runs: DataFrame) -> DataFrame:
     """Mean score per trial with its parameters and the first error, if any."""
     by = ("model_idx", "model", "combo_idx")
     info = runs.groupBy(*by).agg(
-        F.max_by("params", F.lit(1)).alias("params"), F.max("error").alias("error")
+        F.any_value("params").alias("params"), F.max("error").alias("error")
     )
     return mean_score(runs, by).join(info, list(by)).select(
         *by, "params", "f1", "holdouts", "error"

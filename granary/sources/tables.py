@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,10 +93,16 @@ def scan_csv(
     return merged.select(*extra, *[present(quoted(c)).alias(c) for c in columns])
 
 
-def typed(df: DataFrame, types: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def typed(
+    df: DataFrame,
+    types: dict[str, str] | None = None,
+    keep: tuple[str, ...] = (),
+    integers: str = "int64",
+) -> DataFrame:
     """Scanned text columns cast by their inferred types; source, position and label stay.
 
-    Types are decided over all rows in one pass, not per chunk.
+    Types are decided over all rows in one pass, not per chunk. ``integers`` may
+    ask for ``float64``, so that tables of several runs agree on their types.
     """
     fixed = {SOURCE, *POSITION, LABEL, *keep} & set(df.columns)
     texts = [c for c in df.columns if c not in fixed]
@@ -105,7 +110,8 @@ def typed(df: DataFrame, types: dict[str, str] | None = None, keep: tuple[str, .
         block = df.select(*[quoted(c) for c in texts])
         found = infer_types(block, nullable_integers=True).collect()
         types = {r["name"]: r["dtype"] for r in found}
-    return cast_by_profile(df, types, skip=fixed, raw=False)
+    kinds = {c: integers if t == "int64" else t for c, t in types.items()}
+    return cast_by_profile(df, kinds, skip=fixed, raw=False)
 
 
 def sample_files(
@@ -167,7 +173,3 @@ def scan_dataset_artifact(spark: SparkSession, path: str) -> tuple[DataFrame, Da
         raise ValueError(f"matrix at {path} lacks {sorted(lacking)}")
     return data, meta
 
-
-def file_uri(path: str) -> str:
-    """Path as Spark's file metadata spells it."""
-    return path if "://" in path else "file://" + quote(path)

@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import pandas as pd
+from pyspark.sql import SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -62,10 +63,14 @@ def main() -> int:
 
     args = sys.argv[1:]
     sf = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
-    spark = build_session(
-        "compare", "local[8]", spark__sql__shuffle__partitions=8, spark__driver__memory="12g",
-        spark__ui__showConsoleProgress="false",
-    )
+    if os.environ.get("PLAIN_SESSION"):  # Spark's own defaults
+        builder = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        spark = builder.config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = build_session(
+            "compare", "local[8]", spark__sql__shuffle__partitions=8, spark__driver__memory="12g",
+            spark__ui__showConsoleProgress="false",
+        )
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, oracles = duck(sf), all_queries(), all_oracles()
     names = [n for n in queries if not args or any(n.startswith(a) for a in args)]

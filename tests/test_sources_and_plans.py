@@ -190,3 +190,44 @@ def test_grid_search_and_resume(spark, tmp_path):
     assert failed["f1"] == 0.0 and "ValueError" in failed["error"]
     assert full[("Decision Tree", 1)]["f1"] > 0.8
     assert read_trials(spark, results).count() == 10
+
+
+def test_scaling_on_train_rows_only(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "a" if i % 2 else "b", None if i % 9 == 0 else float(rng.normal() + (i % 2) * 3)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id bigint, Label string, x double")
+    got = grid_search(df, "id", {"Logistic Regression": {"C": (1,), "max_iter": (20,)}}, k=2, fit_on="train")
+    row = got.first()
+    assert row["error"] is None and row["f1"] > 0.7
+
+
+def test_names_with_blanks_and_signs_survive(spark, tmp_path):
+    root, out = tmp_path / "in", tmp_path / "out"
+    header = [" Flow Duration", "Flow Bytes/s", "flow.rate", "Flow.Rate", " Label"]
+    write(root / "x.csv", header, [[i, i * 2, i * 3, "t", "a" if i % 2 else "b"] for i in range(20)])
+    result = run_consolidation(spark, str(root), str(out))
+    train = spark.read.parquet(result.train)
+    assert set(train.columns) == {"source", " Flow Duration", "Flow Bytes/s", "flow.rate", "Flow.Rate", "Label"}
+    _data, meta = T.scan_dataset_artifact(spark, result.matrix)
+    assert meta.first()["numeric_cols"] == [" Flow Duration", "Flow Bytes/s", "flow.rate"]
+
+
+def test_sample_run(spark, tmp_path):
+    root, out = tmp_path / "in", tmp_path / "out"
+    write(root / "x.csv", ["v", "label"], [[i, "a"] for i in range(50)])
+    result = run_consolidation(spark, str(root), str(out), sample_rows=10)
+    parts = spark.read.parquet(result.parts)
+    assert sorted(r["v"] for r in parts.collect()) == list(map(float, range(10)))
+    assert parts.where("split = 'train'").count() == 6
+
+
+def test_run_without_label_splits_by_hash_and_builds_no_matrix(spark, tmp_path):
+    root = tmp_path / "in"
+    write(root / "x.csv", ["v"], [[i] for i in range(300)])
+    first = run_consolidation(spark, str(root), str(tmp_path / "a"))
+    second = run_consolidation(spark, str(root), str(tmp_path / "b"))
+    split = [
+        {(r["v"], r["split"]) for r in spark.read.parquet(x.parts).collect()} for x in (first, second)
+    ]
+    assert split[0] == split[1] and first.matrix is None
+    assert abs(sum(s == "train" for _, s in split[0]) / 300 - 0.6) < 0.1
