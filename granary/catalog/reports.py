@@ -82,12 +82,12 @@ def export_json(spark, sf):
 
 
 def run_summary(spark, sf):
-    root = shared_dir(spark, "artifacts")
-    table(spark, sf, "events").coalesce(1).write.parquet(f"{root}/events")
+    """The event log as the manifest of runs, the table folder as their output."""
     log = table(spark, sf, "events").select(
         F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("last_update_ts")
     )
-    return P.run_summary(spark, log, root, ["_SUCCESS", "train.parquet"])
+    found = P.run_summary(spark, log, sf, ["events.parquet", "model.parquet"])
+    return found.select("run_id", "finished", "duration", "name", "status")
 
 
 def text_functions(spark, sf):
@@ -184,6 +184,11 @@ ORACLES = {
       as config from best""",
     "k7_export_json": f"""with {TRIALS}, {BEST} select experiment_id, '20240102_030405' as timestamp,
       count(*) as n_models, round(max(f1_score), 6) as best_score from best group by 1""",
+    "k8_run_summary": """with r as (select event_type as run_id, max(ts) as finished,
+        epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 as s from events group by 1)
+      select run_id, strftime(finished, '%Y-%m-%d %H:%M:%S') as finished,
+        (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' as duration, name, status
+      from r, (values ('events.parquet', 'OK'), ('model.parquet', 'missing')) a(name, status)""",
     "x_text_functions": f"""select doc_id, substr(sha1(text), 1, 10) as digest,
       case when {_SIZE} < 1024 then {_unit(0, "B")} when {_SIZE} < 1048576 then {_unit(1, "KB")}
         when {_SIZE} < 1073741824 then {_unit(2, "MB")} else {_unit(3, "GB")} end as size,

@@ -12,7 +12,11 @@ from granary.sources import files, tables
 
 def discover(spark, sf):
     found = files.discover_files(spark, csv_export(spark, sf))
-    return found.select(folder_of("path").alias("folder"), "name", "size")
+    return found.select(
+        folder_of("path").alias("folder"),
+        F.regexp_extract("name", r"\.[^.]+$", 0).alias("ext"),
+        (F.col("size") > 0).alias("filled"),
+    ).distinct()
 
 
 def _headers(spark, sf):
@@ -57,7 +61,9 @@ def counts(spark, sf):
 
 
 def row_sizes(spark, sf):
-    return tables.row_size_profile(table(spark, sf, "events"), 2000, 1_000_000)
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    sizes = tables.row_size_profile(events, 2000, 1_000_000)
+    return sizes.withColumn("bytes_per_row", F.round("bytes_per_row", 6))
 
 
 def union_columns(spark, sf):
@@ -209,6 +215,12 @@ _OTHER_TYPES = " union all ".join(
 )
 
 ORACLES = {
+    "a1_discover_files": f"""with {_HEADER_ROWS} select distinct folder, '.csv' as ext, true as filled
+      from h""",
+    "a8_row_size_profile": """with e as (select len(event_id || ',' || user_id || ',' || event_type) as w
+        from events order by event_id limit 2000)
+      select count(*) as sampled_rows, round(avg(w), 6) as bytes_per_row,
+        floor(1000000 / avg(w))::bigint as estimated_rows from e""",
     "a2_header_inventory": f"with {_HEADER_ROWS} select * from h",
     "a3_scan_csv": "select * from (" + _CONSOLIDATED + ")",
     "a4_scan_sample": """select event_type, event_id, value from events

@@ -153,7 +153,7 @@ def grid(spark, sf):
 
 def sorted_paths(spark, sf):
     found = discover_files(spark, csv_export(spark, sf))
-    return found.groupBy(folder_of("path").alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+    return found.select(folder_of("path").alias("folder")).distinct().orderBy("folder")
 
 
 def newest_events(spark, sf):
@@ -275,5 +275,6 @@ ORACLES = {
     "g1_param_grid": f"with {GRID_SQL} select s_suppkey as experiment_id, g.* from supplier, g",
     "h10_dedupe_last": """select user_id, min(event_id) as first_position,
       arg_max(event_type, event_id) as event_type from events group by 1""",
+    "s2_sorted_paths": "select * from (values ('customer'), ('part'), ('supplier')) t(folder)",
     "s6_newest": "select event_id, event_type from events order by ts desc, event_id desc limit 300",
 }

@@ -177,6 +177,11 @@ _CELLS = " union all ".join(
     ]
     + [f"select action, n, {25 + i}::bigint, round(b{i}, 4) from st" for i in range(5)]
 )
+_IDENTITY = "[" + ", ".join(
+    "[" + ", ".join(f"a{i}{j}" for j in range(5)) + ", "
+    + ", ".join("1.0" if j == i else "0.0" for j in range(5)) + "]::double[]"
+    for i in range(5)
+) + "]"
 _XS = ["x_ram", "x_cpu", "x_rows", "x_workers", "x_chunk"]
 _SUMS = ", ".join(
     [
@@ -241,6 +246,22 @@ ORACLES = {
     "i10_linucb_statistics": f"""with {_CONTEXT}, {_REWARD},
       st as (select {_ACTION} as action, count(*) as n, {_SUMS} from rw where level = 'normal' group by 1)
       {_CELLS}""",
+    "i10_linucb_scores": f"""with recursive {_CONTEXT}, {_REWARD},
+      st as (select {_ACTION} as action, count(*) as n, {_SUMS} from rw where level = 'normal' group by 1),
+      g as (
+        select action, 1 as k, {_IDENTITY} as mat, [{", ".join(f"b{i}" for i in range(5))}]::double[] as b from st
+        union all
+        select action, k + 1, list_transform(range(1, 6), lambda i: case when i = k then p else
+            list_transform(range(1, 11), lambda c: mat[i][c] - mat[i][k] * p[c]) end), b
+        from (select *, list_transform(mat[k], lambda v: v / mat[k][k]) as p from g where k <= 5)),
+      inv as (select action, list_transform(mat, lambda r: r[6:10]) as m, b from g where k = 6),
+      v as (select run_id, seq, [x_ram, x_cpu, x_rows, x_workers, x_chunk]::double[] as x from x),
+      sc as (select run_id, seq, action, list_inner_product(
+            list_transform(m, lambda r: list_inner_product(r, b)), x)
+          + 1.1 * sqrt(greatest(list_inner_product(
+            list_transform(m, lambda r: list_inner_product(r, x)), x), 0)) as score from v, inv)
+      select run_id, seq, action as best_action, round(score, 6) as best_score from sc
+      qualify row_number() over (partition by run_id, seq order by score desc, action) = 1""",
     "i11_last_active_action": f"""with {METRICS}, a as (select *, {_ACTION} as action from m)
       select run_id, seq, last_value(action ignore nulls) over (
         {_RUN} rows between unbounded preceding and 1 preceding) as rewarded_action from a""",
