@@ -296,6 +296,3 @@ def unit_interval(hash_hex: Column) -> Column:
     """First eight hex digits of a hash as a number in [0, 1)."""
     return F.conv(F.substring(hash_hex, 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
 
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -25,6 +25,7 @@ from granary.plans.slices import (
     upto,
     with_carry,
 )
+from granary.plans.small import small_side
 from granary.session import written
 
 RUN = "run_id"
@@ -89,8 +90,9 @@ def rows_in_window(df: DataFrame, seconds: float = WINDOW_START, out: str = "win
         (-F.col("rows_processed")).cast("bigint").alias("__change"),
     )
     changes = arrivals.unionByName(departures, allowMissingColumns=True)
-    parted = add_parts(changes, [RUN], ["__t"])
-    here = F.sum("__change").over(upto(part_window(["__t", "__leaves", "seq"])))
+    order = ["__t", "__leaves", "seq"]
+    parted = add_parts(changes, [RUN], order)
+    here = F.sum("__change").over(upto(part_window(order)))
     carried = with_carry(
         parted.withColumn("__here", here),
         {"__sum": F.sum("__change")},
@@ -194,7 +196,7 @@ def _entry_widths(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _walk_all(stepped: DataFrame, slices: list[str]) -> DataFrame:
-    """Add ``__before`` and ``__after``, the widths around each step."""
+    """Add ``__after``, the width after each step."""
     fields = {f.name: f.dataType.simpleString() for f in stepped.schema.fields}
     slim = stepped.select(RUN, *slices, *ORDER, "__step")
     key_ddl = ", ".join(f"`{c}` {fields[c]}" for c in (RUN, *slices))
@@ -207,53 +209,119 @@ def _walk_all(stepped: DataFrame, slices: list[str]) -> DataFrame:
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(ORDER))
         after = _walk(pdf["__step"].to_numpy(), pdf["__entry"].iloc[0])
-        first = pdf["__entry"].iloc[0]
-        return pdf.drop(columns="__entry").assign(
-            __before=np.concatenate([[first], after[:-1]]), __after=after
-        )
+        return pdf.drop(columns="__entry").assign(__after=after)
 
     entered = slim.join(entries, [RUN, *slices])
     return entered.groupBy(RUN, *slices).applyInPandas(
-        replay, f"{slim_ddl}, `__before` double, `__after` double"
+        replay, f"{slim_ddl}, `__after` double"
     )
 
 
+def next_width(width: float, samples: list[float]) -> float:
+    """Window width after the newest of the last samples, by their variation."""
+    n = len(samples)
+    if n < SAMPLES_NEEDED:
+        return width
+    mean = sum(samples) / n
+    cv = 0.0
+    if mean > 0:
+        cv = (sum((v - mean) * (v - mean) for v in samples) / n) ** 0.5 / mean
+    if cv < STEADY_BELOW:
+        return max(WINDOW_MIN, width - WINDOW_STEP)
+    if cv > UNSTEADY_ABOVE:
+        return min(WINDOW_MAX, width + WINDOW_STEP)
+    return width
+
+
+def follow_widths(pdf: pd.DataFrame, width: float, samples: list[float]):
+    """Widths after each sample of ``pdf`` in order, and the state behind the last one."""
+    widths, samples = [], list(samples)
+    for throughput, rows in zip(pdf["throughput"].tolist(), pdf["rows_processed"].tolist()):
+        sample = throughput if throughput > 0 else rows / max(0.5, width)
+        samples = [*samples, float(sample)][-SAMPLES:]
+        width = next_width(width, samples)
+        widths.append(width)
+    return widths, width, samples
+
+
+def _follow_from_entries(rows: DataFrame, slices: list[str]) -> DataFrame:
+    """Widths when a sample depends on the width before it: ``(run, ts, seq, __after)``.
+
+    Every slice is followed from a guessed entry state (width and last samples);
+    the exits become the entries of the next slices, and slices whose entry has
+    changed are followed again. The states soon agree, because the width is
+    bounded and forgets where it came from; when no entry changes, all are right.
+    """
+    keys = [RUN, *slices]
+    rows = written(rows, "samples")
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    key_ddl = ", ".join(f"`{c}` {fields[c]}" for c in keys)
+    out_ddl = ", ".join(f"`{c}` {fields[c]}" for c in (RUN, *ORDER)) + ", `__after` double"
+    entry_type = "struct<width: double, samples: array<double>>"
+    start = F.from_json(F.lit(f'{{"width": {WINDOW_START}, "samples": []}}'), entry_type)
+
+    def follow(pdf: pd.DataFrame):
+        pdf = pdf.sort_values(list(ORDER))
+        return pdf, *follow_widths(pdf, pdf["width"].iloc[0], pdf["samples"].iloc[0])
+
+    def exit_state(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, _widths, width, samples = follow(pdf)
+        return pdf.iloc[[0]][keys].assign(width=width, samples=[samples])
+
+    def all_widths(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, widths, _width, _samples = follow(pdf)
+        return pdf[[RUN, *ORDER]].assign(__after=widths)
+
+    def entered(entries: DataFrame) -> DataFrame:
+        state = entries.select(*keys, "entry.width", "entry.samples")
+        return rows.join(small_side(state), keys).groupBy(*keys)
+
+    def followed(entries: DataFrame) -> DataFrame:
+        found = entered(entries).applyInPandas(exit_state, f"{key_ddl}, width double, samples array<double>")
+        return found.select(*keys, F.struct("width", "samples").alias("exit"))
+
+    entries = rows.select(*keys).distinct().withColumn("entry", start)
+    states = written(entries.join(followed(entries), keys), "states")  # one row per slice
+    along = Window.partitionBy(RUN).orderBy(*slices)
+    while True:
+        linked = states.withColumn("next", F.coalesce(F.lag("exit").over(along), start))
+        changed = linked.where(~F.col("next").eqNullSafe(F.col("entry")))
+        if changed.limit(1).count() == 0:
+            break
+        again = followed(changed.select(*keys, F.col("next").alias("entry")))
+        updated = linked.join(again.withColumnRenamed("exit", "new"), keys, "left")
+        states = written(
+            updated.select(*keys, F.col("next").alias("entry"), F.coalesce("new", "exit").alias("exit")),
+            "states",
+        )
+    return entered(states).applyInPandas(all_widths, out_ddl)
+
+
 def adaptive_window(df: DataFrame, out: str = "window_seconds") -> DataFrame:
     """Width of the throughput window after each sample.
 
     The width shrinks by a step while the last samples are steady and grows
     while they are not. A chain of bounded steps is again a bounded shift, so
     each slice is reduced to one, and slices are replayed from their entry width.
-
-    A sample without reported throughput depends on the width before it. Such
-    widths are guessed and the walk repeated until no guess changes; the walk
-    has one solution, so the result is exact. The steps of each round are
-    written to the shared folder, since the walk reads them several times.
+    Only samples without reported throughput depend on the width before them; a
+    log that has any is followed slice by slice instead.
     """
-    depends = (F.col("throughput") <= 0) & (F.col("rows_processed") > 0)
     inputs = ["throughput", "rows_processed"]
-    work = df.select(RUN, *ORDER, *inputs).withColumn("__before", F.lit(WINDOW_START))
-    work, slices = add_slices(work, list(ORDER))
-    guessing = work.where(depends).limit(1).count() > 0
-    while True:
-        sampled = work.withColumn("__sample", throughput_sample(F.col("__before")).cast("double"))
-        parted = add_parts(sampled, [RUN], slices=slices)
-        recent = _variation(parted, "__sample")
+    work, slices = add_slices(df.select(RUN, *ORDER, *inputs), list(ORDER))
+    depends = (F.col("throughput") <= 0) & (F.col("rows_processed") > 0)
+    if work.where(depends).limit(1).count():
+        widths = _follow_from_entries(work, slices)
+    else:
+        sampled = work.withColumn("__sample", throughput_sample().cast("double"))
+        varied = _variation(add_parts(sampled, [RUN], slices=slices), "__sample")
         cv = F.col("__cv")
         step = (
             F.when(cv < STEADY_BELOW, -WINDOW_STEP).when(cv > UNSTEADY_ABOVE, WINDOW_STEP).otherwise(0.0)
         )
-        kept = [*inputs, F.col("__before").alias("__guess")] if guessing else []
-        steps = written(recent.select(RUN, *slices, *ORDER, *kept, step.alias("__step")), "steps")
-        walked = _walk_all(steps, slices)
-        if not guessing:
-            break
-        walked = written(steps.join(walked, [RUN, *slices, *ORDER, "__step"]), "widths")
-        if walked.where(depends & (F.col("__guess") != F.col("__before"))).limit(1).count() == 0:
-            break
-        work = walked.select(RUN, *slices, *ORDER, *inputs, "__before")
-    widths = walked.select(RUN, *ORDER, F.col("__after").alias(out))
-    return df.join(widths, [RUN, *ORDER])
+        # Written once: the walk reads the steps twice.
+        steps = written(varied.select(RUN, *slices, *ORDER, step.alias("__step")), "steps")
+        widths = _walk_all(steps, slices)
+    return df.join(widths.select(RUN, *ORDER, F.col("__after").alias(out)), [RUN, *ORDER])
 
 
 def context_features(

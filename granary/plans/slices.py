@@ -15,6 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PART = "__part"
+MIN_SLICES = 8
+MAX_SLICES = 20_000
+ROWS_PER_SLICE = 2_000_000
+# Values per slice that are read to place the bounds of the slices.
+VALUES_PER_SLICE = 200
+
 PART = "__part"
 MIN_SLICES = 8
 MAX_SLICES = 20_000
@@ -24,10 +31,10 @@ BOUNDS_SHARE = 0.01
 VALUES_PER_SLICE = 100
 
 
-def slice_count(df: DataFrame) -> int:
-    """As many slices as the session has shuffle partitions (within bounds)."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_SLICES, min(MAX_SLICES, wanted))
+def slice_count(df: DataFrame, rows: int) -> int:
+    """As many slices as shuffle partitions, or more when they would grow too long."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_SLICES, min(MAX_SLICES, max(partitions, rows // ROWS_PER_SLICE)))
 
 
 def sortable_number(df: DataFrame, name: str) -> Column:
@@ -50,24 +57,20 @@ def sortable_number(df: DataFrame, name: str) -> Column:
     return F.coalesce(number, F.lit(float("-inf")))
 
 
-def _quantiles(rows: DataFrame, number: str, n: int) -> tuple[list[float], int]:
-    shares = [i / n for i in range(1, n)]
-    found = rows.agg(
-        F.percentile_approx(number, shares, max(1000, 10 * n)).alias("q"), F.count(number).alias("rows")
-    ).first()
-    return found["q"] or [], found["rows"]
-
+def cut_points(df: DataFrame, number: str) -> tuple[list[float], list[float]]:
+    """Bounds of about equally filled slices of a double column, and its hot values.
 
-def cut_points(df: DataFrame, number: str, n: int) -> tuple[list[float], list[float]]:
-    """Approximate n-quantiles of a double column, and the values that fill several of them.
-
-    Only the balance of the slices depends on the quantiles, never a result, so
-    they are read from a sample when that holds enough values. At most ``n``
-    numbers reach the driver. A hot value gets a slice of its own.
+    The bounds are quantiles of a sample that holds a fixed number of values per
+    slice, whatever the size of the data: only the balance of the slices depends
+    on them, never a result. A value that fills several slices is hot and gets a
+    slice of its own.
     """
-    cuts, seen = _quantiles(df.sample(BOUNDS_SHARE, seed=1), number, n)
-    if seen < VALUES_PER_SLICE * n:
-        cuts, _seen = _quantiles(df, number, n)
+    rows = df.count()
+    n = slice_count(df, rows)
+    share = VALUES_PER_SLICE * n / max(rows, 1)
+    sample = df if share >= 1 else df.sample(share, seed=1)
+    shares = [i / n for i in range(1, n)]
+    cuts = sample.agg(F.percentile_approx(number, shares, 20 * n)).first()[0] or []
     cuts = [c for c in cuts if math.isfinite(c)]
     hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     return sorted(set(cuts) | {math.nextafter(h, math.inf) for h in hot}), hot
@@ -83,20 +86,19 @@ def bucketize(df: DataFrame, number: str, out: str, points: list[float]) -> Data
 
 
 def add_slices(
-    df: DataFrame, order: list[str], prefix: str = "__slice", n: int | None = None
+    df: DataFrame, order: list[str], prefix: str = "__slice"
 ) -> tuple[DataFrame, list[str]]:
     """Add slice columns for the ordering ``order``; returns their names too.
 
     The first order column is cut at its approximate quantiles. Rows that share
     a hot value of it are cut further along the next order column, and so on.
     """
-    n = n or slice_count(df)
     names: list[str] = []
     scope = None  # rows whose order columns so far all hold hot values
     for depth, column in enumerate(order):
         number, name = f"{prefix}_num{depth}", f"{prefix}{depth}"
         df = df.withColumn(number, sortable_number(df, column))
-        points, hot = cut_points(df if scope is None else df.where(scope), number, n)
+        points, hot = cut_points(df if scope is None else df.where(scope), number)
         df = bucketize(df, number, name, points)
         if scope is not None:
             df = df.withColumn(name, F.when(scope, F.col(name)).otherwise(F.lit(0)))

@@ -13,15 +13,9 @@ from granary.functions.scalars import quoted
 from granary.operators.telemetry import (
     ALERT_RAM,
     RUN,
-    SAMPLES,
-    SAMPLES_NEEDED,
-    STEADY_BELOW,
-    UNSTEADY_ABOVE,
-    WINDOW_MAX,
-    WINDOW_MIN,
     WINDOW_START,
-    WINDOW_STEP,
     classify_pressure,
+    follow_widths,
 )
 
 
@@ -48,34 +42,13 @@ WIDTH_SCHEMA = f"{RUN} string, ts timestamp, seq bigint, window_seconds double"
 STATE_SCHEMA = "width double, samples array<double>"
 
 
-def _next_width(width: float, samples: list[float]) -> float:
-    """Width after the newest sample, by the variation of the last samples."""
-    if len(samples) < SAMPLES_NEEDED:
-        return width
-    values = pd.Series(samples)
-    mean = values.mean()
-    cv = values.std(ddof=0) / mean if mean > 0 else 0.0
-    if cv < STEADY_BELOW:
-        return max(WINDOW_MIN, width - WINDOW_STEP)
-    if cv > UNSTEADY_ABOVE:
-        return min(WINDOW_MAX, width + WINDOW_STEP)
-    return width
-
-
 def _widths(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
     """One run's new samples in order; the state is the width and the last eight samples."""
     width, samples = state.get if state.exists else (WINDOW_START, [])
-    samples = list(samples)
     pdf = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    out = []
-    for row in pdf.itertuples(index=False):
-        reported = row.throughput > 0
-        sample = row.throughput if reported else row.rows_processed / max(0.5, width)
-        samples = [*samples, float(sample)][-SAMPLES:]
-        width = _next_width(width, samples)
-        out.append(width)
+    out, width, samples = follow_widths(pdf, width, samples)
     state.update((width, samples))
     yield pdf[["ts", "seq"]].assign(**{RUN: key[0], "window_seconds": out})[
         [RUN, "ts", "seq", "window_seconds"]
