@@ -53,7 +53,7 @@ def rewards(spark, sf):
 
 def pressure(spark, sf):
     return I.classify_pressure(metrics(spark, sf)).select(
-        "run_id", "seq", "level", "d_workers", "chunk_factor"
+        "run_id", "seq", "level", "d_workers", "chunk_factor", "reason"
     )
 
 
@@ -226,7 +226,11 @@ ORACLES = {
         (greatest(1, least(12, num_workers + case level when 'GUARD RAM' then 1 - num_workers
           when 'normal' then 0 else -1 end)) - num_workers)::bigint as d_workers,
         case level when 'GUARD RAM' then 0.8 when 'NEAR RAM' then 0.95 when 'GUARD CPU' then 0.9
-          else 1.0 end::double as chunk_factor from l""",
+          else 1.0 end::double as chunk_factor,
+        case level when 'GUARD RAM' then printf('GUARD: RAM %.1f%%', ram_percent)
+          when 'NEAR RAM' then printf('NEAR: RAM %.1f%%', ram_percent)
+          when 'GUARD CPU' then printf('GUARD: CPU %.1f%%', cpu_percent)
+          else 'AI: dw=+0 chunk×=1.00' end as reason from l""",
     "i6_memory_alerts": f"with {METRICS} select run_id, seq, ram_percent from m where ram_percent >= 90",
     "i7_tick_throughput": f"""with {METRICS}, d as (select *,
         (epoch_us(ts) - lag(epoch_us(ts)) over ({_RUN})) / 1000000.0::double as dt from m)

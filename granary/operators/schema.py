@@ -216,10 +216,20 @@ def infer_types(
     return profile.select(F.explode("types").alias("t")).select("t.name", "t.dtype")
 
 
-def numeric_columns(df: DataFrame, label: str = LABEL, sample_rows: int | None = None) -> list[str]:
-    """Names of the numeric columns in table order, without the label."""
-    profile = infer_types(df, sample_rows).collect()
-    return [r["name"] for r in profile if r["dtype"] in ("int64", "float64") and r["name"] != label]
+def numeric_columns(
+    df: DataFrame, label: str = LABEL, sample_rows: int | None = None, texts: bool = True
+) -> list[str]:
+    """Names of the numeric columns in table order, without the label.
+
+    Typed columns are known from the schema; text columns are judged by their
+    values in one pass, unless ``texts`` is false.
+    """
+    raw = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)] if texts else []
+    found = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    if raw:
+        profile = infer_types(df.select(*[quoted(c) for c in raw]), sample_rows).collect()
+        found |= {r["name"] for r in profile if r["dtype"] in ("int64", "float64")}
+    return [c for c in df.columns if c in found and c != label]
 
 
 def numeric_profile(types: DataFrame, label: str = LABEL) -> DataFrame:

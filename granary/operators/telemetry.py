@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.scalars import coefficient_of_variation
+from granary.functions.scalars import coefficient_of_variation, fixed_decimals
 from granary.plans.slices import (
     add_parts,
     add_slices,
@@ -361,7 +361,7 @@ def classify_pressure(
     action_workers: Column | None = None,
     action_factor: Column | None = None,
 ) -> DataFrame:
-    """Pressure level of a sample with the bounded change of workers and chunk factor.
+    """Pressure level of a sample with the bounded change of workers, chunk factor and reason.
 
     Under no pressure the logged action applies (none by default).
     """
@@ -379,10 +379,19 @@ def classify_pressure(
         .otherwise(F.lit(1.0) if action_factor is None else action_factor)
     )
     new_workers = F.greatest(F.lit(1), F.least(F.lit(max_workers), workers + wanted))
+    percent = fixed_decimals(F.when(level == "GUARD CPU", F.col("cpu_percent")).otherwise(F.col("ram_percent")), 1)
+    parts = F.split(level, " ")
+    reason = F.when(
+        level == "normal",
+        F.concat(F.format_string("AI: dw=%+d chunk×=", wanted.cast("bigint")), fixed_decimals(factor, 2)),
+    ).otherwise(
+        F.concat(F.get(parts, F.lit(0)), F.lit(": "), F.get(parts, F.lit(1)), F.lit(" "), percent, F.lit("%"))
+    )
     return df.withColumn("level", pressure_level(max_ram)).select(
         "*",
         (new_workers - workers).cast("bigint").alias("d_workers"),
         F.greatest(F.lit(FACTOR_MIN), F.least(F.lit(FACTOR_MAX), factor)).alias("chunk_factor"),
+        reason.alias("reason"),
     )
 
 

@@ -110,7 +110,7 @@ def run_consolidation(
     write_split(written.drop("source_key"), f"{base}/train", f"{base}/test")
     train = spark.read.parquet(f"{base}/train")
     matrix_path = None
-    features = numeric_columns(train.drop(SOURCE))
+    features = numeric_columns(train.drop(SOURCE), texts=False)
     if LABEL in train.columns and features:  # otherwise there is no matrix to build
         matrix_path = f"{base}/matrix"
         write_matrix(build_training_matrix(train, cols=features), matrix_path)

@@ -62,12 +62,13 @@ def test_pressure_rules(spark):
     assert [r["level"] for r in out] == ["GUARD RAM", "NEAR RAM", "GUARD CPU", "normal"]
     assert [r["d_workers"] for r in out] == [-3, -1, -1, 0]
     assert [r["chunk_factor"] for r in out] == [0.80, 0.95, 0.90, 1.0]
+    assert [r["reason"] for r in out][:3] == ["GUARD: RAM 90.0%", "NEAR: RAM 87.0%", "GUARD: CPU 98.0%"]
 
 
-def controller(rows, alpha=1.1):
-    """Sample by sample: window width, window rows, variation, reward."""
-    width, samples, window, prev, acted, out = 5.0, [], [], 0.0, False, []
-    for _, ts, seq, _w, _c, n, ram, cpu, tp in rows:
+def controller(rows):
+    """Sample by sample: window width and variation."""
+    width, samples, out = 5.0, [], []
+    for _, _ts, seq, _w, _c, n, _ram, _cpu, tp in rows:
         samples = [*samples, tp if tp > 0 else n / max(0.5, width)][-8:]
         cv = None
         if len(samples) >= 4:
