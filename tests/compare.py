@@ -52,7 +52,7 @@ def compare(spark, con, sf: str, query, sql: str | None) -> tuple[bool, str]:
         return False, f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     a, b = canonical(got), canonical(want)
     if a == b:
-        return len(a) > 0, f"{len(a)} rows"
+        return True, f"{len(a)} rows"
     only_a, only_b = sorted(set(a) - set(b)), sorted(set(b) - set(a))
     return False, f"{len(a)} / {len(b)} rows; spark only {only_a[:3]}; sql only {only_b[:3]}"
 
