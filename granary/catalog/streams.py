@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from granary.catalog.inputs import LEVEL, METRICS, csv_export, folder_of, metrics, r6, table
 from granary.catalog.shapes import ORACLES as SHAPE_ORACLES
@@ -13,36 +12,27 @@ from granary.session import shared_dir
 from granary.streaming import ingest as J
 from granary.streaming import telemetry as ST
 
-METRIC_COLUMNS = T.StructType(
-    [
-        T.StructField("run_id", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("num_workers", T.LongType()),
-        T.StructField("chunk_size", T.LongType()),
-        T.StructField("rows_processed", T.LongType()),
-        T.StructField("ram_percent", T.DoubleType()),
-        T.StructField("cpu_percent", T.DoubleType()),
-        T.StructField("throughput", T.DoubleType()),
-    ]
-)
-
-
-def _in_order(df, order: str, path: str, batches: int = 3) -> None:
-    """Write ``df`` in consecutive pieces of its order, as files that arrive one after another."""
+def _arriving(spark, df, order: str, start, pieces: int = 3) -> None:
+    """Let ``df`` arrive in consecutive pieces of its order; after each, ``start`` the stream
+    over the folder anew from its checkpoint and wait until it has caught up."""
+    path = shared_dir(spark, "arrivals")
     ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    step = (ends["hi"] - ends["lo"]) // batches + 1
-    for i in range(batches):
+    step = (ends["hi"] - ends["lo"]) // pieces + 1
+    for i in range(pieces):
         low = ends["lo"] + i * step
         piece = df.where((F.col(order) >= low) & (F.col(order) < low + step))
-        piece.coalesce(1).write.mode("append").parquet(path)
+        piece.write.mode("append").parquet(path)
+        start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
-def _metric_stream(spark, sf):
-    path = shared_dir(spark, "metrics")
-    typed = metrics(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    _in_order(typed, "seq", path)
-    return spark.readStream.schema(METRIC_COLUMNS).option("maxFilesPerTrigger", 1).parquet(path)
+def _run_metrics(spark, sf, name: str, build, mode: str = "append") -> str:
+    """Run a metrics stream into a table; returns the table's path."""
+    path, state = shared_dir(spark, name), shared_dir(spark, f"{name}-state")
+    samples = metrics(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    _arriving(
+        spark, samples, "seq", lambda stream: ST.run_to_table(build(stream), path, state, mode)
+    )
+    return path
 
 
 UNION = [
@@ -68,19 +58,19 @@ def consolidated(spark, sf):
 
 def split(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", "value")
-    path, out = shared_dir(spark, "events"), shared_dir(spark, "split")
-    _in_order(events, "event_id", path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    state = shared_dir(spark, "split-state")
-    J.stream_ratio_split(stream, ["event_id"], out, state, ("event_type",), 0.6).awaitTermination()
+    out, state = shared_dir(spark, "split"), shared_dir(spark, "split-state")
+    _arriving(
+        spark, events, "event_id",
+        lambda stream: J.stream_ratio_split(stream, ["event_id"], out, state, ("event_type",), 0.6),
+    )
     return J.read_split(spark, out).select("event_id", "event_type", "split")
 
 
 def throughput(spark, sf):
     """Sliding windows that the watermark has closed, one hour before the last sample."""
-    stream = ST.stream_throughput(_metric_stream(spark, sf), 7200, 3600, "1 hour")
-    path = shared_dir(spark, "throughput")
-    ST.run_to_table(stream, path, shared_dir(spark, "throughput-state"))
+    path = _run_metrics(
+        spark, sf, "throughput", lambda stream: ST.stream_throughput(stream, 7200, 3600, "1 hour")
+    )
     # Windows still open when the input ends differ from run to run of a stream.
     last = metrics(spark, sf).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t")).first()["t"]
     closed = F.unix_micros("window_end") <= F.lit(last - 3600 * 1_000_000)
@@ -91,25 +81,21 @@ def throughput(spark, sf):
 
 
 def widths(spark, sf):
-    path = shared_dir(spark, "widths")
-    ST.run_to_table(
-        ST.stream_adaptive_window(_metric_stream(spark, sf)), path, shared_dir(spark, "widths-state")
-    )
+    path = _run_metrics(spark, sf, "widths", ST.stream_adaptive_window)
     return spark.read.parquet(path).select("run_id", "seq", "window_seconds")
 
 
 def alerts(spark, sf):
-    path = shared_dir(spark, "alerts")
-    ST.run_to_table(
-        ST.stream_pressure_alerts(_metric_stream(spark, sf)), path, shared_dir(spark, "alerts-state")
-    )
+    path = _run_metrics(spark, sf, "alerts", ST.stream_pressure_alerts)
     return spark.read.parquet(path).select("run_id", "seq", "level", "memory_alert")
 
 
 def statistics(spark, sf):
-    path = shared_dir(spark, "statistics")
-    stats = ST.stream_running_stats(_metric_stream(spark, sf), ["throughput", "ram_percent"], "run_id")
-    ST.run_to_table(stats, path, shared_dir(spark, "statistics-state"), "complete")
+    path = _run_metrics(
+        spark, sf, "statistics",
+        lambda stream: ST.stream_running_stats(stream, ["throughput", "ram_percent"], "run_id"),
+        "complete",
+    )
     rows = ST.latest_version(spark, path)
     return rows.select(
         "label", "rows",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import canonical_value
-from granary.operators.relations import grid_product
 from granary.plans.slices import PART, add_parts, before, part_window, upto, with_carry
 
 # The hyper-parameter grids; the last parameter varies fastest.
@@ -37,30 +39,24 @@ COMBO_BLOCK = 4096
 def param_grid(experiments: DataFrame, grids: dict | None = None) -> DataFrame:
     """Every combination of every model for each experiment row.
 
-    Adds ``model_idx``, ``model``, ``combo_idx`` (from 1) and ``params``, a map
-    of texts; the lists are exploded in place, so nothing is shuffled.
+    Adds ``model_idx``, ``model``, ``combo_idx`` (from 1) and ``params``, a map of
+    texts. The combinations are one literal, exploded in place: nothing moves.
     """
     grids = PARAM_GRIDS if grids is None else grids
-    keys = experiments.columns
-    out = None
-    for position, (model, lists) in enumerate(grids.items(), 1):
-        names = list(lists)
-        rows = experiments.select(
-            *keys,
-            F.lit(position).cast("bigint").alias("model_idx"),
-            F.lit(model).alias("model"),
-            *[
-                F.array(*[F.lit(str(v)) for v in values]).alias(f"__p_{name}")
-                for name, values in lists.items()
-            ],
-        )
-        product = grid_product(rows, [f"__p_{n}" for n in names])
-        pairs = [x for n in names for x in (F.lit(n), F.col(f"__p_{n}"))]
-        part = product.select(
-            *keys, "model_idx", "model", "combo_idx", F.create_map(*pairs).alias("params")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    trials = [
+        {
+            "model_idx": position,
+            "model": model,
+            "combo_idx": number,
+            "params": dict(zip(lists, map(str, values))),
+        }
+        for position, (model, lists) in enumerate(grids.items(), 1)
+        for number, values in enumerate(product(*lists.values()), 1)
+    ]
+    kind = "array<struct<model_idx: bigint, model: string, combo_idx: bigint, params: map<string, string>>>"
+    literal = F.from_json(F.lit(json.dumps(trials)), kind)
+    rows = experiments.select("*", F.explode(literal).alias("__trial"))
+    return rows.select(*experiments.columns, "__trial.*")
 
 
 def confusion_matrix(
