@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -13,6 +14,7 @@ from granary.operators.split import (
     stratified_sample,
 )
 from granary.plans.ranks import add_rank, dense_index, head_per_group
+from granary.plans.slices import PART, add_parts
 
 
 def walk(n: int, ratio: float) -> list[str]:
@@ -122,3 +124,28 @@ def test_summary_has_totals(spark):
     assert {(r["source"], r["train_rows"], r["test_rows"]) for r in got} == {
         ("f", 1, 1), ("g", 1, 0), (None, 2, 1),
     }
+
+
+def test_no_part_holds_a_hot_group(spark):
+    """A label with half of all rows, ordered by a column that is itself skewed."""
+    df = spark.range(100_000).select(
+        "id",
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("l"), F.col("id") % 9)).alias("Label"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("a"),
+    )
+    parted = add_parts(df, ["Label"], ["a", "id"])
+    largest = parted.groupBy(PART).count().agg(F.max("count")).first()[0]
+    assert largest < 2 * 100_000 / 8
+    ranked = add_rank(df, ["Label"], ["a", "id"])
+    ends = ranked.groupBy("Label").agg(F.max("rank").alias("m"), F.count_distinct("rank").alias("n"), F.count("id").alias("c"))
+    assert all(r["m"] == r["n"] == r["c"] for r in ends.collect())
+
+
+def test_sample_by_hash_matches_the_full_ranking(spark):
+    df = spark.range(5000).withColumn("Label", F.when(F.col("id") % 10 < 7, "hot").otherwise("cold"))
+    got = {r["id"] for r in stratified_sample(df, "id", share=0.37).collect()}
+    ids = {"hot": [], "cold": []}
+    for i in range(5000):
+        ids["hot" if i % 10 < 7 else "cold"].append((hashlib.md5(f"{i}-42".encode()).hexdigest(), i))
+    want = {i for rows in ids.values() for _, i in sorted(rows)[: int(len(rows) * 0.37)]}
+    assert got == want
