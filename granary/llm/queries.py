@@ -91,9 +91,29 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.token_orc import token_index, tokens_written
+
+    return token_index(spark, tokens_written(table(spark, sf_dir, "documents")))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.bpe import decoded, encode_documents
+
+    ids = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ids.select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(decoded()("ids"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_token_orc": op6_token_orc,
     "op8_source_mix": op8_source_mix,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES = {"op3_line_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
