@@ -109,11 +109,53 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.ngram_join import jaccard_classes
+
+    classes = jaccard_classes(table(spark, sf_dir, "documents"))
+    id_of = lambda null, i: F.when(~F.col(null), F.col(i))
+    return classes.select(id_of("_k_null", "_k_id").alias("doc_id"), id_of("keep_null", "keep_id").alias("class_id"), "n_links")
+
+
+OP10_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), grams as (
+    select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)
+), sets as (
+    select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as print from grams group by doc_id
+), classes as (
+    select print, min(doc_id) as rep, any_value(n) as n, count(*) as copies from sets group by print
+), rep_grams as (
+    select g.doc_id as rep, g.g from grams g join classes c on g.doc_id = c.rep
+), common as (
+    select a.rep as a, b.rep as b, count(*) as shared
+    from rep_grams a join rep_grams b on a.g = b.g and a.rep < b.rep group by all
+), links as (
+    select a, b from common join classes x on x.rep = a join classes y on y.rep = b
+    where shared * 5 >= 4 * (x.n + y.n - shared)
+), sides as (
+    select a, b from links union all select b, a from links
+), reach as (
+    select rep as node, rep as root from classes
+    union select s.b, r.root from reach r join sides s on s.a = r.node
+), roots as (
+    select node, min(root) as root from reach group by node
+), linked as (
+    select s.a as rep, sum(c.copies) as linked from sides s join classes c on c.rep = s.b group by s.a
+)
+select d.doc_id, coalesce(r.root, d.doc_id) as class_id, coalesce(c.copies - 1 + coalesce(l.linked, 0), 0) as n_links
+from documents d left join sets s on s.doc_id = d.doc_id left join classes c on c.print = s.print
+left join roots r on r.node = c.rep left join linked l on l.rep = c.rep
+"""
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_token_orc": op6_token_orc,
     "op8_source_mix": op8_source_mix,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_ngram_jaccard": OP10_SQL}
