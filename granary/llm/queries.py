@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import table
+from granary.llm.common import fold_of, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.toxicity import FOLDS, fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), held_out=0)
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), FOLDS) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +164,7 @@ left join roots r on r.node = c.rep left join linked l on l.rep = c.rep
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_token_orc": op6_token_orc,
