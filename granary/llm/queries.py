@@ -54,6 +54,19 @@ from marked group by doc_id
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.quality import FOLDS, fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), held_out=2)
+    return score_quality(docs, model).select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), FOLDS) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.chat import formatted_chats, masked_text
 
@@ -166,6 +179,7 @@ left join roots r on r.node = c.rep left join linked l on l.rep = c.rep
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
     "op6_token_orc": op6_token_orc,
     "op8_source_mix": op8_source_mix,

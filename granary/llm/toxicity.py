@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import fold_of
+from granary.llm.linear import fit_logistic
 from granary.session import written
 
 #: General abuse in four languages, one voter per line.
@@ -257,25 +258,13 @@ def fit_label_model(patterns: DataFrame, n: int) -> tuple[LabelModel, np.ndarray
     return LabelModel(model.prior, model.rates, 1 / np.maximum(repeated, 1)), correlations
 
 
-def fit_linear(
-    hits: list[list[int]], target: np.ndarray, rows: np.ndarray, n: int, ridge: float = 1.0, rounds: int = 30
-) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on soft labels of weighted rows by Newton steps; the bias is not shrunk."""
+def fit_linear(hits: list[list[int]], target: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Weights of the features and the bias, which is not shrunk."""
     x = np.zeros((len(hits), n + 1))
     for row, own in enumerate(hits):
         x[row, own] = 1
     x[:, n] = 1
-    w = np.zeros(n + 1)
-    shrink = np.full(n + 1, ridge)
-    shrink[n] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (rows * (p - target)) + shrink * w
-        curve = (x * (rows * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(shrink)
-        step = np.linalg.solve(curve, slope)
-        w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
-            break
+    w = fit_logistic(x, target, rows, np.append(np.ones(n), 1e-6), np.zeros(n + 1))
     return w[:n], float(w[n])
 
 
