@@ -110,6 +110,16 @@ from sized group by conv_id
 """
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.line_crf import apply_rules, fit_line_crf
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_line_crf(docs, table(spark, sf_dir, "labels"))
+    return apply_rules(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"
+    )
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.mixing import mixed_documents
 
@@ -182,6 +192,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
     "op6_token_orc": op6_token_orc,
+    "op7_line_quality": op7_line_quality,
     "op8_source_mix": op8_source_mix,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
