@@ -30,13 +30,15 @@ def line_runs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """
     n = shuffle_partitions(docs.sparkSession)
     key = line_key(F.col("line"))
-    lines = (
+    # Written first: the bounds of the ranges come from a sample, which would read the texts once more.
+    lines = written(
         keyed(docs.select("doc_id", "text"))
         .select(*KEY, F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
         .withColumn("key", key)
         .where(F.length("key") >= min_chars)
         .select(*KEY, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
-        .withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(n)))
+        .withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(n))),
+        "lines",
     )
     run = ["h1", "h2", "salt"]
     along = Window.partitionBy(*run).orderBy(*KEY, "pos")
