@@ -21,6 +21,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.hnsw import build_index, nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors.where("vec_id % 100 = 0"), build_index(vectors), k=10)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.line_dedup import dedup_lines
 
@@ -188,6 +195,7 @@ left join roots r on r.node = c.rep left join linked l on l.rep = c.rep
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_small_world_search": op2_small_world_search,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
