@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import KEY, keyed
@@ -253,3 +253,16 @@ def jaccard_classes(
         F.coalesce(F.col("keep._k_id"), F.col("_k_id")).alias("keep_id"),
         F.coalesce(F.col("keep._k_text"), F.col("_k_text")).alias("keep_text"),
     )
+
+
+def one_per_class(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents whose class has an earlier member; of repeated rows one stays.
+
+    Texts without a word all stay. Columns of the input pass through.
+    """
+    classes = jaccard_classes(docs, **options)
+    later = classes.where(F.struct(*KEY) != F.struct("keep_null", "keep_id", "keep_text")).select(*KEY).distinct()
+    rest = keyed(docs).join(later, KEY, "left_anti")
+    again = Window.partitionBy(*KEY).orderBy(F.lit(0))
+    wordless = ~F.coalesce("text", F.lit("")).rlike(WORDS.pattern)
+    return rest.withColumn("_again", F.row_number().over(again)).where((F.col("_again") == 1) | wordless).drop(*KEY, "_again")
