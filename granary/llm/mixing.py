@@ -150,3 +150,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "tag",
         )
     )
+
+
+def document_copies(docs: DataFrame, **options) -> DataFrame:
+    """How often the mix takes each document as a whole: doc_id, source, ``tag`` (hash of the text), ``copies``.
+
+    A document comes with every slot whose block holds its first word, so it is taken 0 to 3 times, on
+    average as often as its source's target asks; documents without a word are not taken. Repeated
+    rows share their copies evenly, rounded up from a half.
+    """
+    sized, _, plan = mix(docs, **options)
+    taken = plan.where(F.col("from") == 0).groupBy("row").agg(F.count("*").alias("copies"))
+    return (
+        sized.join(taken, "row", "left")
+        .groupBy("doc_id", "source", "tag")
+        .agg(F.round(F.avg(F.coalesce("copies", F.lit(0)))).cast("int").alias("copies"))
+    )
