@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.scalars import half_even, key_hash, unit_interval
 from granary.operators.schema import LABEL, SOURCE
-from granary.plans.ranks import add_rank, quota_thresholds, within_threshold
+from granary.plans.ranks import add_rank, hash_quota_thresholds, within_threshold
 from granary.plans.small import join_same_keys, small_side
 
 TRAIN, TEST = "train", "test"
@@ -20,9 +20,6 @@ SEED = 42
 # Held-out share, in general and for decision trees.
 TEST_SHARE, TREE_TEST_SHARE = 0.2, 0.3
 
-# Hash slices: the leading hex digits of an MD5 split any group evenly.
-HASH_DIGITS = 3
-
 
 def goes_to_train(rank: Column, ratio: float) -> Column:
     """Whether a group's ``rank``-th row (from 1) is a train row.
@@ -83,13 +80,8 @@ def stratified_sample(
     the rows are then filtered where they lie.
     """
     keyed = df.withColumn("__hash", key_hash(key, seed))
-    counted = keyed.select(label, key, "__hash").withColumn(
-        "__slice", F.substring("__hash", 1, HASH_DIGITS)
-    )
     order = ["__hash", key]
-    limits = quota_thresholds(
-        counted, [label], order, ["__slice"], lambda n: F.floor(n * F.lit(float(share)))
-    )
+    limits = hash_quota_thresholds(keyed, [label], *order, lambda n: F.floor(n * F.lit(float(share))))
     joined = join_same_keys(keyed, small_side(limits), [label], "left")
     return joined.where(within_threshold(order)).drop("threshold", "__hash")
 
@@ -123,14 +115,9 @@ def repeated_stratified_holdout(
         key,
         F.col("d.holdout").alias("__holdout"),
         F.col("d.hash").alias("__hash"),
-        F.substring("d.hash", 1, HASH_DIGITS).alias("__slice"),
     )
-    limits = quota_thresholds(
-        draws,
-        ["__holdout", label],
-        ["__hash", key],
-        ["__slice"],
-        lambda n: half_even(n * F.lit(float(test))),
+    limits = hash_quota_thresholds(
+        draws, ["__holdout", label], "__hash", key, lambda n: half_even(n * F.lit(float(test)))
     )
     # At most k entries per label.
     per_label = limits.groupBy(label).agg(

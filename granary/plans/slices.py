@@ -4,110 +4,77 @@ A window over a hot key would sort all its rows in one task. Operators cut the
 ordering into slices of about equal row counts, work per (key, slice) and carry
 a small per-slice summary forward. The slice of a row depends only on its own
 order columns and on literal bounds, so a recomputed task finds the same slice.
+
+Bounds are rows of the ordering itself: a row is placed by Spark's own comparison
+of all order columns (NULL first, NaN last), in their own types. So a value that
+very many rows share is cut along the next columns, and no slice can contradict
+the order.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PART = "__part"
 MIN_SLICES = 8
-MAX_SLICES = 20_000
 ROWS_PER_SLICE = 2_000_000
-# Values per slice that are read to place the bounds of the slices.
-VALUES_PER_SLICE = 200
-
-PART = "__part"
-MIN_SLICES = 8
-MAX_SLICES = 20_000
-# Share of the rows that is read to place the slice bounds, and how many values
-# per slice that must yield; otherwise all rows are read.
-BOUNDS_SHARE = 0.01
-VALUES_PER_SLICE = 100
+# Rows per slice that are read to place the bounds: usual, and at least.
+SAMPLE_PER_SLICE, LEAST_PER_SLICE = 100, 20
 
 
 def slice_count(df: DataFrame, rows: int) -> int:
-    """As many slices as shuffle partitions, or more when they would grow too long."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_SLICES, min(MAX_SLICES, max(partitions, rows // ROWS_PER_SLICE)))
-
-
-def sortable_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the column's order; NULL sorts first."""
-    dtype = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dtype, T.StringType):
-        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-        number = F.conv(head, 16, 10).cast("double")
-    elif isinstance(dtype, T.TimestampNTZType):
-        number = F.unix_micros(c.cast("timestamp")).cast("double")
-    elif isinstance(dtype, T.TimestampType):
-        number = F.unix_micros(c).cast("double")
-    elif isinstance(dtype, T.DateType):
-        number = F.unix_date(c).cast("double")
-    elif isinstance(dtype, (T.NumericType, T.BooleanType)):
-        number = c.cast("double")
-    else:
-        raise TypeError(f"cannot order by {name}: {dtype.simpleString()}")
-    return F.coalesce(number, F.lit(float("-inf")))
-
-
-def cut_points(df: DataFrame, number: str) -> tuple[list[float], list[float]]:
-    """Bounds of about equally filled slices of a double column, and its hot values.
-
-    The bounds are quantiles of a sample that holds a fixed number of values per
-    slice, whatever the size of the data: only the balance of the slices depends
-    on them, never a result. A value that fills several slices is hot and gets a
-    slice of its own.
+    """As many slices as shuffle partitions, or more when they would grow too long.
+
+    The sample grows with the shuffle partitions, and so do the slices it can place.
     """
-    rows = df.count()
+    partitions = max(MIN_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = partitions * SAMPLE_PER_SLICE // LEAST_PER_SLICE
+    return max(partitions, min(most, rows // ROWS_PER_SLICE))
+
+
+def slice_bounds(df: DataFrame, order: list[str]) -> list:
+    """First rows (of the order columns) of all slices but the first, in order.
+
+    They are quantiles of a sample whose size depends on the number of slices
+    only; the balance of the slices depends on them, never a result.
+    """
+    slim = df.select(*order)
+    rows = slim.count()
     n = slice_count(df, rows)
-    share = VALUES_PER_SLICE * n / max(rows, 1)
-    sample = df if share >= 1 else df.sample(share, seed=1)
-    shares = [i / n for i in range(1, n)]
-    cuts = sample.agg(F.percentile_approx(number, shares, 20 * n)).first()[0] or []
-    cuts = [c for c in cuts if math.isfinite(c)]
-    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    return sorted(set(cuts) | {math.nextafter(h, math.inf) for h in hot}), hot
+    share = SAMPLE_PER_SLICE * max(MIN_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = share / max(rows, 1)
+    sample = slim if share >= 1 else slim.sample(share, seed=1)
+    picked = sample.select(F.struct(*order).alias("row")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    at = F.sequence(F.lit(1), F.lit(n - 1))
+    picks = F.transform(at, lambda i: F.get("rows", F.floor(i * F.size("rows") / n).cast("int")))
+    found = picked.select(F.array_distinct(F.filter(picks, lambda r: r.isNotNull()))).first()[0]
+    return found or []
+
+
+def slice_index(df: DataFrame, order: list[str], bounds: list) -> Column:
+    """How many of ``bounds`` are not beyond the row: a binary search over a literal array."""
+    if not bounds:
+        return F.lit(0)
+    types = [df.schema[c].dataType for c in order]
+    literal = F.sort_array(
+        F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, order)]) for b in bounds])
+    )
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    row = F.struct(*order)
 
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.get(literal, at + width - 1) <= row, at + width).otherwise(at)
 
-def bucketize(df: DataFrame, number: str, out: str, points: list[float]) -> DataFrame:
-    """Add the index of the slice between ``points`` that holds the value."""
-    if not points:
-        return df.withColumn(out, F.lit(0))
-    splits = [-math.inf, *points, math.inf]
-    placed = Bucketizer(splits=splits, inputCol=number, outputCol=out).transform(df)
-    return placed.withColumn(out, F.col(out).cast("int"))
+    return F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step)
 
 
 def add_slices(
     df: DataFrame, order: list[str], prefix: str = "__slice"
 ) -> tuple[DataFrame, list[str]]:
-    """Add slice columns for the ordering ``order``; returns their names too.
-
-    The first order column is cut at its approximate quantiles. Rows that share
-    a hot value of it are cut further along the next order column, and so on.
-    """
-    names: list[str] = []
-    scope = None  # rows whose order columns so far all hold hot values
-    for depth, column in enumerate(order):
-        number, name = f"{prefix}_num{depth}", f"{prefix}{depth}"
-        df = df.withColumn(number, sortable_number(df, column))
-        points, hot = cut_points(df if scope is None else df.where(scope), number)
-        df = bucketize(df, number, name, points)
-        if scope is not None:
-            df = df.withColumn(name, F.when(scope, F.col(name)).otherwise(F.lit(0)))
-        names.append(name)
-        if not hot:
-            break
-        is_hot = F.col(number).isin(hot)
-        scope = is_hot if scope is None else scope & is_hot
-    return df.drop(*[f"{prefix}_num{i}" for i in range(len(order))]), names
+    """Add the slice column of the ordering ``order``; returns its name in a list."""
+    name = f"{prefix}0"
+    return df.withColumn(name, slice_index(df, order, slice_bounds(df, order))), [name]
 
 
 def add_parts(

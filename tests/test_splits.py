@@ -1,9 +1,12 @@
+import datetime
+import decimal
 import hashlib
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.operators.split import (
@@ -13,6 +16,7 @@ from granary.operators.split import (
     split_summary,
     stratified_sample,
 )
+from granary.plans import ranks
 from granary.plans.ranks import add_rank, dense_index, head_per_group
 from granary.plans.slices import PART, add_parts
 
@@ -149,3 +153,64 @@ def test_sample_by_hash_matches_the_full_ranking(spark):
         ids["hot" if i % 10 < 7 else "cold"].append((hashlib.md5(f"{i}-42".encode()).hexdigest(), i))
     want = {i for rows in ids.values() for _, i in sorted(rows)[: int(len(rows) * 0.37)]}
     assert got == want
+
+
+PREFIX = "a long common prefix of every single value "
+
+
+def _decimal(i):
+    return decimal.Decimal(i) / 7
+
+
+ORDER_VALUES = {
+    "string": lambda i: f"{PREFIX}{i % 50:05d}",
+    "string null": lambda i: None if i % 7 == 0 else ["", "é", "Z", "a\x00b", PREFIX * 3, "\U0001f642"][i % 6],
+    "double": lambda i: [float("nan"), float("inf"), -float("inf"), None, -0.0, 0.0, 1e300, 5e-324][i % 8],
+    "bigint": lambda i: 2**60 + i % 11 if i % 2 else -(2**60) - i % 5,
+    "decimal(38,10)": lambda i: _decimal(i % 40),
+    "date": lambda i: None if i % 9 == 0 else datetime.date(1900 + i % 30, 1, 1),
+    "timestamp_ntz": lambda i: datetime.datetime(1970, 1, 1, 0, 0, 0, i % 13),
+    "binary": lambda i: bytes([i % 3, 255 - i % 5]),
+    "boolean": lambda i: [True, False, None][i % 3],
+}
+
+
+@pytest.mark.parametrize("kind", ORDER_VALUES)
+def test_rank_is_a_plain_row_number(spark, kind):
+    """Slices follow Spark's own order for any type, with equal values cut by the second column."""
+    value = ORDER_VALUES[kind]
+    rows = [("hot" if i % 3 else None, value(i), i) for i in range(600)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, f"g string, v {kind.split()[0]}, id bigint")
+    plain = F.row_number().over(Window.partitionBy("g").orderBy("v", "id"))
+    want = {r["id"]: r["n"] for r in df.withColumn("n", plain).collect()}
+    assert {r["id"]: r["rank"] for r in add_rank(df, ["g"], ["v", "id"]).collect()} == want
+    head = {r["id"] for r in head_per_group(df, ["g"], ["v", "id"], 10).collect()}
+    assert head == {i for i, n in want.items() if n <= 10}
+
+
+def test_text_keys_spread_over_slices(spark):
+    df = spark.range(40_000).select(F.concat(F.lit(PREFIX), F.lpad("id", 8, "0")).alias("name"))
+    parted = add_parts(df, [], ["name"])
+    sizes = [r["count"] for r in parted.groupBy(PART).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 2 * 40_000 / len(sizes)
+
+
+def test_many_labels_that_begin_alike(spark):
+    df = spark.range(30_000).select(F.concat(F.lit(PREFIX), F.lpad("id", 6, "0")).alias("Label"))
+    got = dense_index(df, "Label", "i")
+    assert got.where(F.col("i") != F.substring("Label", -6, 6).cast("bigint")).count() == 0
+
+
+def test_no_ranked_group_beyond_the_bound(spark, monkeypatch):
+    """One label with 90 % of the rows: prefixes grow until few rows are left to rank."""
+    monkeypatch.setattr(ranks, "RANKED_ROWS", 4)
+    df = spark.range(60_000).select(
+        "id", F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("Label"), F.md5(F.col("id").cast("string")).alias("h")
+    )
+    edges, digits = ranks.quota_edges(df, ["Label"], "h", lambda n: F.floor(n * 0.3))
+    assert edges.agg(F.max("__count")).first()[0] <= 4 and digits > ranks.HASH_DIGITS
+    got = {r["Label"]: r["threshold"] for r in ranks.hash_quota_thresholds(df, ["Label"], "h", "id", lambda n: F.floor(n * 0.3)).collect()}
+    for label, n in (("hot", 54_000), ("cold", 6_000)):
+        rows = sorted((r["h"], r["id"]) for r in df.where(F.col("Label") == label).collect())
+        assert tuple(got[label]) == rows[int(n * 0.3) - 1]
