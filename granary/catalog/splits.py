@@ -26,6 +26,12 @@ def split_orders(spark, sf):
     return rows.select("o_orderkey", "split")
 
 
+def split_texts(spark, sf):
+    """In the order of whole texts, which begin alike by the hundreds."""
+    rows = D.ratio_split(table(spark, sf, "documents"), ["text", "doc_id"], 0.6, ("lang",))
+    return rows.select("doc_id", "split")
+
+
 def clean_split_summary(spark, sf):
     """Clean the values, split per label in order, summarize: the flagship query."""
     events = table(spark, sf, "events")
@@ -169,6 +175,7 @@ QUERIES = {
     "d0_clean_split_summary": clean_split_summary,
     "d1_ratio_split": split_events,
     "d1_ratio_split_two_keys": split_orders,
+    "d1_ratio_split_by_text": split_texts,
     "d2_random_split": random_split,
     "d3_split_summary": summary,
     "d4_stratified_sample": stratified,
@@ -236,6 +243,7 @@ ORACLES = {
       from ({_split_sql("events", "event_type", "event_id", 0.6)})""",
     "d1_ratio_split_two_keys": f"""select o_orderkey, split from ({_split_sql(
         "orders", "o_orderstatus, o_orderpriority", "o_orderdate, o_orderkey", 0.75)})""",
+    "d1_ratio_split_by_text": f"""select doc_id, split from ({_split_sql("documents", "lang", "text, doc_id", 0.6)})""",
     "d2_random_split": f"""select doc_id, case when
       cast(concat('0x', substring({_hash_sql("doc_id", 42)}, 1, 8)) as bigint) / 4294967296.0::double < 0.6
       then 'train' else 'test' end as split from documents""",
