@@ -25,7 +25,7 @@ from granary.plans.slices import (
     upto,
     with_carry,
 )
-from granary.plans.small import small_side
+from granary.plans.small import join_same_keys
 from granary.session import written
 
 RUN = "run_id"
@@ -105,9 +105,8 @@ def rows_in_window(df: DataFrame, seconds: float = WINDOW_START, out: str = "win
 def throughput_sample(window_seconds: Column | float = WINDOW_START) -> Column:
     """Reported throughput, or the rows over the window when none is reported."""
     width = F.lit(float(window_seconds)) if isinstance(window_seconds, (int, float)) else window_seconds
-    return F.when(F.col("throughput") > 0, F.col("throughput")).otherwise(
-        F.col("rows_processed") / F.greatest(F.lit(0.5), width)
-    )
+    rows = F.coalesce(F.col("rows_processed"), F.lit(0))
+    return F.when(F.col("throughput") > 0, F.col("throughput")).otherwise(rows / F.greatest(F.lit(0.5), width))
 
 
 def _variation(parted: DataFrame, value: str, out: str = "__cv") -> DataFrame:
@@ -160,63 +159,6 @@ def throughput_cv(df: DataFrame, window_seconds: float = WINDOW_START, out: str
     return _variation(_parted(sampled), "__sample", out).select(*df.columns, out)
 
 
-def _walk(steps: np.ndarray, start: float) -> np.ndarray:
-    """Window width after each step, kept within its bounds."""
-    moves = np.flatnonzero(steps)
-    widths = np.empty(len(moves) + 1)
-    widths[0] = width = start
-    for i, step in enumerate(steps[moves].tolist(), 1):
-        width = min(WINDOW_MAX, max(WINDOW_MIN, width + step))
-        widths[i] = width
-    return widths[np.cumsum(steps != 0)]
-
-
-def _slice_effect(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A slice's steps as one bounded shift: ``min(high, max(low, w + shift))``."""
-    steps = pdf.sort_values(list(ORDER))["__step"].to_numpy()
-    shift, low, high = 0.0, -np.inf, np.inf
-    for step in steps[steps != 0].tolist():
-        shift += step
-        low = min(WINDOW_MAX, max(WINDOW_MIN, low + step))
-        high = min(WINDOW_MAX, max(WINDOW_MIN, high + step))
-    head = pdf.iloc[[0]]
-    keys = [c for c in pdf.columns if c not in (*ORDER, "__step")]
-    return head[keys].assign(shift=shift, low=low, high=high)
-
-
-def _entry_widths(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Width at the start of each slice of a run: one row per slice."""
-    slices = [c for c in pdf.columns if c.startswith("__slice")]
-    pdf = pdf.sort_values(slices)
-    width, entries = WINDOW_START, []
-    for row in pdf.itertuples(index=False):
-        entries.append(width)
-        width = min(row.high, max(row.low, width + row.shift))
-    return pdf[[RUN, *slices]].assign(__entry=entries)
-
-
-def _walk_all(stepped: DataFrame, slices: list[str]) -> DataFrame:
-    """Add ``__after``, the width after each step."""
-    fields = {f.name: f.dataType.simpleString() for f in stepped.schema.fields}
-    slim = stepped.select(RUN, *slices, *ORDER, "__step")
-    key_ddl = ", ".join(f"`{c}` {fields[c]}" for c in (RUN, *slices))
-    effects = slim.groupBy(RUN, *slices).applyInPandas(
-        _slice_effect, f"{key_ddl}, shift double, low double, high double"
-    )
-    entries = effects.groupBy(RUN).applyInPandas(_entry_widths, f"{key_ddl}, `__entry` double")
-    slim_ddl = ", ".join(f"`{c}` {fields[c]}" for c in (RUN, *slices, *ORDER, "__step"))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(ORDER))
-        after = _walk(pdf["__step"].to_numpy(), pdf["__entry"].iloc[0])
-        return pdf.drop(columns="__entry").assign(__after=after)
-
-    entered = slim.join(entries, [RUN, *slices])
-    return entered.groupBy(RUN, *slices).applyInPandas(
-        replay, f"{slim_ddl}, `__after` double"
-    )
-
-
 def next_width(width: float, samples: list[float]) -> float:
     """Window width after the newest of the last samples, by their variation."""
     n = len(samples)
@@ -226,17 +168,17 @@ def next_width(width: float, samples: list[float]) -> float:
     cv = 0.0
     if mean > 0:
         cv = (sum((v - mean) * (v - mean) for v in samples) / n) ** 0.5 / mean
-    if cv < STEADY_BELOW:
-        return max(WINDOW_MIN, width - WINDOW_STEP)
-    if cv > UNSTEADY_ABOVE:
-        return min(WINDOW_MAX, width + WINDOW_STEP)
-    return width
+    return moved(width, -WINDOW_STEP if cv < STEADY_BELOW else WINDOW_STEP if cv > UNSTEADY_ABOVE else 0.0)
+
+
+def moved(width: float, step: float) -> float:
+    return min(WINDOW_MAX, max(WINDOW_MIN, width + step))
 
 
 def follow_widths(pdf: pd.DataFrame, width: float, samples: list[float]):
     """Widths after each sample of ``pdf`` in order, and the state behind the last one."""
     widths, samples = [], list(samples)
-    for throughput, rows in zip(pdf["throughput"].tolist(), pdf["rows_processed"].tolist()):
+    for throughput, rows in zip(pdf["throughput"].tolist(), pdf["rows_processed"].fillna(0).tolist()):
         sample = throughput if throughput > 0 else rows / max(0.5, width)
         samples = [*samples, float(sample)][-SAMPLES:]
         width = next_width(width, samples)
@@ -244,84 +186,153 @@ def follow_widths(pdf: pd.DataFrame, width: float, samples: list[float]):
     return widths, width, samples
 
 
-def _follow_from_entries(rows: DataFrame, slices: list[str]) -> DataFrame:
-    """Widths when a sample depends on the width before it: ``(run, ts, seq, __after)``.
-
-    Every slice is followed from a guessed entry state (width and last samples);
-    the exits become the entries of the next slices, and slices whose entry has
-    changed are followed again. The states soon agree, because the width is
-    bounded and forgets where it came from; when no entry changes, all are right.
+def _known_steps(values: np.ndarray) -> np.ndarray:
+    """Step after each value from the last eight values; NaN where one of them is NaN (not known yet)."""
+    absent = np.full(SAMPLES - 1, np.inf)
+    last = np.lib.stride_tricks.sliding_window_view(np.concatenate([absent, values]), SAMPLES)
+    there = ~np.isinf(last)
+    n = there.sum(axis=1)
+    held = np.where(there, last, 0.0)
+    mean = held.sum(axis=1) / np.maximum(n, 1)
+    spread = np.sqrt((np.where(there, held - mean[:, None], 0.0) ** 2).sum(axis=1) / np.maximum(n, 1))
+    cv = np.divide(spread, mean, out=np.zeros_like(mean), where=mean > 0)
+    steps = np.where(cv < STEADY_BELOW, -WINDOW_STEP, np.where(cv > UNSTEADY_ABOVE, WINDOW_STEP, 0.0))
+    steps[n < SAMPLES_NEEDED] = 0.0
+    steps[np.isnan(held).any(axis=1)] = np.nan
+    return steps
+
+
+def _walk(pdf: pd.DataFrame, starts: list[float]) -> tuple[list[float], np.ndarray]:
+    """Follows a stretch of a run, its rows in order, from several widths at once.
+
+    Returns the width at the end for each start, and the width after each sample
+    for the first start. Starts that come to the same state go on as one. Only
+    samples at which the width can move are visited.
     """
-    keys = [RUN, *slices]
-    rows = written(rows, "samples")
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    key_ddl = ", ".join(f"`{c}` {fields[c]}" for c in keys)
-    out_ddl = ", ".join(f"`{c}` {fields[c]}" for c in (RUN, *ORDER)) + ", `__after` double"
-    entry_type = "struct<width: double, samples: array<double>>"
-    start = F.from_json(F.lit(f'{{"width": {WINDOW_START}, "samples": []}}'), entry_type)
-
-    def follow(pdf: pd.DataFrame):
-        pdf = pdf.sort_values(list(ORDER))
-        return pdf, *follow_widths(pdf, pdf["width"].iloc[0], pdf["samples"].iloc[0])
-
-    def exit_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, _widths, width, samples = follow(pdf)
-        return pdf.iloc[[0]][keys].assign(width=width, samples=[samples])
-
-    def all_widths(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, widths, _width, _samples = follow(pdf)
-        return pdf[[RUN, *ORDER]].assign(__after=widths)
-
-    def entered(entries: DataFrame) -> DataFrame:
-        state = entries.select(*keys, "entry.width", "entry.samples")
-        return rows.join(small_side(state), keys).groupBy(*keys)
-
-    def followed(entries: DataFrame) -> DataFrame:
-        found = entered(entries).applyInPandas(exit_state, f"{key_ddl}, width double, samples array<double>")
-        return found.select(*keys, F.struct("width", "samples").alias("exit"))
-
-    entries = rows.select(*keys).distinct().withColumn("entry", start)
-    states = written(entries.join(followed(entries), keys), "states")  # one row per slice
-    along = Window.partitionBy(RUN).orderBy(*slices)
-    while True:
-        linked = states.withColumn("next", F.coalesce(F.lag("exit").over(along), start))
-        changed = linked.where(~F.col("next").eqNullSafe(F.col("entry")))
-        if changed.limit(1).count() == 0:
-            break
-        again = followed(changed.select(*keys, F.col("next").alias("entry")))
-        updated = linked.join(again.withColumnRenamed("exit", "new"), keys, "left")
-        states = written(
-            updated.select(*keys, F.col("next").alias("entry"), F.coalesce("new", "exit").alias("exit")),
-            "states",
-        )
-    return entered(states).applyInPandas(all_widths, out_ddl)
+    head = pdf["head"].iat[0]
+    head = [] if head is None else list(head)
+    rows, reported = pdf["rows_processed"].to_numpy(np.float64), pdf["throughput"].to_numpy(np.float64)
+    depends = ~(reported > 0) & (rows > 0)
+    values = np.where(reported > 0, reported, np.where(depends, np.nan, 0.0))
+    known = np.concatenate([head, values])
+    steps = _known_steps(known)[len(head) :]
+    visits = np.flatnonzero(depends | np.isnan(steps) | (steps != 0))
+    states = {(w, ()): [k] for k, w in enumerate(starts)}
+    trace = np.empty(len(visits) + 1)
+    trace[0] = starts[0]
+    for nth, i in enumerate(visits.tolist(), 1):
+        after: dict[tuple, list[int]] = {}
+        for (width, own), members in states.items():
+            own = tuple(x for x in own if x[0] > i - SAMPLES)
+            if depends[i]:
+                own += ((i, rows[i] / max(0.5, width)),)
+            if not np.isnan(steps[i]):
+                width = moved(width, steps[i])
+            else:
+                at = i + len(head)
+                last = known[max(0, at - SAMPLES + 1) : at + 1].copy()
+                for place, value in own:
+                    last[place - i - 1] = value
+                width = next_width(width, last.tolist())
+            after.setdefault((width, own), []).extend(members)
+            if 0 in members:
+                trace[nth] = width
+        states = after
+    ends = [0.0] * len(starts)
+    for (width, _own), members in states.items():
+        for k in members:
+            ends[k] = width
+    place = np.zeros(len(pdf), dtype=int)
+    place[visits] = 1
+    return ends, trace[np.cumsum(place)]
+
+
+def _stretches(df: DataFrame) -> DataFrame:
+    """``run_id, ts, seq, throughput, rows_processed, unit, head``: runs cut into stretches.
+
+    A stretch begins where the seven samples before do not depend on the width:
+    there the width alone is the state. ``head`` holds these samples in the first
+    row of a stretch. The first such place of every slice is a cut; a run without
+    any is one stretch.
+    """
+    work = df.select(
+        RUN,
+        *ORDER,
+        F.col("throughput").cast("double").alias("throughput"),
+        F.coalesce(F.col("rows_processed").cast("double"), F.lit(0.0)).alias("rows_processed"),
+    )
+    work, slices = add_slices(work, list(ORDER))
+    parted = add_parts(work, [RUN], slices=slices).withColumn("__slice", F.col(slices[0]))
+    reported = F.coalesce(F.col("throughput") > 0, F.lit(False))
+    free = reported | (F.col("rows_processed") <= 0)
+    back = _along().rowsBetween(1 - SAMPLES, -1)
+    sample = F.when(reported, F.col("throughput")).otherwise(F.lit(0.0))
+    local = parted.select(
+        "*",
+        (F.count(F.lit(1)).over(back) == SAMPLES - 1).alias("__full"),
+        F.min(free).over(back).alias("__free"),
+        F.collect_list(sample).over(back).alias("__head"),
+    )
+    opens = F.col("__full") & F.col("__free")
+    carried = with_carry(
+        local,
+        {"__first": F.min(F.when(opens, _order_key())), "__at": F.max("__slice")},
+        {
+            "__cut": lambda w: F.col("__first"),
+            "__prior": lambda w: F.max(F.when(F.col("__first").isNotNull(), F.col("__at"))).over(before(w)),
+        },
+    )
+    behind = F.coalesce(_order_key() >= F.col("__cut"), F.lit(False))
+    return carried.select(
+        RUN,
+        *ORDER,
+        "throughput",
+        "rows_processed",
+        F.when(behind, F.col("__slice")).otherwise(F.coalesce("__prior", F.lit(-1))).alias("unit"),
+        F.when(_order_key() == F.col("__cut"), F.col("__head")).alias("head"),
+    )
 
 
 def adaptive_window(df: DataFrame, out: str = "window_seconds") -> DataFrame:
     """Width of the throughput window after each sample.
 
-    The width shrinks by a step while the last samples are steady and grows
-    while they are not. A chain of bounded steps is again a bounded shift, so
-    each slice is reduced to one, and slices are replayed from their entry width.
-    Only samples without reported throughput depend on the width before them; a
-    log that has any is followed slice by slice instead.
+    The width shrinks by a step while the last samples are steady and grows while
+    they are not; a sample without reported throughput depends on the width before
+    it. Widths lie on a grid, so each stretch of a run is followed once from all of
+    them; the ends are chained per run, one row per stretch, and every stretch is
+    replayed from its own entry. Three passes, whatever the number of stretches.
+    NULL throughput is not reported, NULL rows are none, NULL runs are one run. A
+    run in which seven samples in a row never report is walked by one task.
     """
-    inputs = ["throughput", "rows_processed"]
-    work, slices = add_slices(df.select(RUN, *ORDER, *inputs), list(ORDER))
-    depends = (F.col("throughput") <= 0) & (F.col("rows_processed") > 0)
-    if work.where(depends).limit(1).count():
-        widths = _follow_from_entries(work, slices)
-    else:
-        sampled = work.withColumn("__sample", throughput_sample().cast("double"))
-        varied = _variation(add_parts(sampled, [RUN], slices=slices), "__sample")
-        cv = F.col("__cv")
-        step = (
-            F.when(cv < STEADY_BELOW, -WINDOW_STEP).when(cv > UNSTEADY_ABOVE, WINDOW_STEP).otherwise(0.0)
-        )
-        # Written once: the walk reads the steps twice.
-        steps = written(varied.select(RUN, *slices, *ORDER, step.alias("__step")), "steps")
-        widths = _walk_all(steps, slices)
-    return df.join(widths.select(RUN, *ORDER, F.col("__after").alias(out)), [RUN, *ORDER])
+    grid = [WINDOW_MIN + WINDOW_STEP * k for k in range(int((WINDOW_MAX - WINDOW_MIN) / WINDOW_STEP) + 1)]
+    rows = written(_stretches(df), "stretches")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    keys = f"`{RUN}` {kinds[RUN]}, unit int"
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(ORDER))
+        return pdf.iloc[[0]][[RUN, "unit"]].assign(ends=[_walk(pdf, grid)[0]])
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(ORDER))
+        return pdf[[RUN, *ORDER]].assign(after=_walk(pdf, [pdf["entry"].iat[0]])[1])
+
+    units = rows.groupBy(RUN, "unit").applyInPandas(ends, f"{keys}, ends array<double>")
+    start = F.struct(F.lit(WINDOW_START).alias("width"), F.array().cast("array<struct<unit:int,entry:double>>").alias("entries"))
+    place = lambda width: F.round((width - WINDOW_MIN) / WINDOW_STEP).cast("int")
+    chained = F.aggregate(
+        F.sort_array(F.collect_list(F.struct("unit", "ends"))),
+        start,
+        lambda at, u: F.struct(
+            F.get(u["ends"], place(at["width"])).alias("width"),
+            F.concat(at["entries"], F.array(F.struct(u["unit"].alias("unit"), at["width"].alias("entry")))).alias("entries"),
+        ),
+    )
+    entries = units.groupBy(RUN).agg(chained["entries"].alias("e")).select(RUN, F.inline("e"))
+    entered = join_same_keys(rows, entries, [RUN, "unit"])
+    order = ", ".join(f"`{c}` {kinds[c]}" for c in (RUN, *ORDER))
+    widths = entered.groupBy(RUN, "unit").applyInPandas(replay, f"{order}, after double")
+    return join_same_keys(df, widths.select(RUN, *ORDER, F.col("after").alias(out)), [RUN, *ORDER])
 
 
 def context_features(

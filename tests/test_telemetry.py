@@ -100,6 +100,44 @@ def test_adaptive_window_is_the_sequential_rule(spark, reported):
     assert len({w for _, w, _cv in controller([r for r in rows if r[0] == "hot"])}) > 5
 
 
+@pytest.mark.parametrize("kind", ["null run", "null throughput", "level", "rare reports", "never"])
+def test_adaptive_window_odd_logs(spark, kind):
+    """Logs whose runs, throughput or steps are odd, in many slices, against the sequential rule."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(500):
+        n, tp = rng.randrange(1, 3000), float(rng.randrange(500, 1500))
+        if kind == "null throughput":
+            tp = None if rng.random() < 0.5 else tp
+        elif kind == "level":  # neither steady nor unsteady: the width stays what it was
+            n, tp = (1000, 0.0) if i < 20 else (0, 1000.0 * (1 + (i % 2) * 0.6))
+        elif kind == "rare reports":
+            tp = tp if rng.random() < 0.1 else 0.0
+        elif kind == "never":
+            tp = 0.0
+        rows.append(sample(None if kind == "null run" and i % 2 else "a", i, i, rows=n, tp=tp))
+    got = {r["seq"]: r["window_seconds"] for r in I.adaptive_window(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for run in {r[0] for r in rows}:
+        mine = [(*r[:8], r[8] or 0.0) for r in rows if r[0] == run]
+        assert [got[r[2]] for r in mine] == [w for _, w, _cv in controller(mine)]
+
+
+def test_adaptive_window_jobs_do_not_grow_with_slices(spark):
+    def jobs(partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        group = f"widths-{partitions}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = [sample("a", i, i, rows=5, tp=1000.0 * (1 + (i % 2) * 0.6)) for i in range(300)]
+        I.adaptive_window(frame(spark, rows)).collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    try:
+        assert abs(jobs(8) - jobs(24)) <= 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_variation(spark):
     rng = random.Random(1)
     rows = [sample("a", i, i, tp=rng.random() * 100 + 1) for i in range(100)]
