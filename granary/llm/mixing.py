@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import running_start, word_count
+from granary.llm.common import running_start, shuffle_partitions, word_count
 from granary.session import written
 
 BLOCK_WORDS = 64
@@ -84,11 +84,11 @@ def block_draws(sources: DataFrame, block_words: int, shard_blocks: int, seed: i
         .withColumn("slots", F.sum("quota").over(Window.partitionBy()))
         .where(F.col("quota") > 0)
     )
-    # Two steps, so that no row holds all draws of a source.
+    # Two steps, so that no row holds all draws of a source; by number, so that Spark leaves the parts apart.
     chunks = plan.select(
         "rank", "n_blocks", "base", "slots", "quota",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(DRAWS_PER_ROW).cast("long"))).alias("from"),
-    ).repartition("rank", "from")
+    ).repartition(shuffle_partitions(sources.sparkSession), "rank", "from")
     last = F.least(F.col("from") + DRAWS_PER_ROW, F.col("quota")) - 1
     draws = chunks.select("rank", "n_blocks", "base", "slots", F.explode(F.sequence("from", last)).alias("draw"))
     at = permuted(F.col("base") + F.col("draw"), F.col("slots"), F.lit(seed))
@@ -133,7 +133,8 @@ def mix(
     sources = written(source_targets(sized), "mix-targets")
     draws = block_draws(sources, block_words, shard_blocks, seed)
     pieces = document_pieces(sized, sources, block_words)
-    plan = draws.join(pieces, ["rank", "block"]).select("shard", "slot", "row", "from", "words")
+    # Both sides grow with the corpus, whatever Spark takes them for before the draws are unfolded.
+    plan = draws.hint("merge").join(pieces, ["rank", "block"]).select("shard", "slot", "row", "from", "words")
     return sized, sources, plan
 
 
