@@ -62,14 +62,17 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, mi
     """
     runs = written(line_runs(docs, min_chars), "line-runs")
     place = F.struct(*KEY, "pos")
-    frequent = (
+    # Written, so that both sides of the join below are shuffled for it alone: Spark can then split
+    # the partition of a line that very many documents hold.
+    frequent = written(
         runs.groupBy("h1", "h2")
         .agg(
             F.sum(F.col("opens").cast("long")).alias("n_docs"),
             F.min(F.when(F.col("leads"), place)).alias("first"),
         )
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "first")
+        .select("h1", "h2", "first"),
+        "frequent-lines",
     )
     dropped = runs.select("h1", "h2", *KEY, "pos").join(frequent, ["h1", "h2"])
     if keep_first:
