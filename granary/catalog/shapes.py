@@ -11,12 +11,13 @@ from granary.sources import files, tables
 
 
 def discover(spark, sf):
+    """Every file found, and per folder the rows that a scan reads from the files of the listing."""
     found = files.discover_files(spark, csv_export(spark, sf))
-    return found.select(
-        folder_of("path").alias("folder"),
-        F.regexp_extract("name", r"\.[^.]+$", 0).alias("ext"),
-        (F.col("size") > 0).alias("filled"),
-    ).distinct()
+    rows = tables.scan_csv(spark, files=found).groupBy(files.plain_path("source").alias("at")).count()
+    listed = found.where(F.col("size") > 0).join(rows, F.col("path") == F.col("at"), "left")
+    return listed.groupBy(
+        folder_of("path").alias("folder"), F.lower(F.regexp_extract("name", r"\.[^.]+$", 0)).alias("ext")
+    ).agg(F.sum(F.coalesce("count", F.lit(0))).cast("bigint").alias("rows"))
 
 
 def _headers(spark, sf):
@@ -215,8 +216,9 @@ _OTHER_TYPES = " union all ".join(
 )
 
 ORACLES = {
-    "a1_discover_files": f"""with {_HEADER_ROWS} select distinct folder, '.csv' as ext, true as filled
-      from h""",
+    "a1_discover_files": """select 'customer' as folder, '.csv' as ext, count(*) as rows from customer
+      union all select 'supplier', '.csv', count(*) from supplier
+      union all select 'part', '.csv', count(*) from part""",
     "a8_row_size_profile": """with e as (select len(event_id || ',' || user_id || ',' || event_type) as w
         from events order by event_id limit 2000)
       select count(*) as sampled_rows, round(avg(w), 6) as bytes_per_row,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.catalog.inputs import KEYS, RUNS, csv_export, folder_of, table, trial_runs
@@ -11,7 +12,8 @@ from granary.operators import split as D
 from granary.operators.clean import clip, null_out_infinities
 from granary.operators.evaluation import param_grid
 from granary.operators.schema import set_difference, union_all
-from granary.sources.files import discover_files
+from granary.sources.files import discover_files, plain_path
+from granary.sources.tables import scan_csv
 
 
 def split_events(spark, sf):
@@ -158,8 +160,12 @@ def grid(spark, sf):
 
 
 def sorted_paths(spark, sf):
+    """Rows of the tables by the rank of their file's folder in the sorted listing."""
     found = discover_files(spark, csv_export(spark, sf))
-    return found.select(folder_of("path").alias("folder")).distinct().orderBy("folder")
+    places = found.select("path", F.dense_rank().over(Window.orderBy(folder_of("path"))).alias("place"))
+    rows = scan_csv(spark, files=found).groupBy(plain_path("source").alias("at")).count()
+    held = places.join(rows, F.col("path") == F.col("at"))
+    return held.groupBy("place", folder_of("path").alias("folder")).agg(F.sum("count").alias("rows")).orderBy("place")
 
 
 def newest_events(spark, sf):
@@ -283,6 +289,7 @@ ORACLES = {
     "g1_param_grid": f"with {GRID_SQL} select s_suppkey as experiment_id, g.* from supplier, g",
     "h10_dedupe_last": """select user_id, min(event_id) as first_position,
       arg_max(event_type, event_id) as event_type from events group by 1""",
-    "s2_sorted_paths": "select * from (values ('customer'), ('part'), ('supplier')) t(folder)",
+    "s2_sorted_paths": """select 1 as place, 'customer' as folder, count(*) as rows from customer
+      union all select 2, 'part', count(*) from part union all select 3, 'supplier', count(*) from supplier""",
     "s6_newest": "select event_id, event_type from events order by ts desc, event_id desc limit 300",
 }

@@ -17,13 +17,13 @@ from granary.operators.split import TRAIN, TRAIN_RATIO, random_split, ratio_spli
 from granary.session import written
 from granary.sinks.tables import (
     completed_files,
-    read_manifest,
+    write_completed,
     write_manifest,
     write_matrix,
     write_parts,
     write_split,
 )
-from granary.sources.files import discover_files
+from granary.sources.files import checked_headers, discover_files, plain_path
 from granary.sources.tables import POSITION, sample_files, scan_csv, typed
 
 
@@ -34,6 +34,7 @@ class ConsolidationResult:
     test: str
     matrix: str | None
     summary: DataFrame
+    unreadable: DataFrame  # path, error of the files that this run left out
 
 
 def consolidate_files(
@@ -43,18 +44,22 @@ def consolidate_files(
     narrow: bool = False,
     sample_rows: int | None = None,
     types: dict[str, str] | None = None,
+    lenient: bool = False,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of all files, cleaned and split per file and label in file order.
 
     The block of a row serves as its slice, so no order statistics are needed.
     Column types are inferred over all rows unless ``types`` names them; numbers
     are doubles, so that the parts of several runs fit together. ``sample_rows``
-    takes only the first rows of each file.
+    takes only the first rows of each file. A file without a readable header is an
+    error, or with ``lenient`` left out.
     """
+    headers = checked_headers(files, lenient) if headers is None else headers
     if sample_rows is None:
-        raw = scan_csv(spark, files=files, positions=True)
+        raw = scan_csv(spark, headers=headers, positions=True)
     else:
-        raw = sample_files(spark, n=sample_rows, files=files, positions=True)
+        raw = sample_files(spark, n=sample_rows, headers=headers, positions=True)
     # Stored once: the split reads it twice, and the row positions stay what they are.
     clean = written(_sanitize_features(typed(raw, types, integers="float64"), narrow), "clean")
     if LABEL not in clean.columns:
@@ -85,29 +90,38 @@ def run_consolidation(
     ratio: float = TRAIN_RATIO,
     sample_rows: int | None = None,
     run_id: str = "run",
+    lenient: bool = False,
 ) -> ConsolidationResult:
     """Discover, merge, clean, split, write parts, final tables and the matrix.
 
-    A rerun skips the files that the manifest lists, and replaces the parts of
-    the others; part folders are committed as a whole.
+    A rerun skips the files that were processed, and replaces the parts of the
+    others; part folders are committed as a whole. A file counts as processed when
+    its rows are in the parts, or its header was read and there are none. Files
+    without a readable header are an error; with ``lenient`` they are left out,
+    listed in the result, and tried again by the next run.
     """
     base = out.rstrip("/")
-    manifest_path = f"{base}/manifest"
+    manifest_path, completed_path = f"{base}/manifest", f"{base}/completed_files"
     files = discover_files(spark, inputs)
-    paths = [r["path"] for r in files.select("path").toLocalIterator()]
     try:
-        done = completed_files(read_manifest(spark, manifest_path).where(F.col("run_id") == run_id))
-        todo = pending_inputs(files, done)
-    except AnalysisException:  # no manifest yet
+        todo = pending_inputs(files, completed_files(spark, completed_path, run_id).select("path"))
+    except AnalysisException:  # nothing processed yet
         todo = files
     parts = f"{base}/parts"
-    if todo.limit(1).count():
-        write_parts(consolidate_files(spark, todo, ratio, sample_rows=sample_rows), parts)
-    written = spark.read.option("mergeSchema", "true").parquet(parts)
-    summary = split_summary(written)
-    counts = written.groupBy("split").count().collect()
+    headers = checked_headers(todo, lenient)
+    readable = headers.where(F.col("error").isNull()).select("path").distinct()
+    if not readable.isEmpty():
+        rows = consolidate_files(spark, todo, ratio, sample_rows=sample_rows, headers=headers)
+        write_parts(rows, parts)
+        held = spark.read.option("mergeSchema", "true").parquet(parts)
+        per_file = held.groupBy(plain_path(SOURCE).alias("found")).agg(F.count(F.lit(1)).alias("rows"))
+        done = readable.join(per_file, F.col("path") == F.col("found"), "left")
+        write_completed(done.select("path", F.coalesce("rows", F.lit(0)).alias("rows")), completed_path, run_id)
+    held = spark.read.option("mergeSchema", "true").parquet(parts)
+    summary = split_summary(held)
+    counts = held.groupBy("split").count().collect()
     rows_by_side = {r["split"]: r["count"] for r in counts}
-    write_split(written.drop("source_key"), f"{base}/train", f"{base}/test")
+    write_split(held.drop("source_key"), f"{base}/train", f"{base}/test")
     train = spark.read.parquet(f"{base}/train")
     matrix_path = None
     features = numeric_columns(train.drop(SOURCE), texts=False)
@@ -122,9 +136,9 @@ def run_consolidation(
         full_run=sample_rows is None,
         sample_rows=sample_rows,
         columns=[c for c in train.columns if c != SOURCE],
-        completed_files=paths,
         stage="done",
         rows_written_train=rows_by_side.get(TRAIN, 0),
         rows_written_test=sum(n for side, n in rows_by_side.items() if side != TRAIN),
     )
-    return ConsolidationResult(parts, f"{base}/train", f"{base}/test", matrix_path, summary)
+    unreadable = headers.where(F.col("error").isNotNull()).select("path", "error")
+    return ConsolidationResult(parts, f"{base}/train", f"{base}/test", matrix_path, summary, unreadable)

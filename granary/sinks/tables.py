@@ -19,7 +19,6 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("sample_rows", T.IntegerType()),
         T.StructField("union_cols", T.StringType()),
         T.StructField("union_cols_hash", T.StringType()),
-        T.StructField("completed_files", T.ArrayType(T.StringType())),
         T.StructField("stage", T.StringType()),
         T.StructField("rows_written_train", T.LongType()),
         T.StructField("rows_written_test", T.LongType()),
@@ -31,10 +30,10 @@ MANIFEST_SCHEMA = T.StructType(
 def write_parts(df: DataFrame, path: str, source: str = SOURCE, max_records: int = 5_000_000) -> None:
     """One folder per split and source; a rerun replaces exactly the folders it writes.
 
-    Rows stay in the tasks that hold them: a large source is written by many
-    tasks, in files of at most ``max_records`` rows.
+    Spark brings the rows of a folder together and splits large ones again, so a
+    source has few files, and a large one is written by many tasks.
     """
-    keyed = df.withColumn("source_key", sha1_10(source))
+    keyed = df.withColumn("source_key", sha1_10(source)).hint("rebalance", "split", "source_key")
     (
         keyed.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -84,5 +83,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return latest.select("run_id", "s.*")
 
 
-def completed_files(manifest: DataFrame) -> DataFrame:
-    return manifest.select(F.explode("completed_files").alias("path"))
+def write_completed(files: DataFrame, path: str, run_id: str) -> None:
+    """Append one row per file that a run has processed: ``files`` holds (path, rows)."""
+    rows = files.select(F.lit(run_id).alias("run_id"), "path", F.col("rows").cast("bigint").alias("rows"))
+    rows.withColumn("completed_ts", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def completed_files(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """``(run_id, path, rows, completed_ts)`` of the processed files, of one run or of all."""
+    files = spark.read.schema("run_id string, path string, rows bigint, completed_ts timestamp").parquet(path)
+    return files if run_id is None else files.where(F.col("run_id") == run_id)

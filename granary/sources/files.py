@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import csv
-import io
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import basename
+from granary.session import written
 
 HEADER_SCHEMA = "path string, pos bigint, name string, error string"
 
@@ -44,16 +43,10 @@ def discover_files(spark: SparkSession, root: str | list[str], ext: str = ".csv"
     return files.orderBy("path")
 
 
-def _open(path: str):
-    """File handle by URI, for every file system that Arrow knows."""
-    from pyarrow import fs
-
-    uri = re.sub(r"^file:/+", "/", path)
-    if "://" in uri:
-        system, inner = fs.FileSystem.from_uri(uri)
-    else:
-        system, inner = fs.LocalFileSystem(), uri
-    return system.open_input_stream(inner)
+def plain_path(file_path: Column | str) -> Column:
+    """``_metadata.file_path`` as file listings name it: without percent signs for blanks and the like."""
+    c = F.col(file_path) if isinstance(file_path, str) else file_path
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
 def parse_header(text_lines: Iterator[str]) -> list[str]:
@@ -78,33 +71,63 @@ def parse_header(text_lines: Iterator[str]) -> list[str]:
     return names
 
 
-def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            try:
-                with _open(path) as stream:
-                    text = io.TextIOWrapper(stream, encoding="utf-8-sig", errors="replace", newline="")
-                    rows += [(path, i, n, None) for i, n in enumerate(parse_header(text), 1)]
-            except Exception as exc:  # an unreadable file is reported, not fatal
-                rows.append((path, None, None, f"{type(exc).__name__}: {exc}"))
-        yield pd.DataFrame(rows, columns=["path", "pos", "name", "error"])
-
+def _header_names(lines: pd.Series) -> pd.Series:
+    return pd.Series([parse_header(iter([line])) for line in lines], dtype=object)
 
-def read_headers(files: DataFrame) -> DataFrame:
-    """``(path, pos, name, error)``: each task opens its files and reads one record of each."""
-    spark = files.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, 1)
-    return files.select("path").repartition(tasks).mapInPandas(_read_headers, HEADER_SCHEMA)
 
+def read_headers(files: DataFrame, lenient: bool = False) -> DataFrame:
+    """``(path, pos, name, error)``: names of each file's first line that is not empty.
 
-def header_inventory(spark: SparkSession, root: str | list[str], ext: str = ".csv") -> DataFrame:
-    """``(path, pos, name)`` of every readable file below ``root``; data is not read."""
-    headers = read_headers(discover_files(spark, root, ext))
+    Spark reads the files as text, on any file system of the session; a header is
+    one line of the first block. A file without such a line has one row with an
+    error. A file that cannot be read fails the job, or with ``lenient`` has an
+    error like one without a header. As with every file scan, the driver holds
+    one entry per file.
+    """
+    spark = files.sparkSession
+    paths = [r["path"] for r in files.select("path").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], HEADER_SCHEMA)
+    line = F.regexp_replace("value", "^\ufeff", "")
+    names = F.pandas_udf(_header_names, "array<string>")
+    reader = spark.read.option("ignoreCorruptFiles", str(lenient).lower())
+    first = (
+        reader.option("ignoreMissingFiles", str(lenient).lower())
+        .text(paths)
+        .where((F.col("_metadata.file_block_start") == 0) & (line != ""))
+        .select(plain_path("_metadata.file_path").alias("found"), line.alias("line"), F.monotonically_increasing_id().alias("at"))
+        .groupBy("found")
+        .agg(F.min_by("line", "at").alias("line"))
+        .select("found", names("line").alias("names"))
+    )
+    all_files = files.select("path").distinct()
+    headers = all_files.join(first, F.col("path") == F.col("found"), "left").select(
+        "path", F.posexplode_outer("names").alias("at", "name")
+    )
+    error = F.when(F.col("at").isNull(), F.lit("no header"))
+    return headers.select("path", (F.col("at") + 1).cast("bigint").alias("pos"), "name", error.alias("error"))
+
+
+def checked_headers(files: DataFrame, lenient: bool = False) -> DataFrame:
+    """``read_headers`` as a written table; unless ``lenient`` a file without header is an error."""
+    headers = written(read_headers(files, lenient), "headers")
+    if not lenient:
+        bad = headers.where(F.col("error").isNotNull()).limit(6).collect()
+        if bad:
+            names = ", ".join(r["path"] for r in bad[:5]) + (" and more" if len(bad) > 5 else "")
+            raise ValueError(f"files without a readable header: {names}; pass lenient=True to leave them out")
+    return headers
+
+
+def header_inventory(
+    spark: SparkSession, root: str | list[str], ext: str = ".csv", lenient: bool = False
+) -> DataFrame:
+    """``(path, pos, name)`` of every file below ``root``; see ``checked_headers``."""
+    headers = checked_headers(discover_files(spark, root, ext), lenient)
     return headers.where(F.col("error").isNull()).drop("error")
 
 
 def unreadable_files(spark: SparkSession, root: str | list[str], ext: str = ".csv") -> DataFrame:
-    """``(path, error)`` of the files that ``header_inventory`` leaves out."""
-    headers = read_headers(discover_files(spark, root, ext))
+    """``(path, error)`` of the files that a lenient scan leaves out."""
+    headers = read_headers(discover_files(spark, root, ext), lenient=True)
     return headers.where(F.col("error").isNotNull()).select("path", "error")

@@ -21,7 +21,7 @@ from granary.operators.schema import (
 from granary.plans.ranks import head_per_group
 from granary.plans.slices import before
 from granary.plans.small import join_same_keys, small_side
-from granary.sources.files import discover_files, read_headers
+from granary.sources.files import checked_headers, discover_files
 
 # Row position of a scanned row: start of its block in the file, then a number
 # that grows within the block.
@@ -30,10 +30,9 @@ POSITION = ("_block", "_row")
 DEFAULT_ROW_BYTES = 512.0
 
 
-def header_groups(files: DataFrame) -> dict[tuple[str, ...], list[str]]:
+def header_groups(headers: DataFrame) -> dict[tuple[str, ...], list[str]]:
     """Paths by header. One entry per file reaches the driver, as for any file scan."""
-    headers = read_headers(files).where(F.col("error").isNull())
-    per_file = headers.groupBy("path").agg(
+    per_file = headers.where(F.col("error").isNull()).groupBy("path").agg(
         F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("cols")
     )
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -71,16 +70,21 @@ def scan_csv(
     columns: list[str] | None = None,
     positions: bool = False,
     multi_line: bool = False,
+    lenient: bool = False,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """All rows as text under the union schema, columns matched by name.
 
     Files are read once per distinct header, since a multi-file CSV read matches
     columns by position. Adds the source path, and with ``positions`` the row
     position that reproduces the order within a file. ``multi_line`` accepts line
-    breaks inside quotes, at the price of one task per file.
+    breaks inside quotes, at the price of one task per file. A file without a
+    readable header is an error, or with ``lenient`` left out (``read_headers``
+    tells which); ``headers`` passes a header table that is already there.
     """
-    files = discover_files(spark, root) if files is None else files
-    groups = header_groups(files)
+    if headers is None:
+        headers = checked_headers(discover_files(spark, root) if files is None else files, lenient)
+    groups = header_groups(headers)
     if not groups:
         raise FileNotFoundError("no file with a readable header")
     extra = [SOURCE, *(POSITION if positions else ())]
@@ -120,13 +124,14 @@ def sample_files(
     n: int = 10_000,
     files: DataFrame | None = None,
     positions: bool = False,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """First ``n`` rows of each file.
 
     Block counts tell which blocks can hold them, so that a large file sends only
     its leading blocks to the ranking.
     """
-    rows = scan_csv(spark, root, files, positions=True)
+    rows = scan_csv(spark, root, files, positions=True, headers=headers)
     blocks = rows.groupBy(SOURCE, POSITION[0]).agg(F.count(F.lit(1)).alias("__count"))
     along = Window.partitionBy(SOURCE).orderBy(POSITION[0])
     ahead = F.coalesce(F.sum("__count").over(before(along)), F.lit(0))
@@ -150,10 +155,16 @@ def count_rows(df: DataFrame, cap: int = 2_000_000, by: list[str] | None = None)
     return counted.withColumn("rows", F.least("rows", F.lit(cap)).cast("bigint"))
 
 
-def row_size_profile(df: DataFrame, sample_rows: int = 2000, total_bytes: int | None = None) -> DataFrame:
-    """Mean bytes per row as CSV text over the first rows; estimated rows of a file of that size."""
+def row_size_profile(
+    df: DataFrame, sample_rows: int = 2000, total_bytes: int | None = None, order: list[str] | None = None
+) -> DataFrame:
+    """Mean bytes per row as CSV text over the first rows; estimated rows of a file of that size.
+
+    The first rows are those of ``order``, by default of all columns from left to right, so that
+    every run reads the same ones.
+    """
     width = F.octet_length(F.to_csv(F.struct(*[quoted(c) for c in df.columns])))
-    profile = df.limit(sample_rows).agg(
+    profile = df.orderBy(*[quoted(c) for c in order or df.columns]).limit(sample_rows).agg(
         F.count(F.lit(1)).alias("sampled_rows"),
         F.coalesce(F.avg(width), F.lit(DEFAULT_ROW_BYTES)).alias("bytes_per_row"),
     )

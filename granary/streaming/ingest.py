@@ -6,7 +6,6 @@ which together with the checkpoint makes their output exactly-once.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,8 @@ from granary.operators.schema import LABEL, SOURCE, align_to_schema
 from granary.operators.split import TEST, TRAIN, TRAIN_RATIO, goes_to_train
 from granary.plans.ranks import add_rank
 from granary.plans.small import join_same_keys, small_side
+from granary.session import written
+from granary.sources.files import checked_headers
 from granary.sources.tables import scan_csv, typed
 
 FILE_LISTING = "path string, modificationTime timestamp, length bigint, content binary"
@@ -34,9 +35,14 @@ def stream_consolidate(
     columns: list[str],
     types: dict[str, str],
     files_per_batch: int = 1000,
+    lenient: bool = False,
 ):
     """Ingest new CSV files below ``root`` as they arrive; returns the finished query.
 
+    A file without a readable header fails its batch, which is tried again by the
+    next start. With ``lenient`` the file is left out for good and listed below
+    ``<out>_unreadable`` (see ``read_unreadable``).
+
     The stream carries file names only, at most ``files_per_batch`` at a time.
     Each batch reads its files by header, aligns them to the union schema and
     sanitizes them, so files with differing headers are matched by name.
@@ -56,7 +62,13 @@ def stream_consolidate(
         if not paths:
             return
         files = spark.createDataFrame([(p,) for p in paths], "path string")
-        rows = typed(scan_csv(spark, files=files, columns=columns), types)
+        headers = checked_headers(files, lenient)
+        bad = headers.where(F.col("error").isNotNull()).select("path", "error")
+        if lenient and not bad.isEmpty():
+            bad.write.mode("overwrite").parquet(batch_folder(f"{out.rstrip('/')}_unreadable", batch_id))
+        if headers.where(F.col("error").isNull()).isEmpty():
+            return
+        rows = typed(scan_csv(spark, headers=headers, columns=columns), types)
         clean = sanitize(rows, [SOURCE, *columns], narrow=False)
         clean.write.mode("overwrite").parquet(batch_folder(out, batch_id))
 
@@ -68,14 +80,24 @@ def stream_consolidate(
     )
 
 
+def read_unreadable(spark: SparkSession, out: str) -> DataFrame:
+    """``(path, error)`` of the files that a lenient ingestion has left out so far."""
+    try:
+        return spark.read.parquet(f"{out.rstrip('/')}_unreadable").select("path", "error")
+    except AnalysisException:  # none
+        return spark.createDataFrame([], "path string, error string")
+
+
 def _counts_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """Rows per group in all earlier batches."""
+    """Rows per group in all earlier batches, read from the running totals of the newest one."""
     keys = [f.name for f in schema.fields if f.name not in ("batch", "n")]
     try:
-        counts = spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
+        totals = spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
+        newest = totals.agg(F.max("batch")).first()[0]
+        totals = totals.where(F.col("batch") == F.lit(newest))
     except AnalysisException:  # first batch
-        counts = spark.createDataFrame([], schema)
-    return counts.groupBy(*keys).agg(F.sum("n").alias("__seen"))
+        totals = spark.createDataFrame([], schema)
+    return totals.select(*keys, F.col("n").alias("__seen"))
 
 
 def split_batch(
@@ -102,8 +124,9 @@ def split_batch(
     ranked.withColumn("split", side).drop("__rank", "__seen").write.mode("overwrite").parquet(
         batch_folder(rows_path, batch_id)
     )
-    # The batch number is a folder here: a replay overwrites its own counts only.
-    with_batch.drop("batch").write.mode("overwrite").parquet(batch_folder(counts_path, batch_id))
+    # Running totals: the next batch reads this folder alone. A replay overwrites its own only.
+    totals = seen.select(*by, F.col("__seen").alias("n")).unionByName(counts).groupBy(*by).agg(F.sum("n").alias("n"))
+    totals.write.mode("overwrite").parquet(batch_folder(counts_path, batch_id))
 
 
 def stream_ratio_split(
@@ -117,9 +140,8 @@ def stream_ratio_split(
     """The ratio split over a stream whose batches arrive in order; returns the query."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist(StorageLevel.DISK_ONLY)  # read for bounds, counts and rows
-        split_batch(kept, batch_id, order, out, by, ratio)
-        kept.unpersist()
+        # Read for bounds, counts and rows; in the shared folder, where a lost executor loses nothing.
+        split_batch(written(batch, "batch"), batch_id, order, out, by, ratio)
 
     return (
         stream.writeStream.foreachBatch(split)

@@ -2,6 +2,7 @@ import csv
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
@@ -9,10 +10,10 @@ from granary.operators.classifiers import fit_gaussian_nb
 from granary.operators.evaluation import weighted_f1
 from granary.plans.consolidation import run_consolidation
 from granary.plans.search import grid_search, read_trials
-from granary.sinks.tables import read_manifest
+from granary.sinks.tables import completed_files, read_manifest
 from granary.sources import files as A
 from granary.sources import tables as T
-from granary.streaming.ingest import read_ingested, stream_consolidate
+from granary.streaming.ingest import read_ingested, read_unreadable, stream_consolidate
 
 
 def write(path, header, rows, encoding="utf-8"):
@@ -43,7 +44,12 @@ def test_files_are_found_in_any_case(spark, tree):
 def test_headers(spark, tree):
     (tree / "empty.csv").write_text("\n")
     got = {}
-    for r in A.header_inventory(spark, str(tree)).orderBy("path", "pos").collect():
+    with pytest.raises(ValueError, match="empty.csv"):
+        A.header_inventory(spark, str(tree))
+    with pytest.raises(ValueError, match="empty.csv"):
+        T.scan_csv(spark, str(tree))
+    assert T.scan_csv(spark, str(tree), lenient=True).count() == 6
+    for r in A.header_inventory(spark, str(tree), lenient=True).orderBy("path", "pos").collect():
         got.setdefault(r["path"].split("/")[-1], []).append(r["name"])
     assert got["f1.csv"] == ["b", "a", " Label"] and got["f2.CSV"] == ["a", "c", "label"]
     assert [r["path"].split("/")[-1] for r in A.unreadable_files(spark, str(tree)).collect()] == ["empty.csv"]
@@ -124,10 +130,54 @@ def test_consolidation_end_to_end_and_resume(spark, tmp_path):
     after = {f for f in (out / "parts").rglob("*.parquet")}
     assert before <= after and len(after) == len(before) + 1
     state = read_manifest(spark, f"{out}/manifest").first()
-    assert state["stage"] == "done" and len(state["completed_files"]) == 3
+    done = completed_files(spark, f"{out}/completed_files", "run").collect()
+    assert state["stage"] == "done"
+    assert sorted((r["path"].split("/")[-1], r["rows"]) for r in done) == [("one.csv", 2000), ("three.csv", 1), ("two.csv", 2)]
     assert state["rows_written_train"] + state["rows_written_test"] == 2003
 
 
+def test_unreadable_files_are_tried_again(spark, tmp_path):
+    """A file that is no CSV in the first run and repaired before the second; one without rows."""
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    write(root / "good.csv", ["i", "label"], [[i, "x"] for i in range(100)])
+    write(root / "no rows.csv", ["i", "label"], [])
+    (root / "bad.csv").write_text("\n\n")
+    with pytest.raises(ValueError, match="bad.csv"):
+        run_consolidation(spark, str(root), out)
+    first = run_consolidation(spark, str(root), out, lenient=True)
+    assert [r["path"].split("/")[-1] for r in first.unreadable.collect()] == ["bad.csv"]
+    listed = completed_files(spark, f"{out}/completed_files").collect()
+    assert sorted((r["path"].split("/")[-1], r["rows"]) for r in listed) == [("good.csv", 100), ("no rows.csv", 0)]
+    write(root / "bad.csv", ["i", "label"], [[i, "y"] for i in range(100, 200)])
+    again = run_consolidation(spark, str(root), out, lenient=True)
+    held = spark.read.option("mergeSchema", "true").parquet(again.parts)
+    assert sorted(r["i"] for r in held.collect()) == list(range(200)) and again.unreadable.count() == 0
+
+
+def test_broken_compression_is_an_error_or_reported(spark, tmp_path):
+    write(tmp_path / "ok.csv", ["a"], [[1]])
+    (tmp_path / "broken.csv.gz").write_bytes(b"no gzip at all")
+    with pytest.raises(Exception, match="(?i)gzip|not in"):
+        A.header_inventory(spark, str(tmp_path), "").collect()
+    bad = A.unreadable_files(spark, str(tmp_path), "")
+    assert [r["path"].split("/")[-1] for r in bad.collect()] == ["broken.csv.gz"]
+
+
+def test_stream_does_not_lose_files(spark, tmp_path):
+    root, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    write(root / "a.csv", ["a", "label"], [[1, "x"]])
+    (root / "b.csv").write_text("\n")
+    args = (["a", "Label"], {"a": "float64"}, 1)
+    with pytest.raises(StreamingQueryException):
+        stream_consolidate(spark, str(root), out, state, *args).awaitTermination()
+    write(root / "b.csv", ["a", "label"], [[2, "y"]])
+    stream_consolidate(spark, str(root), out, state, *args).awaitTermination()
+    assert sorted(r["a"] for r in read_ingested(spark, out, ["a", "Label"]).collect()) == [1.0, 2.0]
+    (root / "c.csv").write_text("\n")
+    stream_consolidate(spark, str(root), out, state, *args, lenient=True).awaitTermination()
+    assert [r["path"].split("/")[-1] for r in read_unreadable(spark, out).collect()] == ["c.csv"]
+
+
 def test_stream_equals_batch(spark, tree, tmp_path):
     columns = ["a", "b", "c", "Label"]
     types = {"a": "float64", "b": "float64"}
