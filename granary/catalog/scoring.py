@@ -13,62 +13,74 @@ from granary.operators import evaluation as G
 from granary.operators.split import repeated_stratified_holdout
 from granary.plans.search import grid_search
 
-DIMS = 8
+DIMS = 64
 SMOOTHING = 1e-7
 
 
-def _vectors(spark, sf, dims=DIMS):
+def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(
         "vec_id",
-        F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double")).alias("features"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("features"),
         F.col("label").alias("label_idx"),
     )
 
 
-def _held_out(spark, sf, dims=DIMS):
-    rows = repeated_stratified_holdout(_vectors(spark, sf, dims), "vec_id", "label_idx", k=1)
-    return rows.where(~F.col("test_0")), rows.where(F.col("test_0"))
-
-
 def gaussian(spark, sf):
-    train, test = _held_out(spark, sf)
+    rows = repeated_stratified_holdout(_vectors(spark, sf), "vec_id", "label_idx", k=1)
+    train, test = rows.where(~F.col("test_0")), rows.where(F.col("test_0"))
     scored = M.gaussian_log_density(test, M.fit_gaussian_nb(train), SMOOTHING)
     return scored.select("vec_id", "label_idx", F.col("prediction").cast("bigint").alias("prediction"))
 
 
-def _fitted(model, params):
+# Classes that follow a rule on columns with few distinct values: a classifier that
+# works finds the rule, and SQL can state it.
+RULE = "case when l_linenumber <= 3 then 0 when l_discount > 0.045 then 1 else 2 end"
+SIDE = "case when l_linenumber > 4 then 1 else 0 end"
+
+
+def _ruled(spark, sf, rule):
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_linenumber", "l_discount", f"cast({rule} as int) as label_idx",
+        "array(l_linenumber / 4.0D - 1, l_discount * 20 - 1) as features",
+    )
+
+
+def _fitted(model, params, rule):
+    """Fits on all rows and predicts them: the predictions per cell of the two columns."""
+
     def run(spark, sf):
-        train, test = _held_out(spark, sf, 64)
-        scored = M.fit_predict(model, params, train, test, train.count())
-        return scored.select("vec_id", "label_idx", F.col("prediction").cast("bigint").alias("prediction"))
+        rows = _ruled(spark, sf, rule)
+        scored = M.fit_predict(model, params, rows, rows, rows.count())
+        return _cells(scored)
 
     return run
 
 
+def _cells(scored):
+    return scored.groupBy("l_linenumber", F.round(F.col("l_discount") * 100).cast("bigint").alias("percent")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("prediction").cast("bigint").alias("least"),
+        F.max("prediction").cast("bigint").alias("most"),
+    )
+
+
 def prediction(spark, sf):
-    train, test = _held_out(spark, sf, 64)
-    fitted = M.decision_tree({"max_depth": 5}).fit(M.with_vector(train))
-    return M.predict(fitted, test).select("vec_id", F.col("prediction").cast("bigint").alias("prediction"))
+    rows = _ruled(spark, sf, RULE)
+    fitted = M.decision_tree({"max_depth": 10}).fit(M.with_vector(rows))
+    return _cells(M.predict(fitted, rows))
 
 
-# A short grid of every classifier; the full grids are the operator's default.
-SHORT_GRIDS = {
-    "Logistic Regression": {"C": (0.1, 1), "max_iter": (50,)},
-    "Naive Bayes": {"var_smoothing": (1e-9, 1e-7)},
-    "Decision Tree": {"max_depth": (5,), "min_samples_split": (10,), "min_samples_leaf": (2,)},
-    "Random Forest": {"n_estimators": (5,), "max_depth": (5,), "min_samples_leaf": (2,)},
-}
+# Two groups of nations, far apart on one of two features.
+GROUP = "case when c_nationkey >= 13 then 'east' else 'west' end"
 
 
 def search(spark, sf):
-    width = 16
-    vectors = table(spark, sf, "embeddings").select(
-        "vec_id",
-        F.col("label").cast("string").alias("Label"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(width)],
+    """The full grid with all holdouts, over classes that every classifier can tell apart."""
+    customers = table(spark, sf, "customer").selectExpr(
+        "c_custkey", f"{GROUP} as `Label`", "cast(c_nationkey + if(c_nationkey >= 13, 100, 0) as double) as place",
+        "cast(c_nationkey % 5 as double) as other",
     )
-    names = [f"x{i}" for i in range(width)]
-    found = grid_search(vectors, "vec_id", SHORT_GRIDS, k=2, features=names)
+    found = grid_search(customers, "c_custkey", features=["place", "other"], parallelism=8)
     return found.select("model", "combo_idx", params_text("params").alias("params"), "f1", "holdouts", "error")
 
 
@@ -175,13 +187,15 @@ def models_by_score(spark, sf):
 
 
 QUERIES = {
-    "g2_logistic_regression": _fitted("Logistic Regression", {"C": 1.0, "max_iter": 50}),
+    "g2_logistic_regression": _fitted("Logistic Regression", {"C": 10, "max_iter": 1000}, SIDE),
     "g3_gaussian_nb": gaussian,
     "g4_decision_tree": _fitted(
-        "Decision Tree", {"max_depth": 10, "min_samples_split": 5, "min_samples_leaf": 2}
+        "Decision Tree", {"max_depth": 10, "min_samples_split": 5, "min_samples_leaf": 2}, RULE
     ),
     "g5_random_forest": _fitted(
-        "Random Forest", {"n_estimators": 20, "max_depth": 10, "min_samples_leaf": 2}
+        "Random Forest",
+        {"n_estimators": 50, "max_depth": 15, "min_samples_split": 5, "min_samples_leaf": 2},
+        RULE,
     ),
     "g6_predict": prediction,
     "g7_weighted_f1": weighted,
@@ -228,7 +242,18 @@ _CLASSES = f"""{_JUDGED}, c as (select lang, quality as a, toxic as p, count(*)
     case when support > 0 then hits / support else 0 end as recall,
     case when support + predicted > 0 then 2 * hits / (support + predicted) else 0 end as f1 from s)"""
 
+_CELLS = """select l_linenumber, round(l_discount * 100)::bigint as percent, count(*) as rows,
+  min({0})::bigint as least, max({0})::bigint as most from lineitem group by 1, 2"""
+
 ORACLES = {
+    "g2_logistic_regression": _CELLS.format(SIDE),
+    "g4_decision_tree": _CELLS.format(RULE),
+    "g5_random_forest": _CELLS.format(RULE),
+    "g6_predict": _CELLS.format(RULE),
+    "g13_grid_search": f"""with {GRID_SQL}, told as (
+        select avg((({GROUP}) = case when c_nationkey + case when c_nationkey >= 13 then 100 else 0 end > 60
+          then 'east' else 'west' end)::int)::double as f1 from customer)
+      select model, combo_idx, params, f1, 5::bigint as holdouts, null::varchar as error from g, told""",
     "g3_gaussian_nb": f"""with v as (select vec_id, label,
         embedding[1:{DIMS}]::double[] as x,
         row_number() over (partition by label order by md5(concat(vec_id, '-', 42)), vec_id)

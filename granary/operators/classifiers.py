@@ -112,6 +112,13 @@ def logistic_regression(params: dict, n_train: int) -> LogisticRegression:
     )
 
 
+def tree_depth(params: dict) -> int:
+    depth = int(params.get("max_depth", 5))
+    if depth > DEEPEST:
+        raise ValueError(f"max_depth {depth} is beyond {DEEPEST}, the deepest tree that Spark ML grows")
+    return depth
+
+
 def smallest_leaf(params: dict) -> int:
     """Leaf size that stands in for the two size limits.
 
@@ -127,7 +134,7 @@ def decision_tree(params: dict, seed: int = 42) -> DecisionTreeClassifier:
         featuresCol=VECTOR,
         labelCol="label_idx",
         impurity="gini",
-        maxDepth=min(int(params.get("max_depth", 5)), DEEPEST),
+        maxDepth=tree_depth(params),
         minInstancesPerNode=smallest_leaf(params),
         seed=seed,
     )
@@ -139,7 +146,7 @@ def random_forest(params: dict, seed: int = 42) -> RandomForestClassifier:
         labelCol="label_idx",
         impurity="gini",
         numTrees=int(params.get("n_estimators", 100)),
-        maxDepth=min(int(params.get("max_depth", 5)), DEEPEST),
+        maxDepth=tree_depth(params),
         minInstancesPerNode=smallest_leaf(params),
         featureSubsetStrategy="sqrt",
         seed=seed,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.scalars import quoted
 from granary.operators.clean import (
+    clip,
     coerce_numeric,
     null_out_infinities,
     replace_columns,
@@ -112,8 +113,11 @@ def build_training_matrix(
     fit_where=None,
     sample_rows: int | None = None,
     scale: bool = True,
+    clipped: bool = False,
 ) -> TrainingMatrix:
-    """Numeric features cleaned (no clipping), mean-imputed and standardized, labels encoded.
+    """Numeric features cleaned, mean-imputed and standardized, labels encoded.
+
+    ``clipped`` clamps the features to the bounds of ``clean.clip`` before anything is fitted.
 
     Two small fits (column means and spreads; labels), then one narrow projection
     with literals. ``fit_where`` restricts the rows that the fits see, which keeps
@@ -125,6 +129,8 @@ def build_training_matrix(
         *[quoted(c) for c in keep], F.col(label).cast("string").alias(label), *[quoted(c) for c in cols]
     )
     cleaned = base.transform(coerce_numeric, cols).transform(null_out_infinities, cols)
+    if clipped:
+        cleaned = cleaned.transform(clip, cols)
     if scale:
         fit_rows = cleaned if fit_where is None else cleaned.where(fit_where)
         row = fit_rows.agg(

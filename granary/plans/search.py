@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.scalars import quoted
 from granary.operators.classifiers import PREDICTION, fit_predict
 from granary.operators.evaluation import (
     PARAM_GRIDS,
@@ -18,7 +21,6 @@ from granary.operators.evaluation import (
     weighted_f1,
 )
 from granary.operators.features import build_training_matrix, scaled_values
-from granary.operators.relations import pending_trials
 from granary.operators.schema import LABEL, numeric_columns
 from granary.operators.split import (
     HOLDOUTS,
@@ -48,7 +50,7 @@ def prepare_search_table(
 
     ``scaled=False`` keeps raw features with holes, to be scaled per holdout.
     """
-    matrix = build_training_matrix(df, cols=features, keep=(key,), scale=scaled).data
+    matrix = build_training_matrix(df, cols=features, keep=(key,), scale=scaled, clipped=True).data
     flagged = repeated_stratified_holdout(matrix, key, LABEL, k, TEST_SHARE, seed, "test_")
     flagged = repeated_stratified_holdout(flagged, key, LABEL, k, TREE_TEST_SHARE, seed, "tree_test_")
     return written(flagged.drop(LABEL), "search-table")
@@ -66,9 +68,23 @@ def scale_on(table: DataFrame, fit_rows, width: int) -> DataFrame:
     return table.withColumn("features", F.array(*scaled_values(values, row)))
 
 
-def _trial_path(results: str, model: str, combo_idx: int) -> str:
+def _told() -> Column:
+    """Parameters as one text, whatever the order of the map's entries."""
+    return F.to_json(F.array_sort(F.map_entries("params")))
+
+
+def search_key(df: DataFrame, key: str, k: int, names: list[str], fit_on: str) -> str:
+    """Names everything that a score depends on besides model and parameters, the rows included."""
+    cells = [F.col(key), F.col(LABEL), *[quoted(c) for c in names]]
+    total = F.sum(F.xxhash64(*[c.cast("string") for c in cells]).cast("decimal(38,0)"))
+    rows, content = df.agg(F.count(F.lit(1)), total).first()
+    parts = [key, str(k), str(SEED), str(TEST_SHARE), str(TREE_TEST_SHARE), fit_on, *names, str(rows), str(content)]
+    return hashlib.md5("\x1f".join(parts).encode()).hexdigest()[:16]
+
+
+def _trial_path(results: str, model: str, params: dict) -> str:
     slug = re.sub(r"\W+", "_", model.lower())
-    return f"{results.rstrip('/')}/{slug}-{combo_idx}"
+    return f"{results}/{slug}-{hashlib.md5(json.dumps(params, sort_keys=True).encode()).hexdigest()[:16]}"
 
 
 def read_trials(spark: SparkSession, results: str) -> DataFrame:
@@ -119,11 +135,11 @@ def run_trial(
             f1 = weighted_f1(scored, "label_idx", PREDICTION).first()["f1"]
             rows.append((i, float(f1), sizes["rows"], None))
         except Exception as exc:  # a failed fit scores 0, with its reason kept
-            rows.append((i, 0.0, 0, f"{type(exc).__name__}: {exc}"[:500]))
+            rows.append((i, 0.0, 0, f"{type(exc).__name__}: {exc}"))
     out = [
         (trial["model_idx"], trial["model"], trial["combo_idx"], trial["params"], *r) for r in rows
     ]
-    path = _trial_path(results, trial["model"], trial["combo_idx"])
+    path = _trial_path(results, trial["model"], trial["params"])
     spark.createDataFrame(out, TRIAL_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
 
 
@@ -144,29 +160,34 @@ def grid_search(
 
     Every fit is a distributed job; ``parallelism`` fits are submitted at a time,
     as Spark ML's own cross validator does. Trials already in ``results`` are
-    skipped, so a search can be resumed.
+    skipped, so a search can be resumed: with the same rows, features, holdouts and
+    scaling, whatever the rest of the grid; anything else starts afresh.
     """
     spark = df.sparkSession
-    results = results or shared_dir(spark, "trials")
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on is 'all' or 'train'")
     names = features or [c for c in numeric_columns(df) if c != key]
+    folder = f"{(results or shared_dir(spark, 'trials')).rstrip('/')}/{search_key(df, key, k, names, fit_on)}"
     table = prepare_search_table(df, key, k, features=names, scaled=fit_on == "all")
     width = len(names) if fit_on == "train" else None
-    experiments = spark.createDataFrame([(results,)], "results string")
+    experiments = spark.createDataFrame([(folder,)], "results string")
     grid = param_grid(experiments, PARAM_GRIDS if grids is None else grids).drop("results")
     # The grid is a short fixed list of parameter combinations.
+    numbered = grid.withColumn("told", _told())
     try:
-        grid_todo = pending_trials(grid, read_trials(spark, results))
-        todo = grid_todo.orderBy("model_idx", "combo_idx").collect()
+        done = read_trials(spark, folder).select("model", _told().alias("told")).distinct()
+        todo = numbered.join(done, ["model", "told"], "left_anti")
+        todo = todo.drop("told").orderBy("model_idx", "combo_idx").collect()
     except AnalysisException:  # no trial yet
         todo = grid.orderBy("model_idx", "combo_idx").collect()
     sizes = holdout_sizes(table, k)
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        jobs = [pool.submit(run_trial, table, row.asDict(), k, results, sizes, width) for row in todo]
+        jobs = [pool.submit(run_trial, table, row.asDict(), k, folder, sizes, width) for row in todo]
         for job in jobs:
             job.result()
-    return trial_scores(read_trials(spark, results))
+    runs = read_trials(spark, folder).withColumn("told", _told()).drop("model_idx", "combo_idx", "params")
+    numbers = numbered.select("model_idx", "model", "combo_idx", "params", "told")
+    return trial_scores(runs.join(F.broadcast(numbers), ["model", "told"]))
 
 
 def trial_scores(runs: DataFrame) -> DataFrame:
