@@ -23,8 +23,8 @@ from granary.llm.common import tokenizer_path
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The pattern that goes with the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_PIECES = 400_000
-BLOCK_CHARS = 4_000_000
+BLOCK_PIECES = 250_000
+BLOCK_CHARS = 2_000_000
 NONE = np.int64(1) << 40
 #: Rows beyond this width are merged one by one with a heap, by the same rule.
 MATRIX_WIDTH = 512
