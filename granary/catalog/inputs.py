@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import shared_dir
+from granary.session import INTERMEDIATES, shared_dir
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def csv_export(spark: SparkSession, sf: str) -> str:
     Customer's segment becomes a label column with blanks around its name.
     """
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _EXPORTS:
+    if _EXPORTS.get(key) not in INTERMEDIATES:
         root = shared_dir(spark, "csv")
         frames = {
             "customer": table(spark, sf, "customer").withColumnRenamed("c_mktsegment", " label "),

@@ -13,7 +13,7 @@ WINDOW = 3600.0
 
 
 def windowed(spark, sf):
-    return I.rows_in_window(metrics(spark, sf), WINDOW)
+    return I.rows_in_window(I.with_slices(metrics(spark, sf)), WINDOW)
 
 
 def rows_in_window(spark, sf):

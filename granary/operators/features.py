@@ -77,14 +77,18 @@ def assemble_features(df: DataFrame, cols: list[str], out: str = "features") ->
 
 @dataclass
 class TrainingMatrix:
-    """``data`` holds the kept columns, ``features`` and ``label_idx``."""
+    """``data`` holds the kept columns, ``features`` and ``label_idx``.
+
+    ``index`` numbers the labels; ``classes`` lists them in that order when they are few.
+    """
 
     data: DataFrame
-    classes: list[str]
+    classes: list[str] | None
     numeric_cols: list[str]
+    index: DataFrame | None = None
 
     def metadata(self) -> DataFrame:
-        """One row: classes and feature names."""
+        """One row: classes (NULL when they are many: see ``index``) and feature names."""
         spark = self.data.sparkSession
         return spark.createDataFrame(
             [(self.classes, self.numeric_cols)], "classes array<string>, numeric_cols array<string>"
@@ -143,18 +147,20 @@ def build_training_matrix(
         cleaned = replace_columns(cleaned, dict(zip(cols, scaled)))
     index = fit_label_index(base, label)
     encoded = encode_labels(cleaned, index, label)
-    classes = [r[label] for r in index.orderBy("label_idx").collect()]
-    return TrainingMatrix(assemble_features(encoded, cols), classes, list(cols))
+    few = small_rows(index)
+    classes = None if few is None else [r[label] for r in sorted(few, key=lambda r: r["label_idx"])]
+    return TrainingMatrix(assemble_features(encoded, cols), classes, list(cols), index)
 
 
-def column_stats(df: DataFrame, cols: list[str], approximate: bool = False) -> DataFrame:
-    """Long form per column: values, infinities, NaN, mean and std of the finite values,
-    and distinct values.
+def column_stats(df: DataFrame, cols: list[str], distinct: str | None = None) -> DataFrame:
+    """Long form per column: values, infinities, NaN, mean and std of the finite values.
 
-    Distinct values are counted exactly as combined (column, value) pairs, or
-    from sketches with ``approximate``, which keeps it to one pass without a
-    shuffle of values.
+    One pass without a shuffle of values. ``distinct="sketch"`` adds the approximate
+    number of distinct values in the same pass; ``"exact"`` counts combined (column,
+    value) pairs, which sends every distinct value through a shuffle.
     """
+    if distinct not in (None, "sketch", "exact"):
+        raise ValueError("distinct is None, 'sketch' or 'exact'")
 
     def summary(name: str):
         value = quoted(name).cast("double")
@@ -168,17 +174,17 @@ def column_stats(df: DataFrame, cols: list[str], approximate: bool = False) -> D
             F.avg(finite).alias("mean"),
             F.stddev_pop(finite).alias("std"),
         ]
-        if approximate:
+        if distinct == "sketch":
             fields.append(F.approx_count_distinct(value).alias("distinct_values"))
         return F.struct(*fields)
 
     stats = df.agg(F.array(*[summary(c) for c in cols]).alias("stats"))
     long = stats.select(F.explode("stats").alias("s")).select("s.*")
-    if approximate:
+    if distinct != "exact":
         return long
     pairs = [F.struct(F.lit(c).alias("name"), quoted(c).cast("double").alias("v")) for c in cols]
     values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.name", "p.v")
     per_value = values.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
-    distinct = per_value.groupBy("name").agg(F.count("v").alias("distinct_values"))
-    return long.join(distinct, "name")
+    counted = per_value.groupBy("name").agg(F.count("v").alias("distinct_values"))
+    return long.join(counted, "name")
 

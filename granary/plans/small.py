@@ -1,27 +1,31 @@
-"""Small sides: read to the driver only up to a checked number of rows."""
+"""Small sides: read to the driver only up to a checked number of rows and bytes."""
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 20_000
+SMALL_ROWS, SMALL_BYTES = 20_000, 8 << 20
 
 
-def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS):
-    """Rows of ``df`` when there are at most ``max_rows``, else None."""
+def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES):
+    """Rows of ``df`` when there are at most ``max_rows`` of at most ``max_bytes`` in all, else None."""
     rows = df.take(max_rows + 1)
-    return rows if len(rows) <= max_rows else None
+    if len(rows) > max_rows or len(pickle.dumps([tuple(r) for r in rows])) > max_bytes:
+        return None
+    return rows
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """A join side that is broadcast after its size was checked.
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """A join side that is broadcast after its rows and bytes were checked.
 
-    Up to ``max_rows`` rows are computed once and broadcast, so that the other
-    side is never shuffled. A larger relation is returned as it is, and Spark
-    joins the two sides by shuffle (with AQE's skew handling).
+    A small side is computed once and broadcast, so that the other side is never
+    shuffled. A larger relation is returned as it is, and Spark joins the two
+    sides by shuffle (with AQE's skew handling).
     """
-    rows = small_rows(df, max_rows)
+    rows = small_rows(df, max_rows, max_bytes)
     if rows is None:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders below the shared one that this process has written and not released.
+INTERMEDIATES: list[str] = []
+
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -43,7 +46,21 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/granary/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/granary/{tag}-{uuid.uuid4().hex}"
+    INTERMEDIATES.append(path)
+    return path
+
+
+def release_intermediates(spark: SparkSession) -> int:
+    """Delete the folders that this process has asked ``shared_dir`` for; returns how many.
+
+    Call it when the results of the queries so far are written or no longer needed.
+    """
+    released = 0
+    while INTERMEDIATES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(INTERMEDIATES.pop())
+        released += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return released
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

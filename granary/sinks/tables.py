@@ -55,9 +55,11 @@ def write_split(
 
 
 def write_matrix(matrix: TrainingMatrix, path: str) -> None:
-    """Features and label numbers as one table, classes and feature names as another."""
+    """Features and label numbers, label index, and classes with feature names as one table each."""
     base = path.rstrip("/")
     matrix.data.write.mode("overwrite").parquet(f"{base}/data")
+    if matrix.index is not None:
+        matrix.index.write.mode("overwrite").parquet(f"{base}/labels")
     matrix.metadata().coalesce(1).write.mode("overwrite").parquet(f"{base}/metadata")
 
 

@@ -58,8 +58,8 @@ def compare(spark, con, sf: str, query, sql: str | None) -> tuple[bool, str]:
 
 
 def main() -> int:
-    from granary.catalog import all_oracles, all_queries
-    from granary.session import build_session
+    import __spark_entry__ as contract
+    from granary.session import build_session, release_intermediates
 
     args = sys.argv[1:]
     sf = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
@@ -72,7 +72,7 @@ def main() -> int:
             spark__ui__showConsoleProgress="false",
         )
     spark.sparkContext.setLogLevel("ERROR")
-    con, queries, oracles = duck(sf), all_queries(), all_oracles()
+    con, queries, oracles = duck(sf), contract.queries(), contract.oracle_sql()
     names = [n for n in queries if not args or any(n.startswith(a) for a in args)]
     bad = 0
     for name in names:
@@ -83,6 +83,7 @@ def main() -> int:
             ok, detail = False, f"{type(exc).__name__}: {str(exc)[:600]}"
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {detail}", flush=True)
+    release_intermediates(spark)
     print(f"{len(names) - bad} of {len(names)} match")
     return int(bad > 0)
 

@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from granary.operators import clean as C
 from granary.operators import features as M
 from granary.operators import schema as S
 from granary.operators.relations import grid_product
+from granary.plans.small import small_rows
+from granary.session import release_intermediates, written
 
 
 def one(spark, column):
@@ -171,3 +174,25 @@ def test_scalars(spark):
     assert one(spark, X.present(F.lit("NULL"))) is None
     assert one(spark, X.canonical_value(F.lit("1"))) == one(spark, X.canonical_value(F.lit("1.0")))
     assert one(spark, X.hms(F.lit(90061))) == "1 day, 1:01:01"
+
+
+def test_small_sides_are_checked_by_rows_and_bytes(spark):
+    few = spark.range(10).withColumn("t", F.lit("x" * 1000))
+    assert len(small_rows(few)) == 10
+    assert small_rows(few, max_rows=9) is None and small_rows(few, max_bytes=5000) is None
+
+
+def test_many_classes_stay_a_table(spark, monkeypatch):
+    import granary.operators.features as X
+
+    df = spark.range(300).select(F.col("id").cast("double").alias("x"), F.concat(F.lit("c"), F.col("id")).alias("Label"))
+    monkeypatch.setattr(X, "small_rows", lambda df: small_rows(df, max_rows=100))
+    matrix = X.build_training_matrix(df)
+    assert matrix.classes is None and matrix.index.count() == 300
+    assert matrix.data.agg(F.count_distinct("label_idx")).first()[0] == 300
+
+
+def test_intermediates_can_be_released(spark):
+    place = written(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(place)
+    assert release_intermediates(spark) >= 1 and not os.path.exists(place)
