@@ -44,9 +44,11 @@ PATTERNS = ("insult_run", "dense_insults", "masked_insult", "grawlix", "shouting
 
 STEM_LENGTHS = (3, 4, 5, 6)
 #: Bounds of what is learnt: labelled rows read, features kept, stems that vote, rows of the classifier.
-LABELLED_ROWS, MAX_FEATURES, MAX_STEMS, CLASSIFIER_ROWS = 20_000, 300, 40, 50_000
-MIN_SUPPORT, MIN_PRECISION = 5, 0.8
-EM_ROUNDS, FOLDS = 12, 5
+LABELLED_ROWS, MAX_CANDIDATES, MAX_FEATURES, MAX_STEMS, CLASSIFIER_ROWS = 20_000, 2_000, 300, 40, 50_000
+MIN_SUPPORT, MIN_PRECISION, MIN_CONTEXTS = 5, 0.8, 5
+EM_ROUNDS, FOLDS, PRIOR_ROWS = 10, 5, 100
+#: What a row with a posterior counts for beside one with a label, in the classifier.
+UNLABELLED_WEIGHT = 0.2
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ class ToxicityModel:
     features: Features
     weights: np.ndarray
     bias: float
-    voters: pd.DataFrame  # voter, rate_toxic, rate_clean, accuracy, discount
+    voters: pd.DataFrame  # voter, rate_toxic, rate_clean, accuracy, repeated by others
     correlations: np.ndarray
 
 
@@ -134,11 +136,15 @@ def known_labels(labels: DataFrame, held_out: int) -> DataFrame:
     )
 
 
-def mined_features(labelled: DataFrame) -> list[str]:
+def mined_features(labelled: DataFrame) -> tuple[list[str], set[str]]:
     """Words and stems that labelled toxic texts hold and clean ones do not, strongest first.
 
+    Also the lexicon words that the labels contradict: ``MIN_SUPPORT`` clean texts hold them, and more
+    than toxic ones do.
+
     Strength is the z value of the smoothed log odds over distinct texts; equal ones go by length
-    (longer first), then by name.
+    (longer first), then by name. A feature has to follow at least ``MIN_CONTEXTS`` different words:
+    the words of a text that was copied with small changes always follow the same ones.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,12 +168,29 @@ def mined_features(labelled: DataFrame) -> list[str]:
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     z = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     strong = counts.where((F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))))
-    top = strong.orderBy(F.round(z, 6).desc(), F.length("name").desc(), "name").limit(MAX_FEATURES)
-    return [r["name"] for r in top.collect()]
-
+    top = strong.orderBy(F.round(z, 6).desc(), F.length("name").desc(), "name").limit(MAX_CANDIDATES)
+    names = [r["name"] for r in top.collect()]
+    families = Features(tuple(names), (-1,) * len(names), 0).families()
 
-def voting_stems(mined: list[str], most: int) -> list[str]:
-    """The strongest mined features of which none begins another; the others stay features without a vote."""
+    def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: set[tuple[int, str]] = set()
+            for text in frame["text"]:
+                words = TOKEN.findall((text or "").lower())
+                for before, word in zip(["", *words], words, strict=False):
+                    if word[:3] in families:
+                        found.update((i, before) for i in found_words({word}, families))
+            yield pd.DataFrame(list(found), columns=["i", "before"])
+
+    seen = texts.where("toxic = 1").mapInPandas(contexts, "i int, before string").groupBy("i")
+    often = {r["i"] for r in seen.agg(F.count_distinct("before").alias("n")).where(F.col("n") >= MIN_CONTEXTS).collect()}
+    lexicon = [w for words in LEXICONS.values() for w in words.split()]
+    against = counts.where(F.col("name").isin(lexicon) & (F.col("clean") >= MIN_SUPPORT) & (F.col("clean") > F.col("toxic")))
+    return [name for i, name in enumerate(names) if i in often], {r["name"] for r in against.collect()}
+
+
+def one_per_family(mined: list[str], most: int) -> list[str]:
+    """The strongest mined features of which none begins another."""
     out: list[str] = []
     for name in mined:
         word = name.removesuffix("*")
@@ -178,15 +201,22 @@ def voting_stems(mined: list[str], most: int) -> list[str]:
     return out
 
 
-def chosen_features(mined: list[str]) -> Features:
+def chosen_features(mined: list[str], contradicted: set[str] = frozenset()) -> Features:
+    """Lexicon words, and one mined feature per family of words; the strongest of those have a vote of their own.
+
+    Contradicted lexicon words are left out.
+    """
     names: dict[str, int] = {}
     for voter, words in enumerate(LEXICONS.values()):
         for word in words.split():
-            names.setdefault(word, voter)
-    stems = voting_stems([m for m in mined if m not in names], MAX_STEMS)
-    for name in mined:
-        names.setdefault(name, len(LEXICONS) + stems.index(name) if name in stems else -1)
-    return Features(tuple(names), tuple(names.values()), len(LEXICONS) + len(stems) + len(PATTERNS))
+            if word not in contradicted:
+                names.setdefault(word, voter)
+    # A stem of a lexicon word says nothing that the word does not say more exactly.
+    other = [m for m in mined if not any(w.startswith(m.removesuffix("*")) for w in names)]
+    mined = one_per_family(other, MAX_FEATURES)
+    for k, name in enumerate(mined):
+        names[name] = len(LEXICONS) + k if k < MAX_STEMS else -1
+    return Features(tuple(names), tuple(names.values()), len(LEXICONS) + min(len(mined), MAX_STEMS) + len(PATTERNS))
 
 
 def bits(votes: np.ndarray, n: int) -> np.ndarray:
@@ -195,21 +225,29 @@ def bits(votes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LabelModel:
+    """Classes, how often each voter fires in them, and how the voters correlate within them.
+
+    Voters that fire together share their evidence by their correlation, and so do those that do not.
+    """
+
     prior: float
     rates: np.ndarray  # [clean or toxic, voter]
-    discount: np.ndarray
+    correlations: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        v = bits(votes, self.rates.shape[1])
-        clean, toxic = (v * np.log(r) + (1 - v) * np.log1p(-r) for r in self.rates)
-        logit = np.log(self.prior / (1 - self.prior)) + (toxic - clean) @ self.discount
+        fired = bits(votes, self.rates.shape[1])
+        repeated = np.maximum(self.correlations, 0)
+        logit = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for who, rates in ((fired, self.rates), (1 - fired, 1 - self.rates)):
+            shared = who / np.maximum(who @ repeated, 1)
+            logit += shared @ np.log(rates[1] / rates[0])
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def weighted_sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> dict[tuple[int, int, int], float]:
-    """Sums over all documents by class: of votes, or of products of votes; pre-summed per batch.
+def weighted_sums(patterns: DataFrame, model: LabelModel) -> tuple[np.ndarray, np.ndarray]:
+    """Per class, over all documents: their weight, and sums of products of votes.
 
-    Key (class, i, j); i = j = -1 is the weight of the class. The result has at most 2 * voters² rows.
+    Batches are summed where they are; the driver gets at most 2 * voters² numbers.
     """
     n = model.rates.shape[1]
 
@@ -221,41 +259,47 @@ def weighted_sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> dict[t
             v = bits(votes, n)
             for c, share in ((0, 1 - p), (1, p)):
                 w = share * weight
-                products = (v * w[:, None]).T @ v if pairs else np.diag(v.T @ w)
+                products = (v * w[:, None]).T @ v
                 i, j = np.nonzero(products)
                 yield pd.DataFrame({"c": c, "i": i, "j": j, "x": products[i, j]})
                 yield pd.DataFrame({"c": [c], "i": [-1], "j": [-1], "x": [w.sum()]})
 
     total = patterns.mapInPandas(sums, "c int, i int, j int, x double").groupBy("c", "i", "j").agg(F.sum("x").alias("x"))
-    return {(r["c"], r["i"], r["j"]): r["x"] for r in total.collect()}
+    mass, products = np.zeros(2), np.zeros((2, n, n))
+    for r in total.collect():
+        if r["i"] >= 0:
+            products[r["c"], r["i"], r["j"]] = r["x"]
+        else:
+            mass[r["c"]] = r["x"]
+    return mass, products
+
 
+def fit_label_model(patterns: DataFrame, n: int) -> LabelModel:
+    """Label model from (votes, toxic or null, rows) by expectation maximization.
 
-def fit_label_model(patterns: DataFrame, n: int) -> tuple[LabelModel, np.ndarray]:
-    """Label model from (votes, toxic or null, rows), and the voters' correlations within the classes."""
-    rates = np.stack([np.full(n, 0.02), np.full(n, 0.3)])
-    model = LabelModel(0.1, rates, np.ones(n))
+    Known labels are held, and where there are ``PRIOR_ROWS`` of them they give the prior. Rates are
+    estimated with independent voters; the correlations, measured under them, enter the posteriors.
+    """
+    known = patterns.where("toxic is not null").agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("toxic")).alias("t"))
+    labelled = known.first()
+    settled = (labelled["n"] or 0) >= PRIOR_ROWS
+    prior = (labelled["t"] + 1) / (labelled["n"] + 10) if settled else 0.1
+    model = LabelModel(prior, np.stack([np.full(n, 0.02), np.full(n, 0.3)]), np.eye(n))
     for _ in range(EM_ROUNDS):
-        sums = weighted_sums(patterns, model, pairs=False)
-        mass = [sums.get((c, -1, -1), 0.0) for c in (0, 1)]
-        rates = np.array([[(sums.get((c, i, i), 0.0) + 0.1 * (1 + c)) / (mass[c] + 1) for i in range(n)] for c in (0, 1)])
-        rates = np.clip(rates, 1e-6, 1 - 1e-6)
-        model = LabelModel(float(np.clip((mass[1] + 1) / (sum(mass) + 2), 1e-4, 0.5)), rates, np.ones(n))
-    sums = weighted_sums(patterns, model, pairs=True)
-    mass = [sums.get((c, -1, -1), 0.0) for c in (0, 1)]
-    covariance = np.zeros((n, n))
-    for c in (0, 1):
-        second = np.zeros((n, n))
-        for (k, i, j), x in sums.items():
-            if k == c and i >= 0:
-                second[i, j] = x
-        mean = np.diag(second) / max(mass[c], 1.0)
-        covariance += second - max(mass[c], 1.0) * np.outer(mean, mean)
+        mass, products = weighted_sums(patterns, model)
+        fired = np.stack([np.diag(p) for p in products])
+        rates = np.clip((fired + np.array([[0.1], [0.2]])) / (mass[:, None] + 1), 1e-6, 1 - 1e-6)
+        if not settled:
+            prior = float(np.clip((mass[1] + 1) / (mass.sum() + 10), 1e-4, 0.5))
+        model = LabelModel(prior, rates, np.eye(n))
+    mass, products = weighted_sums(patterns, model)
+    means = np.stack([np.diag(p) for p in products]) / np.maximum(mass, 1)[:, None]
+    covariance = sum(products[c] - mass[c] * np.outer(means[c], means[c]) for c in (0, 1))
     spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
     correlations = covariance / np.outer(spread, spread)
     correlations[np.diag(covariance) <= 1e-9] = 0
     np.fill_diagonal(correlations, 1)
-    repeated = np.where(correlations > 0.1, correlations, 0).sum(axis=1)
-    return LabelModel(model.prior, model.rates, 1 / np.maximum(repeated, 1)), correlations
+    return LabelModel(model.prior, model.rates, correlations)
 
 
 def fit_linear(hits: list[list[int]], target: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, float]:
@@ -275,8 +319,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Toxic
     count as unknown, labels without a document not at all. Without any document or label the lexicons
     and patterns still vote, and every score stays low.
     """
-    mined = mined_features(labelled_texts(docs, labels, held_out, LABELLED_ROWS))
-    features = chosen_features(mined)
+    features = chosen_features(*mined_features(labelled_texts(docs, labels, held_out, LABELLED_ROWS)))
 
     def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         families = features.families()
@@ -290,7 +333,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Toxic
     known = known_labels(labels, held_out).withColumnRenamed("doc_id", "_id")
     voted = written(voted.join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id"), "votes")
     patterns = voted.groupBy("votes", "toxic").agg(F.count("*").alias("rows"))
-    model, correlations = fit_label_model(written(patterns, "vote-patterns"), features.n_voters)
+    model = fit_label_model(written(patterns, "vote-patterns"), features.n_voters)
     rows = (
         voted.orderBy(F.xxhash64("doc_id", "votes"), "doc_id")
         .limit(CLASSIFIER_ROWS)
@@ -301,7 +344,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Toxic
     size = len(features.names) + len(PATTERNS)
     label = rows["toxic"].to_numpy(np.float64, na_value=np.nan)
     target = np.where(np.isnan(label), model.posterior(rows["votes"].to_numpy()), label)
-    weights, bias = fit_linear([list(h) for h in rows["hits"]], target, rows["rows"].to_numpy(np.float64), size)
+    weight = rows["rows"].to_numpy(np.float64) * np.where(np.isnan(label), UNLABELLED_WEIGHT, 1)
+    weights, bias = fit_linear([list(h) for h in rows["hits"]], target, weight, size)
     names = [*LEXICONS, *[f"stem {i}" for i in range(features.n_voters - len(LEXICONS) - len(PATTERNS))], *PATTERNS]
     clean, toxic = model.rates
     voters = pd.DataFrame(
@@ -310,10 +354,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Toxic
             "rate_toxic": toxic,
             "rate_clean": clean,
             "accuracy": model.prior * toxic + (1 - model.prior) * (1 - clean),
-            "discount": model.discount,
+            "repeated": np.maximum(model.correlations, 0).sum(axis=1) - 1,
         }
     )
-    return ToxicityModel(features, weights, bias, voters, correlations)
+    return ToxicityModel(features, weights, bias, voters, model.correlations)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:

@@ -56,11 +56,12 @@ def test_label_model_finds_rates_and_correlations(spark):
     votes = (fires * (1 << np.arange(voters))).sum(axis=1)
     rows = pd.Series(votes).value_counts()
     df = spark.createDataFrame([(int(v), None, int(c)) for v, c in rows.items()], "votes long, toxic int, rows long")
-    model, correlations = toxicity.fit_label_model(df, voters)
-    # The doubled voter is trusted twice while the rates are estimated, hence the room.
-    assert np.abs(model.rates - rates)[:, :4].max() < 0.08 and abs(model.prior - 0.2) < 0.05
-    assert correlations[4, 5] > 0.95 and np.abs(correlations[:4, :4] - np.eye(4)).max() < 0.25
-    assert model.discount[4] == pytest.approx(0.5, abs=0.1) and model.discount[0] > 0.6
+    model = toxicity.fit_label_model(df, voters)
+    # The doubled voter counts twice while the rates are estimated, hence the room.
+    assert np.abs(model.rates - rates).max() < 0.12 and abs(model.prior - 0.2) < 0.05
+    assert model.correlations[4, 5] > 0.95 and np.abs(model.correlations[:4, :4] - np.eye(4)).max() < 0.3
+    # The copy adds nothing to the vote of its original.
+    assert model.posterior(np.array([1 << 4]))[0] == pytest.approx(model.posterior(np.array([3 << 4]))[0], abs=0.02)
 
 
 def test_scores_of_odd_rows(spark):
@@ -79,7 +80,7 @@ def test_scores_of_odd_rows(spark):
 
 
 def test_mining_finds_stems():
-    assert toxicity.voting_stems(["lowei*", "lowe*", "loweiab", "scum", "scu*", "zzz"], 3) == ["lowei*", "scum", "zzz"]
+    assert toxicity.one_per_family(["lowei*", "lowe*", "loweiab", "scum", "scu*", "zzz"], 3) == ["lowei*", "scum", "zzz"]
     features = toxicity.chosen_features(["lowei*", "idiot", "loweiab"])
     families = features.families()
     name = lambda text: {features.names[i] for i in toxicity.featurize(text, features, families)[0] if i < len(features.names)}
