@@ -41,6 +41,12 @@ def sample(spark, sf):
     )
 
 
+def head_per_source(spark, sf):
+    """The first three texts of every source, in the order of whole texts."""
+    documents = table(spark, sf, "documents")
+    return tables.scan_sample(documents, ["text", "doc_id"], 3, "source").select("source", "doc_id")
+
+
 def _texts(spark, sf):
     key = F.col("event_id")
     return table(spark, sf, "events").select(
@@ -160,7 +166,7 @@ QUERIES = {
     "b8_numeric_columns": numeric,
     "b9_schema_fingerprint": fingerprints,
     "s1_sorted_columns": union_columns,
-    "s7_head_per_source": sample,
+    "s7_head_per_source": head_per_source,
 }
 
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", " label "]
@@ -260,4 +266,5 @@ ORACLES = {
 }
 
 ORACLES["s1_sorted_columns"] = ORACLES["b1_union_schema"]
-ORACLES["s7_head_per_source"] = ORACLES["a4_scan_sample"]
+ORACLES["s7_head_per_source"] = """select source, doc_id from documents
+  qualify row_number() over (partition by source order by text, doc_id) <= 3"""
