@@ -23,8 +23,8 @@ from granary.llm.common import tokenizer_path
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The pattern that goes with the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_PIECES = 250_000
-BLOCK_CHARS = 2_000_000
+BLOCK_PIECES = 150_000
+BLOCK_CHARS = 1_000_000
 NONE = np.int64(1) << 40
 #: Rows beyond this width are merged one by one with a heap, by the same rule.
 MATRIX_WIDTH = 512
@@ -218,15 +218,25 @@ def encode_texts(ranks: Ranks, texts: list[str], pattern: str) -> list[bytes]:
     return [b"".join(x) for x in out]
 
 
+def decode_ids(ranks: Ranks, ids: bytes) -> bytes:
+    return b"".join(map(ranks.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode_documents(
-    docs: DataFrame, text: str = "text", out: str = "ids", vocabulary: str = VOCABULARY, pattern: str = PATTERN
+    docs: DataFrame,
+    text: str = "text",
+    out: str = "ids",
+    checked: str | None = None,
+    vocabulary: str = VOCABULARY,
+    pattern: str = PATTERN,
 ) -> DataFrame:
     """``docs`` without ``text``, with ``out``: token ids as little-endian unsigned 32-bit integers.
 
-    Null and empty texts have no ids. Other columns and repeated rows pass through, but a column named
-    as ``out`` is replaced; a table without rows gives none. The ids of a text decode to its bytes.
+    ``checked`` names a column that tells whether the ids, decoded again, are the text. Null and empty
+    texts have no ids. Other columns and repeated rows pass through, but columns named as the added
+    ones are replaced; a table without rows gives none.
     """
-    keep = [c for c in docs.columns if c not in (text, out)]
+    keep = [c for c in docs.columns if c not in (text, out, checked)]
     # Columns go by place, so that no name of the input can meet a name used here.
     plain = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")), *[F.col(f"`{c}`") for c in keep])
     plain = plain.toDF("text", *[f"c{i}" for i in range(len(keep))])
@@ -237,10 +247,17 @@ def encode_documents(
             step = max(1, BLOCK_CHARS * len(frame) // max(1, int(frame["text"].str.len().sum())))
             for at in range(0, len(frame), step):
                 part = frame.iloc[at : at + step]
-                yield part.drop(columns="text").assign(ids=encode_texts(ranks, part["text"].tolist(), pattern))
+                ids = encode_texts(ranks, part["text"].tolist(), pattern)
+                coded = part.drop(columns="text").assign(ids=ids)
+                if checked:
+                    texts = [t.encode("utf-8", "surrogatepass") for t in part["text"]]
+                    coded["same"] = [decode_ids(ranks, x) == t for x, t in zip(ids, texts, strict=True)]
+                yield coded
 
-    schema = plain.drop("text").withColumn("ids", F.lit(b"")).schema
-    return plain.mapInPandas(encode, schema).toDF(*keep, out)
+    shape = plain.drop("text").withColumn("ids", F.lit(b""))
+    if checked:
+        shape = shape.withColumn("same", F.lit(True))
+    return plain.mapInPandas(encode, shape.schema).toDF(*keep, out, *[checked] * bool(checked))
 
 
 def decoded(vocabulary: str = VOCABULARY):
@@ -248,11 +265,8 @@ def decoded(vocabulary: str = VOCABULARY):
 
     @F.pandas_udf("binary")
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = load_ranks(tokenizer_path(vocabulary)).tokens
+        ranks = load_ranks(tokenizer_path(vocabulary))
         for ids in parts:
-            yield pd.Series(
-                [None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids],
-                dtype=object,
-            )
+            yield pd.Series([None if x is None else decode_ids(ranks, x) for x in ids], dtype=object)
 
     return decode

@@ -104,7 +104,7 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def text_blocks(frame: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def text_blocks(frame: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     step = max(1, chars * len(frame) // max(1, int(frame["text"].str.len().sum())))
     for at in range(0, len(frame), step):
         yield frame.iloc[at : at + step]
