@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,14 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path(name: str) -> str:
-    """Place of a public vocabulary file; ``TOKENIZER_DIR`` overrides the installed folder."""
-    folder = os.environ.get("TOKENIZER_DIR")
-    if folder:
-        return os.path.join(folder, name)
+def tokenizer_path(vocabulary: str) -> str:
+    """A vocabulary file: an absolute path as it is, a bare name in the installed folder of public tokenizers."""
+    if os.path.isabs(vocabulary):
+        return vocabulary
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return public_tokenizers.path(vocabulary)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -75,3 +76,15 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most ``rows`` rows between Spark and Python for the jobs started inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import running_start, shuffle_partitions, tokenizer_path
+from granary.llm.common import arrow_rows, running_start, shuffle_partitions, tokenizer_path
 from granary.session import shared_dir, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-BLOCK_WORDS = 400_000
+BATCH_ROWS = 2000
+CACHED_CHUNKS, CACHED_WORDS, JOINED_PARTS = 400_000, 50_000, 500
+#: A character that is a token of its own and hardly occurs in texts.
+MARK = "\x00"
 #: Stripes of 16 MB can be read in parallel; an index entry and a Bloom filter for every 1000 documents.
 ORC_OPTIONS = {
     "orc.stripe.size": str(16 << 20),
@@ -26,10 +30,15 @@ ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
-    "compression": "zstd",
+    "compression": "snappy",
 }
-#: White space at which a text can be cut: no token and no normalization crosses it.
-CHUNK = re.compile(r"[^ \t\n\r]+")
+#: The tokenizer's own pattern for words (fixed value), used on lower-cased Latin chunks.
+LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Kinds of the Latin-1 characters: letters and digits, white space, full stops and commas, other signs.
+#: Four control characters that Python takes for white space are signs to the tokenizer.
+KINDS = bytes(
+    ord(" " if chr(i).isspace() and not 0x1C <= i <= 0x1F else "." if chr(i) in ".," else "a" if chr(i).isalnum() else "#") for i in range(256)
+)
 
 
 @lru_cache(maxsize=2)
@@ -42,51 +51,109 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def encode_chunks(tokenizer, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all chunks end to end and the number of each; distinct chunks are encoded once."""
-    codes, distinct = pd.factorize(np.array(chunks, dtype=object))
-    encoded = [x.ids for x in tokenizer.encode_batch(list(distinct), add_special_tokens=False)]
-    counts = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-    flat = np.fromiter((i for ids in encoded for i in ids), dtype=np.int32, count=int(counts.sum()))
-    starts, sizes = np.cumsum(counts) - counts, counts[codes]
-    ends = np.cumsum(sizes)
-    index = np.repeat(starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if ends.size else 0)
-    return flat[index], sizes
+class ChunkCache:
+    """Ids of chunks seen by this worker, as flat arrays.
+
+    A chunk of Latin letters and signs is lower-cased and cut into the tokenizer's words, of which
+    there are far fewer; the tokenizer encodes each distinct word once. Other chunks are given to it
+    as they are. Both caches stop growing at a fixed number of entries.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.words: dict[str, bytes] = {}
+        self.place: dict[str, int] = {}
+        self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def encode_new(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids per part: many parts are encoded as one text and told apart by a mark between them."""
+        groups = [parts[at : at + JOINED_PARTS] for at in range(0, len(parts), JOINED_PARTS)]
+        texts = [f" {MARK} ".join(g) for g in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype=np.int32)
+            cuts = np.flatnonzero(ids == self.mark[0]).tolist()
+            if len(self.mark) == 1 and len(cuts) == len(group) - 1:
+                raw = ids.tobytes()
+                for a, b in zip([-1, *cuts], [*cuts, ids.size], strict=True):
+                    yield raw[4 * a + 4 : 4 * b]
+            else:  # a part that holds the mark itself
+                for part in group:
+                    yield np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def words_of(self, chunk: str) -> list[str]:
+        if not chunk:
+            return []
+        low = chunk.lower()
+        # Up to here no letter combines with another, and each lower-cases alone.
+        if chunk.isascii() or (max(chunk) < "\u0250" and len(low) == len(chunk)):
+            return [low] if low.isalpha() else LATIN_WORDS.findall(low)
+        return [chunk]
+
+    def encode(self, chunks: list[str], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``chunks[at]`` end to end and the number of each; ``chunks`` are distinct."""
+        codes = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(codes < 0)
+        known, words = len(self.place), self.words
+        new = [chunks[i] for i in unknown.tolist()]
+        cut = [self.words_of(c) for c in new]
+        missing = {w for ws in cut for w in ws if w not in words}
+        # A word of a-z is itself to the tokenizer's normalizer and splitter: its model alone is left to ask.
+        tokenize = self.tokenizer.model.tokenize
+        plain = [w for w in missing if w.isascii() and w.isalpha()]
+        fresh = {w: array("i", [t.id for t in tokenize(w)]).tobytes() for w in plain}
+        other = [w for w in missing if w not in fresh]
+        fresh.update(zip(other, self.encode_new(other), strict=True))
+        if len(words) + len(fresh) <= CACHED_WORDS:
+            words.update(fresh)
+        encoded = [b"".join([words[w] if w in words else fresh[w] for w in ws]) for ws in cut]
+        counts = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(encoded), np.int32)])
+        bounds = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        codes[unknown] = np.arange(known, known + len(new))
+        if known + len(new) <= CACHED_CHUNKS:
+            self.place.update(zip(new, range(known, known + len(new)), strict=True))
+            self.flat, self.starts = flat, bounds
+        starts = bounds[codes]
+        lengths = (bounds[codes + 1] - starts)[at]
+        ends = np.cumsum(lengths)
+        index = np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if ends.size else 0)
+        return flat[index], lengths
+
+
+@lru_cache(maxsize=2)
+def load_cache(path: str) -> ChunkCache:
+    return ChunkCache(load_tokenizer(path))
 
 
-def encode_texts(tokenizer, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def cuttable(text: str) -> str:
+    """The text, ready to be cut at white space into parts that the tokenizer handles apart from each other.
+
+    Latin texts are lower-cased, and their full stops and commas beside letters and digits stand apart,
+    which leaves far fewer distinct parts.
+    """
+    low = text.lower()
+    try:
+        kinds = low.encode("latin-1").translate(KINDS)
+    except UnicodeEncodeError:
+        return text
+    if len(low) != len(text) or any(x in kinds for x in (b"..", b".#", b"#.")):
+        return text
+    return low.replace(".", " . ").replace(",", " , ")
+
+
+def encode_texts(cache: ChunkCache, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each closed by ``end_id``, and their number per text."""
-    values: list[np.ndarray] = []
-    totals = np.zeros(len(texts), dtype=np.int64)
-    chunks: list[str] = []
-    owners: list[tuple[int, int, bool]] = []
-
-    def flush() -> None:
-        ids, sizes = encode_chunks(tokenizer, chunks)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = 0
-        for text, n, closes in owners:
-            values.append(ids[ends[at] : ends[at + n]])
-            totals[text] += values[-1].size
-            if closes:
-                values.append(np.array([end_id], dtype=np.int32))
-                totals[text] += 1
-            at += n
-        chunks.clear()
-        owners.clear()
-
-    for i, text in enumerate(texts):
-        found = (m.group() for m in CHUNK.finditer(text))
-        while True:
-            new = list(islice(found, BLOCK_WORDS - len(chunks)))
-            full = len(chunks) + len(new) >= BLOCK_WORDS
-            chunks.extend(new)
-            owners.append((i, len(new), not full))
-            if not full:
-                break
-            flush()
-    flush()
-    return np.concatenate(values) if values else np.empty(0, np.int32), totals
+    parts = pc.ascii_split_whitespace(pa.array([cuttable(t) for t in texts], pa.string()))
+    coded = parts.flatten().dictionary_encode()
+    ids, lengths = cache.encode(coded.dictionary.to_pylist(), coded.indices.to_numpy())
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    totals = np.diff(ends[parts.offsets.to_numpy()]) + 1
+    closing = np.zeros(ids.size + len(texts), dtype=bool)
+    closing[np.cumsum(totals) - 1] = True
+    out = np.empty(closing.size, dtype=np.int32)
+    out[closing], out[~closing] = end_id, ids
+    return out, totals
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
@@ -107,20 +174,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(tokenizer_path(vocabulary))
+        cache = load_cache(tokenizer_path(vocabulary))
         for batch in batches:
             for part in blocks(batch):
-                ids, sizes = encode_texts(tokenizer, part.column("text").to_pylist(), end_id)
+                ids, sizes = encode_texts(cache, part.column("text").to_pylist(), end_id)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    (
-        ordered.mapInArrow(encode, "doc_id long, ids array<int>")
-        .select(F.monotonically_increasing_id().alias("seq"), "doc_id", "ids")
-        .write.options(**ORC_OPTIONS)
-        .orc(path)
-    )
+    encoded = ordered.mapInArrow(encode, "doc_id long, ids array<int>")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        encoded.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "ids").write.options(**ORC_OPTIONS).orc(path)
 
 
 def blocks(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -160,7 +224,8 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ``start`` (ids of all rows before it in the files), n_tokens and ids_crc32, read from the files."""
-    rows = written(token_digests(read_tokens(spark, path)), "token-digests")
+    with arrow_rows(spark, BATCH_ROWS):
+        rows = written(token_digests(read_tokens(spark, path)), "token-digests")
     rows = rows.withColumn("part", F.expr("shiftright(seq, 33)"))
     placed = running_start(rows, [], "part", ["seq"], "n_tokens", "start")
     return placed.select("doc_id", F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32")
