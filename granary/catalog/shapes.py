@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.catalog.inputs import csv_export, folder_of, table
 from granary.operators import schema as S
 from granary.operators.clean import cast_label
+from granary.session import INTERMEDIATES, shared_dir
 from granary.sources import files, tables
 
 
@@ -20,9 +21,18 @@ def discover(spark, sf):
     ).agg(F.sum(F.coalesce("count", F.lit(0))).cast("bigint").alias("rows"))
 
 
+_HEADERS: dict[str, str] = {}
+
+
 def _headers(spark, sf):
-    headers = files.header_inventory(spark, csv_export(spark, sf))
-    return headers.select(folder_of("path").alias("path"), "pos", "name").distinct()
+    """Header rows of the export, read from its files once."""
+    root = csv_export(spark, sf)
+    if _HEADERS.get(root) not in INTERMEDIATES:
+        rows = files.header_inventory(spark, root)
+        path = shared_dir(spark, "header-rows")
+        rows.select(folder_of("path").alias("path"), "pos", "name").distinct().write.parquet(path)
+        _HEADERS[root] = path
+    return spark.read.schema("path string, pos bigint, name string").parquet(_HEADERS[root])
 
 
 def headers(spark, sf):
