@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from granary.llm.common import fold_of, table
 
 
+#: Documents per batch between Spark and Python; some are long.
+BATCH_DOCUMENTS = 1000
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for a session that sends them to Python in batches of ``BATCH_DOCUMENTS``."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCUMENTS))
+    return table(spark, sf_dir, "documents")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.toxicity import FOLDS, fit_toxicity, score_toxicity
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), held_out=0)
     return score_toxicity(docs, model).select(
         "doc_id",
@@ -31,7 +41,7 @@ def op2_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.line_dedup import dedup_lines
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     out = dedup_lines(docs, min_docs=10, keep_first=False, min_chars=1)
     return out.select(
         "doc_id",
@@ -64,7 +74,7 @@ from marked group by doc_id
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.quality import FOLDS, fit_quality, score_quality
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), held_out=2)
     return score_quality(docs, model).select(
         "doc_id",
@@ -120,7 +130,7 @@ from sized group by conv_id
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.line_crf import apply_rules, fit_line_crf
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit_line_crf(docs, table(spark, sf_dir, "labels"))
     return apply_rules(docs, model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"
@@ -130,20 +140,20 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.mixing import mixed_documents
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return mixed_documents(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.token_orc import token_index, tokens_written
 
-    return token_index(spark, tokens_written(table(spark, sf_dir, "documents")))
+    return token_index(spark, tokens_written(documents(spark, sf_dir)))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.bpe import decoded, encode_documents
 
-    ids = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = encode_documents(documents(spark, sf_dir).select("doc_id", "text"))
     return ids.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
@@ -155,7 +165,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.ngram_join import jaccard_classes
 
-    classes = jaccard_classes(table(spark, sf_dir, "documents"))
+    classes = jaccard_classes(documents(spark, sf_dir))
     id_of = lambda null, i: F.when(~F.col(null), F.col(i))
     return classes.select(id_of("_k_null", "_k_id").alias("doc_id"), id_of("keep_null", "keep_id").alias("class_id"), "n_links")
 
