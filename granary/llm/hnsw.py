@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm.common import shuffle_partitions
 from granary.session import written
 
 SHARD_ROWS, QUERY_BLOCK = 4096, 1024
@@ -195,6 +196,9 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     n = vectors.count()
     shards = max(1, math.ceil(n / shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    # By number: Spark would take a few thousand vectors for little work and give them to one task.
+    # By range: hashing a few shard numbers would let several meet in one task.
+    dealt = dealt.repartitionByRange(min(shards, 8 * shuffle_partitions(vectors.sparkSession)), "shard")
     graphs = dealt.groupBy("shard", F.size("vector").alias("dim")).applyInPandas(build_shard, GRAPH)
     return written(graphs, "small-worlds")
 
