@@ -79,12 +79,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches of at most ``rows`` rows between Spark and Python for the jobs started inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most ``rows`` rows, between Spark and Python and out of ORC files, for the jobs started inside."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.orc.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)

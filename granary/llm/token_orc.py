@@ -14,13 +14,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import arrow_rows, running_start, shuffle_partitions, tokenizer_path
+from granary.llm.common import batch_rows, running_start, shuffle_partitions, tokenizer_path
 from granary.session import shared_dir, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-BATCH_ROWS = 2000
-CACHED_CHUNKS, CACHED_WORDS, JOINED_PARTS = 400_000, 50_000, 500
+BATCH_ROWS = 500
+CACHED_CHUNKS, CACHED_WORDS, JOINED_PARTS = 200_000, 50_000, 500
 #: A character that is a token of its own and hardly occurs in texts.
 MARK = "\x00"
 #: Stripes of 16 MB can be read in parallel; an index entry and a Bloom filter for every 1000 documents.
@@ -183,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
     encoded = ordered.mapInArrow(encode, "doc_id long, ids array<int>")
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
         encoded.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "ids").write.options(**ORC_OPTIONS).orc(path)
 
 
@@ -224,7 +224,7 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ``start`` (ids of all rows before it in the files), n_tokens and ids_crc32, read from the files."""
-    with arrow_rows(spark, BATCH_ROWS):
+    with batch_rows(spark, BATCH_ROWS):
         rows = written(token_digests(read_tokens(spark, path)), "token-digests")
     rows = rows.withColumn("part", F.expr("shiftright(seq, 33)"))
     placed = running_start(rows, [], "part", ["seq"], "n_tokens", "start")
