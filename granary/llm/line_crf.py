@@ -53,12 +53,12 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         sizes[i] = chars = sum(map(len, words))
         symbols = sum(map(line.count, SYMBOLS))
         marked = sum(w[-1] in SYMBOLS for w in words)
-        letters = sum(c.isalpha() for c in line[:2000])
-        capitals = sum(c.isupper() for c in line[:2000])
+        letters = sum(map(str.isalpha, line))
+        capitals = sum(map(str.isupper, line))
         x[i] = (
             1, 0, n == 1, n < 5, n >= 12, symbols * 10 > chars, marked * 4 > n, line.count("|") * 4 > n,
             capitals * 2 > letters > 3, line.count("!") * 4 > n, n >= 6 and len(set(words)) * 5 < n * 2,
-            sum(c.isdigit() for c in line[:2000]) * 4 > min(chars, 2000), NOTICE.search(line) is not None,
+            sum(map(str.isdigit, line)) * 4 > chars, NOTICE.search(line) is not None,
             line in seen, line.rstrip()[-1] in ".!?:;\"'", max(map(len, words)) > 40,
         )
         seen.add(line)

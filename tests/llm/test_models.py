@@ -145,6 +145,18 @@ def test_rule_counts_against_definition():
         )
 
 
+def test_long_lines_count_whole():
+    model = line_crf.LineCrf(np.array(line_crf.PRIOR), 0.5)
+    prose = "people came to the old town hall and talked about the bridge " * 34
+    at = [line_crf.FEATURES.index(name) for name in ("shouting", "digits")]
+    for odd, want in (("SALE NOW " * 1000, [1, 0]), ("12345678 " * 1000, [0, 1]), (prose * 5, [0, 0])):
+        for line in (prose + odd, odd + prose):
+            assert len(prose) > 2000 and line_crf.line_features(line)[0][0, at].tolist() == want
+    for odd in ("SALE NOW " * 230, "12345678 " * 230):
+        assert line_crf.line_features(odd + prose * 10)[0][0, at].tolist() == [0, 0]
+    assert line_crf.judged(prose + "SALE NOW " * 1000, model)[5] == 0
+
+
 def test_rules_keep_prose_and_drop_junk(spark):
     prose = "The committee met in the old town hall and talked about the new bridge over the river for hours. " * 4
     prose = "\n".join(f"{i} people came. " + prose.replace("hours", f"{i} hours") for i in range(1, 3))
