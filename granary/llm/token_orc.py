@@ -43,12 +43,10 @@ KINDS = bytes(
 
 @lru_cache(maxsize=2)
 def load_tokenizer(path: str):
-    """The tokenizer; strings of special tokens inside a text are ordinary text."""
+    """The tokenizer as the library reads it; strings of its added tokens inside a text are those tokens."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class ChunkCache:
@@ -62,10 +60,26 @@ class ChunkCache:
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.any_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.words: dict[str, bytes] = {}
         self.place: dict[str, int] = {}
         self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
 
+    def parted(self, texts: list[str], end_id: int) -> tuple[list[str], list[int], list[int]]:
+        """The texts' parts between added tokens, the id behind each part, and the number of parts per text.
+
+        The tokenizer takes added tokens out before anything else, in the case they are written in, and
+        handles what is between them as texts of their own.
+        """
+        parts, behind, counts = [], [], []
+        for text in texts:
+            own = self.any_added.split(text) if any(map(text.__contains__, self.added)) else [text]
+            parts += own[::2]
+            behind += [*map(self.added.__getitem__, own[1::2]), end_id]
+            counts.append(len(own) // 2 + 1)
+        return parts, behind, counts
+
     def encode_new(self, parts: list[str]) -> Iterator[bytes]:
         """Ids per part: many parts are encoded as one text and told apart by a mark between them."""
         groups = [parts[at : at + JOINED_PARTS] for at in range(0, len(parts), JOINED_PARTS)]
@@ -144,16 +158,17 @@ def cuttable(text: str) -> str:
 
 def encode_texts(cache: ChunkCache, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each closed by ``end_id``, and their number per text."""
-    parts = pc.ascii_split_whitespace(pa.array([cuttable(t) for t in texts], pa.string()))
-    coded = parts.flatten().dictionary_encode()
+    parts, behind, counts = cache.parted(texts, end_id)
+    chunks = pc.ascii_split_whitespace(pa.array([cuttable(p) for p in parts], pa.string()))
+    coded = chunks.flatten().dictionary_encode()
     ids, lengths = cache.encode(coded.dictionary.to_pylist(), coded.indices.to_numpy())
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    totals = np.diff(ends[parts.offsets.to_numpy()]) + 1
-    closing = np.zeros(ids.size + len(texts), dtype=bool)
+    totals = np.diff(ends[chunks.offsets.to_numpy()]) + 1
+    closing = np.zeros(ids.size + len(parts), dtype=bool)
     closing[np.cumsum(totals) - 1] = True
     out = np.empty(closing.size, dtype=np.int32)
-    out[closing], out[~closing] = end_id, ids
-    return out, totals
+    out[closing], out[~closing] = behind, ids
+    return out, np.add.reduceat(totals, np.cumsum([0, *counts[:-1]]))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:

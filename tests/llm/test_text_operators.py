@@ -230,3 +230,22 @@ def test_chunks_do_not_change_tokens(monkeypatch):
     for text, n in zip(texts, sizes, strict=True):
         assert ids[at : at + n].tolist() == [*public.encode(text, add_special_tokens=False).ids, 1], repr(text)
         at += n
+
+
+def test_added_tokens_like_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(token_orc.VOCABULARY)
+    public = Tokenizer.from_file(path)
+    assert public.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    random.seed(12)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "<|", "\u0301", "É", "a", " ", "b.", "3,1", "\n", "中", "\x00", "σΣ"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 12))) for _ in range(1500)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|startoftext|><|endoftext|>", "", "<|ENDOFTEXT|>", "no token"]
+    ids, sizes = token_orc.encode_texts(token_orc.ChunkCache(token_orc.load_tokenizer(path)), texts, 1)
+    want = [[*public.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts[-40:])]
+    stored = token_orc.read_tokens(spark, token_orc.tokens_written(documents(spark, rows))).orderBy("doc_id").collect()
+    assert [list(r.ids) for r in stored] == want[-40:]
