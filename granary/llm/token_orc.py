@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,20 @@ ORC_OPTIONS = {
 }
 #: The tokenizer's own pattern for words (fixed value), used on lower-cased Latin chunks.
 LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The normalizer and splitter that texts are cut for here; other tokenizers are given whole texts.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}
+    ],
+}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": LATIN_WORDS.pattern}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Kinds of the Latin-1 characters: letters and digits, white space, full stops and commas, other signs.
 #: Four control characters that Python takes for white space are signs to the tokenizer.
 KINDS = bytes(
@@ -49,16 +64,30 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def cuts_alike(tokenizer) -> bool:
+    """Whether the tokenizer normalizes and splits as ``NORMALIZER`` and ``SPLITTER`` do, with plain added tokens."""
+    stages = ((tokenizer.normalizer, NORMALIZER), (tokenizer.pre_tokenizer, SPLITTER))
+    return (
+        all(own is not None and json.loads(own.__getstate__()) == known for own, known in stages)
+        and tokenizer.truncation is None
+        and tokenizer.padding is None
+        and not any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokenizer.get_added_tokens_decoder().values())
+        and len(tokenizer.encode(MARK, add_special_tokens=False).ids) == 1
+    )
+
+
 class ChunkCache:
     """Ids of chunks seen by this worker, as flat arrays.
 
     A chunk of Latin letters and signs is lower-cased and cut into the tokenizer's words, of which
     there are far fewer; the tokenizer encodes each distinct word once. Other chunks are given to it
-    as they are. Both caches stop growing at a fixed number of entries.
+    as they are. Both caches stop growing at a fixed number of entries. A tokenizer that cuts texts
+    in another way (``cuts`` is false) has to be given whole texts.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.cuts = cuts_alike(tokenizer)
         self.mark = tokenizer.encode(MARK, add_special_tokens=False).ids
         self.added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.any_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
@@ -158,6 +187,9 @@ def cuttable(text: str) -> str:
 
 def encode_texts(cache: ChunkCache, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each closed by ``end_id``, and their number per text."""
+    if not cache.cuts:
+        whole = [[*cache.tokenizer.encode(t, add_special_tokens=False).ids, end_id] for t in texts]
+        return np.array(list(chain.from_iterable(whole)), np.int32), np.array(list(map(len, whole)), np.int64)
     parts, behind, counts = cache.parted(texts, end_id)
     chunks = pc.ascii_split_whitespace(pa.array([cuttable(p) for p in parts], pa.string()))
     coded = chunks.flatten().dictionary_encode()

@@ -249,3 +249,31 @@ def test_added_tokens_like_the_library(spark):
     rows = [(i, t, None, None, None) for i, t in enumerate(texts[-40:])]
     stored = token_orc.read_tokens(spark, token_orc.tokens_written(documents(spark, rows))).orderBy("doc_id").collect()
     assert [list(r.ids) for r in stored] == want[-40:]
+
+
+@pytest.mark.parametrize("change", ["cased", "prefix", "added", "truncated", "none"])
+def test_other_vocabularies_get_whole_texts(tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(token_orc.VOCABULARY)) as f:
+        known = json.load(f)
+    if change == "cased":
+        known["normalizer"] = {"type": "NFC"}
+    elif change == "prefix":
+        known["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    elif change == "added":
+        known["added_tokens"][1] |= {"normalized": True, "lstrip": True}
+    elif change == "truncated":
+        known["truncation"] = {"direction": "Right", "max_length": 4, "strategy": "LongestFirst", "stride": 0}
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(known, f)
+    public = Tokenizer.from_file(path)
+    cache = token_orc.ChunkCache(token_orc.load_tokenizer(path))
+    assert cache.cuts == (change == "none")
+    texts = ["The Old Town, 3.14 Hall", "", "a  <|EndOfText|> <|endoftext|> I'LL", "ÀÉ ΣΑΣ σ", "x\ty\n\nz"]
+    ids, sizes = token_orc.encode_texts(cache, texts, 1)
+    want = [[*public.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
