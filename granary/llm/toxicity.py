@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import fold_of
-from granary.llm.linear import fit_logistic
 from granary.session import written
 
 #: General abuse in four languages, one voter per line.
@@ -43,12 +42,10 @@ GRAWLIX = re.compile(r"[@#$%&*]{3}")
 PATTERNS = ("insult_run", "dense_insults", "masked_insult", "grawlix", "shouting", "exclaiming")
 
 STEM_LENGTHS = (3, 4, 5, 6)
-#: Bounds of what is learnt: labelled rows read, features kept, stems that vote, rows of the classifier.
-LABELLED_ROWS, MAX_CANDIDATES, MAX_FEATURES, MAX_STEMS, CLASSIFIER_ROWS = 20_000, 2_000, 300, 40, 50_000
+#: Bounds of what is learnt: labelled rows read, features kept, stems that vote.
+LABELLED_ROWS, MAX_CANDIDATES, MAX_FEATURES, MAX_STEMS = 20_000, 2_000, 300, 40
 MIN_SUPPORT, MIN_PRECISION, MIN_CONTEXTS = 5, 0.8, 5
-EM_ROUNDS, FOLDS, PRIOR_ROWS = 10, 5, 100
-#: What a row with a posterior counts for beside one with a label, in the classifier.
-UNLABELLED_WEIGHT = 0.2
+EM_ROUNDS, FOLDS, PRIOR_ROWS, NEWTON_ROUNDS = 10, 5, 100, 30
 
 
 @dataclass(frozen=True)
@@ -302,19 +299,47 @@ def fit_label_model(patterns: DataFrame, n: int) -> LabelModel:
     return LabelModel(model.prior, model.rates, correlations)
 
 
-def fit_linear(hits: list[list[int]], target: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Weights of the features and the bias, which is not shrunk."""
-    x = np.zeros((len(hits), n + 1))
-    for row, own in enumerate(hits):
-        x[row, own] = 1
-    x[:, n] = 1
-    w = fit_logistic(x, target, rows, np.append(np.ones(n), 1e-6), np.zeros(n + 1))
+def fit_linear(patterns: DataFrame, model: LabelModel, n: int) -> tuple[np.ndarray, float]:
+    """Weights of the ``n`` features and the bias, which is not shrunk, from (hits, votes, rows).
+
+    Logistic regression on the posteriors of all rows, by Newton steps. A step reads the patterns once where
+    they are; the driver gets at most (n + 2)² numbers.
+    """
+    ridge = np.append(np.ones(n), 1e-6)
+    w = np.zeros(n + 1)
+    for _ in range(NEWTON_ROUNDS):
+
+        def sums(frames: Iterator[pd.DataFrame], w: np.ndarray = w) -> Iterator[pd.DataFrame]:
+            total = np.zeros((n + 2, n + 1))
+            for frame in frames:
+                rows = frame["rows"].to_numpy(np.float64)
+                x = np.zeros((len(frame), n + 1))
+                for row, own in enumerate(frame["hits"]):
+                    x[row, own] = 1
+                x[:, n] = 1
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total[:-1] += (x * (rows * (p * (1 - p) + 1e-9))[:, None]).T @ x
+                total[-1] += x.T @ (rows * (p - model.posterior(frame["votes"].to_numpy())))
+            i, j = np.nonzero(total)
+            yield pd.DataFrame({"i": i, "j": j, "x": total[i, j]})
+
+        found = patterns.mapInPandas(sums, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+        total = np.zeros((n + 2, n + 1))
+        total[found["i"], found["j"]] = found["x"]
+        step = np.linalg.solve(total[:-1] + np.diag(ridge), total[-1] + ridge * w)
+        size = np.abs(step).max()
+        w = w - step * min(1.0, 5 / max(1e-9, size))
+        if size < 1e-6:
+            break
     return w[:n], float(w[n])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> ToxicityModel:
     """Fits on all documents' votes and on labels outside the held-out fold.
 
+    Labels choose the features and are held in the label model; the classifier learns from the posteriors of
+    all documents, labelled or not.
+
     Reads doc_id and text of ``docs``, doc_id and toxic of ``labels``. Documents without a label
     count as unknown, labels without a document not at all. Without any document or label the lexicons
     and patterns still vote, and every score stays low.
@@ -334,18 +359,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Toxic
     voted = written(voted.join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id"), "votes")
     patterns = voted.groupBy("votes", "toxic").agg(F.count("*").alias("rows"))
     model = fit_label_model(written(patterns, "vote-patterns"), features.n_voters)
-    rows = (
-        voted.orderBy(F.xxhash64("doc_id", "votes"), "doc_id")
-        .limit(CLASSIFIER_ROWS)
-        .groupBy("hits", "votes", "toxic")
-        .agg(F.count("*").alias("rows"))
-        .toPandas()
-    )
     size = len(features.names) + len(PATTERNS)
-    label = rows["toxic"].to_numpy(np.float64, na_value=np.nan)
-    target = np.where(np.isnan(label), model.posterior(rows["votes"].to_numpy()), label)
-    weight = rows["rows"].to_numpy(np.float64) * np.where(np.isnan(label), UNLABELLED_WEIGHT, 1)
-    weights, bias = fit_linear([list(h) for h in rows["hits"]], target, weight, size)
+    hits = voted.groupBy("hits", "votes").agg(F.count("*").alias("rows"))
+    weights, bias = fit_linear(written(hits, "hit-patterns"), model, size)
     names = [*LEXICONS, *[f"stem {i}" for i in range(features.n_voters - len(LEXICONS) - len(PATTERNS))], *PATTERNS]
     clean, toxic = model.rates
     voters = pd.DataFrame(

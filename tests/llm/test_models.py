@@ -64,6 +64,24 @@ def test_label_model_finds_rates_and_correlations(spark):
     assert model.posterior(np.array([1 << 4]))[0] == pytest.approx(model.posterior(np.array([3 << 4]))[0], abs=0.02)
 
 
+def test_classifier_learns_posteriors_of_all_rows(spark, monkeypatch):
+    docs, own = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 400"), spark.read.parquet(f"{SF}/labels.parquet")
+    fit, found = toxicity.fit_label_model, []
+    monkeypatch.setattr(toxicity, "fit_label_model", lambda *given: found.append(fit(*given)) or found[-1])
+    monkeypatch.setattr(toxicity, "CLASSIFIER_ROWS", 50, raising=False)
+    model = toxicity.fit_toxicity(docs, own)
+    families = model.features.families()
+    seen = [toxicity.featurize(r.text, model.features, families) for r in docs.collect()]
+    n = len(model.weights)
+    x = np.zeros((len(seen), n + 1))
+    for row, (hits, _) in enumerate(seen):
+        x[row, hits] = 1
+    x[:, n] = 1
+    target = found[0].posterior(np.array([votes for _, votes in seen]))
+    want = linear.fit_logistic(x, target, np.ones(len(seen)), np.append(np.ones(n), 1e-6), np.zeros(n + 1))
+    assert len(seen) > 300 and np.allclose([*model.weights, model.bias], want, atol=1e-5)
+
+
 def test_scores_of_odd_rows(spark):
     known = [(1, 1, 0), (2, 1, 0), (7, 0, 1), (7, 1, 0), (None, 1, 1), (9, None, None), (999, 0, 1)]
     for docs in (documents(spark), clashing(documents(spark))):
