@@ -2,7 +2,7 @@
 
 Documents with the same n-gram set form a copy class; one member stands for it from there on. Class
 members that share a band are chained to the smallest in the bucket, so a bucket of any size gives a
-row per member, not per pair. The chained sets of candidates are cut into blocks of a fixed size;
+row per member, not per pair; after a few bands a component stands for its members. The chained sets of candidates are cut into blocks of a fixed size;
 each pair of blocks is verified by one task, which returns a count and a local component per document.
 So every pair of different texts among the candidates is compared on its full sets, no pair is ever
 a row, and no task holds more than two blocks.
@@ -30,6 +30,7 @@ NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 256
+FIRST_BANDS = 4
 BLOCK_DOCUMENTS = 256
 BLOCK_SHINGLES = 500_000
 WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
@@ -175,6 +176,28 @@ def verified_block(threshold: Fraction):
     return verify
 
 
+def bucket_components(classes: DataFrame, bands: int) -> DataFrame:
+    """``node`` and ``component`` of the members of ``classes`` (node, bands) that share a band with another one.
+
+    The first ``FIRST_BANDS`` bands come first: a group of near copies is mostly one component by then, and
+    in the other bands one row per component stands for all its members with a hash.
+    """
+    named = classes.select("node", "bands", F.col("node").alias("name"))
+    cuts = [0, min(FIRST_BANDS, bands), bands]
+    for first, last in zip(cuts, cuts[1:], strict=False):
+        hashes = F.slice("bands", first + 1, last - first)
+        banded = named.select("name", F.posexplode(hashes).alias("band", "hash")).distinct()
+        buckets = banded.groupBy("band", "hash").agg(F.min("name").alias("low"), F.max("name").alias("high"))
+        chains = banded.join(buckets.where("low < high").drop("high"), ["band", "hash"])
+        found = connected_components(chains.select(F.col("name").alias("a"), F.col("low").alias("b")))
+        found = found.toDF("_name", "component")
+        named = named.join(found, named["name"] == found["_name"], "left").select(
+            "node", "bands", F.coalesce("component", "name").alias("name")
+        )
+    sizes = named.groupBy("name").agg(F.count("*").alias("members")).where("members > 1").select("name")
+    return named.join(sizes, "name").select("node", F.col("name").alias("component"))
+
+
 def jaccard_classes(
     docs: DataFrame,
     n: int = NGRAM,
@@ -202,10 +225,7 @@ def jaccard_classes(
         .withColumn("node", F.monotonically_increasing_id()),
         "copy-classes",
     )
-    banded = classes.select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    chains = banded.join(buckets, ["band", "hash"]).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    candidates = connected_components(chains)
+    candidates = written(bucket_components(classes, bands), "candidates")
     known = classes.select("node", "copies", "n_grams", "first")
     members = candidates.join(known, "node")
     blocks = members.groupBy("component").agg(

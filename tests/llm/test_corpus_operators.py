@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import mixing, ngram_join
+from granary.llm import components, mixing, ngram_join
 from granary.llm.components import connected_components
 from granary.llm.toxicity import fit_toxicity, score_toxicity
 from tests.llm.cases import CLASHING, ROWS, clashing, documents, labels
@@ -43,6 +43,30 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_one_large_group_contract(spark, monkeypatch):
+    """A group of 10 000 near copies, chained as buckets chain them: links fall in every round."""
+    random.seed(4)
+    n, links = 10_000, set()
+    for _ in range(20):
+        low = {}
+        for i in range(n):
+            first = low.setdefault(random.choice([0, 0, 0, 0, random.randrange(4000)]), i)
+            links |= {(i, first)} if i != first else set()
+    sizes, keep = [], components.written
+
+    def counted(df, tag):
+        out = keep(df, tag)
+        if tag == "links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", counted)
+    got = connected_components(spark.createDataFrame(sorted(links), "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == roots({i for x in links for i in x}, links)
+    assert sizes[-1] == 0 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False)), sizes
+    assert sizes[1] * 3 < sizes[0], sizes
+
+
 def grams(text, n=5):
     words = (text or "").split()
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
