@@ -15,6 +15,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,23 +242,27 @@ def encode_documents(
     plain = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")), *[F.col(f"`{c}`") for c in keep])
     plain = plain.toDF("text", *[f"c{i}" for i in range(len(keep))])
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(tokenizer_path(vocabulary))
-        for frame in frames:
-            step = max(1, BLOCK_CHARS * len(frame) // max(1, int(frame["text"].str.len().sum())))
-            for at in range(0, len(frame), step):
-                part = frame.iloc[at : at + step]
-                ids = encode_texts(ranks, part["text"].tolist(), pattern)
-                coded = part.drop(columns="text").assign(ids=ids)
+        for batch in batches:
+            step = max(1, BLOCK_CHARS * len(batch) // max(1, batch.column(0).nbytes))
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                texts = part.column(0).to_pylist()
+                ids = encode_texts(ranks, texts, pattern)
+                # The other columns stay Arrow arrays, so that no value changes beside a null.
+                columns = [*part.columns[1:], pa.array(ids, pa.binary())]
+                names = [*part.schema.names[1:], "ids"]
                 if checked:
-                    texts = [t.encode("utf-8", "surrogatepass") for t in part["text"]]
-                    coded["same"] = [decode_ids(ranks, x) == t for x, t in zip(ids, texts, strict=True)]
-                yield coded
+                    same = [decode_ids(ranks, x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
+                    columns.append(pa.array(same, pa.bool_()))
+                    names.append("same")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     shape = plain.drop("text").withColumn("ids", F.lit(b""))
     if checked:
         shape = shape.withColumn("same", F.lit(True))
-    return plain.mapInPandas(encode, shape.schema).toDF(*keep, out, *[checked] * bool(checked))
+    return plain.mapInArrow(encode, shape.schema).toDF(*keep, out, *[checked] * bool(checked))
 
 
 def decoded(vocabulary: str = VOCABULARY):

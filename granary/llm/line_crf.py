@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,9 @@ FEATURES = (
 PRIOR = (1.5, -1.0, -0.5, 0.0, 1.0, -3.0, -3.0, -3.0, -3.0, -3.0, -4.0, -1.0, -3.0, -1.0, 1.0, -1.0)
 PRIOR_LINK = 0.5
 MOST_LINK = 1.5
-LABELLED_ROWS, LABELLED_LINES = 5_000, 200_000
+LABELLED_ROWS = 5_000
+#: Bound of the fit: the most frequent kinds of (line, neighbours, mark) that the labelled documents hold.
+LABELLED_LINES = 200_000
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 
@@ -93,7 +96,8 @@ class LineCrf:
 
 
 def fit_line_crf(docs: DataFrame, labels: DataFrame) -> LineCrf:
-    """Fits by pseudo-likelihood on at most ``LABELLED_ROWS`` labelled documents, by a hash of the id.
+    """Fits by pseudo-likelihood on at most ``LABELLED_ROWS`` labelled documents, by a hash of the id, and of their
+    lines on at most ``LABELLED_LINES`` distinct kinds, the most frequent ones.
 
     A line of a good document counts as content unless it looks like a notice or repeats an earlier
     line, a line of another document as boilerplate. Null ids and labels are left out; an id with several labels
@@ -173,17 +177,21 @@ def judged(text: str | None, model: LineCrf) -> tuple:
 def apply_rules(docs: DataFrame, model: LineCrf, content_share: float = CONTENT_SHARE) -> DataFrame:
     """doc_id, the counts, ``content_share``, ``base_failed`` and ``kept`` per row of ``docs``.
 
-    Null and empty texts have no words and fail; repeated rows are judged each. Other columns are not read.
+    Null and empty texts have no words and fail; a text of any length is judged whole; repeated rows are judged
+    each, a null id stays null. Other columns are not read; a table without rows gives none.
     """
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share"]
-        for frame in frames:
-            out = pd.DataFrame([judged(t, model) for t in frame["text"]], columns=names, index=frame.index)
-            yield pd.concat([frame[["doc_id"]], out], axis=1)
+        kinds = [pa.int64()] * 5 + [pa.float64()]
+        for batch in batches:
+            rows = [judged(t, model) for t in batch.column(1).to_pylist()]
+            counts = zip(*rows, strict=True) if rows else [()] * len(names)
+            columns = [pa.array(c, kind) for c, kind in zip(counts, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
     shape = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         judge, shape + ", content_share double"
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)

@@ -182,8 +182,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Qualit
 def score_quality(docs: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
     """``docs`` with ``out``, the probability that a text is good; a column of that name is replaced.
 
-    Only the text decides. Null and empty texts have statistics of zero and the score that goes with
-    them. Other columns and repeated rows pass through.
+    Only the text decides, whole whatever its length. Null and empty texts have statistics of zero and
+    the score that goes with them. Other columns and repeated rows pass through; a table without rows
+    gives none.
     """
 
     @F.pandas_udf("double")

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -346,13 +347,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Toxic
     """
     features = chosen_features(*mined_features(labelled_texts(docs, labels, held_out, LABELLED_ROWS)))
 
-    def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families = features.families()
-        for frame in frames:
-            own = [featurize(t, features, families) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "hits": [h for h, _ in own], "votes": [v for _, v in own]})
+        for batch in batches:
+            own = [featurize(t, features, families) for t in batch.column(1).to_pylist()]
+            hits, marks = pa.array([h for h, _ in own], pa.list_(pa.int32())), pa.array([v for _, v in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), hits, marks], ["doc_id", "hits", "votes"])
 
-    voted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    voted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         votes, "doc_id long, hits array<int>, votes long"
     )
     known = known_labels(labels, held_out).withColumnRenamed("doc_id", "_id")
@@ -379,8 +381,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Toxic
 def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:
     """``docs`` with ``out``, the probability that a text is toxic; a column of that name is replaced.
 
-    Only the text decides. Null and empty texts get the score of a text without any feature. Other
-    columns and repeated rows pass through.
+    Only the text decides, whole whatever its length. Null and empty texts get the score of a text without any
+    feature. Other columns and repeated rows pass through; a table without rows gives none.
     """
 
     @F.pandas_udf("double")
