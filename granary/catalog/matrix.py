@@ -93,7 +93,8 @@ def written_matrix(spark, sf):
     data, labels = spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/labels")
     value = unsigned_zero(F.round(F.get("features", F.lit(0)), 5)).alias("price")
     named = F.broadcast(labels.select("label_idx", F.col(LABEL).alias("label")))
-    return data.join(named, "label_idx").select("o_orderkey", "label", value)
+    rows = data.select("o_orderkey", "label_idx", "features")  # without the label: its name differs only in case
+    return rows.join(named, "label_idx").select("o_orderkey", "label", value)
 
 
 def _vectors(spark, sf):
