@@ -203,6 +203,118 @@ from documents d left join sets s on s.doc_id = d.doc_id left join classes c on
 left join roots r on r.node = c.rep left join linked l on l.rep = c.rep
 """
 
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.trie import fingerprinted, prefix_trie, rebuilt
+
+    steps, lengths = rebuilt(fingerprinted(table(spark, sf_dir, "conversations")))
+    return prefix_trie(steps, lengths).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+OP11_SQL = r"""
+with recursive said as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first) as pos
+    from conversations where conv_id is not null
+), bytes as (
+    select range as b from range(256)
+), shifted as (
+    select b, 0 as k, b as v from bytes
+    union all select b, k + 1, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end from shifted where k < 8
+), crc_table as (
+    select b, v from shifted where k = 8
+), digits as (
+    select conv_id, conv_id::varchar as told, 0 as i, 4294967295::bigint as crc from (select distinct conv_id from said)
+    union all
+    select d.conv_id, d.told, d.i + 1, xor(d.crc // 256, t.v)
+    from digits d join crc_table t on t.b = xor(d.crc % 256, ascii(substr(d.told, d.i + 1, 1))) where d.i < length(d.told)
+), convs as (
+    select conv_id, xor(crc, 4294967295) % 4 as h, conv_id - conv_id % 20 as base from digits where i = length(told)
+), turns as (
+    select c.conv_id, s.pos, 0 as side, s.role, s.text from convs c join said s on s.conv_id = c.base and s.pos <= c.h
+    union all select c.conv_id, s.pos, 1, s.role, s.text from convs c join said s on s.conv_id = c.conv_id and s.pos > c.h
+), rebuilt as (
+    select conv_id, role, text, row_number() over (partition by conv_id order by side, pos) as depth,
+        sha256(role) || sha256(text) as told
+    from turns
+), prefixes as (
+    select conv_id, depth, string_agg(told, '') over (partition by conv_id order by depth) as key,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+    from rebuilt
+    union all select conv_id, 0, '', 0 from convs
+), nodes as (
+    select depth, key, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words from prefixes group by all
+), lasts as (
+    select conv_id, max(depth) as depth from prefixes group by conv_id
+), ends as (
+    select key, string_agg(conv_id::varchar, ',' order by conv_id) as ids from prefixes semi join lasts using (conv_id, depth) group by key
+), children as (
+    select left(key, length(key) - 128) as key, count(*) as n from nodes where depth > 0 group by 1
+), below as (
+    select p.key, sum((n.n_convs - 1) * n.words) as saved, count(*) filter (c.n is null) as leaves
+    from nodes n join prefixes p on p.conv_id = n.conv_id and p.depth <= n.depth left join children c on c.key = n.key group by p.key
+)
+select n.conv_id, n.depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children,
+    b.leaves as n_leaves, b.saved::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes n join below b on b.key = n.key left join children c on c.key = n.key left join ends e on e.key = n.key
+left join nodes up on n.depth > 0 and up.key = left(n.key, length(n.key) - 128)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+OP12_SQL = """
+with rows as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as anchor_id, b.vec_id, b.label = a.label as same, list_dot_product(a.v, b.v)::bigint as score
+    from rows a join rows b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0
+), positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id, p.positive_score, n.vec_id as negative_id, n.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) as rank
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+    and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score
+qualify rank <= 3
+"""
+
+
+def op13_largest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.topk import largest_products
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return largest_products(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+OP13_SQL = """
+with rows as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)
+select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score,
+    row_number() over (partition by q.vec_id order by list_dot_product(q.v, c.v) desc, c.vec_id) as rank
+from rows q join rows c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+where q.vec_id % 100 = 0
+qualify rank <= 10
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_small_world_search": op2_small_world_search,
@@ -214,5 +326,15 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_largest_products": op13_largest_products,
+}
+ORACLES = {
+    "op3_line_dedup": OP3_SQL,
+    "op5_chat_format": OP5_SQL,
+    "op10_ngram_jaccard": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_largest_products": OP13_SQL,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_ngram_jaccard": OP10_SQL}
