@@ -5,12 +5,12 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import basename
 from granary.session import written
+from granary.sources.heads import first_lines
 
 HEADER_SCHEMA = "path string, pos bigint, name string, error string"
 
@@ -71,46 +71,30 @@ def parse_header(text_lines: Iterator[str]) -> list[str]:
     return names
 
 
-def _header_names(lines: pd.Series) -> pd.Series:
-    return pd.Series([parse_header(iter([line])) for line in lines], dtype=object)
-
-
 def read_headers(files: DataFrame, lenient: bool = False) -> DataFrame:
-    """``(path, pos, name, error)``: names of each file's first line that is not empty.
+    """``(path, pos, name, error)``: names of each file's first line that is not empty, as a written table.
 
-    Spark reads the files as text, on any file system of the session; a header is
-    one line of the first block. A file without such a line has one row with an
-    error. A file that cannot be read fails the job, or with ``lenient`` has an
-    error like one without a header. As with every file scan, the driver holds
-    one entry per file.
+    The files are read only as far as that line, on any file system of the session. A file without such a
+    line has one row with an error. A file that cannot be read is an error, or with ``lenient`` has a row like
+    one without a header. As with every file scan, the driver holds one entry per file, and besides each
+    different header once.
     """
     spark = files.sparkSession
-    paths = [r["path"] for r in files.select("path").toLocalIterator()]
+    paths = [r["path"] for r in files.select("path").distinct().toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], HEADER_SCHEMA)
-    line = F.regexp_replace("value", "^\ufeff", "")
-    names = F.pandas_udf(_header_names, "array<string>")
-    reader = spark.read.option("ignoreCorruptFiles", str(lenient).lower())
-    first = (
-        reader.option("ignoreMissingFiles", str(lenient).lower())
-        .text(paths)
-        .where((F.col("_metadata.file_block_start") == 0) & (line != ""))
-        .select(plain_path("_metadata.file_path").alias("found"), line.alias("line"), F.monotonically_increasing_id().alias("at"))
-        .groupBy("found")
-        .agg(F.min_by("line", "at").alias("line"))
-        .select("found", names("line").alias("names"))
-    )
-    all_files = files.select("path").distinct()
-    headers = all_files.join(first, F.col("path") == F.col("found"), "left").select(
-        "path", F.posexplode_outer("names").alias("at", "name")
-    )
-    error = F.when(F.col("at").isNull(), F.lit("no header"))
-    return headers.select("path", (F.col("at") + 1).cast("bigint").alias("pos"), "name", error.alias("error"))
+    numbers: dict[str | None, int] = {}
+    of_file = [(path, numbers.setdefault(line, len(numbers))) for path, line in zip(paths, first_lines(spark, paths, lenient), strict=True)]
+    names = [(i, pos, name, None) for line, i in numbers.items() if line is not None for pos, name in enumerate(parse_header(iter([line])), 1)]
+    names += [(i, None, None, "no header") for line, i in numbers.items() if line is None]
+    headers = spark.createDataFrame(names, "_header int, pos bigint, name string, error string")
+    rows = spark.createDataFrame(of_file, "path string, _header int").join(headers, "_header")
+    return written(rows.select("path", "pos", "name", "error"), "headers")
 
 
 def checked_headers(files: DataFrame, lenient: bool = False) -> DataFrame:
     """``read_headers`` as a written table; unless ``lenient`` a file without header is an error."""
-    headers = written(read_headers(files, lenient), "headers")
+    headers = read_headers(files, lenient)
     if not lenient:
         bad = headers.where(F.col("error").isNotNull()).limit(6).collect()
         if bad:

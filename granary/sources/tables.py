@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,8 @@ from granary.operators.schema import (
     union_columns,
 )
 from granary.plans.ranks import head_per_group
-from granary.plans.slices import before
-from granary.plans.small import join_same_keys, small_side
 from granary.sources.files import checked_headers, discover_files
+from granary.sources.heads import first_rows, written_heads
 
 # Row position of a scanned row: start of its block in the file, then a number
 # that grows within the block.
@@ -63,6 +62,15 @@ def _scan_group(
     )
 
 
+def _aligned_scan(
+    spark: SparkSession, header: tuple[str, ...], paths: list[str], columns: list[str], positions: bool, multi_line: bool
+) -> DataFrame:
+    """``_scan_group`` under the union schema; missing cells are NULL."""
+    extra = [SOURCE, *(POSITION if positions else ())]
+    part = align_to_schema(standardize_label(_scan_group(spark, header, paths, multi_line)), [*extra, *columns])
+    return part.select(*extra, *[present(quoted(c)).alias(c) for c in columns])
+
+
 def scan_csv(
     spark: SparkSession,
     root: str | list[str] | None = None,
@@ -87,14 +95,9 @@ def scan_csv(
     groups = header_groups(headers)
     if not groups:
         raise FileNotFoundError("no file with a readable header")
-    extra = [SOURCE, *(POSITION if positions else ())]
     columns = columns or union_columns(*[list(h) for h in groups])
-    parts = []
-    for header, paths in sorted(groups.items()):
-        part = standardize_label(_scan_group(spark, header, sorted(paths), multi_line))
-        parts.append(align_to_schema(part, [*extra, *columns]))
-    merged = reduce(DataFrame.unionByName, parts)
-    return merged.select(*extra, *[present(quoted(c)).alias(c) for c in columns])
+    parts = [_aligned_scan(spark, h, sorted(paths), columns, positions, multi_line) for h, paths in sorted(groups.items())]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def typed(
@@ -126,21 +129,22 @@ def sample_files(
     positions: bool = False,
     headers: DataFrame | None = None,
 ) -> DataFrame:
-    """First ``n`` rows of each file.
+    """First ``n`` rows of each file, as a written table; a file is read only as far as that.
 
-    Block counts tell which blocks can hold them, so that a large file sends only
-    its leading blocks to the ranking.
+    Rows come from the beginnings of the files, by Spark's CSV reader as in a full scan, one task per file.
     """
-    rows = scan_csv(spark, root, files, positions=True, headers=headers)
-    blocks = rows.groupBy(SOURCE, POSITION[0]).agg(F.count(F.lit(1)).alias("__count"))
-    along = Window.partitionBy(SOURCE).orderBy(POSITION[0])
-    ahead = F.coalesce(F.sum("__count").over(before(along)), F.lit(0))
-    leading = blocks.select(SOURCE, POSITION[0], ahead.alias("__ahead"))
-    placed = join_same_keys(rows, small_side(leading), [SOURCE, POSITION[0]], "left")
-    # A block without a count stays in: the rank below decides.
-    near = placed.where(F.coalesce("__ahead", F.lit(0)) < n).drop("__ahead")
-    rank = F.row_number().over(Window.partitionBy(SOURCE).orderBy(*POSITION))
-    first = near.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    if headers is None:
+        headers = checked_headers(discover_files(spark, root) if files is None else files)
+    groups = header_groups(headers)
+    if not groups:
+        raise FileNotFoundError("no file with a readable header")
+    columns = union_columns(*[list(h) for h in groups])
+    scans = [
+        lambda header=header, path=path: _aligned_scan(spark, header, [path], columns, True, False)
+        for header, paths in sorted(groups.items())
+        for path in sorted(paths)
+    ]
+    first = written_heads(spark, scans, n, "sample")
     return first if positions else first.drop(*POSITION)
 
 
@@ -160,11 +164,14 @@ def row_size_profile(
 ) -> DataFrame:
     """Mean bytes per row as CSV text over the first rows; estimated rows of a file of that size.
 
-    The first rows are those of ``order``, by default of all columns from left to right, so that
-    every run reads the same ones.
+    The first rows of a table of files are those at the beginning of its first files, of any other those of
+    ``order``, by default of all columns from left to right, so that every run reads the same ones.
     """
     width = F.octet_length(F.to_csv(F.struct(*[quoted(c) for c in df.columns])))
-    profile = df.orderBy(*[quoted(c) for c in order or df.columns]).limit(sample_rows).agg(
+    first = first_rows(df, sample_rows) if order is None else None
+    if first is None:
+        first = df.orderBy(*[quoted(c) for c in order or df.columns]).limit(sample_rows)
+    profile = first.agg(
         F.count(F.lit(1)).alias("sampled_rows"),
         F.coalesce(F.avg(width), F.lit(DEFAULT_ROW_BYTES)).alias("bytes_per_row"),
     )
