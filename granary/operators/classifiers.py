@@ -7,22 +7,19 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.trees import TreesModel, fit_trees
+
 VECTOR = "__vector"
 PREDICTION = "prediction"
 
-# Default variance smoothing, and the deepest tree Spark ML grows.
+# Fixed value: default variance smoothing.
 VAR_SMOOTHING = 1e-9
-DEEPEST = 30
 
 
 def with_vector(df: DataFrame, features: str = "features") -> DataFrame:
@@ -112,45 +109,19 @@ def logistic_regression(params: dict, n_train: int) -> LogisticRegression:
     )
 
 
-def tree_depth(params: dict) -> int:
-    depth = int(params.get("max_depth", 5))
-    if depth > DEEPEST:
-        raise ValueError(f"max_depth {depth} is beyond {DEEPEST}, the deepest tree that Spark ML grows")
-    return depth
-
-
-def smallest_leaf(params: dict) -> int:
-    """Leaf size that stands in for the two size limits.
-
-    Spark ML has no minimum split size; a node that may split holds at least two
-    leaves, so half the split size serves as a lower bound of the leaf size.
-    """
-    leaf = int(params.get("min_samples_leaf", 1))
-    return max(leaf, math.ceil(int(params.get("min_samples_split", 2)) / 2))
-
-
-def decision_tree(params: dict, seed: int = 42) -> DecisionTreeClassifier:
-    return DecisionTreeClassifier(
-        featuresCol=VECTOR,
-        labelCol="label_idx",
-        impurity="gini",
-        maxDepth=tree_depth(params),
-        minInstancesPerNode=smallest_leaf(params),
-        seed=seed,
+def fit_decision_tree(df: DataFrame, params: dict, trees: int | None = None) -> TreesModel:
+    """A tree, or a forest of ``trees``; ``max_depth``, ``min_samples_split`` and ``min_samples_leaf`` are its limits."""
+    return fit_trees(
+        df,
+        trees,
+        int(params.get("max_depth", 30)),
+        int(params.get("min_samples_split", 2)),
+        int(params.get("min_samples_leaf", 1)),
     )
 
 
-def random_forest(params: dict, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        featuresCol=VECTOR,
-        labelCol="label_idx",
-        impurity="gini",
-        numTrees=int(params.get("n_estimators", 100)),
-        maxDepth=tree_depth(params),
-        minInstancesPerNode=smallest_leaf(params),
-        featureSubsetStrategy="sqrt",
-        seed=seed,
-    )
+def fit_random_forest(df: DataFrame, params: dict) -> TreesModel:
+    return fit_decision_tree(df, params, int(params.get("n_estimators", 100)))
 
 
 def fit_predict(model: str, params: dict, train: DataFrame, test: DataFrame, n_train: int) -> DataFrame:
@@ -160,20 +131,18 @@ def fit_predict(model: str, params: dict, train: DataFrame, test: DataFrame, n_t
         smoothing = float(params.get("var_smoothing", VAR_SMOOTHING))
         return gaussian_log_density(test, fitted, smoothing)
     if model == "Logistic Regression":
-        estimator = logistic_regression(params, n_train)
-    elif model == "Decision Tree":
-        estimator = decision_tree(params)
-    elif model == "Random Forest":
-        estimator = random_forest(params)
-    else:
-        raise ValueError(f"unknown model {model}")
-    fitted = estimator.fit(with_vector(train))
-    scored = fitted.transform(with_vector(test))
-    return scored.drop(VECTOR, "rawPrediction", "probability")
+        return predict(logistic_regression(params, n_train).fit(with_vector(train)), test)
+    if model == "Decision Tree":
+        return predict(fit_decision_tree(train, params), test)
+    if model == "Random Forest":
+        return predict(fit_random_forest(train, params), test)
+    raise ValueError(f"unknown model {model}")
 
 
 def predict(model, df: DataFrame) -> DataFrame:
-    """Predicted class per row, for a fitted Spark ML model or a ``GaussianModel``."""
+    """Predicted class per row, for a fitted Spark ML model, a ``GaussianModel`` or a ``TreesModel``."""
     if isinstance(model, GaussianModel):
         return gaussian_log_density(df, model)
+    if isinstance(model, TreesModel):
+        return df.withColumn(PREDICTION, model.predicted())
     return model.transform(with_vector(df)).drop(VECTOR, "rawPrediction", "probability")

@@ -116,8 +116,12 @@ def weighted_f1(
     df: DataFrame, actual: str, predicted: str, by: tuple[str, ...] = ()
 ) -> DataFrame:
     """Support-weighted mean of the per-class F1 scores."""
-    scores = per_class_scores(confusion_matrix(df, actual, predicted, by), by)
-    return scores.groupBy(*by).agg(
+    return weighted_f1_of(confusion_matrix(df, actual, predicted, by), by)
+
+
+def weighted_f1_of(confusion: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``weighted_f1`` from the counts of a confusion matrix."""
+    return per_class_scores(confusion, by).groupBy(*by).agg(
         F.coalesce(F.sum(F.col("support") * F.col("f1")) / F.sum("support"), F.lit(0.0)).alias("f1")
     )
 

@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import quoted
-from granary.operators.classifiers import PREDICTION, fit_predict
-from granary.operators.evaluation import (
-    PARAM_GRIDS,
-    best_per_model,
-    mean_score,
-    param_grid,
-    weighted_f1,
-)
+from granary.operators.evaluation import PARAM_GRIDS, best_per_model, mean_score, param_grid
 from granary.operators.features import build_training_matrix, scaled_values
 from granary.operators.schema import LABEL, numeric_columns
 from granary.operators.split import (
@@ -29,11 +24,12 @@ from granary.operators.split import (
     TREE_TEST_SHARE,
     repeated_stratified_holdout,
 )
+from granary.plans.families import Matrix, checked, family_scores
 from granary.session import shared_dir, written
 
 TRIAL_SCHEMA = (
     "model_idx bigint, model string, combo_idx bigint, params map<string,string>, "
-    "holdout int, f1 double, rows bigint, error string"
+    "holdout int, f1 double, rows bigint, error string, passing boolean"
 )
 
 
@@ -82,13 +78,8 @@ def search_key(df: DataFrame, key: str, k: int, names: list[str], fit_on: str) -
     return hashlib.md5("\x1f".join(parts).encode()).hexdigest()[:16]
 
 
-def _trial_path(results: str, model: str, params: dict) -> str:
-    slug = re.sub(r"\W+", "_", model.lower())
-    return f"{results}/{slug}-{hashlib.md5(json.dumps(params, sort_keys=True).encode()).hexdigest()[:16]}"
-
-
 def read_trials(spark: SparkSession, results: str) -> DataFrame:
-    """Holdout scores of all finished trials."""
+    """Holdout scores of all trials; ``passing`` errors are of trials that are still open."""
     return (
         spark.read.schema(TRIAL_SCHEMA)
         .option("recursiveFileLookup", "true")
@@ -102,45 +93,47 @@ def _flag(model: str, holdout: int) -> str:
     return f"{'tree_test_' if model == 'Decision Tree' else 'test_'}{holdout}"
 
 
-def holdout_sizes(table: DataFrame, k: int) -> dict[str, int]:
-    """Rows in all, and train rows per holdout column, from one pass."""
-    flags = [_flag(model, i) for model in ("Decision Tree", "") for i in range(k)]
-    row = table.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(~F.col(f)).alias(f) for f in flags]
-    ).first()
-    return row.asDict()
+def matrices(table: DataFrame, key: str, model: str, k: int, width: int, classes: int, scaled: bool) -> list[Matrix]:
+    """What a model is fitted on: one matrix with all holdouts, or unless ``scaled`` one per holdout, scaled by its train rows."""
+    flags = {i: _flag(model, i) for i in range(k)}
+    if scaled:
+        return [Matrix(table, width, classes, key, flags)]
+    own = lambda flag: written(scale_on(table, ~F.col(flag), width), "scaled-rows")
+    return [Matrix(own(flag), width, classes, key, {i: flag}) for i, flag in flags.items()]
 
 
-def run_trial(
-    table: DataFrame,
-    trial: dict,
-    k: int,
-    results: str,
-    sizes: dict[str, int],
-    width: int | None = None,
-) -> None:
-    """Fit and score one combination on every holdout, then write its scores as a unit.
+def run_family(model: str, trials: list[dict], parts: Callable[[], list[Matrix]], results: str, rows: int, spark: SparkSession) -> None:
+    """Score all combinations of a model on all holdouts, then write their scores as a unit.
 
-    ``width`` asks for scaling by the train rows of each holdout.
+    Parameters that no fit accepts score 0 for good. Any other error is tried once more; then it is
+    written as a passing one, and the next search tries again.
     """
-    spark = table.sparkSession
-    rows = []
-    for i in range(k):
-        flag = _flag(trial["model"], i)
+    good, scores, failed, passing = {}, {}, {}, None
+    for trial in trials:
         try:
-            rows_of_fold = table if width is None else scale_on(table, ~F.col(flag), width)
-            train, test = rows_of_fold.where(~F.col(flag)), rows_of_fold.where(F.col(flag))
-            scored = fit_predict(trial["model"], trial["params"], train, test, sizes[flag])
-            scored = scored.withColumn(PREDICTION, F.col(PREDICTION).cast("bigint"))
-            f1 = weighted_f1(scored, "label_idx", PREDICTION).first()["f1"]
-            rows.append((i, float(f1), sizes["rows"], None))
-        except Exception as exc:  # a failed fit scores 0, with its reason kept
-            rows.append((i, 0.0, 0, f"{type(exc).__name__}: {exc}"))
-    out = [
-        (trial["model_idx"], trial["model"], trial["combo_idx"], trial["params"], *r) for r in rows
-    ]
-    path = _trial_path(results, trial["model"], trial["params"])
-    spark.createDataFrame(out, TRIAL_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
+            checked(model, trial["params"])
+            good[trial["combo_idx"]] = trial["params"]
+        except (TypeError, ValueError) as exc:
+            failed[trial["combo_idx"]] = f"{type(exc).__name__}: {exc}"
+    holdouts: set[int] = set()
+    for attempt in (1, 2):
+        try:
+            for matrix in parts():
+                holdouts |= set(matrix.flags)
+                scores |= family_scores(model, matrix, good) if good else {}
+            passing = None
+            break
+        except Exception as exc:  # the reason is kept, the trials stay open
+            passing = f"{type(exc).__name__}: {exc}"
+    out = []
+    for trial in trials:
+        combo = trial["combo_idx"]
+        error = failed.get(combo) or passing
+        for i in sorted(holdouts) or [0]:
+            row = (0.0, 0, error, combo not in failed) if error else (scores[(combo, i)], rows, None, False)
+            out.append((trial["model_idx"], model, combo, trial["params"], i, *row))
+    path = f"{results}/{re.sub(r'\W+', '_', model.lower())}-{uuid.uuid4().hex[:16]}"
+    spark.createDataFrame(out, TRIAL_SCHEMA).coalesce(1).write.json(path)
 
 
 def grid_search(
@@ -158,10 +151,10 @@ def grid_search(
     ``fit_on="all"`` scales the features once by all rows; ``"train"`` scales
     them per holdout by its train rows, so that nothing held out leaks in.
 
-    Every fit is a distributed job; ``parallelism`` fits are submitted at a time,
-    as Spark ML's own cross validator does. Trials already in ``results`` are
-    skipped, so a search can be resumed: with the same rows, features, holdouts and
-    scaling, whatever the rest of the grid; anything else starts afresh.
+    All combinations and holdouts of a model share their passes over the rows; ``parallelism`` models are
+    worked on at a time. Trials already in ``results`` are skipped, unless an error that may pass ended them,
+    so a search can be resumed: with the same rows, features, holdouts and scaling, whatever the rest of the
+    grid; anything else starts afresh.
     """
     spark = df.sparkSession
     if fit_on not in ("all", "train"):
@@ -175,21 +168,39 @@ def grid_search(
     # The grid is a short fixed list of parameter combinations.
     numbered = grid.withColumn("told", _told())
     try:
-        done = read_trials(spark, folder).select("model", _told().alias("told")).distinct()
+        done = read_trials(spark, folder).where("not passing").select("model", _told().alias("told")).distinct()
         todo = numbered.join(done, ["model", "told"], "left_anti")
         todo = todo.drop("told").orderBy("model_idx", "combo_idx").collect()
     except AnalysisException:  # no trial yet
         todo = grid.orderBy("model_idx", "combo_idx").collect()
-    sizes = holdout_sizes(table, k)
+    first = table.agg(F.count(F.lit(1)).alias("rows"), F.max("label_idx").alias("most")).first()
+    classes = 1 + (first["most"] if first["most"] is not None else 0)
+    by_model: dict[str, list[dict]] = {}
+    for row in todo:
+        by_model.setdefault(row["model"], []).append(row.asDict())
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        jobs = [pool.submit(run_trial, table, row.asDict(), k, folder, sizes, width) for row in todo]
+        jobs = []
+        for model, own in by_model.items():
+            parts = partial(matrices, table, key, model, k, len(names), classes, fit_on == "all")
+            jobs.append(pool.submit(run_family, model, own, parts, folder, first["rows"], spark))
         for job in jobs:
             job.result()
-    runs = read_trials(spark, folder).withColumn("told", _told()).drop("model_idx", "combo_idx", "params")
+    runs = settled(read_trials(spark, folder).withColumn("told", _told()))
     numbers = numbered.select("model_idx", "model", "combo_idx", "params", "told")
+    runs = runs.drop("model_idx", "combo_idx", "params", "passing")
     return trial_scores(runs.join(F.broadcast(numbers), ["model", "told"]))
 
 
+def settled(runs: DataFrame) -> DataFrame:
+    """One row per trial and holdout: a passing error only where there is nothing else."""
+    best = F.min(F.struct("passing", *[c for c in runs.columns if c not in ("model", "told", "holdout", "passing", "params")])).alias("r")
+    every = runs.groupBy("model", "told", "holdout").agg(best, F.any_value("params").alias("params"))
+    every = every.select("model", "told", "holdout", "params", "r.*")
+    final = every.where("not passing").select(F.col("model").alias("_m"), F.col("told").alias("_t")).distinct()
+    joined = every.join(F.broadcast(final), (F.col("model") == F.col("_m")) & (F.col("told") == F.col("_t")), "left")
+    return joined.where(F.col("_m").isNull() | ~F.col("passing")).drop("_m", "_t")
+
+
 def trial_scores(runs: DataFrame) -> DataFrame:
     """Mean score per trial with its parameters and the first error, if any."""
     by = ("model_idx", "model", "combo_idx")

@@ -6,10 +6,12 @@ from pyspark.errors import StreamingQueryException
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from granary.operators.classifiers import fit_gaussian_nb
+from granary.operators.classifiers import fit_gaussian_nb, fit_predict
 from granary.operators.evaluation import weighted_f1
+from granary.plans import search
 from granary.plans.consolidation import run_consolidation
-from granary.plans.search import grid_search, read_trials
+from granary.plans.families import family_scores
+from granary.plans.search import grid_search, matrices, prepare_search_table, read_trials
 from granary.sinks.tables import completed_files, read_manifest
 from granary.sources import files as A
 from granary.sources import tables as T
@@ -242,6 +244,83 @@ def test_grid_search_and_resume(spark, tmp_path):
     assert read_trials(spark, results).count() == 10
 
 
+def noisy_table(spark, n=400):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(int) + (x[:, 2] > 1)
+    y = np.where(rng.random(n) < 0.15, rng.integers(0, 3, n), y)
+    rows = [(i, f"c{c}", *map(float, r)) for i, (r, c) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(rows, "id bigint, Label string, x double, y double, z double")
+
+
+def test_shared_passes_score_as_separate_fits(spark):
+    """Every model and limit, against one fit per combination and holdout."""
+    table = prepare_search_table(noisy_table(spark), "id", 2, features=["x", "y", "z"])
+    combos = {
+        "Naive Bayes": [{"var_smoothing": "1e-9"}, {"var_smoothing": "0.5"}],
+        "Logistic Regression": [{"C": "0.01", "max_iter": "500"}, {"C": "10", "max_iter": "500"}],
+    }
+    for model, params in combos.items():
+        matrix = matrices(table, "id", model, 2, 3, 3, True)[0]
+        found = family_scores(model, matrix, dict(enumerate(params)))
+        for combo, own in enumerate(params):
+            for i in range(2):
+                train, test = table.where(f"not test_{i}"), table.where(f"test_{i}")
+                scored = fit_predict(model, own, train, test, train.count())
+                want = weighted_f1(scored, "label_idx", "prediction").first()["f1"]
+                assert found[(combo, i)] == pytest.approx(want, abs=1e-9 if model == "Naive Bayes" else 0.02)
+    for model, extra in (("Decision Tree", {}), ("Random Forest", {"n_estimators": "7"})):
+        limits = [(d, s, leaf) for d in ("2", "9") for s in ("2", "60") for leaf in ("1", "12")]
+        params = [extra | {"max_depth": d, "min_samples_split": s, "min_samples_leaf": leaf} for d, s, leaf in limits]
+        matrix = matrices(table, "id", model, 2, 3, 3, True)[0]
+        together = family_scores(model, matrix, dict(enumerate(params)))
+        for combo in (0, 3, 5, 7):
+            alone = family_scores(model, matrix, {combo: params[combo]})
+            assert all(together[key] == score for key, score in alone.items())
+        assert len(set(together.values())) > 5
+
+
+def test_jobs_do_not_grow_with_combinations(spark):
+    table = prepare_search_table(noisy_table(spark), "id", 3, features=["x", "y", "z"])
+    begun = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+
+    def jobs(model, params):
+        matrix = matrices(table, "id", model, 3, 3, 3, True)[0]
+        before = begun()
+        family_scores(model, matrix, dict(enumerate(params)))
+        return begun() - before
+
+    many = [{"var_smoothing": str(10.0**-e)} for e in range(1, 10)]
+    assert jobs("Naive Bayes", many) == jobs("Naive Bayes", many[:1])
+    many = [{"max_depth": str(d), "min_samples_split": str(s)} for d in range(1, 6) for s in (2, 20)]
+    assert jobs("Decision Tree", many) == jobs("Decision Tree", many[:1])
+    many = [{"C": str(c), "max_iter": "300"} for c in (0.1, 0.3, 1, 3, 10)]
+    assert jobs("Logistic Regression", many) < 2 * jobs("Logistic Regression", many[-1:])
+
+
+def test_passing_failures_are_tried_again(spark, tmp_path, monkeypatch):
+    """A pass that fails twice leaves its trials open; wrong parameters are final."""
+    real, calls = search.family_scores, []
+
+    def lost(model, matrix, combos):
+        calls.append(model)
+        if model == "Naive Bayes" and calls.count(model) <= 2:
+            raise RuntimeError("executor lost")
+        return real(model, matrix, combos)
+
+    monkeypatch.setattr(search, "family_scores", lost)
+    grids = {"Naive Bayes": GRID["Naive Bayes"], "Logistic Regression": {"C": ("bad",), "max_iter": (20,)}}
+    run = lambda: {(r["model"], r["combo_idx"]): r for r in grid_search(noisy_table(spark), "id", grids, k=2, results=str(tmp_path / "t")).collect()}
+    first = run()
+    assert "executor lost" in first[("Naive Bayes", 1)]["error"] and first[("Naive Bayes", 1)]["f1"] == 0
+    assert "ValueError" in first[("Logistic Regression", 1)]["error"]
+    again = run()
+    assert again[("Naive Bayes", 1)]["error"] is None and again[("Naive Bayes", 2)]["f1"] > 0.5
+    assert again[("Naive Bayes", 1)]["holdouts"] == 2 and "ValueError" in again[("Logistic Regression", 1)]["error"]
+    before = len(calls)
+    assert run().keys() == again.keys() and len(calls) == before  # nothing is open
+
+
 def test_scaling_on_train_rows_only(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "a" if i % 2 else "b", None if i % 9 == 0 else float(rng.normal() + (i % 2) * 3)) for i in range(100)]
