@@ -12,11 +12,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import coefficient_of_variation, fixed_decimals
 from granary.plans.slices import (
+    PART,
     add_parts,
     add_slices,
     before,
@@ -190,17 +191,6 @@ def moved(width: float, step: float) -> float:
     return min(WINDOW_MAX, max(WINDOW_MIN, width + step))
 
 
-def follow_widths(pdf: pd.DataFrame, width: float, samples: list[float]):
-    """Widths after each sample of ``pdf`` in order, and the state behind the last one."""
-    widths, samples = [], list(samples)
-    for throughput, rows in zip(pdf["throughput"].tolist(), pdf["rows_processed"].fillna(0).tolist()):
-        sample = throughput if throughput > 0 else rows / max(0.5, width)
-        samples = [*samples, float(sample)][-SAMPLES:]
-        width = next_width(width, samples)
-        widths.append(width)
-    return widths, width, samples
-
-
 def _known_steps(values: np.ndarray) -> np.ndarray:
     """Step after each value from the last eight values; NaN where one of them is NaN (not known yet)."""
     absent = np.full(SAMPLES - 1, np.inf)
@@ -217,137 +207,245 @@ def _known_steps(values: np.ndarray) -> np.ndarray:
     return steps
 
 
-def _walk(pdf: pd.DataFrame, starts: list[float]) -> tuple[list[float], np.ndarray]:
-    """Follows a stretch of a run, its rows in order, from several widths at once.
+GRID = [WINDOW_MIN + WINDOW_STEP * k for k in range(int((WINDOW_MAX - WINDOW_MIN) / WINDOW_STEP) + 1)]
+#: A state as one number: in its last digit the width's place on the grid, and in the k-th one before
+#: it the place, plus 1, of the width with which the k-th last sample was taken, 0 if none was used.
+DIGITS = len(GRID) + 1
+START_STATE = GRID.index(WINDOW_START)
+#: Rows of a run that one task follows, at most about twice as many.
+PIECE_ROWS = 50_000
+
+
+def _opened(state: int) -> tuple[float, tuple]:
+    """Width, and (place before the next sample, width) of the last samples that used one."""
+    width, own = GRID[state % DIGITS], []
+    for k in range(1, SAMPLES):
+        state //= DIGITS
+        if state % DIGITS:
+            own.append((-k, GRID[state % DIGITS - 1]))
+    return width, tuple(reversed(own))
+
+
+def _closed(width: float, own: tuple, samples: int) -> int:
+    state = GRID.index(width)
+    for place, used in own:
+        if samples - place < SAMPLES:
+            state += (GRID.index(used) + 1) * DIGITS ** (samples - place)
+    return state
+
+
+def possible_states(head: list[float]) -> list[int]:
+    """All states behind samples ``head``, NaN for one that used a width: widths move by a step at most."""
+    states = {(k, k) for k in range(len(GRID))}
+    for ago, value in enumerate(reversed(head), 1):
+        digit = DIGITS**ago if value != value else 0
+        states = {
+            (state + (near + 1) * digit, near)
+            for state, k in states
+            for near in range(max(0, k - 1), min(len(GRID), k + 2))
+        }
+    return sorted({state for state, _ in states})
+
 
-    Returns the width at the end for each start, and the width after each sample
+def _walk(pdf: pd.DataFrame, starts: list[int]) -> tuple[list[int], np.ndarray]:
+    """Follows a stretch of a run, its rows in order, from several states at once.
+
+    Returns the state at the end for each start, and the width after each sample
     for the first start. Starts that come to the same state go on as one. Only
     samples at which the width can move are visited.
     """
-    head = pdf["head"].iat[0]
-    head = [] if head is None else list(head)
+    head, head_rows = (list(v) if v is not None else [] for v in (pdf["head"].iat[0], pdf["head_rows"].iat[0]))
     rows, reported = pdf["rows_processed"].to_numpy(np.float64), pdf["throughput"].to_numpy(np.float64)
     depends = ~(reported > 0) & (rows > 0)
     values = np.where(reported > 0, reported, np.where(depends, np.nan, 0.0))
     known = np.concatenate([head, values])
+    of_place = np.concatenate([head_rows, rows])
     steps = _known_steps(known)[len(head) :]
     visits = np.flatnonzero(depends | np.isnan(steps) | (steps != 0))
-    states = {(w, ()): [k] for k, w in enumerate(starts)}
+    states: dict[tuple, list[int]] = {}
+    for k, state in enumerate(starts):
+        states.setdefault(_opened(state), []).append(k)
     trace = np.empty(len(visits) + 1)
-    trace[0] = starts[0]
+    trace[0] = _opened(starts[0])[0]
     for nth, i in enumerate(visits.tolist(), 1):
         after: dict[tuple, list[int]] = {}
         for (width, own), members in states.items():
             own = tuple(x for x in own if x[0] > i - SAMPLES)
             if depends[i]:
-                own += ((i, rows[i] / max(0.5, width)),)
+                own += ((i, width),)
             if not np.isnan(steps[i]):
                 width = moved(width, steps[i])
             else:
                 at = i + len(head)
                 last = known[max(0, at - SAMPLES + 1) : at + 1].copy()
-                for place, value in own:
-                    last[place - i - 1] = value
+                for place, used in own:
+                    last[place - i - 1] = of_place[place + len(head)] / max(0.5, used)
                 width = next_width(width, last.tolist())
             after.setdefault((width, own), []).extend(members)
             if 0 in members:
                 trace[nth] = width
         states = after
-    ends = [0.0] * len(starts)
-    for (width, _own), members in states.items():
+    ends = [0] * len(starts)
+    for (width, own), members in states.items():
+        state = _closed(width, own, len(pdf))
         for k in members:
-            ends[k] = width
+            ends[k] = state
     place = np.zeros(len(pdf), dtype=int)
     place[visits] = 1
     return ends, trace[np.cumsum(place)]
 
 
-def _stretches(df: DataFrame) -> DataFrame:
-    """``run_id, ts, seq, throughput, rows_processed, unit, head``: runs cut into stretches.
-
-    A stretch begins where the seven samples before do not depend on the width:
-    there the width alone is the state. ``head`` holds these samples in the first
-    row of a stretch. The first such place of every slice is a cut; a run without
-    any is one stretch.
-    """
-    work = df.select(
+def _samples(df: DataFrame) -> DataFrame:
+    return df.select(
         RUN,
         *ORDER,
         F.col("throughput").cast("double").alias("throughput"),
         F.coalesce(F.col("rows_processed").cast("double"), F.lit(0.0)).alias("rows_processed"),
     )
-    work, slices = add_slices(work, list(ORDER))
-    parted = add_parts(work, [RUN], slices=slices).withColumn("__slice", F.col(slices[0]))
+
+
+def _sample() -> Column:
+    """What a sample counts in the variation; NaN if the width decides."""
     reported = F.coalesce(F.col("throughput") > 0, F.lit(False))
-    free = reported | (F.col("rows_processed") <= 0)
+    return F.when(reported, F.col("throughput")).when(F.col("rows_processed") > 0, float("nan")).otherwise(F.lit(0.0))
+
+
+def _stretches(df: DataFrame, piece_rows: int) -> DataFrame:
+    """``run_id, ts, seq, throughput, rows_processed, unit, head, head_rows``: runs cut into stretches.
+
+    Of every ``piece_rows`` rows of a slice the first is a cut behind which the seven samples before do not
+    depend on the width: there the width alone is the state. Where there is none, it is the first with seven
+    samples before it. ``head`` holds these samples in the first row of a stretch, ``head_rows`` their rows.
+    """
+    work, slices = add_slices(_samples(df), list(ORDER))
+    parted = add_parts(work, [RUN], slices=slices).withColumn("__slice", F.col(slices[0]))
     back = _along().rowsBetween(1 - SAMPLES, -1)
-    sample = F.when(reported, F.col("throughput")).otherwise(F.lit(0.0))
     local = parted.select(
         "*",
-        (F.count(F.lit(1)).over(back) == SAMPLES - 1).alias("__full"),
-        F.min(free).over(back).alias("__free"),
-        F.collect_list(sample).over(back).alias("__head"),
+        F.expr(f"(row_number() over (partition by {PART} order by {', '.join(ORDER)}) - 1) div {piece_rows}").alias("__piece"),
+        F.collect_list(_sample()).over(back).alias("__head"),
+        F.collect_list("rows_processed").over(back).alias("__head_rows"),
     )
-    opens = F.col("__full") & F.col("__free")
+    full = F.size("__head") == SAMPLES - 1
+    free = full & ~F.exists("__head", F.isnan)
+    here = Window.partitionBy(PART, "__piece")
+    cut = F.coalesce(F.min(F.when(free, _order_key())).over(here), F.min(F.when(full, _order_key())).over(here))
+    placed = local.withColumns({"__cut": cut, "__unit": F.col("__slice").cast("long") * (1 << 20) + F.col("__piece")})
     carried = with_carry(
-        local,
-        {"__first": F.min(F.when(opens, _order_key())), "__at": F.max("__slice")},
-        {
-            "__cut": lambda w: F.col("__first"),
-            "__prior": lambda w: F.max(F.when(F.col("__first").isNotNull(), F.col("__at"))).over(before(w)),
-        },
+        placed,
+        {"__last": F.max(F.when(F.col("__cut").isNotNull(), F.col("__unit")))},
+        {"__prior": lambda w: F.max("__last").over(before(w))},
     )
     behind = F.coalesce(_order_key() >= F.col("__cut"), F.lit(False))
+    first = _order_key() == F.col("__cut")
     return carried.select(
         RUN,
         *ORDER,
         "throughput",
         "rows_processed",
-        F.when(behind, F.col("__slice")).otherwise(F.coalesce("__prior", F.lit(-1))).alias("unit"),
-        F.when(_order_key() == F.col("__cut"), F.col("__head")).alias("head"),
+        F.when(behind, F.col("__unit"))
+        .when(F.col("__piece") > 0, F.col("__unit") - 1)
+        .otherwise(F.coalesce("__prior", F.lit(-1).cast("long")))
+        .alias("unit"),
+        F.when(first, F.col("__head")).alias("head"),
+        F.when(first, F.col("__head_rows")).alias("head_rows"),
     )
 
 
-def adaptive_window(df: DataFrame, out: str = "window_seconds") -> DataFrame:
+def adaptive_window(df: DataFrame, out: str = "window_seconds", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Width of the throughput window after each sample.
 
     The width shrinks by a step while the last samples are steady and grows while
     they are not; a sample without reported throughput depends on the width before
-    it. Widths lie on a grid, so each stretch of a run is followed once from all of
-    them; the ends are chained per run, one row per stretch, and every stretch is
-    replayed from its own entry. Three passes, whatever the number of stretches.
-    NULL throughput is not reported, NULL rows are none, NULL runs are one run. A
-    run in which seven samples in a row never report is walked by one task.
+    it. A state is the width and the widths that the last seven samples used. Each
+    stretch of a run is followed from all states that can stand before it, which soon
+    become few; one that can begin in many is followed again from those alone in which
+    the stretch before it can end. The ends are chained per run, one row per stretch, and
+    every stretch is replayed from its own entry: four passes, whatever the number of
+    stretches, none of which has more than about twice ``piece_rows`` rows. NULL throughput
+    is not reported, NULL rows are none, NULL runs are one run.
+    """
+    widths, _ = followed_widths(df, piece_rows=piece_rows)
+    return join_same_keys(df, widths.select(RUN, *ORDER, F.col("after").alias(out)), [RUN, *ORDER])
+
+
+def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(list(ORDER))
+
+
+def followed_widths(df: DataFrame, carried: DataFrame | None = None, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(run_id, ts, seq, after) of all samples, and (run_id, state, head, head_rows) behind the last one of each run.
+
+    ``carried`` holds the latter from an earlier call whose samples lie before these; other runs start anew.
     """
-    grid = [WINDOW_MIN + WINDOW_STEP * k for k in range(int((WINDOW_MAX - WINDOW_MIN) / WINDOW_STEP) + 1)]
-    rows = written(_stretches(df), "stretches")
+    rows = _stretches(df, piece_rows)
+    start = F.lit(START_STATE).cast("long")
+    if carried is None:
+        rows = rows.withColumn("state", start)
+    else:
+        known = carried.select(RUN, "state", F.col("head").alias("__head"), F.col("head_rows").alias("__head_rows"))
+        first = F.col("unit") == -1
+        rows = join_same_keys(rows, known, [RUN], "left").withColumns(
+            {
+                "head": F.when(first, F.col("__head")).otherwise(F.col("head")),
+                "head_rows": F.when(first, F.col("__head_rows")).otherwise(F.col("head_rows")),
+                "state": F.coalesce("state", start),
+            }
+        ).drop("__head", "__head_rows")
+    rows = written(rows, "stretches")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    keys = f"`{RUN}` {kinds[RUN]}, unit int"
+    keys = f"`{RUN}` {kinds[RUN]}, unit long"
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(ORDER))
-        return pdf.iloc[[0]][[RUN, "unit"]].assign(ends=[_walk(pdf, grid)[0]])
+        pdf = _in_order(pdf)
+        head = pdf["head"].iat[0]
+        starts = [int(pdf["state"].iat[0])] if pdf["unit"].iat[0] == -1 else possible_states([] if head is None else list(head))
+        found = _walk(pdf, starts)[0]
+        many = len(starts) > len(GRID)
+        table = {"entries": [[] if many else starts], "ends": [sorted(set(found)) if many else found]}
+        return pdf.iloc[[0]][[RUN, "unit"]].assign(many=many, **table)
+
+    def few_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _in_order(pdf)
+        starts = [int(x) for x in pdf["entries"].iat[0]]
+        return pdf.iloc[[0]][[RUN, "unit"]].assign(entries=[starts], ends=[_walk(pdf, starts)[0]])
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(ORDER))
-        return pdf[[RUN, *ORDER]].assign(after=_walk(pdf, [pdf["entry"].iat[0]])[1])
-
-    units = rows.groupBy(RUN, "unit").applyInPandas(ends, f"{keys}, ends array<double>")
-    start = F.struct(F.lit(WINDOW_START).alias("width"), F.array().cast("array<struct<unit:int,entry:double>>").alias("entries"))
-    place = lambda width: F.round((width - WINDOW_MIN) / WINDOW_STEP).cast("int")
-    chained = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("unit", "ends"))),
-        start,
-        lambda at, u: F.struct(
-            F.get(u["ends"], place(at["width"])).alias("width"),
-            F.concat(at["entries"], F.array(F.struct(u["unit"].alias("unit"), at["width"].alias("entry")))).alias("entries"),
-        ),
-    )
-    entries = units.groupBy(RUN).agg(chained["entries"].alias("e")).select(RUN, F.inline("e"))
-    entered = join_same_keys(rows, entries, [RUN, "unit"])
+        pdf = _in_order(pdf)
+        return pdf[[RUN, *ORDER]].assign(after=_walk(pdf, [int(pdf["entry"].iat[0])])[1])
+
+    shape = f"{keys}, entries array<bigint>, ends array<bigint>"
+    units = rows.groupBy(RUN, "unit").applyInPandas(ends, f"{keys}, many boolean, entries array<bigint>, ends array<bigint>")
+    units = written(units, "stretch-ends")
+    ahead = F.lag("ends").over(Window.partitionBy(RUN).orderBy("unit"))
+    many = units.withColumn("entries", F.array_distinct(ahead)).where("many").select(RUN, "unit", "entries")
+    again = join_same_keys(rows, many, [RUN, "unit"]).groupBy(RUN, "unit").applyInPandas(few_ends, shape)
+    units = written(units.where("not many").drop("many").unionByName(again), "stretch-tables")
+    chain = "array<struct<unit:bigint,entry:bigint>>"
+    begin = F.struct(F.lit(None).cast("long").alias("state"), F.array().cast(chain).alias("entries"))
+
+    def onward(at: Column, u: Column) -> Column:
+        # The first stretch of a run has one entry, where the run stands.
+        entry = F.coalesce(at["state"], F.get(u["entries"], F.lit(0)))
+        end = F.element_at(F.map_from_arrays(u["entries"], u["ends"]), entry)
+        return F.struct(end.alias("state"), F.concat(at["entries"], F.array(F.struct(u["unit"].alias("unit"), entry.alias("entry")))).alias("entries"))
+
+    chained = F.aggregate(F.sort_array(F.collect_list(F.struct("unit", "entries", "ends"))), begin, onward)
+    runs = written(units.groupBy(RUN).agg(chained.alias("c")).select(RUN, "c.*"), "run-entries")
+    entered = join_same_keys(rows, runs.select(RUN, F.inline("entries")), [RUN, "unit"])
     order = ", ".join(f"`{c}` {kinds[c]}" for c in (RUN, *ORDER))
     widths = entered.groupBy(RUN, "unit").applyInPandas(replay, f"{order}, after double")
-    return join_same_keys(df, widths.select(RUN, *ORDER, F.col("after").alias(out)), [RUN, *ORDER])
+    newest = Window.partitionBy(RUN).orderBy(*[F.desc(c) for c in ORDER])
+    last = rows.withColumn("__ago", F.row_number().over(newest)).where(F.col("__ago") < SAMPLES)
+    last = last.groupBy(RUN).agg(F.sort_array(F.collect_list(F.struct((-F.col("__ago")).alias("at"), _sample().alias("v"), "rows_processed"))).alias("t"))
+    heads = last.select(RUN, F.col("t.v").alias("head"), F.col("t.rows_processed").alias("head_rows"))
+    states = join_same_keys(runs.select(RUN, "state"), heads, [RUN])
+    if carried is not None:
+        both = join_same_keys(states, known.drop("state"), [RUN], "left")
+        longer = lambda name: F.concat(F.coalesce(f"__{name}", F.array().cast("array<double>")), F.col(name))
+        cut = lambda name: F.slice(longer(name), F.greatest(F.size(longer(name)) - SAMPLES + 2, F.lit(1)), F.lit(SAMPLES - 1))
+        states = both.select(RUN, "state", cut("head").alias("head"), cut("head_rows").alias("head_rows"))
+    return widths, states
 
 
 def context_features(

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from granary.functions.scalars import quoted
-from granary.operators.telemetry import (
-    ALERT_RAM,
-    RUN,
-    WINDOW_START,
-    classify_pressure,
-    follow_widths,
-)
+from granary.operators.telemetry import ALERT_RAM, RUN, classify_pressure, followed_widths
+from granary.plans.small import join_same_keys
+from granary.session import written
+
+STATE_SCHEMA = f"{RUN} string, state bigint, head array<double>, head_rows array<double>"
+#: Run of the row that tells that a stream has ended.
+END_OF_STREAM = "\0end of stream"
 
 
 def stream_throughput(
@@ -24,12 +20,15 @@ def stream_throughput(
 ) -> DataFrame:
     """Rows and rows per second in sliding windows; samples behind the watermark are dropped.
 
-    Works on a stream (append mode: closed windows) and on a batch alike.
+    Works on a stream (append mode: closed windows) and on a batch alike. The row of ``end_of_stream`` closes the
+    windows that are open when a stream ends, and is in no window that is returned.
     """
     timed = metrics.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     span = F.window("ts", f"{seconds} seconds", f"{slide} seconds")
     rows = timed.groupBy(RUN, span.alias("w")).agg(F.sum("rows_processed").alias("rows"))
-    return rows.select(
+    # A condition on the run alone would move below the watermark, which then would not see the row.
+    ended = F.col(RUN).eqNullSafe(F.lit(END_OF_STREAM)) & F.col("w.end").isNotNull()
+    return rows.where(~ended).select(
         RUN,
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
@@ -38,39 +37,45 @@ def stream_throughput(
     )
 
 
-WIDTH_SCHEMA = f"{RUN} string, ts timestamp, seq bigint, window_seconds double"
-STATE_SCHEMA = "width double, samples array<double>"
-
+def end_of_stream(metrics: DataFrame, seconds: int = 5, late: str = "10 seconds") -> DataFrame:
+    """One row like those of ``metrics`` (a batch of all or the last samples), so late that it closes all windows of ``seconds``."""
+    last = metrics.agg((F.max(F.col("ts").cast("timestamp")) + F.expr(f"interval {2 * seconds} seconds") + F.expr(f"interval {late}")).alias("ts"))
+    kinds = dict(metrics.dtypes)
+    filled = {RUN: F.lit(END_OF_STREAM), "ts": F.col("ts")}
+    return last.where("ts is not null").select(*[filled.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in metrics.columns])
 
-def _widths(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """One run's new samples in order; the state is the width and the last eight samples."""
-    width, samples = state.get if state.exists else (WINDOW_START, [])
-    pdf = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    out, width, samples = follow_widths(pdf, width, samples)
-    state.update((width, samples))
-    yield pdf[["ts", "seq"]].assign(**{RUN: key[0], "window_seconds": out})[
-        [RUN, "ts", "seq", "window_seconds"]
-    ]
 
+def stream_adaptive_window(metrics: DataFrame, path: str, states: str, checkpoint: str):
+    """Drive a stream of samples into a table of widths, ``(run_id, ts, seq, window_seconds)``; returns the finished query.
 
-def stream_adaptive_window(metrics: DataFrame) -> DataFrame:
-    """Width of the throughput window after each sample, as keyed state per run.
-
-    The state is nine numbers per run. Samples of a run must arrive in order
-    across batches; the source's per-trigger limit bounds what one batch holds.
+    Each micro-batch is followed as a log of its own, its runs cut into stretches over tasks, from the states that the
+    batch before has left below ``states``: per run the width and the last seven samples. A batch that is run again
+    after a failure starts from the same states and replaces its own folder. Samples of a run must arrive in order
+    across batches.
     """
-    slim = metrics.select(
-        F.col(RUN).cast("string").alias(RUN),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("seq").cast("bigint").alias("seq"),
-        F.col("throughput").cast("double").alias("throughput"),
-        F.col("rows_processed").cast("double").alias("rows_processed"),
-    )
-    return slim.groupBy(RUN).applyInPandasWithState(
-        _widths, WIDTH_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+
+    def follow(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        slim = batch.select(
+            F.col(RUN).cast("string").alias(RUN),
+            F.col("ts").cast("timestamp").alias("ts"),
+            F.col("seq").cast("bigint").alias("seq"),
+            "throughput",
+            "rows_processed",
+        )
+        slim = written(slim, "samples")
+        before = spark.read.schema(STATE_SCHEMA).parquet(f"{states}/version={number - 1}") if number else None
+        widths, after = followed_widths(slim, before)
+        widths.withColumnRenamed("after", "window_seconds").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if before is not None:
+            seen = slim.select(RUN).distinct().withColumn("__seen", F.lit(True))
+            rest = join_same_keys(before, seen, [RUN], "left").where(F.col("__seen").isNull()).drop("__seen")
+            after = after.unionByName(rest)
+        after.write.mode("overwrite").parquet(f"{states}/version={number}")
+
+    query = metrics.writeStream.foreachBatch(follow).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def stream_pressure_alerts(metrics: DataFrame, threshold: float = ALERT_RAM) -> DataFrame:

@@ -100,12 +100,10 @@ def test_adaptive_window_is_the_sequential_rule(spark, reported):
     assert len({w for _, w, _cv in controller([r for r in rows if r[0] == "hot"])}) > 5
 
 
-@pytest.mark.parametrize("kind", ["null run", "null throughput", "level", "rare reports", "never"])
-def test_adaptive_window_odd_logs(spark, kind):
-    """Logs whose runs, throughput or steps are odd, in many slices, against the sequential rule."""
+def odd_log(kind, n=500):
     rng = random.Random(3)
     rows = []
-    for i in range(500):
+    for i in range(n):
         n, tp = rng.randrange(1, 3000), float(rng.randrange(500, 1500))
         if kind == "null throughput":
             tp = None if rng.random() < 0.5 else tp
@@ -116,13 +114,112 @@ def test_adaptive_window_odd_logs(spark, kind):
         elif kind == "never":
             tp = 0.0
         rows.append(sample(None if kind == "null run" and i % 2 else "a", i, i, rows=n, tp=tp))
-    got = {r["seq"]: r["window_seconds"] for r in I.adaptive_window(frame(spark, rows)).collect()}
+    return rows
+
+
+def by_rule(rows):
+    return {seq: w for seq, w, _cv in controller([(*r[:8], r[8] or 0.0) for r in rows])}
+
+
+@pytest.mark.parametrize("piece", [16, I.PIECE_ROWS])
+@pytest.mark.parametrize("kind", ["null run", "null throughput", "level", "rare reports", "never"])
+def test_adaptive_window_odd_logs(spark, kind, piece):
+    """Logs whose runs, throughput or steps are odd, in many slices and pieces, against the sequential rule."""
+    rows = odd_log(kind, 500 if piece > 16 else 140)
+    got = {r["seq"]: r["window_seconds"] for r in I.adaptive_window(frame(spark, rows), piece_rows=piece).collect()}
     assert len(got) == len(rows)
     for run in {r[0] for r in rows}:
         mine = [(*r[:8], r[8] or 0.0) for r in rows if r[0] == run]
         assert [got[r[2]] for r in mine] == [w for _, w, _cv in controller(mine)]
 
 
+def test_no_stretch_is_longer_than_two_pieces(spark):
+    """A run with most of the log that never reports, beside one that does."""
+    rows = odd_log("never", 900) + [sample("b", i, i, rows=5, tp=float(i % 7 + 1)) for i in range(100)]
+    cut = I._stretches(frame(spark, rows), 32)
+    assert cut.groupBy("run_id", "unit").count().agg(F.max("count")).first()[0] <= 64 + 8
+    heads = cut.where("head is not null").select(F.size("head").alias("n")).distinct().collect()
+    assert [r.n for r in heads] == [7]
+
+
+def test_states_hold_the_widths_that_samples_used():
+    rng = random.Random(5)
+    free = [1.0] * 7
+    assert I.possible_states(free) == list(range(19)) == I.possible_states([])
+    for _ in range(200):
+        width, own = 5.0, ()
+        for i in range(30):
+            if rng.random() < 0.6:
+                own = (*own, (i, width))
+            width = I.moved(width, rng.choice([-0.5, 0.0, 0.5]))
+        state = I._closed(width, own, 30)
+        again, used = I._opened(state)
+        assert again == width and [(30 + p, w) for p, w in used] == [x for x in own if x[0] > 22]
+        head = [float("nan") if any(p == i for p, _ in own) else 1.0 for i in range(23, 30)]
+        assert state in I.possible_states(head)
+
+
+@pytest.mark.parametrize("kind", ["never", "rare reports", "null throughput"])
+def test_widths_go_on_from_carried_states(spark, kind):
+    """A log in parts, each from the states behind the one before; one run begins late, one ends early."""
+    rows = odd_log(kind, 120) + [sample("late", i, i, rows=900, tp=0.0) for i in range(100, 120)]
+    rows += [sample("early", i, i, rows=40 * (i % 5), tp=0.0) for i in range(3)]
+    got, carried = {}, None
+    for low, high in ((0, 3), (3, 60), (60, 61), (61, 120)):
+        part = frame(spark, [r for r in rows if low <= r[2] < high])
+        widths, after = I.followed_widths(part, carried, piece_rows=16)
+        got |= {(r["run_id"], r["seq"]): r["after"] for r in widths.collect()}
+        if carried is not None:
+            after = after.unionByName(carried.join(after, "run_id", "left_anti"))
+        carried = spark.createDataFrame(after.collect(), after.schema)
+    for run in ("a", "late", "early"):
+        assert {seq: w for (name, seq), w in got.items() if name == run} == by_rule([r for r in rows if r[0] == run])
+
+
+def test_stream_of_widths_splits_runs_and_resumes(spark, tmp_path, monkeypatch):
+    """One run that never reports over several micro-batches; the batch that fails half way is run again."""
+    from granary.streaming import telemetry as ST
+
+    monkeypatch.setattr(I, "PIECE_ROWS", 16)
+    rows = odd_log("never", 130) + [sample("b", i, i, rows=7, tp=float(i % 9)) for i in range(60)]
+    real, seen = ST.followed_widths, []
+
+    def lost(slim, carried):
+        seen.append(slim.count())
+        if len(seen) == 2:
+            raise RuntimeError("executor lost")
+        return real(slim, carried, piece_rows=16)
+
+    monkeypatch.setattr(ST, "followed_widths", lost)
+    arrivals, path, states, checkpoint = (str(tmp_path / x) for x in ("in", "out", "states", "checkpoint"))
+    for low, high in ((0, 50), (50, 100), (100, 130)):
+        frame(spark, [r for r in rows if low <= r[2] < high]).write.mode("append").parquet(arrivals)
+        start = lambda: ST.stream_adaptive_window(spark.readStream.schema(SCHEMA).parquet(arrivals), path, states, checkpoint)
+        if len(seen) == 1:
+            with pytest.raises(Exception, match="executor lost"):
+                start()
+        start()
+    got = {(r["run_id"], r["seq"]): r["window_seconds"] for r in spark.read.parquet(path).collect()}
+    assert len(got) == len(rows)
+    for run in ("a", "b"):
+        assert {seq: w for (name, seq), w in got.items() if name == run} == by_rule([r for r in rows if r[0] == run])
+
+
+def test_end_of_stream_closes_all_windows(spark, tmp_path):
+    from granary.streaming import telemetry as ST
+
+    samples = frame(spark, [sample("a", i * 3, i, rows=i) for i in range(20)])
+    arrivals, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for piece in (samples, ST.end_of_stream(samples), ST.end_of_stream(samples)):
+        piece.write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(SCHEMA).parquet(arrivals)
+        ST.run_to_table(ST.stream_throughput(stream), out, state)
+    columns = ["run_id", "window_start", "rows"]
+    want = ST.stream_throughput(samples).select(*columns).collect()
+    assert sorted(spark.read.parquet(out).select(*columns).collect()) == sorted(want) and len(want) > 60
+    assert ST.end_of_stream(samples.where("seq < 0")).count() == 0
+
+
 def test_adaptive_window_jobs_do_not_grow_with_slices(spark):
     def jobs(partitions):
         spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
