@@ -15,6 +15,8 @@ from granary.plans.small import join_same_keys, small_side
 CLIP_LOW, CLIP_HIGH = -1e6, 1e6
 # A text column is low-cardinality below this share or this count.
 CATEGORY_SHARE, CATEGORY_COUNT = 0.5, 50
+# Distinct values, by a sketch, up to which a column's values are held as a set.
+FEW_VALUES = 200
 
 
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -81,38 +83,36 @@ def low_cardinality_columns(
 ) -> DataFrame:
     """``(name, rows, distinct_values, is_categorical)``; NULL counts as a value.
 
-    The exact form counts distinct (column, value) pairs, combined before the
-    shuffle; ``approximate`` replaces it by sketches with no shuffle of values.
+    Sketches tell first which columns have few values: those are counted exactly from
+    sets that stay small, without a shuffle of values. Only the values of the other
+    columns are shuffled, distinct ones combined before. ``approximate`` takes the
+    sketches for those.
     """
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if approximate:
-        stats = df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("name"),
-                        (
-                            F.approx_count_distinct(quoted(c), rsd)
-                            + F.max(F.when(quoted(c).isNull(), 1).otherwise(0))
-                        ).alias("distinct_values"),
-                    )
-                    for c in cols
-                ]
-            ).alias("stats"),
-        )
-        counted = stats.select("rows", F.explode("stats").alias("s")).select(
-            "s.name", "rows", F.col("s.distinct_values").cast("bigint").alias("distinct_values")
-        )
-    else:
+    if not cols:
+        return df.sparkSession.createDataFrame([], "name string, rows bigint, distinct_values bigint, is_categorical boolean")
+    seen = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.approx_count_distinct(quoted(c), rsd).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.coalesce(F.max(quoted(c).isNull().cast("int")), F.lit(0)).alias(f"null{i}") for i, c in enumerate(cols)],
+    ).first()
+    few = [i for i in range(len(cols)) if seen[f"n{i}"] <= FEW_VALUES]
+    many = [i for i in range(len(cols)) if i not in few]
+    found = {i: seen[f"n{i}"] for i in many} if approximate else {}
+    if few:  # sets of hashes, since a value can be long
+        sets = df.agg(*[F.size(F.collect_set(F.md5(quoted(cols[i]).cast("string")))).alias(f"n{i}") for i in few]).first()
+        found |= {i: sets[f"n{i}"] for i in few}
+    known = [(cols[i], seen["rows"], n + seen[f"null{i}"]) for i, n in found.items()]
+    counted = df.sparkSession.createDataFrame(known, "name string, rows bigint, distinct_values bigint")
+    if many and not approximate:
         pairs = df.select(
             F.explode(
-                F.array(*[F.struct(F.lit(c).alias("name"), quoted(c).alias("value")) for c in cols])
+                F.array(*[F.struct(F.lit(cols[i]).alias("name"), quoted(cols[i]).alias("value")) for i in many])
             ).alias("p")
         ).select("p.name", "p.value")
         values = pairs.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-        counted = values.groupBy("name").agg(
-            F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_values")
+        counted = counted.unionByName(
+            values.groupBy("name").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_values"))
         )
     share = F.col("distinct_values") / F.greatest(F.col("rows"), F.lit(1))
     return counted.withColumn(

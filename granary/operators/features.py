@@ -79,7 +79,7 @@ def assemble_features(df: DataFrame, cols: list[str], out: str = "features") ->
 class TrainingMatrix:
     """``data`` holds the kept columns, ``features`` and ``label_idx``.
 
-    ``index`` numbers the labels; ``classes`` lists them in that order when they are few.
+    ``index`` numbers the labels; ``classes`` lists them in that order when they are few enough for the driver.
     """
 
     data: DataFrame
@@ -88,11 +88,17 @@ class TrainingMatrix:
     index: DataFrame | None = None
 
     def metadata(self) -> DataFrame:
-        """One row: classes (NULL when they are many: see ``index``) and feature names."""
-        spark = self.data.sparkSession
-        return spark.createDataFrame(
-            [(self.classes, self.numeric_cols)], "classes array<string>, numeric_cols array<string>"
-        )
+        """One row: all classes in the order of their numbers, and feature names; it does not pass the driver."""
+        if self.index is None:
+            spark = self.data.sparkSession
+            return spark.createDataFrame(
+                [(self.classes, self.numeric_cols)], "classes array<string>, numeric_cols array<string>"
+            )
+        number = "label_idx"
+        label = next(c for c in self.index.columns if c != number)
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(number).alias("i"), quoted(label).alias("v"))))
+        names = F.array(*[F.lit(c) for c in self.numeric_cols]).cast("array<string>")
+        return self.index.agg(F.transform(pairs, lambda p: p["v"]).alias("classes")).withColumn("numeric_cols", names)
 
 
 def scaled_values(values: list[Column], row) -> list[Column]:

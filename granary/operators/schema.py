@@ -50,6 +50,13 @@ def union_columns(*column_lists: list[str]) -> list[str]:
     return sorted(names, key=lambda c: (c == LABEL, c.lower(), c))
 
 
+def check_case(spark: SparkSession, names: list[str]) -> None:
+    """Names that differ only in case need a session that tells them apart."""
+    alike = {n for n in names if sum(m.lower() == n.lower() for m in set(names)) > 1}
+    if alike and spark.conf.get("spark.sql.caseSensitive").lower() != "true":
+        raise ValueError(f"columns differ only in case: {sorted(alike)}; set spark.sql.caseSensitive to true")
+
+
 def union_schema(headers: DataFrame) -> DataFrame:
     """``union_columns`` over a relation of headers ``(path, pos, name)``: ``(pos, name)``.
 
@@ -104,6 +111,7 @@ def consolidate(sources: dict[str, DataFrame], source_column: str = SOURCE) -> D
     """
     frames = {key: standardize_label(df) for key, df in sources.items()}
     columns = union_columns(*[df.columns for df in frames.values()])
+    check_case(next(iter(frames.values())).sparkSession, columns)
     types = _common_types(list(frames.values()))
     parts = []
     for key, df in frames.items():

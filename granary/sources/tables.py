@@ -14,6 +14,7 @@ from granary.operators.schema import (
     SOURCE,
     align_to_schema,
     cast_by_profile,
+    check_case,
     infer_types,
     standardize_label,
     union_columns,
@@ -96,6 +97,7 @@ def scan_csv(
     if not groups:
         raise FileNotFoundError("no file with a readable header")
     columns = columns or union_columns(*[list(h) for h in groups])
+    check_case(spark, columns)
     parts = [_aligned_scan(spark, h, sorted(paths), columns, positions, multi_line) for h, paths in sorted(groups.items())]
     return reduce(DataFrame.unionByName, parts)
 
@@ -139,6 +141,7 @@ def sample_files(
     if not groups:
         raise FileNotFoundError("no file with a readable header")
     columns = union_columns(*[list(h) for h in groups])
+    check_case(spark, columns)
     scans = [
         lambda header=header, path=path: _aligned_scan(spark, header, [path], columns, True, False)
         for header, paths in sorted(groups.items())

@@ -182,6 +182,47 @@ def test_small_sides_are_checked_by_rows_and_bytes(spark):
     assert small_rows(few, max_rows=9) is None and small_rows(few, max_bytes=5000) is None
 
 
+def test_small_sides_of_large_rows_stay_away(spark):
+    """Texts of 1 MB: no more of them than the bound come to the driver, and none of a larger relation."""
+    texts = spark.range(40).select(F.repeat(F.lit("x"), 1_000_000).alias("t"), "id", F.array("id").alias("a"))
+    assert small_rows(texts) is None
+    assert [r.id for r in small_rows(texts.where("id < 6"))] == list(range(6))
+    assert small_rows(texts.where("id = 3"), max_bytes=900_000) is None
+    odd = spark.createDataFrame([(None, None), ("", None), ("é", {"k": 1})], "t string, m map<string,int>")
+    assert sorted(small_rows(odd), key=str) == sorted(odd.collect(), key=str)
+
+
+def test_distinct_counts_in_stages(spark):
+    """Few values, many, none, and only NULL; exact in both stages, and nothing is shuffled for the few."""
+    df = spark.range(3000).select(
+        (F.col("id") % 60).cast("string").alias("few"),
+        F.col("id").cast("string").alias("many"),
+        F.lit(None).cast("string").alias("none"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.repeat(F.lit("long"), 9000), (F.col("id") % 7).cast("string"))).alias("long"),
+    )
+    got = {r["name"]: (r["rows"], r["distinct_values"], r["is_categorical"]) for r in C.low_cardinality_columns(df).collect()}
+    assert got == {"few": (3000, 60, True), "many": (3000, 3000, False), "none": (3000, 1, True), "long": (3000, 8, True)}
+    assert C.low_cardinality_columns(df.where("id < 0"), ["few"]).first()["distinct_values"] == 0
+
+
+def test_names_in_any_case_need_the_setting(spark):
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.caseSensitive", "false")
+    halves = lambda s: {"a": s.range(1).withColumnRenamed("id", "Flow"), "b": s.range(1).withColumnRenamed("id", "flow")}
+    with pytest.raises(ValueError, match="caseSensitive"):
+        S.consolidate(halves(plain))
+    assert S.consolidate(halves(spark)).columns == ["source", "Flow", "flow"]
+
+
+def test_metadata_lists_all_classes(spark, monkeypatch):
+    import granary.operators.features as X
+
+    df = spark.range(300).select(F.col("id").cast("double").alias("x"), F.format_string("c%03d", "id").alias("Label"))
+    monkeypatch.setattr(X, "small_rows", lambda df: small_rows(df, max_rows=100))
+    row = X.build_training_matrix(df).metadata().first()
+    assert row["classes"] == [f"c{i:03d}" for i in range(300)] and row["numeric_cols"] == ["x"]
+
+
 def test_many_classes_stay_a_table(spark, monkeypatch):
     import granary.operators.features as X
 
