@@ -19,6 +19,8 @@ from granary.llm.common import shuffle_partitions
 from granary.session import written
 
 SHARD_ROWS, QUERY_BLOCK = 4096, 1024
+#: Shards that one task searches for a block of queries.
+SHARD_GROUP = 8
 #: Neighbours on the upper layers and on the ground layer; candidates while building and while searching.
 LINKS, GROUND_LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 24, 64, 128
 GRAPH = (
@@ -204,10 +206,10 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 
 def search_block(k: int, width: int):
-    """Function for one graph and one block of queries: the k nearest of each query there."""
+    """Function for the graphs of a group and one block of queries: the k nearest of each query in them."""
 
     def search(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        found: dict[int, tuple[int, list[tuple[float, int]]]] = {}
         for g in graphs.itertuples():
             x = np.frombuffer(g.vectors, np.float64).reshape(-1, g.dim)
             graph = Graph(x, np.asarray(g.levels), np.asarray(g.starts), np.asarray(g.neighbours), g.entry)
@@ -224,9 +226,9 @@ def search_block(k: int, width: int):
                     gap = x[i] - vector
                     members = ids[by_owner[starts[i] : starts[i + 1]][: k + 1]]
                     near += [(float(np.sqrt((gap * gap).sum())), m) for m in members.tolist() if m != own]
-                near = sorted(near)[:k]
-                parts.append((q.row, own, near))
-        flat = [(row, own, m, d) for row, own, near in parts for d, m in near]
+                before = found.get(q.row, (own, []))[1]
+                found[q.row] = own, sorted(before + near)[:k]
+        flat = [(row, own, m, d) for row, (own, near) in found.items() for d, m in near]
         return pd.DataFrame(flat, columns=["row", "query_id", "vec_id", "score"])
 
     return search
@@ -246,12 +248,15 @@ def nearest(
     blocks = max(1, math.ceil(asked.count() / query_block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     shards = index.agg(F.max("shard")).first()[0]
-    last = -1 if shards is None else shards
-    asked = asked.withColumn("shard", F.explode(F.expr(f"filter(sequence(0L, {max(last, 0)}L), s -> s <= {last})")))
-    graphs = index.withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    last = -1 if shards is None else shards // SHARD_GROUP
+    # A block of queries goes once to each group of shards.
+    asked = asked.withColumn("group", F.explode(F.expr(f"filter(sequence(0L, {max(last, 0)}L), g -> g <= {last})")))
+    graphs = index.withColumns(
+        {"block": F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")), "group": F.expr(f"shard div {SHARD_GROUP}")}
+    )
     found = (
-        graphs.groupBy("shard", "block")
-        .cogroup(asked.groupBy("shard", "block"))
+        graphs.groupBy("group", "block")
+        .cogroup(asked.groupBy("group", "block"))
         .applyInPandas(search_block(k, width), "row long, query_id long, vec_id long, score double")
     )
     rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))

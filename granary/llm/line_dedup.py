@@ -55,9 +55,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, mi
     """Keep bitmaps of the documents that lose lines: key columns, ``keep`` and ``n_dropped``.
 
     A key of at least ``min_chars`` code points that ``min_docs`` documents hold loses all its lines,
-    or with ``keep_first`` all but the first one by (id, text hash, position). Bit ``i % 64`` of
-    ``keep[i // 64]`` tells whether line i stays; lines beyond the array stay, and documents without
-    a row keep all. Null and empty texts, and tables without rows, give no row. Other columns are
+    or with ``keep_first`` all but the first one by (id, text hash, position). ``keep`` is compressed: only
+    the words that drop a line are in it, as (gap, bits), with the number of words left out before each; bit
+    ``i % 64`` of word ``i // 64`` tells whether line i stays. Lines of words left out stay, and documents
+    without a row keep all. Null and empty texts, and tables without rows, give no row. Other columns are
     not read.
     """
     runs = written(line_runs(docs, min_chars), "line-runs")
@@ -92,23 +93,22 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, mi
         .agg(packed.alias("packed"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
         .select(
             *KEY,
-            F.flatten(
-                F.transform(
-                    "packed",
-                    lambda w: F.concat(
-                        F.array_repeat(F.lit(-1).cast("long"), w["gap"]), F.array(F.bitwise_not(w["bits"]))
-                    ),
-                )
-            ).alias("keep"),
+            F.transform("packed", lambda w: F.struct(w["gap"].alias("gap"), F.bitwise_not(w["bits"]).alias("bits"))).alias("keep"),
             "n_dropped",
         )
     )
 
 
+def unpacked(keep: Column) -> Column:
+    """All words of a compressed bitmap up to its last one."""
+    full = F.lit(-1).cast("long")
+    return F.flatten(F.transform(keep, lambda w: F.concat(F.array_repeat(full, w["gap"]), F.array(w["bits"]))))
+
+
 def kept_lines(lines: Column, keep: Column) -> Column:
     """The lines whose bit is set, or that lie beyond the bitmap."""
     flags = F.flatten(
-        F.transform(keep, lambda word: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(word, i) == 1))
+        F.transform(unpacked(keep), lambda word: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(word, i) == 1))
     )
     both = F.arrays_zip(lines.alias("line"), F.coalesce(flags, F.array().cast("array<boolean>")).alias("stays"))
     both = F.filter(both, lambda z: z["line"].isNotNull() & F.coalesce(z["stays"], F.lit(True)))

@@ -14,6 +14,8 @@ SHARD_BLOCKS = 4096
 MOST_REPEATS = 3
 DRAWS_PER_ROW = 16_384
 ROUNDS = 16
+#: Parts of a document that its fraction is counted in.
+PARTS = 1_000_000
 
 
 def permuted(x: Column, n: Column, *seed: Column) -> Column:
@@ -156,14 +158,29 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def document_copies(docs: DataFrame, **options) -> DataFrame:
     """How often the mix takes each document as a whole: doc_id, source, ``tag`` (hash of the text), ``copies``.
 
-    A document comes with every slot whose block holds its first word, so it is taken 0 to 3 times, on
-    average as often as its source's target asks; documents without a word are not taken. Repeated
-    rows share their copies evenly, rounded up from a half.
+    The plan takes a document's words some times over on average, a number with a fraction. Its whole part
+    is taken as it is; the fractions are summed up along the documents of a source from the largest class of
+    sizes to the smallest, and a document is taken once more where the running sum passes a whole number. So
+    a source's words differ from its target by about one document of each class at most. A document is
+    taken 0 to 3 times, without a word not at all. Repeated rows share their copies evenly, rounded up from
+    a half.
     """
     sized, _, plan = mix(docs, **options)
-    taken = plan.where(F.col("from") == 0).groupBy("row").agg(F.count("*").alias("copies"))
+    taken = plan.groupBy("row").agg(F.sum("words").alias("taken"))
+    known = sized.where("size > 0").join(taken, "row", "left")
+    share = F.coalesce("taken", F.lit(0)) / F.col("size")
+    known = known.withColumns({"whole": F.floor(share).cast("long"), "rest": F.round((share - F.floor(share)) * PARTS).cast("long")})
+    # Sums of whole millionths, in parts of a class: the same in every run.
+    parts = max(1, round(sized.count() ** 0.5))
+    part = (63 - F.floor(F.log2(F.col("size")))) * parts + F.pmod(F.xxhash64("doc_id", "tag"), F.lit(parts))
+    known = known.withColumns({"part": part.cast("long"), "no_source": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))})
+    placed = written(known, "document-shares")
+    placed = running_start(placed, ["no_source", "_source"], "part", ["doc_id", "tag", "row"], "rest", "_until")
+    half = PARTS // 2
+    once_more = F.expr(f"(_until + rest + {half}) div {PARTS} - (_until + {half}) div {PARTS}")
+    copies = placed.select("row", (F.col("whole") + once_more).alias("copies"))
     return (
-        sized.join(taken, "row", "left")
+        sized.join(copies, "row", "left")
         .groupBy("doc_id", "source", "tag")
         .agg(F.round(F.avg(F.coalesce("copies", F.lit(0)))).cast("int").alias("copies"))
     )

@@ -45,6 +45,8 @@ PATTERNS = ("insult_run", "dense_insults", "masked_insult", "grawlix", "shouting
 STEM_LENGTHS = (3, 4, 5, 6)
 #: Bounds of what is learnt: labelled rows read, features kept, stems that vote.
 LABELLED_ROWS, MAX_CANDIDATES, MAX_FEATURES, MAX_STEMS = 20_000, 2_000, 300, 40
+#: Share of the documents labelled clean that a rejection may cost.
+CLEAN_LOST = 0.005
 MIN_SUPPORT, MIN_PRECISION, MIN_CONTEXTS = 5, 0.8, 5
 EM_ROUNDS, FOLDS, PRIOR_ROWS, NEWTON_ROUNDS = 10, 5, 100, 30
 
@@ -378,6 +380,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Toxic
     return ToxicityModel(features, weights, bias, voters, model.correlations)
 
 
+def rejection_threshold(
+    docs: DataFrame, labels: DataFrame, model: ToxicityModel, lost: float = CLEAN_LOST, rows: int = LABELLED_ROWS
+) -> float:
+    """The least score, in hundredths from 0.05 to 0.5, from which on at most a share ``lost`` of clean documents lies.
+
+    Told by at most ``rows`` labelled documents, by a hash of the id, of which one more than found is counted as
+    lost: with few of them labelled clean it is 0.5.
+    """
+    known = known_labels(labels, held_out=FOLDS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    clean = docs.select("doc_id", "text").join(F.broadcast(known.where("toxic = 0").select("doc_id")), "doc_id")
+    place = F.floor(F.col("score") * 100).cast("int")
+    counts = {r["at"]: r["n"] for r in score_toxicity(clean, model).groupBy(place.alias("at")).agg(F.count("*").alias("n")).collect()}
+    for at in range(5, 50):
+        if sum(n for k, n in counts.items() if k >= at) + 1 <= lost * (sum(counts.values()) + 1):
+            return at / 100
+    return 0.5
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:
     """``docs`` with ``out``, the probability that a text is toxic; a column of that name is replaced.
 

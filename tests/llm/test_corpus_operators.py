@@ -134,6 +134,24 @@ def test_ngram_join_odd_rows(spark):
     assert sorted(r.doc_id or -1 for r in left.collect()) == [-1, -1, 1, 4, 5, 6, 7, 8, 9, 10]
 
 
+def test_whole_documents_meet_their_targets(spark):
+    """Sources of a few hundred documents, sizes from 1 to 3000 words, and one of a single long document."""
+    random.seed(6)
+    rows = [(s * 1000 + i, "w " * int(10 ** random.uniform(0, 3.5)), None, f"s{s}", None) for s in range(4) for i in range(300)]
+    rows += [(9000 + i, "w " * 400, None, None, None) for i in range(40)] + [(9999, "w " * 20_000, None, "single", None)]
+    docs = documents(spark, rows)
+    targets = {r.source: r for r in mixing.source_targets(mixing.sized_documents(docs)).collect()}
+    copies = {(r.source, r.doc_id): r.copies for r in mixing.document_copies(docs).collect()}
+    assert len(copies) == len(rows) and set(copies.values()) <= {0, 1, 2, 3}
+    took = {}
+    for i, text, _, source, _ in rows:
+        took[source] = took.get(source, 0) + copies[(source, i)] * len(text.split())
+    for source, t in targets.items():
+        assert abs(took[source] - t.target) <= (0.03 * t.target if source != "single" else 20_000)
+    again = {(r.source, r.doc_id): r.copies for r in mixing.document_copies(docs.repartition(7)).collect()}
+    assert again == copies
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_permutation_is_a_bijection(spark, n):
     df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit("s")).alias("y"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -244,3 +246,76 @@ def test_many_equal_vectors(spark):
     want = brute(ids, x, [1, 3, 500], 10)
     for q in (1, 3, 500):
         assert [r.vec_id for r in got if r.query_id == q] == [i for i, _ in want[q]]
+
+
+def test_posteriors_against_loops():
+    """The label model's formula, vote by vote, in plain Python."""
+    r = np.random.default_rng(3)
+    n = 6
+    rates = np.stack([r.uniform(0.01, 0.1, n), r.uniform(0.2, 0.8, n)])
+    c = np.eye(n)
+    c[0, 1] = c[1, 0] = 0.7
+    c[2, 3] = c[3, 2] = -0.4
+    model = toxicity.LabelModel(0.1, rates, c)
+    votes = np.arange(64)
+    for vote, got in zip(votes.tolist(), model.posterior(votes), strict=True):
+        on = [bool(vote >> i & 1) for i in range(n)]
+        logit = math.log(0.1 / 0.9)
+        for i in range(n):
+            like = sum(max(c[i, j], 0) for j in range(n) if on[j] == on[i])
+            odds = rates[1, i] / rates[0, i] if on[i] else (1 - rates[1, i]) / (1 - rates[0, i])
+            logit += math.log(odds) / max(like, 1)
+        assert got == pytest.approx(1 / (1 + math.exp(-logit)))
+
+
+def test_weighted_sums_and_newton_against_numpy(spark):
+    """Sums over patterns, and the classifier on 200 rows, against dense arrays on the driver."""
+    r = np.random.default_rng(4)
+    n = 5
+    model = toxicity.LabelModel(0.2, np.stack([np.full(n, 0.05), np.full(n, 0.5)]), np.eye(n))
+    rows = [(int(v), None if k % 3 else int(v % 2), int(w)) for k, (v, w) in enumerate(zip(r.integers(0, 32, 60), r.integers(1, 9, 60), strict=True))]
+    patterns = spark.createDataFrame(rows, "votes long, toxic int, rows long").repartition(3)
+    mass, products = toxicity.weighted_sums(patterns, model)
+    votes, weight = np.array([x[0] for x in rows]), np.array([x[2] for x in rows], float)
+    p = np.array([q if y is None else y for q, (_, y, _) in zip(model.posterior(votes), rows, strict=True)])
+    v = (votes[:, None] >> np.arange(n)) & 1
+    for c, share in ((0, 1 - p), (1, p)):
+        assert mass[c] == pytest.approx((share * weight).sum())
+        assert np.allclose(products[c], (v * (share * weight)[:, None]).T @ v)
+
+    hits = [(sorted(r.choice(7, r.integers(0, 4), replace=False).tolist()), int(r.integers(0, 32)), int(r.integers(1, 4))) for _ in range(200)]
+    table = spark.createDataFrame(hits, "hits array<int>, votes long, rows long").repartition(3)
+    w, bias = toxicity.fit_linear(table, model, 7)
+    x = np.array([[float(i in h) for i in range(7)] + [1.0] for h, _, _ in hits])
+    y, rows_ = model.posterior(np.array([h[1] for h in hits])), np.array([h[2] for h in hits], float)
+    ridge = np.array([1.0] * 7 + [1e-6])
+    dense = np.zeros(8)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-x @ dense))
+        dense -= np.linalg.solve((x * (rows_ * q * (1 - q))[:, None]).T @ x + np.diag(ridge), x.T @ (rows_ * (q - y)) + ridge * dense)
+    assert np.allclose(np.append(w, bias), dense, atol=1e-4)
+
+
+def test_ridge_against_numpy(spark):
+    """Normal equations summed by partition, against one dense system over 200 documents."""
+    random.seed(8)
+    rows = [(i, " ".join(random.choices(["good", "words", "and", "more", "!!!", "BUY"], k=random.randrange(1, 60))), None, None, None) for i in range(200)]
+    known = [(i, int("!!!" not in t), 0) for i, t, *_ in rows]
+    docs = documents(spark, rows).repartition(5)
+    model = quality.fit_quality(docs, labels(spark, known), held_out=99)
+    z = model.expand(np.stack([quality.statistics(t) for _, t, *_ in rows]))
+    shrink = np.diag(np.append(np.full(quality.WAVES, quality.RIDGE), 1e-6))
+    want = np.linalg.solve(z.T @ z + shrink, z.T @ np.array([q for _, q, _ in known], float))
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+
+
+def test_rejection_threshold_keeps_clean_documents(spark):
+    texts = ["you pathetic worthless idiot", "a lovely walk by the river"] * 40
+    docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    known = labels(spark, [(i, 1, int(i % 2 == 0)) for i in range(80)])
+    model = toxicity.fit_toxicity(docs, known)
+    assert toxicity.rejection_threshold(docs, known, model) == 0.5  # 40 clean documents cannot tell 1 in 200
+    t = toxicity.rejection_threshold(docs, known, model, lost=0.05)
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert 0.05 <= t < 0.5 and sum(scores[i] >= t for i in range(1, 80, 2)) == 0
+    assert toxicity.rejection_threshold(docs, labels(spark), model) == 0.5

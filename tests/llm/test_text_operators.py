@@ -74,6 +74,18 @@ def test_line_dedup_odd_rows(spark):
     assert {b._k_id: b.n_dropped for b in bitmaps} == {1: 1, 2: 1}
 
 
+def test_bitmaps_hold_only_the_words_that_drop_lines(spark):
+    """20 000 lines, of which three go: three words with the gaps between them, and the other lines stay."""
+    lines = [f"line {i}" for i in range(20_000)]
+    for i in (5, 9_000, 19_999):
+        lines[i] = f"shared {i}"
+    rows = [(1, "\n".join(lines), None, None, None), (2, "\n".join(lines[i] for i in (5, 9_000, 19_999)), None, None, None)]
+    first = line_dedup.keep_bitmaps(documents(spark, rows), 2, keep_first=False).where("_k_id = 1").first()
+    assert [(w.gap, (~w.bits) & (2**64 - 1)) for w in first.keep] == [(0, 1 << 5), (139, 1 << (9_000 % 64)), (171, 1 << (19_999 % 64))]
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows), 2, keep_first=False).collect()}
+    assert kept[1].split("\n") == [x for x in lines if not x.startswith("shared")] and kept[2] == ""
+
+
 def test_repeated_document_is_one(spark):
     rows = [(1, "same", None, None, None)] * 12
     out = line_dedup.dedup_lines(documents(spark, rows), 2, keep_first=False)
