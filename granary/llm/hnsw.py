@@ -19,7 +19,7 @@ from granary.llm.common import shuffle_partitions
 from granary.session import written
 
 SHARD_ROWS, QUERY_BLOCK = 4096, 1024
-#: Shards that one task searches for a block of queries.
+#: Shards that one task searches for a block of queries, at most.
 SHARD_GROUP = 8
 #: Neighbours on the upper layers and on the ground layer; candidates while building and while searching.
 LINKS, GROUND_LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 24, 64, 128
@@ -248,11 +248,13 @@ def nearest(
     blocks = max(1, math.ceil(asked.count() / query_block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     shards = index.agg(F.max("shard")).first()[0]
-    last = -1 if shards is None else shards // SHARD_GROUP
-    # A block of queries goes once to each group of shards.
+    # A block of queries goes once to each group of shards; groups are smaller where there would be few of them.
+    pairs = blocks * (0 if shards is None else shards + 1)
+    size = max(1, min(SHARD_GROUP, pairs // (2 * shuffle_partitions(queries.sparkSession))))
+    last = -1 if shards is None else shards // size
     asked = asked.withColumn("group", F.explode(F.expr(f"filter(sequence(0L, {max(last, 0)}L), g -> g <= {last})")))
     graphs = index.withColumns(
-        {"block": F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")), "group": F.expr(f"shard div {SHARD_GROUP}")}
+        {"block": F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")), "group": F.expr(f"shard div {size}")}
     )
     found = (
         graphs.groupBy("group", "block")
