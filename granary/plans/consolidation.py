@@ -8,20 +8,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.scalars import quoted
+from granary.functions.scalars import quoted, sha1_10
 from granary.operators.clean import sanitize
 from granary.operators.features import build_training_matrix
 from granary.operators.relations import pending_inputs
 from granary.operators.schema import LABEL, SOURCE, numeric_columns
 from granary.operators.split import TRAIN, TRAIN_RATIO, random_split, ratio_split, split_summary
-from granary.session import written
+from granary.session import settings, written
 from granary.sinks.tables import (
     completed_files,
+    extend_split,
     write_completed,
     write_manifest,
     write_matrix,
     write_parts,
-    write_split,
 )
 from granary.sources.files import checked_headers, discover_files, plain_path
 from granary.sources.tables import POSITION, sample_files, scan_csv, typed
@@ -99,6 +99,9 @@ def run_consolidation(
     its rows are in the parts, or its header was read and there are none. Files
     without a readable header are an error; with ``lenient`` they are left out,
     listed in the result, and tried again by the next run.
+
+    Final tables get the rows of new files appended (see ``extend_split``); the
+    matrix is scaled over all rows and built anew.
     """
     base = out.rstrip("/")
     manifest_path, completed_path = f"{base}/manifest", f"{base}/completed_files"
@@ -110,18 +113,24 @@ def run_consolidation(
     parts = f"{base}/parts"
     headers = checked_headers(todo, lenient)
     readable = headers.where(F.col("error").isNull()).select("path").distinct()
-    if not readable.isEmpty():
+    # As a file listing names them, so that the folders of new files are known beforehand.
+    keys = [r["key"] for r in readable.select(sha1_10("path").alias("key")).collect()]
+    if keys:
         rows = consolidate_files(spark, todo, ratio, sample_rows=sample_rows, headers=headers)
-        write_parts(rows, parts)
+        write_parts(rows, parts, plain_path(SOURCE))
+    # A key of digits alone stays a text.
+    with settings(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}):
         held = spark.read.option("mergeSchema", "true").parquet(parts)
-        per_file = held.groupBy(plain_path(SOURCE).alias("found")).agg(F.count(F.lit(1)).alias("rows"))
+    new = held.where(F.col("source_key").isin(keys)).drop("source_key")
+    held = held.drop("source_key")
+    if keys:
+        per_file = new.groupBy(plain_path(SOURCE).alias("found")).agg(F.count(F.lit(1)).alias("rows"))
         done = readable.join(per_file, F.col("path") == F.col("found"), "left")
         write_completed(done.select("path", F.coalesce("rows", F.lit(0)).alias("rows")), completed_path, run_id)
-    held = spark.read.option("mergeSchema", "true").parquet(parts)
     summary = split_summary(held)
     counts = held.groupBy("split").count().collect()
     rows_by_side = {r["split"]: r["count"] for r in counts}
-    write_split(held.drop("source_key"), f"{base}/train", f"{base}/test")
+    extend_split(held, new, f"{base}/train", f"{base}/test")
     train = spark.read.parquet(f"{base}/train")
     matrix_path = None
     features = numeric_columns(train.drop(SOURCE), texts=False)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions.scalars import json_text, sha1_10
+from granary.functions.scalars import json_text, quoted, sha1_10
 from granary.operators.features import TrainingMatrix
 from granary.operators.schema import SOURCE, schema_fingerprint
 from granary.operators.split import TEST, TRAIN
@@ -27,7 +28,9 @@ MANIFEST_SCHEMA = T.StructType(
 )
 
 
-def write_parts(df: DataFrame, path: str, source: str = SOURCE, max_records: int = 5_000_000) -> None:
+def write_parts(
+    df: DataFrame, path: str, source: Column | str = SOURCE, max_records: int = 5_000_000
+) -> None:
     """One folder per split and source; a rerun replaces exactly the folders it writes.
 
     Spark brings the rows of a folder together and splits large ones again, so a
@@ -54,6 +57,44 @@ def write_split(
         writer.save(path)
 
 
+def extend_split(
+    held: DataFrame, new: DataFrame, train_path: str, test_path: str, source: str = SOURCE, split: str = "split"
+) -> dict[str, str]:
+    """Bring the final Parquet tables up to ``held``, whose latest rows are ``new``; what was done per side.
+
+    A table that holds all older rows gets the new ones appended, "appended", or is left as it is where there
+    are none, "kept". It holds them all when it has as many rows as ``held`` without ``new`` and none of a new
+    source, since no row is ever appended twice. Otherwise, after an interrupted run, for a replaced source or
+    when a column is new or has another type, the table is "written" anew. Row counts come from file footers.
+    """
+    done = {}
+    for side, path in ((TRAIN, train_path), (TEST, test_path)):
+        rows, added = (df.where(F.col(split) == side).drop(split) for df in (held, new))
+        n_added = added.count()
+        if not _is_older_part(rows, added, rows.count() - n_added, path, source):
+            rows.write.mode("overwrite").parquet(path)
+            done[side] = "written"
+        elif n_added:
+            columns = held.sparkSession.read.parquet(path).columns
+            added.select(*map(quoted, columns)).write.mode("append").parquet(path)
+            done[side] = "appended"
+        else:
+            done[side] = "kept"
+    return done
+
+
+def _is_older_part(rows: DataFrame, added: DataFrame, n_older: int, path: str, source: str) -> bool:
+    """Whether the table at ``path`` has the columns of ``rows`` and holds them all but for ``added``."""
+    try:
+        table = rows.sparkSession.read.parquet(path)
+    except AnalysisException:  # no table yet
+        return False
+    types = [{f.name: f.dataType for f in df.schema.fields} for df in (table, rows)]
+    if types[0] != types[1] or table.count() != n_older:
+        return False
+    return table.join(added.select(source).distinct(), source, "left_semi").isEmpty()
+
+
 def write_matrix(matrix: TrainingMatrix, path: str) -> None:
     """Features and label numbers, label index, and classes with feature names as one table each."""
     base = path.rstrip("/")

@@ -12,7 +12,7 @@ from granary.plans import search
 from granary.plans.consolidation import run_consolidation
 from granary.plans.families import family_scores
 from granary.plans.search import grid_search, matrices, prepare_search_table, read_trials
-from granary.sinks.tables import completed_files, read_manifest
+from granary.sinks.tables import completed_files, extend_split, read_manifest
 from granary.sources import files as A
 from granary.sources import tables as T
 from granary.streaming.ingest import read_ingested, read_unreadable, stream_consolidate
@@ -138,6 +138,59 @@ def test_consolidation_end_to_end_and_resume(spark, tmp_path):
     assert state["rows_written_train"] + state["rows_written_test"] == 2003
 
 
+def test_final_tables_get_the_rows_of_new_files_appended(spark, tmp_path):
+    """Old files of the tables stay; a new column or an interrupted run writes them anew."""
+    root, out = tmp_path / "in", tmp_path / "out"
+
+    def run():
+        run_consolidation(spark, str(root), str(out))
+        parts = spark.read.option("mergeSchema", "true").parquet(f"{out}/parts")
+        found = {}
+        for side in ("train", "test"):
+            table = spark.read.parquet(f"{out}/{side}")
+            assert "source_key" not in table.columns
+            want = parts.where(F.col("split") == side).select(table.columns)
+            assert table.exceptAll(want).isEmpty() and want.exceptAll(table).isEmpty()
+            found[side] = {f.name for f in (out / side).glob("*.parquet")}
+        return found
+
+    write(root / "a b+c%20.csv", ["i", "label"], [[i, "x"] for i in range(50)])
+    first = run()
+    write(root / "two.csv", ["i", "label"], [[i, "y"] for i in range(30)])
+    second = run()
+    assert all(first[s] < second[s] for s in first)
+    assert run() == second  # nothing new
+    write(root / "three.csv", ["i", "w", "label"], [[i, 1, "y"] for i in range(10)])
+    third = run()
+    assert all(not second[s] & third[s] for s in second)
+    # Rows appended before a run was cut off, and a table that lost some.
+    train = spark.read.parquet(f"{out}/train")
+    train.where("source like '%two%'").limit(3).write.mode("append").parquet(f"{out}/train")
+    assert run()["test"] == third["test"]
+    train = spark.read.parquet(f"{out}/train")
+    spark.createDataFrame(train.limit(4).collect(), train.schema).write.mode("overwrite").parquet(f"{out}/train")
+    write(root / "four.csv", ["i", "label"], [[i, "z"] for i in range(7)])
+    run()
+
+
+def test_tables_that_hold_rows_of_a_new_source_are_written_anew(spark, tmp_path):
+    row = lambda s, i, split: (s, float(i), split)
+    old = [row("a", i, "train" if i % 2 else "test") for i in range(6)]
+    new = [row("b", i, "train" if i % 2 else "test") for i in range(4)]
+    shape = "source string, i double, split string"
+    held, added, none = (spark.createDataFrame(rows, shape) for rows in (old + new, new, []))
+    before = spark.createDataFrame(old, shape)
+    paths = str(tmp_path / "train"), str(tmp_path / "test")
+    assert extend_split(before, before, *paths) == {"train": "written", "test": "written"}
+    assert extend_split(before, none, *paths) == {"train": "kept", "test": "kept"}
+    # As many rows as the older ones, but some of the new source.
+    half = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 3.0)], "source string, i double")
+    half.write.mode("overwrite").parquet(paths[0])
+    assert extend_split(held, added, *paths) == {"train": "written", "test": "appended"}
+    rows = [sorted((r["source"], r["i"]) for r in spark.read.parquet(p).collect()) for p in paths]
+    assert rows == [sorted((s, i) for s, i, side in old + new if side == want) for want in ("train", "test")]
+
+
 def test_unreadable_files_are_tried_again(spark, tmp_path):
     """A file that is no CSV in the first run and repaired before the second; one without rows."""
     root, out = tmp_path / "in", str(tmp_path / "out")
