@@ -87,7 +87,7 @@ class QualityModel:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, held_out: int, rows: int) -> DataFrame:
-    """(stats, quality) of at most ``rows`` labelled documents outside the held-out fold, by a hash of the id."""
+    """(stats, quality, half) of at most ``rows`` labelled documents outside the held-out fold, by a hash of the id."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .where(fold_of(F.col("doc_id"), FOLDS) != held_out)
@@ -99,10 +99,11 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, held_out: int, rows:
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"stats": [statistics(t) for t in frame["text"]], "quality": frame["quality"]})
+            yield frame[["quality", "half"]].assign(stats=[statistics(t) for t in frame["text"]])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality")
-    return texts.mapInPandas(measure, "stats array<double>, quality int")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality", half)
+    return texts.mapInPandas(measure, "stats array<double>, quality int, half int")
 
 
 def summed(df: DataFrame, terms) -> dict[tuple[int, int], float]:
@@ -133,7 +134,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Qualit
     """Fits on labels outside the held-out fold; an id with several labels has the smallest.
 
     Every sum (moments, normal equations, calibration bins) is taken per partition and added up; the
-    driver gets as many cells as the model has. Null ids and labels are left out; without any label
+    driver gets twice as many cells as the model has. The ridge is fitted on all rows; the calibration
+    sees each half of the rows through a ridge fitted on the other half. Null ids and labels are left out; without any label
     every score is 0.5.
     """
     d = len(STATISTICS)
@@ -157,15 +159,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Qualit
     k = WAVES + 1
 
     def equations(frame: pd.DataFrame) -> np.ndarray:
-        z = model.expand(np.stack(frame["stats"]))
-        return np.vstack([z.T @ z, frame["quality"].to_numpy(np.float64) @ z])
+        z, y, half = model.expand(np.stack(frame["stats"])), frame["quality"].to_numpy(np.float64), frame["half"].to_numpy()
+        own = [(z[half == h], y[half == h]) for h in (0, 1)]
+        return np.vstack([np.vstack([x.T @ x, t @ x]) for x, t in own])
 
-    cells = matrix(summed(sample, equations), k + 1, k)
+    cells = matrix(summed(sample, equations), 2 * (k + 1), k).reshape(2, k + 1, k)
     shrink = np.diag(np.append(np.full(WAVES, RIDGE), 1e-6))
-    weights = np.linalg.solve(cells[:k] + shrink, cells[k])
+    solved = lambda c: np.linalg.solve(c[:k] + shrink, c[k])
+    weights = solved(cells.sum(axis=0))
+    unseen = np.stack([solved(cells[1]), solved(cells[0])])
 
     def bins(frame: pd.DataFrame) -> np.ndarray:
-        s = np.clip(model.expand(np.stack(frame["stats"])) @ weights, -0.5, 1.5)
+        ridge = (model.expand(np.stack(frame["stats"])) * unseen[frame["half"].to_numpy()]).sum(axis=1)
+        s = np.clip(ridge, -0.5, 1.5)
         at = np.minimum(((s + 0.5) / 2 * BINS).astype(int), BINS - 1)
         out = np.zeros((3, BINS))
         np.add.at(out[0], at, s)

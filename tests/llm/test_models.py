@@ -305,8 +305,23 @@ def test_ridge_against_numpy(spark):
     model = quality.fit_quality(docs, labels(spark, known), held_out=99)
     z = model.expand(np.stack([quality.statistics(t) for _, t, *_ in rows]))
     shrink = np.diag(np.append(np.full(quality.WAVES, quality.RIDGE), 1e-6))
-    want = np.linalg.solve(z.T @ z + shrink, z.T @ np.array([q for _, q, _ in known], float))
-    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    y = np.array([q for _, q, _ in known], float)
+    solved = lambda rows: np.linalg.solve(z[rows].T @ z[rows] + shrink, z[rows].T @ y[rows])
+    assert np.allclose(z @ model.weights, z @ solved(np.arange(200)), atol=1e-6)
+    # The calibration sees each half through the ridge of the other one.
+    half = np.array([r.h for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) h").orderBy("doc_id").collect()])
+    halves = [np.flatnonzero(half == h) for h in (0, 1)]
+    ridge = np.zeros(200)
+    for seen, other in (halves, halves[::-1]):
+        ridge[other] = z[other] @ solved(seen)
+    s = np.clip(ridge, -0.5, 1.5)
+    at = np.minimum(((s + 0.5) / 2 * quality.BINS).astype(int), quality.BINS - 1)
+    used = np.unique(at)
+    n = np.array([(at == b).sum() for b in used])
+    centres, levels = linear.isotonic(
+        np.array([s[at == b].mean() for b in used]), np.array([y[at == b].mean() for b in used]), n
+    )
+    assert np.allclose(model.calibrated(s), np.clip(np.interp(s, centres, levels), 0, 1), atol=1e-4)
 
 
 def test_rejection_threshold_keeps_clean_documents(spark):
