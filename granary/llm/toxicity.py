@@ -380,18 +380,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Toxic
     return ToxicityModel(features, weights, bias, voters, model.correlations)
 
 
-def rejection_threshold(
-    docs: DataFrame, labels: DataFrame, model: ToxicityModel, lost: float = CLEAN_LOST, rows: int = LABELLED_ROWS
-) -> float:
+def rejection_threshold(docs: DataFrame, labels: DataFrame, model: ToxicityModel, lost: float = CLEAN_LOST) -> float:
     """The least score, in hundredths from 0.05 to 0.5, from which on at most a share ``lost`` of clean documents lies.
 
-    Told by at most ``rows`` labelled documents, by a hash of the id, of which one more than found is counted as
-    lost: with few of them labelled clean it is 0.5.
+    Told by all documents labelled clean, of which one more than found is counted as lost: with few of them it is 0.5.
+    Texts are scored where they are; ids and hundredths alone meet the labels.
     """
-    known = known_labels(labels, held_out=FOLDS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    clean = docs.select("doc_id", "text").join(F.broadcast(known.where("toxic = 0").select("doc_id")), "doc_id")
-    place = F.floor(F.col("score") * 100).cast("int")
-    counts = {r["at"]: r["n"] for r in score_toxicity(clean, model).groupBy(place.alias("at")).agg(F.count("*").alias("n")).collect()}
+    clean = known_labels(labels, held_out=FOLDS).where("toxic = 0").select("doc_id")
+    place = F.floor(F.col("score") * 100).cast("int").alias("at")
+    places = score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", place)
+    counts = {r["at"]: r["n"] for r in places.join(clean, "doc_id").groupBy("at").agg(F.count("*").alias("n")).collect()}
     for at in range(5, 50):
         if sum(n for k, n in counts.items() if k >= at) + 1 <= lost * (sum(counts.values()) + 1):
             return at / 100

@@ -334,3 +334,16 @@ def test_rejection_threshold_keeps_clean_documents(spark):
     scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
     assert 0.05 <= t < 0.5 and sum(scores[i] >= t for i in range(1, 80, 2)) == 0
     assert toxicity.rejection_threshold(docs, labels(spark), model) == 0.5
+
+
+def test_rejection_threshold_hears_all_labelled_documents(spark):
+    """Clean documents that look toxic, all of them behind the first 20000 labelled ones by a hash of the id."""
+    ids = spark.range(20_600).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+    late = [r.doc_id for r in ids.offset(20_000).collect()]
+    texts = ["you pathetic worthless idiot", "a lovely walk by the river"] * 40
+    docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    model = toxicity.fit_toxicity(docs, labels(spark, [(i, 1, int(i % 2 == 0)) for i in range(80)]))
+    shown = F.when(F.col("doc_id").isin(late), texts[0]).otherwise(texts[1])
+    many = spark.range(20_600).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    assert toxicity.rejection_threshold(many.withColumn("text", shown), many, model) == 0.5
+    assert toxicity.rejection_threshold(many.withColumn("text", F.lit(texts[1])), many, model) < 0.5
