@@ -27,8 +27,13 @@ from granary.session import written
 MAX_BINS = 256
 #: Rows of a node that one task may hold; trees of a group that start from the same rows.
 SMALL_NODE, TREES_TOGETHER = 50_000, 25
+#: Rows that a task works on at a time; cells up to which it sums them in place.
+BLOCK_ROWS, MOST_CELLS = 100_000, 1 << 22
 BINNED = "bins binary, label int, row long, held long"
 NODES = "tree int, node long, feature int, cut int, n long, weights array<double>"
+#: Nodes of a tree, or of a part of it, as the bytes of one array per column.
+PARTS = "tree int, node binary, feature binary, cut binary, n binary, weights binary"
+PART_KINDS = {"node": np.int64, "feature": np.int32, "cut": np.int16, "n": np.int64, "weights": np.float64}
 
 
 @dataclass(frozen=True)
@@ -58,6 +63,10 @@ class Tree:
         self.left = np.zeros(len(self.node), dtype=np.int64)
         self.left[inner] = np.searchsorted(self.node, 2 * self.node[inner])
 
+    def shares(self) -> np.ndarray:
+        """Shares of the classes per node."""
+        return self.weights / np.maximum(self.weights.sum(axis=1), 1e-300)[:, None]
+
     def reached(self, bins: np.ndarray, max_depth: int, min_split: int) -> np.ndarray:
         """Index of the node where each row ends with these limits."""
         at = np.zeros(len(bins), dtype=np.int64)
@@ -235,8 +244,11 @@ def binned(df: DataFrame, cuts: list[np.ndarray], held: Column, row: Column, fea
                 columns = [pa.array([b.tobytes() for b in bins], pa.binary()), *batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays(columns, ["bins", "label", "row", "held"])
 
+    spark = df.sparkSession
+    # Few bytes, but much work a row: by their size alone the rows would lie in a handful of tasks.
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = df.select(F.col(features), F.col(label).cast("int"), row.cast("long"), held.cast("long"))
-    return plain.mapInArrow(put, BINNED)
+    return plain.repartition(n).mapInArrow(put, BINNED)
 
 
 class Rows:
@@ -251,6 +263,33 @@ class Rows:
         return cls(batch.column(0).to_pylist(), *[c.to_numpy(zero_copy_only=False) for c in batch.columns[1:4]], width)
 
 
+def row_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Rows]:
+    """The rows of the batches in blocks of about ``BLOCK_ROWS``."""
+    some: list[pa.RecordBatch] = []
+
+    def joined() -> Rows:
+        return Rows.of(pa.Table.from_batches(some).combine_chunks().to_batches()[0], width)
+
+    for batch in batches:
+        if batch.num_rows:
+            some.append(batch)
+        if sum(b.num_rows for b in some) >= BLOCK_ROWS:
+            yield joined()
+            some = []
+    if some:
+        yield joined()
+
+
+def cell_sums(code: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes below ``size`` that occur, their weights and their rows."""
+    if size > MOST_CELLS:
+        cells, which, n = np.unique(code, return_inverse=True, return_counts=True)
+        return cells, np.bincount(which, weights=weight), n
+    n = np.bincount(code, minlength=size)
+    cells = np.flatnonzero(n)
+    return cells, np.bincount(code, weights=weight, minlength=size)[cells], n[cells]
+
+
 class _Growing:
     """Splits known so far of the trees that still have large nodes."""
 
@@ -268,29 +307,32 @@ class _Growing:
         return at
 
 
-def _level_sums(table: DataFrame, growing: _Growing, slots: dict[tuple[int, int], int], specs: list[TreeSpec], width: int) -> DataFrame:
+def _level_sums(
+    table: DataFrame, growing: _Growing, slots: dict[tuple[int, int], int], specs: list[TreeSpec], width: int, classes: int
+) -> DataFrame:
     """Rows and weights by (slot, feature, bin, class) of the open nodes, each a slot."""
-    trees = sorted({tree for tree, _ in slots})
+    open_nodes: dict[int, list[int]] = {}
+    for tree, node in sorted(slots):
+        open_nodes.setdefault(tree, []).append(node)
+    names = ["slot", "feature", "bin", "label", "weight", "n"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = Rows.of(batch, width)
-            for tree in trees:
-                weight = row_weights(rows.row, rows.held, specs[tree])
+        for rows in row_blocks(batches, width):
+            for tree, nodes in open_nodes.items():
+                weight, own = row_weights(rows.row, rows.held, specs[tree]), np.array(nodes)
                 at = growing.place(tree, rows.bins)
-                slot = np.full(len(at), -1, dtype=np.int64)
-                for node in np.unique(at).tolist():
-                    slot[at == node] = slots.get((tree, node), -1)
-                inside = np.flatnonzero((slot >= 0) & (weight > 0))
+                where = np.minimum(np.searchsorted(own, at), len(own) - 1)
+                inside = np.flatnonzero((own[where] == at) & (weight > 0))
                 if not inside.size:
                     continue
+                base, weight = where[inside] * (MAX_BINS * classes) + rows.label[inside], weight[inside]
+                of_slot, parts = np.array([slots[(tree, node)] for node in nodes]), []
                 for f in range(width):
-                    code = (slot[inside] * MAX_BINS + rows.bins[inside, f]) * (1 << 20) + rows.label[inside]
-                    cells, which, n = np.unique(code, return_inverse=True, return_counts=True)
-                    total = np.bincount(which, weights=weight[inside])
-                    place = cells >> 20
-                    columns = [place // MAX_BINS, np.full(len(cells), f), place % MAX_BINS, cells & ((1 << 20) - 1), total, n]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "feature", "bin", "label", "weight", "n"])
+                    code = base + rows.bins[inside, f].astype(np.int64) * classes
+                    cells, total, n = cell_sums(code, weight, len(own) * MAX_BINS * classes)
+                    place = cells // classes
+                    parts.append((of_slot[place // MAX_BINS], np.full(len(cells), f), place % MAX_BINS, cells % classes, total, n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
     cells = table.mapInArrow(sums, "slot long, feature long, bin long, label long, weight double, n long")
     return cells.groupBy("slot", "feature", "bin", "label").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
@@ -324,12 +366,36 @@ def _level_splits(cells: DataFrame, slots: dict[tuple[int, int], int], specs: li
     return cells.groupBy("slot").applyInPandas(choose, NODES + ", n_left long").toPandas()
 
 
+def packed(found: dict[str, np.ndarray]) -> list[bytes]:
+    """Nodes as the columns of ``PARTS`` behind the tree."""
+    return [np.ascontiguousarray(found[c], kind).tobytes() for c, kind in PART_KINDS.items()]
+
+
+def tree_of(parts: list[list[bytes]], classes: int) -> Tree:
+    """The tree that these parts make up."""
+    if not parts:  # no row at all
+        return Tree(np.array([1]), np.array([-1]), np.array([-1]), np.array([0]), np.zeros((1, classes)))
+    columns = [np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, kind in enumerate(PART_KINDS.values())]
+    order = np.argsort(columns[0], kind="stable")
+    return Tree(*[c[order] for c in columns[:-1]], columns[-1].reshape(-1, classes)[order])
+
+
 def grow_trees(
     table: DataFrame, specs: list[TreeSpec], width: int, classes: int, small_node: int = SMALL_NODE
 ) -> list[Tree]:
-    """One tree per spec over a written ``BINNED`` table.
+    """One tree per spec over a written ``BINNED`` table. The driver holds the trees, as for any fitted tree."""
+    parts: dict[int, list] = {}
+    for r in tree_parts(table, specs, width, classes, small_node).collect():
+        parts.setdefault(r["tree"], []).append(list(r[1:]))
+    return [tree_of(parts.get(tree, []), classes) for tree in range(len(specs))]
+
+
+def tree_parts(
+    table: DataFrame, specs: list[TreeSpec], width: int, classes: int, small_node: int = SMALL_NODE
+) -> DataFrame:
+    """``PARTS`` of one tree per spec over a written ``BINNED`` table; a tree without rows has none.
 
-    The driver holds the trees, as for any fitted tree; tasks hold at most ``small_node`` rows, or sums.
+    The driver holds the nodes of more than ``small_node`` rows; tasks hold at most so many rows, or sums.
     """
     growing, parts = _Growing(), []
     rows = table.count()
@@ -340,78 +406,83 @@ def grow_trees(
         slots = {place: i for i, place in enumerate(p for p, n in waiting.items() if n > small_node)}
         if not slots:
             break
-        found = _level_splits(_level_sums(table, growing, slots, specs, width), slots, specs, width, classes)
+        found = _level_splits(_level_sums(table, growing, slots, specs, width, classes), slots, specs, width, classes)
         parts.append(found.drop(columns="n_left"))
         waiting = {}
         for r in found[found["feature"] >= 0].itertuples():
             growing.splits.setdefault(r.tree, {})[r.node] = (r.feature, r.cut)
             waiting[(r.tree, 2 * r.node)], waiting[(r.tree, 2 * r.node + 1)] = r.n_left, r.n - r.n_left
-    if small:
-        parts.append(_grown_small(table, growing, small, specs, width, classes).toPandas())
-    parts = [p for p in parts if len(p)]
-    every = pd.concat(parts, ignore_index=True).sort_values(["tree", "node"]) if parts else pd.DataFrame({"tree": []})
-    of_tree = dict(list(every.groupby("tree")))
-    trees = []
-    for tree in range(len(specs)):
-        own = of_tree.get(tree)
-        if own is None:  # no row at all
-            trees.append(Tree(np.array([1]), np.array([-1]), np.array([-1]), np.array([0]), np.zeros((1, classes))))
-            continue
-        arrays = [own[c].to_numpy(np.int64) for c in ("node", "feature", "cut", "n")]
-        trees.append(Tree(*arrays, np.stack(own["weights"]).astype(np.float64)))
-    return trees
+    large = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"tree": []})
+    told = [(int(tree), *packed({**own, "weights": np.stack(own["weights"])})) for tree, own in large.groupby("tree")]
+    out = table.sparkSession.createDataFrame(told, PARTS)
+    return out.unionByName(_grown_small(table, growing, small, specs, width, classes)) if small else out
 
 
 def _grown_small(
     table: DataFrame, growing: _Growing, small: list[tuple[int, int]], specs: list[TreeSpec], width: int, classes: int
 ) -> DataFrame:
-    """Nodes below the small ones, each grown by one task; whole trees that see all rows share a task in groups."""
+    """``PARTS`` below the small nodes, each grown by one task; whole trees that see all rows share a task in groups.
+
+    Rows go to a task as the bytes of arrays: to an inner node with their weights, to whole trees with what draws them.
+    """
     roots = sorted(tree for tree, node in small if node == 1)
     groups = [[(t, 1) for t in roots[i : i + TREES_TOGETHER]] for i in range(0, len(roots), TREES_TOGETHER)]
-    inner = sorted((tree, node) for tree, node in small if node != 1)
-    of_inner = {place: len(groups) + i for i, place in enumerate(inner)}
-    tasks = groups + [[place] for place in inner]
-    trees = sorted({tree for tree, _ in inner})
+    of_inner: dict[int, dict[int, int]] = {}
+    tasks = groups + [[place] for place in sorted((tree, node) for tree, node in small if node != 1)]
+    for task in range(len(groups), len(tasks)):
+        tree, node = tasks[task][0]
+        of_inner.setdefault(tree, {})[node] = task
+    names = ["task", "bins", "label", "row", "held"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = Rows.of(batch, width)
-            for group in range(len(groups)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), group)), *batch.columns], ["task", *batch.schema.names])
-            for tree in trees:
-                at = growing.place(tree, rows.bins)
-                drawn_in = row_weights(rows.row, rows.held, specs[tree]) > 0
-                task = np.full(len(at), -1, dtype=np.int64)
-                for node in np.unique(at).tolist():
-                    task[at == node] = of_inner.get((tree, node), -1)
-                inside = np.flatnonzero((task >= 0) & drawn_in)
-                if inside.size:
-                    part = batch.take(pa.array(inside))
-                    yield pa.RecordBatch.from_arrays([pa.array(task[inside]), *part.columns], ["task", *batch.schema.names])
+        for rows in row_blocks(batches, width):
+            out: list[tuple] = []
+            if groups:
+                whole = (rows.bins.tobytes(), rows.label.astype(np.int32).tobytes(), rows.row.tobytes(), rows.held.tobytes())
+                out += [(group, *whole) for group in range(len(groups))]
+            for tree, tasks_of in of_inner.items():
+                own, to = (np.array(x) for x in zip(*tasks_of.items(), strict=True))
+                weight, at = row_weights(rows.row, rows.held, specs[tree]), growing.place(tree, rows.bins)
+                where = np.minimum(np.searchsorted(own, at), len(own) - 1)
+                inside = np.flatnonzero((own[where] == at) & (weight > 0))
+                inside = inside[np.argsort(where[inside], kind="stable")]
+                ends = np.searchsorted(where[inside], np.arange(len(own)), "right").tolist()
+                for k, (start, end) in enumerate(zip([0, *ends], ends, strict=False)):
+                    if end > start:
+                        part = inside[start:end]
+                        label, drawn_in = rows.label[part].astype(np.int32), weight[part].astype(np.uint8)
+                        out.append((int(to[k]), rows.bins[part].tobytes(), label.tobytes(), drawn_in.tobytes(), b""))
+                if len(out) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
 
     def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row", kind="stable")
-        rows = Rows(frame["bins"].tolist(), frame["label"], frame["row"], frame["held"], width)
+        task = int(key[0])
+        bins = np.frombuffer(b"".join(frame["bins"]), np.uint8).reshape(-1, width)
+        label = np.frombuffer(b"".join(frame["label"]), np.int32).astype(np.int64)
         out = []
-        for tree, node in tasks[int(key[0])]:
-            weight = row_weights(rows.row, rows.held, specs[tree])
-            found = grown(rows.bins, rows.label, weight, classes, specs[tree], node)
-            found["weights"] = list(found["weights"])
-            out.append(pd.DataFrame({"tree": tree, **found}))
-        return pd.concat(out, ignore_index=True)
-
-    sent = table.mapInArrow(send, f"task long, {BINNED}")
+        for tree, node in tasks[task]:
+            if task < len(groups):
+                row, held = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("row", "held"))
+                weight = row_weights(row, held, specs[tree])
+            else:
+                weight = np.frombuffer(b"".join(frame["row"]), np.uint8).astype(np.float64)
+            out.append((tree, *packed(grown(bins, label, weight, classes, specs[tree], node))))
+        return pd.DataFrame(out, columns=["tree", *PART_KINDS])
+
+    sent = table.mapInArrow(send, "task long, bins binary, label binary, row binary, held binary")
     # By number: Spark would take a few thousand rows for little work and give them to one task.
     dealt = sent.repartition(min(len(tasks), 4 * table.sparkSession.sparkContext.defaultParallelism), "task")
-    return dealt.groupBy("task").applyInPandas(grow, NODES)
+    return dealt.groupBy("task").applyInPandas(grow, PARTS)
 
 
 def votes(trees: list[Tree], bins: np.ndarray, max_depth: int, min_split: int, stops: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """After each number of trees in ``stops``: the class of the largest mean share per row, the first of equal ones."""
     total = np.zeros((len(bins), trees[0].weights.shape[1]))
     for i, tree in enumerate(trees, 1):
-        shares = tree.weights / np.maximum(tree.weights.sum(axis=1), 1e-300)[:, None]
-        total += shares[tree.reached(bins, max_depth, min_split)]
+        total += tree.shares()[tree.reached(bins, max_depth, min_split)]
         if i in stops:
             yield i, np.round(total, 9).argmax(axis=1)
 

@@ -129,3 +129,45 @@ def test_odd_tables(spark):
     wide = frame(spark, np.arange(3000.0)[:, None], (np.arange(3000) >= 1234).astype(int))
     model = T.fit_trees(wide)  # more values than bins: bounds at quantiles
     assert len(model.cuts[0]) == 255 and wide.where(model.predicted() != F.col("label_idx")).count() < 15
+
+
+def test_search_leaves_trees_to_the_tasks(spark, monkeypatch):
+    """Scores of forests and trees, in several blocks, against votes of the same trees; the search's driver holds none."""
+    from granary.plans import families as P
+
+    x, y = noisy(400, seed=11)
+    df = frame(spark, x, y).withColumn("test_0", F.col("key") % 5 == 0).withColumn("test_1", F.col("key") % 3 == 0)
+    matrix = P.Matrix(df, 3, 3, "key", {0: "test_0", 1: "test_1"})
+    limits = [("n_estimators", 3, 7), ("max_depth", 4, 9), ("min_samples_split", 2, 9), ("min_samples_leaf", 1, 3)]
+    combos = {i: {name: v[i >> at & 1] for at, (name, *v) in enumerate(limits)} for i in range(16)}
+    cuts = T.cut_points(df, 3)
+    rows = T.binned(df, cuts, matrix.held(), F.xxhash64("key"), "features", "label_idx").localCheckpoint()
+    all_rows = T.Rows(*map(list, zip(*[tuple(r) for r in rows.collect()], strict=True)), 3)
+    want = {}
+    for forest in (False, True):
+        for combo, p in combos.items():
+            leaf, depth, split, most = P.tree_params(p, forest)
+            for holdout in (0, 1):
+                specs = [T.TreeSpec(leaf, split, depth, holdout, 42 + t if forest else None) for t in range(most)]
+                trees, own = T.grow_trees(rows, specs, 3, 3) if (combo, holdout) in ((0, 0), (15, 1)) else None, all_rows.held >> holdout & 1 == 1
+                if trees:
+                    found = [p for _, p in T.votes(trees, all_rows.bins[own], depth, split, [most])][0]
+                    pairs = [(combo, holdout, int(a), int(b), 1) for a, b in zip(all_rows.label[own], found, strict=True)]
+                    want[(forest, combo, holdout)] = P.scored(spark.createDataFrame(pairs, P.COUNTS))[(combo, holdout)]
+    monkeypatch.setattr(P, "FOREST_TREES", 14)
+    made, whole = [], T.Tree.__post_init__
+    monkeypatch.setattr(T.Tree, "__post_init__", lambda self: (made.append(1), whole(self))[1])
+    for forest in (False, True):
+        got = P.trees_of(matrix, combos, forest)
+        assert len(got) == 32
+        for (of, combo, holdout), f1 in want.items():
+            if of == forest:
+                assert got[(combo, holdout)] == pytest.approx(f1, abs=1e-12)
+    assert not made
+
+
+def test_rows_of_few_bytes_lie_in_many_tasks(spark):
+    x, y = noisy(300)
+    df = frame(spark, x, y).coalesce(1)
+    table = T.binned(df, T.cut_points(df, 3), F.lit(0), F.xxhash64("key"), "features", "label_idx")
+    assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
