@@ -41,31 +41,61 @@ CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 
 
-def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Per line: the 0/1 ``FEATURES``, and the characters in words."""
-    lines = text.split("\n")
-    x = np.zeros((len(lines), len(FEATURES)))
-    sizes = np.zeros(len(lines))
+#: Each match of ``NOTICE`` holds one of these when lower-cased, unless it is written with one of ``ODD_LETTERS``.
+NOTICE_PARTS = (
+    "all rights", "copyright", "(c) ", "©", "licen", "terms of", "privacy", "cookie", "subscribe", "sign up", "login", "log in",
+    "click here", "read more", "share this", "follow us", "contact us", "home |", "next page", "http", "www.",
+)
+ODD_LETTERS = re.compile("[\u017f\u0130\u0131\u212a]")
+#: White space to ``str.split`` that ``WORDS`` does not take for such.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+CAPITALS, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
+LETTERS, SIGNS = CAPITALS + CAPITALS.lower(), SYMBOLS.encode()
+
+
+def line_table(text: str) -> tuple[np.ndarray, np.ndarray, list[str], int]:
+    """Per line the 0/1 ``FEATURES`` and the characters in words; the words and the number of ``SYMBOLS`` of the text."""
+    lines, low = text.split("\n"), text.lower()
+    odd = not text.isascii() and ODD_LETTERS.search(text) is not None
+    parts = [p for p in NOTICE_PARTS if p in low]
+    lows = low.split("\n") if parts else lines
+    plain = SEPARATORS.search(text) is None
+    x, sizes, every, all_symbols = [], [], [], 0
     seen: set[str] = set()
-    for i, line in enumerate(lines):
-        words = WORDS.findall(line)
+    for line, small in zip(lines, lows, strict=True):
+        if line.isascii():
+            words = line.split() if plain else WORDS.findall(line)
+            raw = line.encode()
+            count = lambda signs, raw=raw: len(raw) - len(raw.translate(None, signs))
+            symbols, letters, capitals, digits = count(SIGNS), count(LETTERS), count(CAPITALS), count(DIGITS)
+        else:
+            words = WORDS.findall(line)
+            symbols, letters = sum(map(line.count, SYMBOLS)), sum(map(str.isalpha, line))
+            capitals, digits = sum(map(str.isupper, line)), sum(map(str.isdigit, line))
         n = len(words)
         if not n:
-            x[i, 0] = x[i, 1] = 1
+            x.append((1, 1, *[0] * (len(FEATURES) - 2)))
+            sizes.append(0)
             continue
-        sizes[i] = chars = sum(map(len, words))
-        symbols = sum(map(line.count, SYMBOLS))
-        marked = sum(w[-1] in SYMBOLS for w in words)
-        letters = sum(map(str.isalpha, line))
-        capitals = sum(map(str.isupper, line))
-        x[i] = (
+        every += words
+        lengths = [*map(len, words)]
+        chars = sum(lengths)
+        sizes.append(chars)
+        all_symbols += symbols
+        marked = sum(w[-1] in SYMBOLS for w in words) if symbols else 0
+        notice = (odd or any(p in small for p in parts)) and NOTICE.search(line) is not None
+        x.append((
             1, 0, n == 1, n < 5, n >= 12, symbols * 10 > chars, marked * 4 > n, line.count("|") * 4 > n,
             capitals * 2 > letters > 3, line.count("!") * 4 > n, n >= 6 and len(set(words)) * 5 < n * 2,
-            sum(map(str.isdigit, line)) * 4 > chars, NOTICE.search(line) is not None,
-            line in seen, line.rstrip()[-1] in ".!?:;\"'", max(map(len, words)) > 40,
-        )
+            digits * 4 > chars, notice, line in seen, (line.rstrip() or " ")[-1] in ".!?:;\"'", max(lengths) > 40,
+        ))
         seen.add(line)
-    return x, sizes
+    return np.array(x, dtype=np.float64), np.array(sizes, dtype=np.float64), every, all_symbols
+
+
+def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Per line: the 0/1 ``FEATURES``, and the characters in words."""
+    return line_table(text)[:2]
 
 
 @dataclass(frozen=True)
@@ -75,23 +105,21 @@ class LineCrf:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best marking of the lines, 1 for content; ties go to content."""
-        unary = x @ self.weights / 2
-        back = np.zeros((len(x), 2), dtype=np.int8)
+        unary = (x @ self.weights / 2).tolist()
+        back: list[tuple[bool, bool]] = [(False, False)]
         boilerplate, content = -unary[0], unary[0]
         link = self.link
-        for t in range(1, len(x)):
-            u = unary[t]
+        for u in unary[1:]:
             stay, come = boilerplate + link, content - link
-            back[t, 0] = come > stay
             low = max(stay, come) - u
-            stay, come = content + link, boilerplate - link
-            back[t, 1] = stay >= come
-            content = max(stay, come) + u
+            stays, comes = content + link, boilerplate - link
+            back.append((come > stay, stays >= comes))
+            content = max(stays, comes) + u
             boilerplate = low
         out = np.zeros(len(x), dtype=np.int8)
-        out[-1] = content >= boilerplate
+        now = out[-1] = content >= boilerplate
         for t in range(len(x) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+            now = out[t - 1] = back[t][now]
         return out
 
 
@@ -160,18 +188,11 @@ def repeated_windows(words: list[str], width: int = 3) -> int:
 
 def judged(text: str | None, model: LineCrf) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content_share of one text."""
-    text = text or ""
-    words = WORDS.findall(text)
-    seen: set[str] = set()
-    again = 0
-    for line in text.split("\n"):
-        if WORDS.search(line):
-            again += line in seen
-            seen.add(line)
-    x, sizes = line_features(text)
+    x, sizes, words, symbols = line_table(text or "")
     total = sizes.sum()
     share = float((sizes * model.decode(x)).sum() / total) if total else 0.0
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), again, repeated_windows(words), share
+    again = int(x[:, FEATURES.index("seen_before")].sum())
+    return len(words), int(total), symbols, again, repeated_windows(words), share
 
 
 def apply_rules(docs: DataFrame, model: LineCrf, content_share: float = CONTENT_SHARE) -> DataFrame:

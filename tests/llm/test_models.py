@@ -347,3 +347,15 @@ def test_rejection_threshold_hears_all_labelled_documents(spark):
     many = spark.range(20_600).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
     assert toxicity.rejection_threshold(many.withColumn("text", shown), many, model) == 0.5
     assert toxicity.rejection_threshold(many.withColumn("text", F.lit(texts[1])), many, model) < 0.5
+
+
+def test_lines_are_counted_alike_in_ascii_and_beyond():
+    """A line's features with a letter that is not ASCII beside those without, and notices in odd letters."""
+    line = "SIGN UP| now 12# $money$ !"
+    plain, beyond = (line_crf.line_features(t)[0][0] for t in (line, line.replace("now", "nów")))
+    assert plain.tolist() == beyond.tolist()
+    notice = line_crf.FEATURES.index("notice")
+    for text in ("ſign up", "cooKie", "Log in", "LOGIN", "log\tin", "HTTPS://x", "Licence", "(C) me", "WWW.x"):
+        assert line_crf.line_features(text)[0][0, notice] == (line_crf.NOTICE.search(text) is not None)
+    # Signs that Python strips and the contract does not: they are words, as ever.
+    assert line_crf.judged("\xa0\na\x1cb c", line_crf.LineCrf(np.array(line_crf.PRIOR), 0.5))[:2] == (3, 5)
