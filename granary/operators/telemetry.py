@@ -247,6 +247,21 @@ def possible_states(head: list[float]) -> list[int]:
     return sorted({state for state, _ in states})
 
 
+def _clamped(steps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Widths after each of these known steps from the first start, and at the end from every start.
+
+    A step adds and cuts off at both bounds, and so do any steps in a row: they are put together by doubling.
+    """
+    add, low, high = steps.copy(), np.full(len(steps), WINDOW_MIN), np.full(len(steps), WINDOW_MAX)
+    far = 1
+    while far < len(steps):
+        own, least, most = add[far:].copy(), low[far:].copy(), high[far:].copy()
+        low[far:], high[far:] = (np.clip(bound[:-far] + own, least, most) for bound in (low, high))
+        add[far:] = add[:-far] + own
+        far *= 2
+    return np.clip(starts[0] + add, low, high), np.clip(starts + add[-1], low[-1], high[-1])
+
+
 def _walk(pdf: pd.DataFrame, starts: list[int]) -> tuple[list[int], np.ndarray]:
     """Follows a stretch of a run, its rows in order, from several states at once.
 
@@ -261,6 +276,10 @@ def _walk(pdf: pd.DataFrame, starts: list[int]) -> tuple[list[int], np.ndarray]:
     known = np.concatenate([head, values])
     of_place = np.concatenate([head_rows, rows])
     steps = _known_steps(known)[len(head) :]
+    if not depends.any() and not np.isnan(steps).any():
+        opened = [_opened(state) for state in starts]
+        after = _clamped(steps, np.array([width for width, _ in opened]))
+        return [_closed(width, own, len(pdf)) for width, (_, own) in zip(after[1].tolist(), opened, strict=True)], after[0]
     visits = np.flatnonzero(depends | np.isnan(steps) | (steps != 0))
     states: dict[tuple, list[int]] = {}
     for k, state in enumerate(starts):

@@ -286,3 +286,17 @@ def test_bandit_against_numpy(spark):
 def test_eta(spark):
     df = spark.createDataFrame([(10.0, 0, 4), (10.0, 2, 4), (10.0, 5, 4)], "e double, d int, t int")
     assert [r["remaining_seconds"] for r in I.eta(df, "e", "d", "t").collect()] == [40.0, 10.0, 0.0]
+
+
+def test_known_steps_are_followed_at_once():
+    """Widths behind many known steps, from every start, against one step after the other."""
+    rng = random.Random(4)
+    for n in (1, 2, 9, 300):
+        steps = [rng.choice([-0.5, 0.0, 0.5, 0.5]) for _ in range(n)]
+        own, ends = I._clamped(np.array(steps), np.array(I.GRID))
+        for k, width in enumerate(I.GRID):
+            out = []
+            for step in steps:
+                width = I.moved(width, step)
+                out.append(width)
+            assert ends[k] == out[-1] and (k or own.tolist() == out)
