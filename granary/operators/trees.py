@@ -1,9 +1,12 @@
 """Decision trees and forests, grown level by level on binned features.
 
 Nodes with many rows are split by sums over (node, feature, bin, class), one pass over the rows per
-level for all trees at once. A node with few rows is grown to its end in one task, from its rows. Every
-node keeps its row count and class weights, so that a tree of a smaller depth or a larger split size is
-read from the same nodes: both only stop a path earlier. Leaf size changes the splits themselves.
+level for all trees at once. A node with few rows is grown to its end in one task, from its rows. Where the
+rows lie in few cells (bins of all features, and a class), whole trees are grown from sums over these cells:
+one pass makes them for all trees, a draw of rows serves all holdouts, and trees that see the same rows share
+their sums. Both ways give the same nodes. Every node keeps its row count and class weights, so that a tree of
+a smaller depth or a larger split size is read from the same nodes: both only stop a path earlier. Leaf size
+changes the splits themselves.
 
 A node is split when it has at least ``min_split`` rows of more than one class above ``max_depth``, at the
 cut of the least weighted Gini impurity that leaves ``min_leaf`` rows on either side; of equal cuts the one of
@@ -22,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.session import written
+from granary.session import in_many_tasks, written
 
 MAX_BINS = 256
 #: Rows of a node that one task may hold; trees of a group that start from the same rows.
 SMALL_NODE, TREES_TOGETHER = 50_000, 25
+#: Cells whose sums a task may hold, and their bytes.
+FEW_CELLS, CELL_BYTES = 50_000, 8 << 20
+#: Draws of rows whose trees a task grows.
+UNITS_OF_TASK = 8
 #: Rows that a task works on at a time; cells up to which it sums them in place.
 BLOCK_ROWS, MOST_CELLS = 100_000, 1 << 22
 BINNED = "bins binary, label int, row long, held long"
@@ -84,9 +91,12 @@ class Tree:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def drawn(x: np.ndarray, seed: int) -> np.ndarray:
@@ -95,12 +105,28 @@ def drawn(x: np.ndarray, seed: int) -> np.ndarray:
     return (mixed(x.astype(np.int64).view(np.uint64) + start) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-#: Chances that a Poisson(1) weight is at most 0, 1, 2 ...
+#: Chances that a Poisson(1) weight is at most 0, 1, 2 ..., and the first of the 2^53 draws beyond each.
 POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 16)])))
+BEYOND = np.ceil(POISSON * float(1 << 53)).astype(np.uint64)
+#: The weight by the first 16 bits of a draw, 255 where these do not tell.
+_FIRST = np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)
+_LEAST, _MOST = (np.searchsorted(BEYOND, x, "right") for x in (_FIRST, _FIRST + np.uint64((1 << 37) - 1)))
+BY_FIRST_BITS = np.where(_LEAST == _MOST, _LEAST, 255).astype(np.uint8)
+#: A weight as the lower 32 bits of a number whose upper ones count the rows of any weight.
+COUNTED = np.array([w + ((w > 0) << 32) for w in range(len(POISSON) + 1)], dtype=np.int64)
+
+
+def poisson_weights(row: np.ndarray, seed: int) -> np.ndarray:
+    """A Poisson(1) weight per number, by ``drawn``."""
+    bits = mixed(row.astype(np.int64, copy=False).view(np.uint64) + mixed(np.array([seed + 1], dtype=np.uint64)))
+    weights = BY_FIRST_BITS[bits >> np.uint64(48)]
+    unsure = np.flatnonzero(weights == 255)
+    weights[unsure] = np.searchsorted(BEYOND, bits[unsure] >> np.uint64(11), "right")
+    return weights
 
 
 def row_weights(row: np.ndarray, held: np.ndarray, spec: TreeSpec) -> np.ndarray:
-    weights = np.ones(len(row)) if spec.seed is None else np.searchsorted(POISSON, drawn(row, spec.seed), "right").astype(np.float64)
+    weights = np.ones(len(row)) if spec.seed is None else poisson_weights(row, spec.seed).astype(np.float64)
     if spec.holdout >= 0:
         weights[(held >> spec.holdout) & 1 == 1] = 0
     return weights
@@ -124,7 +150,8 @@ def best_cuts(at, bins, label, weight, n, nodes: int, classes: int, min_leaf: in
     class weights over their total on either side, which is largest where the Gini impurity is least.
     """
     key = at * MAX_BINS + bins
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(bins.astype(np.uint8), kind="stable")  # numbers of up to two bytes are sorted by counting
+    order = order[np.argsort(at[order].astype(np.uint16 if nodes <= 1 << 16 else np.int64), kind="stable")]
     key, at = key[order], at[order]
     sums = np.zeros((len(key), classes))
     sums[np.arange(len(key)), label[order]] = weight[order]
@@ -168,16 +195,19 @@ def chosen_splits(at, bins, label, weight, n, nodes: np.ndarray, classes: int, s
     return feature, np.where(feature >= 0, cut[line, feature], -1)
 
 
-def grown(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int, spec: TreeSpec, root: int = 1) -> dict[str, np.ndarray]:
-    """All nodes below ``root`` of a tree over these rows, level by level."""
-    rows = np.flatnonzero(weight > 0)
-    bins, label, weight = bins[rows].astype(np.int64), label[rows], weight[rows]
-    nodes, at = np.array([root], dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+def grown(
+    bins: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int, spec: TreeSpec, root: int = 1, rows: np.ndarray | None = None
+) -> dict[str, np.ndarray]:
+    """All nodes below ``root`` of a tree over these rows, level by level; or over sums of so many ``rows`` each."""
+    some = np.flatnonzero(weight > 0)
+    bins, label, weight = bins[some].astype(np.int64), label[some], weight[some]
+    ones = np.ones(len(some), dtype=np.int64) if rows is None else rows[some]
+    nodes, at = np.array([root], dtype=np.int64), np.zeros(len(some), dtype=np.int64)
     depth = root.bit_length() - 1
     out: list[tuple] = []
     while nodes.size:
         weights = np.bincount(at * classes + label, weights=weight, minlength=len(nodes) * classes).reshape(-1, classes)
-        n = np.bincount(at, minlength=len(nodes))
+        n = np.bincount(at, weights=ones, minlength=len(nodes)).astype(np.int64)
         feature, cut = np.full(len(nodes), -1, dtype=np.int64), np.full(len(nodes), -1, dtype=np.int64)
         wide = (n >= max(spec.min_split, 2)) & ((weights > 0).sum(axis=1) > 1) & (depth < spec.max_depth)
         open_nodes = np.flatnonzero(wide)
@@ -188,9 +218,8 @@ def grown(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int,
             now = place[at[inside]]
             every = slice(None)
             columns = [(every, bins[inside, f]) for f in range(bins.shape[1])]
-            ones = np.ones(len(inside), dtype=np.int64)
             feature[open_nodes], cut[open_nodes] = chosen_splits(
-                now, columns, label[inside], weight[inside], ones, nodes[open_nodes], classes, spec
+                now, columns, label[inside], weight[inside], ones[inside], nodes[open_nodes], classes, spec
             )
         out.append((nodes, feature, cut, n, weights))
         split = np.flatnonzero(feature >= 0)
@@ -199,7 +228,7 @@ def grown(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int,
         stay = np.flatnonzero(place[at] >= 0)
         now = at[stay]
         right = bins[stay, feature[now]] > cut[now]
-        bins, label, weight, at = bins[stay], label[stay], weight[stay], 2 * place[now] + right
+        bins, label, weight, ones, at = bins[stay], label[stay], weight[stay], ones[stay], 2 * place[now] + right
         nodes = (2 * nodes[split][:, None] + np.array([0, 1])).ravel()
         depth += 1
     return {k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("node", "feature", "cut", "n", "weights"))}
@@ -244,11 +273,8 @@ def binned(df: DataFrame, cuts: list[np.ndarray], held: Column, row: Column, fea
                 columns = [pa.array([b.tobytes() for b in bins], pa.binary()), *batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays(columns, ["bins", "label", "row", "held"])
 
-    spark = df.sparkSession
-    # Few bytes, but much work a row: by their size alone the rows would lie in a handful of tasks.
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = df.select(F.col(features), F.col(label).cast("int"), row.cast("long"), held.cast("long"))
-    return plain.repartition(n).mapInArrow(put, BINNED)
+    return in_many_tasks(plain).mapInArrow(put, BINNED)
 
 
 class Rows:
@@ -263,12 +289,12 @@ class Rows:
         return cls(batch.column(0).to_pylist(), *[c.to_numpy(zero_copy_only=False) for c in batch.columns[1:4]], width)
 
 
-def row_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Rows]:
-    """The rows of the batches in blocks of about ``BLOCK_ROWS``."""
+def joined_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches put together to blocks of about ``BLOCK_ROWS`` rows, none of them empty."""
     some: list[pa.RecordBatch] = []
 
-    def joined() -> Rows:
-        return Rows.of(pa.Table.from_batches(some).combine_chunks().to_batches()[0], width)
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
     for batch in batches:
         if batch.num_rows:
@@ -280,6 +306,11 @@ def row_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Rows]:
         yield joined()
 
 
+def row_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Rows]:
+    """The rows of the batches in blocks of about ``BLOCK_ROWS``."""
+    return (Rows.of(block, width) for block in joined_blocks(batches))
+
+
 def cell_sums(code: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The codes below ``size`` that occur, their weights and their rows."""
     if size > MOST_CELLS:
@@ -385,18 +416,29 @@ def grow_trees(
 ) -> list[Tree]:
     """One tree per spec over a written ``BINNED`` table. The driver holds the trees, as for any fitted tree."""
     parts: dict[int, list] = {}
-    for r in tree_parts(table, specs, width, classes, small_node).collect():
+    cells = few_cells(table, width, small_node)
+    for r in tree_parts(table, specs, width, classes, small_node, cells).collect():
         parts.setdefault(r["tree"], []).append(list(r[1:]))
     return [tree_of(parts.get(tree, []), classes) for tree in range(len(specs))]
 
 
+def few_cells(table: DataFrame, width: int, most: int | None = None) -> list[tuple[bytes, int]] | None:
+    """The different (bins, label) of a ``BINNED`` table in ascending order, None if they are more than ``most``."""
+    most = min(FEW_CELLS if most is None else most, CELL_BYTES // (width + 4))
+    found = table.select("bins", "label").distinct().limit(most + 1).collect()
+    return None if len(found) > most else sorted((bytes(r["bins"]), r["label"]) for r in found)
+
+
 def tree_parts(
-    table: DataFrame, specs: list[TreeSpec], width: int, classes: int, small_node: int = SMALL_NODE
+    table: DataFrame, specs: list[TreeSpec], width: int, classes: int, small_node: int = SMALL_NODE, cells: list[tuple[bytes, int]] | None = None
 ) -> DataFrame:
     """``PARTS`` of one tree per spec over a written ``BINNED`` table; a tree without rows has none.
 
-    The driver holds the nodes of more than ``small_node`` rows; tasks hold at most so many rows, or sums.
+    With the ``few_cells`` of the table its trees are grown from sums over them. Without, the driver holds
+    the nodes of more than ``small_node`` rows; tasks hold at most so many rows, or sums.
     """
+    if cells:
+        return _grown_cells(table, cells, specs, width, classes)
     growing, parts = _Growing(), []
     rows = table.count()
     waiting = {(tree, 1): rows for tree in range(len(specs))}
@@ -478,6 +520,62 @@ def _grown_small(
     return dealt.groupBy("task").applyInPandas(grow, PARTS)
 
 
+def _grown_cells(table: DataFrame, cells: list[tuple[bytes, int]], specs: list[TreeSpec], width: int, classes: int) -> DataFrame:
+    """``PARTS`` of whole trees, each grown by one task from its sums over the cells.
+
+    Rows lie by cell, a cell of many rows in several tasks, so that a task sums few cells whatever the rows.
+    """
+    spark = table.sparkSession
+    units: dict[tuple[int | None, int], list[int]] = {}
+    for tree, spec in enumerate(specs):
+        units.setdefault((spec.seed, spec.holdout), []).append(tree)
+    of_unit, draws = list(units.values()), {}
+    for unit, (seed, holdout) in enumerate(units):
+        draws.setdefault(seed, []).append((unit, holdout))
+    bins = np.frombuffer(b"".join(b for b, _ in cells), np.uint8).reshape(-1, width)
+    labels = np.array([label for _, label in cells], dtype=np.int64)
+    names = ["unit", "first", "sums"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in joined_blocks(batches):
+            cell, row, held = (block.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            order = np.lexsort((held, cell))
+            cell, row, held = cell[order], row[order], held[order]
+            # Rows of one cell and one set of holdouts lie together; then these by cell.
+            start = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (held[1:] != held[:-1])]))
+            of_cell = np.flatnonzero(np.concatenate([[True], cell[start][1:] != cell[start][:-1]]))
+            first, at = int(cell[0]), cell[start][of_cell] - cell[0]
+            seen = {h: (held[start] >> h) & 1 == 0 for of_seed in draws.values() for _, h in of_seed if h >= 0}
+            for seed, of_seed in draws.items():
+                drawn_in = np.ones(len(row), dtype=np.uint8) if seed is None else poisson_weights(row, seed)
+                total = np.add.reduceat(COUNTED[drawn_in], start)
+                out = []
+                for unit, holdout in of_seed:
+                    here = np.zeros(int(at[-1]) + 1, dtype=np.int64)
+                    here[at] = np.add.reduceat(total * seen[holdout] if holdout >= 0 else total, of_cell)
+                    out.append((unit, first, here.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        weight, n = np.zeros(len(labels)), np.zeros(len(labels), dtype=np.int64)
+        for first, part in zip(frame["first"], frame["sums"], strict=True):
+            here = np.frombuffer(part, np.int64)
+            weight[first : first + len(here)] += here & 0xFFFFFFFF
+            n[first : first + len(here)] += here >> 32
+        out = [(tree, *packed(grown(bins, labels, weight, classes, specs[tree], 1, n))) for tree in of_unit[int(key[0])]]
+        return pd.DataFrame(out, columns=["tree", *PART_KINDS])
+
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    parallel = spark.sparkContext.defaultParallelism
+    numbered = spark.createDataFrame([(b, label, i) for i, (b, label) in enumerate(cells)], "bins binary, label int, cell long")
+    rows = table.join(F.broadcast(numbered), ["bins", "label"]).select("cell", "row", "held")
+    by_cell = rows.repartitionByRange(max(2 * parallel, -(-table.count() // BLOCK_ROWS)), "cell", "row").sortWithinPartitions("cell")
+    # Few trees per task, however few the cores: a reader of what is written holds those of a file.
+    tasks = max(min(len(of_unit), 4 * parallel), -(-len(of_unit) // UNITS_OF_TASK))
+    dealt = by_cell.mapInArrow(sums, "unit int, first int, sums binary").repartition(tasks, "unit")
+    return dealt.groupBy("unit").applyInPandas(grow, PARTS)
+
+
 def votes(trees: list[Tree], bins: np.ndarray, max_depth: int, min_split: int, stops: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """After each number of trees in ``stops``: the class of the largest mean share per row, the first of equal ones."""
     total = np.zeros((len(bins), trees[0].weights.shape[1]))

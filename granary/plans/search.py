@@ -25,7 +25,7 @@ from granary.operators.split import (
     repeated_stratified_holdout,
 )
 from granary.plans.families import Matrix, checked, family_scores
-from granary.session import shared_dir, written
+from granary.session import in_many_tasks, shared_dir, written
 
 TRIAL_SCHEMA = (
     "model_idx bigint, model string, combo_idx bigint, params map<string,string>, "
@@ -42,10 +42,12 @@ def prepare_search_table(
     scaled: bool = True,
 ) -> DataFrame:
     """Matrix with holdout flags, written once: the fits read a compact table, and a
-    lost executor costs a re-read, not a recomputation.
+    lost executor costs a re-read, not a recomputation. So are the rows it is made of.
 
     ``scaled=False`` keeps raw features with holes, to be scaled per holdout.
     """
+    features = features or [c for c in numeric_columns(df) if c != key]
+    df = written(in_many_tasks(df.select(*[quoted(c) for c in dict.fromkeys([key, LABEL, *features])])), "search-rows")
     matrix = build_training_matrix(df, cols=features, keep=(key,), scale=scaled, clipped=True).data
     flagged = repeated_stratified_holdout(matrix, key, LABEL, k, TEST_SHARE, seed, "test_")
     flagged = repeated_stratified_holdout(flagged, key, LABEL, k, TREE_TEST_SHARE, seed, "tree_test_")

@@ -86,3 +86,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_many_tasks(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores: rows of few bytes but much work would by their size lie in a handful of tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

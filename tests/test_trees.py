@@ -171,3 +171,68 @@ def test_rows_of_few_bytes_lie_in_many_tasks(spark):
     df = frame(spark, x, y).coalesce(1)
     table = T.binned(df, T.cut_points(df, 3), F.lit(0), F.xxhash64("key"), "features", "label_idx")
     assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def celled(spark, n=3000):
+    """Rows in few cells, most of them in one; two holdouts."""
+    x, y = noisy(n, seed=13, classes=2)
+    x[: 2 * n // 3] = x[0]
+    y[: n // 2] = 1
+    df = frame(spark, x, y)
+    held = F.when(F.col("key") % 5 == 0, 1).otherwise(0) + F.when(F.col("key") % 3 == 0, 2).otherwise(0)
+    return df, T.binned(df, T.cut_points(df, 3), held, F.xxhash64("key"), "features", "label_idx").localCheckpoint()
+
+
+def test_rows_in_few_cells_need_no_pass_per_level(spark, monkeypatch):
+    """More rows than a task may hold, in fewer cells: the nodes that passes per level give, without them."""
+    _df, rows = celled(spark)
+    specs = [T.TreeSpec(leaf, 4, 9, holdout, seed) for leaf in (1, 6) for holdout in (-1, 0, 1) for seed in (None, 42, 43)]
+    cells = T.few_cells(rows, 3)
+    assert 600 < len(cells) < 1200 and cells == sorted({(bytes(r["bins"]), r["label"]) for r in rows.collect()})
+    by_level: dict = {}
+    for r in T.tree_parts(rows, specs, 3, 2, 1200).collect():
+        by_level.setdefault(r["tree"], []).append(list(r[1:]))
+
+    def no_pass(*_):
+        raise AssertionError("a pass over all rows for a level")
+
+    monkeypatch.setattr(T, "_level_sums", no_pass)
+    for i, got in enumerate(T.grow_trees(rows, specs, 3, 2, small_node=1200)):
+        want = T.tree_of(by_level[i], 2)
+        assert len(want.node) > 20 and want.n[0] > 1200
+        for column in ("node", "feature", "cut", "n", "weights"):
+            assert (getattr(got, column) == getattr(want, column)).all()
+
+
+def test_scores_are_those_of_the_way_by_rows(spark, monkeypatch):
+    """All forests of a search at once from their cells, against groups of them from their rows."""
+    from granary.plans import families as P
+
+    df, _rows = celled(spark, 900)
+    matrix = P.Matrix(df.withColumn("test_0", F.col("key") % 5 == 0).withColumn("test_1", F.col("key") % 3 == 0), 3, 2, "key", {0: "test_0", 1: "test_1"})
+    combos = {i: {"n_estimators": t, "max_depth": d, "min_samples_leaf": leaf} for i, (t, d, leaf) in enumerate([(3, 9, 1), (6, 9, 1), (6, 3, 1), (5, 9, 4)])}
+    calls, real = [], P.tree_parts
+    monkeypatch.setattr(P, "FOREST_TREES", 6)
+    monkeypatch.setattr(P, "tree_parts", lambda rows, specs, *a, **k: (calls.append(len(specs)), real(rows, specs, *a, **k))[1])
+    got = {forest: P.trees_of(matrix, combos, forest) for forest in (True, False)}
+    assert calls == [22, 4]
+    monkeypatch.setattr(T, "FEW_CELLS", 0)
+    for forest, found in got.items():
+        by_rows = P.trees_of(matrix, combos, forest)
+        assert found.keys() == by_rows.keys() and all(v == pytest.approx(by_rows[k], abs=1e-12) for k, v in found.items())
+    assert calls[2:] == [6, 6, 5, 5, 4]
+
+
+def test_weights_are_those_of_the_chances():
+    row = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 300_000)
+    for seed in (0, 42, 241):
+        assert (T.poisson_weights(row, seed) == np.searchsorted(T.POISSON, T.drawn(row, seed), "right")).all()
+
+
+def test_a_search_works_on_rows_of_few_bytes_in_many_tasks(spark):
+    from granary.plans.search import prepare_search_table
+
+    df = spark.range(400).selectExpr("id", "if(id % 3 = 0, 'a', 'b') as Label", "cast(id % 7 as double) as x").coalesce(1)
+    table = prepare_search_table(df, "id", 2, features=["x"])
+    assert len(table.inputFiles()) > 1 and table.count() == 400
+    assert table.where("test_0").count() == 80 and table.where("tree_test_1").count() == 120
